@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidebook.llm import simhash
+from tidebook.llm import decontamination, sharding, simhash, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_simhash": simhash.op10_simhash}
+    return {
+        "op3_decontamination": decontamination.op3_decontamination,
+        "op7_warc": warc.op7_warc,
+        "op8_sharding": sharding.op8_sharding,
+        "op10_simhash": simhash.op10_simhash,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_decontamination": decontamination.ORACLE_SQL}
