@@ -6,17 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidebook.llm import decontamination, sharding, simhash, warc
+from tidebook.llm import bpe, decontamination, pii, secrets, sharding, simhash, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_secrets": secrets.op2_secrets,
         "op3_decontamination": decontamination.op3_decontamination,
+        "op5_pii": pii.op5_pii,
         "op7_warc": warc.op7_warc,
         "op8_sharding": sharding.op8_sharding,
+        "op9_bpe": bpe.op9_bpe,
         "op10_simhash": simhash.op10_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": decontamination.ORACLE_SQL}
+    return {"op2_secrets": secrets.ORACLE_SQL, "op3_decontamination": decontamination.ORACLE_SQL}
