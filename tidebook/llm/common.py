@@ -58,7 +58,8 @@ def sampled_labels(docs: DataFrame, labels: DataFrame, target: str, max_rows: in
     """Labelled rows a model may learn from: not held out, label known, at most about `max_rows`.
 
     The sample is taken by a hash of doc_id, so it is the same on every run. Columns: doc_id, text, label.
-    Several rows of one doc_id in `labels` count once.
+    Several rows of one doc_id in `labels` count once, and of one doc_id in `docs` the least text counts. The
+    sampled labels are broadcast; max_rows bounds their size.
     """
     known = (
         labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -69,5 +70,6 @@ def sampled_labels(docs: DataFrame, labels: DataFrame, target: str, max_rows: in
     if n > max_rows:
         share = int(1_000_000 * max_rows / n)
         known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(target)), F.lit(1_000_000)) < share)
-    texts = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return texts.join(known, "doc_id")
+    known = materialize(known, "labels")
+    texts = docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return texts.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))

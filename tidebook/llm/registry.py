@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidebook.llm import bpe, decontamination, pii, secrets, sharding, simhash, warc
+from tidebook.llm import bpe, decontamination, pii, quality, secrets, sharding, simhash, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
         "op2_secrets": secrets.op2_secrets,
         "op3_decontamination": decontamination.op3_decontamination,
+        "op4_quality": quality.op4_quality,
         "op5_pii": pii.op5_pii,
         "op7_warc": warc.op7_warc,
         "op8_sharding": sharding.op8_sharding,
