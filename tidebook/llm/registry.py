@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidebook.llm import bpe, decontamination, pii, quality, secrets, sharding, simhash, toxicity, warc
+from tidebook.llm import bpe, covertree, decontamination, pii, quality, secrets, sharding, simhash, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_decontamination": decontamination.op3_decontamination,
         "op4_quality": quality.op4_quality,
         "op5_pii": pii.op5_pii,
+        "op6_embedding_dedup": covertree.op6_embedding_dedup,
         "op7_warc": warc.op7_warc,
         "op8_sharding": sharding.op8_sharding,
         "op9_bpe": bpe.op9_bpe,
