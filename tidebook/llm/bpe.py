@@ -13,7 +13,6 @@ import hashlib
 import heapq
 import json
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,7 +24,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import read_table
+from tidebook.llm.common import filesystem, read_table, scratch_path
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Words that the transducer holds at most, the most frequent first; all others are merged.
@@ -277,11 +276,12 @@ def frequent_pieces(docs: DataFrame, most: int = LEXICON_WORDS) -> list[str]:
 def lexicon_file(spark: SparkSession, docs: DataFrame, vocabulary: Vocabulary, most: int = LEXICON_WORDS) -> str:
     """Compile the lexicon and hand its file to all executors, later ones too; returns the file's name."""
     entries = {w: vocabulary.merge(w) for w in (p.encode() for p in frequent_pieces(docs, most))}
-    name = f"lexicon-{uuid.uuid4().hex}.npy"
-    with tempfile.TemporaryDirectory(prefix="tidebook-") as folder:
-        path = os.path.join(folder, name)
-        np.save(path, Transducer.compiled(entries))
-        spark.sparkContext.addFile(path)
+    folder, name = scratch_path(spark, "lexicon"), f"lexicon-{uuid.uuid4().hex}.npy"
+    fs, root = filesystem(folder)
+    fs.create_dir(root, recursive=True)
+    with fs.open_output_stream(f"{root}/{name}") as sink:
+        np.save(sink, Transducer.compiled(entries))
+    spark.sparkContext.addFile(f"{folder}/{name}")
     return name
 
 

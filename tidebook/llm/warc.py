@@ -15,12 +15,11 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import materialize, read_table, scratch_path
+from tidebook.llm.common import filesystem, materialize, read_table, scratch_path
 
 #: Magic number of the skippable frame that holds the dictionary, as the WARC-Zstandard specification fixes it.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -125,15 +124,11 @@ def read_archive(source) -> Iterator[dict]:
         rest = rest or source.read(1 << 20)
 
 
-def _filesystem(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    return pyarrow.fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
-
-
 def write_archives(pages: DataFrame, folder: str, dictionary: bytes) -> DataFrame:
     """Archives of pages (page_id, url, payload binary, digest, record_type, refers_to); returns (path, records)."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = _filesystem(folder)
+        fs, root = filesystem(folder)
         fs.create_dir(root, recursive=True)
         packer = zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None, write_content_size=True)
 
@@ -173,7 +168,7 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, _ = _filesystem(folder)
+        fs, _ = filesystem(folder)
         page = lambda v: int(v[10:-1]) if v and v[10:-1] else None
         for b in batches:
             for path, count in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
