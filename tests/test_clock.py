@@ -1,0 +1,18 @@
+from tidebook.streaming.clock import ReplayClock, run
+
+
+def test_timers_fire_before_the_event_that_passes_them():
+    clock, seen = ReplayClock(), []
+    clock.schedule(200, lambda t: seen.append("a200"))
+    clock.schedule(200, lambda t: seen.append("b200"))
+    gone = clock.schedule(210, lambda t: seen.append("never"))
+    clock.schedule(250, lambda t: seen.append("c250"))
+    clock.cancel(gone)
+    got = run([(100, 1), (200, 2), (300, 3)], clock, lambda e, c: seen.append(e))
+    assert seen == [1, "a200", "b200", 2, "c250", 3] and got == {"events": 3, "out_of_order": 0}
+
+
+def test_late_events_are_handled_at_the_current_time():
+    clock, at = ReplayClock(), []
+    assert run([(100, 0), (90, 0), (110, 0)], clock, lambda e, c: at.append(c.now)) == {"events": 3, "out_of_order": 1}
+    assert at == [100, 100, 110]

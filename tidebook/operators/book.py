@@ -199,13 +199,15 @@ class MarketFold:
 
 
 def _payload(row) -> dict:
+    """What the fold needs of an event's payload, by its own names."""
+    p = row.payload
     levels = lambda xs: [(x["price"], x["size"]) for x in (xs if xs is not None else [])]
+    none = lambda x: None if x is None or x != x else x
     if row.kind == "book_snapshot":
-        return {"token": row.token, "bids": levels(row.book_snapshot["bids"]), "asks": levels(row.book_snapshot["asks"])}
+        return {"token": row.token, "bids": levels(p["bids"]), "asks": levels(p["asks"])}
     if row.kind == "book_delta":
-        return {"changes": row.book_delta["changes"]}
-    own = getattr(row, row.kind, None)
-    return {"token": row.token, **(own if isinstance(own, dict) else {})}
+        return {"changes": [{"token": c["token"], "side": c["side"], "price": c["price"], "size": c["size"], "best_bid": none(c["bestBid"]), "best_ask": none(c["bestAsk"])} for c in p["changes"]]}
+    return {"token": row.token, "price": p["price"], "outcome": p["outcome"], "tick_size": p["tickSize"], "new_tick_size": p["newTickSize"]}
 
 
 def fold_events(rows: Iterator) -> MarketFold:
@@ -226,5 +228,5 @@ def verified_books(events: DataFrame) -> DataFrame:
         fold = fold_events(pdf.sort_values(["date", "hour", "line"], kind="stable").itertuples(index=False))
         return pd.DataFrame([{"market_id": key[0], **fold.stats, "book": fold.book.text(), "synced": fold.synced, "closed": fold.closed, "outcome": fold.outcome}])
 
-    wanted = events.where("market_id is not null").select("market_id", "token", "kind", "date", "hour", "line", "book_snapshot", "book_delta", "trade", "market_open", "resolution", "tick_size_change")
+    wanted = events.where("market_id is not null").select("market_id", "token", "kind", "date", "hour", "line", "payload")
     return wanted.groupBy("market_id").applyInPandas(run, f"market_id string, {STATS}, book string, synced boolean, closed boolean, outcome string")
