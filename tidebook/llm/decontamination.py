@@ -13,21 +13,18 @@ from pyspark.sql import functions as F
 from tidebook.llm.common import materialize, read_table
 
 WINDOW = 10
-#: Word characters beside A-Z: 0-9, a-z and everything beyond ASCII.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same before A-Z are lower-cased.
+#: What stands between words once A-Z are lower-cased: ASCII without 0-9 and a-z.
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: A word before A-Z are lower-cased.
 CASED_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: A set of windows of at most this many rows is broadcast (about 100 bytes each); a larger one is joined by a shuffle.
 BROADCAST_WINDOWS = 200_000
 
 
-def lowered(text: Column) -> Column:
-    return F.translate(F.coalesce(text.cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def words(text: Column) -> Column:
     """The words of a text, A-Z lower-cased; none for null."""
-    return F.regexp_extract_all(lowered(text), F.lit(WORD), F.lit(0))
+    low = F.translate(F.coalesce(text.cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.array_remove(F.split(low, GAP, -1), "")
 
 
 def text_key(text: Column) -> Column:
@@ -40,36 +37,65 @@ def _starts(n: Column, width: int) -> Column:
     return F.when(n >= width, F.sequence(F.lit(1), n - F.lit(width - 1))).otherwise(F.array().cast("array<int>"))
 
 
+def _anchor(w: Column, start: Column, width: int) -> Column:
+    """A hash of up to four words of the window at start, enough to find it; the whole window is verified later."""
+    return F.xxhash64(*[F.get(w, start + F.lit(i - 1)) for i in sorted({0, width // 3, 2 * width // 3, width - 1})])
+
+
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """(width, hash, gram, item_ids): the distinct windows of all items with the items that hold them.
 
-    Items with null text or no word have none. Items with equal ids are one item; a null item_id is kept as such.
+    Items with null text or no word have none. Items with equal ids are one item; a null item_id is kept as "null".
     """
-    tokens = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("w"))
+    tokens = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), words(F.col("text")).alias("w"))
     tokens = tokens.where(F.size("w") > 0).withColumn("width", F.least(F.size("w"), F.lit(window)))
-    starts = F.sequence(F.lit(1), F.size("w") - F.col("width") + 1)
-    each = tokens.select("item_id", "width", F.explode(F.transform(starts, lambda i: F.slice("w", i, F.col("width")))).alias("gram"))
-    return each.groupBy("width", "gram").agg(F.collect_set("item_id").alias("item_ids")).select("width", F.xxhash64("gram").alias("hash"), "gram", "item_ids")
+    hashes = F.lit(None).cast("long")
+    for k in range(1, window + 1):
+        hashes = F.when(F.col("width") == k, _anchor(F.col("w"), F.col("at"), k)).otherwise(hashes)
+    each = tokens.withColumn("at", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("width") + 1)))
+    each = each.select("item_id", "width", hashes.alias("hash"), F.slice("w", F.col("at"), F.col("width")).alias("gram"))
+    return each.groupBy("width", "hash", "gram").agg(F.collect_set("item_id").alias("item_ids"))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(key, hit, item_ids) for each distinct text that holds a window: hit is the sorted array of word places (from 1).
+def _probed(docs: DataFrame, grams: DataFrame, counted: bool) -> DataFrame:
+    """(doc_id, key, width, at, hash): the windows of docs whose hash is in the set; they are candidates.
 
-    Equal texts are one row, so copies add nothing to what is shuffled; a text's places are bounded by its words.
+    Rows that are probed are a few numbers wide, as every window of the corpus passes here. counted adds a row of
+    width 0 for each of docs, whose `at` is its number of words plus one; where the set is broadcast, one scan gives
+    both.
     """
-    grams = materialize(benchmark_windows(benchmark, window), "windows")
-    widths = sorted(r[0] for r in grams.select("width").distinct().collect())  # at most `window` numbers
-    if not widths:
-        return docs.where(F.lit(False)).select(text_key(F.col("text")).alias("key"), F.array().cast("array<int>").alias("hit"), F.array().cast("array<string>").alias("item_ids"))
+    widths = sorted(r[0] for r in grams.select("width").distinct().collect())  # at most WINDOW numbers
     small = grams.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    table = F.broadcast(grams) if small else grams
-    scan = docs.select(F.col("text").cast("string").alias("text"), words(F.col("text")).alias("w"))
-    of = lambda width: F.transform(_starts(F.size("w"), width), lambda i: F.struct(F.lit(width).alias("width"), i.alias("at"), F.xxhash64(F.slice("w", i, width)).alias("hash")))
-    probes = scan.select("text", "w", F.explode(F.concat(*[of(k) for k in widths])).alias("p")).select("text", "w", "p.width", "p.at", "p.hash")
-    found = probes.join(table, ["width", "hash"]).where(F.slice("w", F.col("at"), F.col("width")) == F.col("gram"))
-    found = found.select(text_key(F.col("text")).alias("key"), "at", "width", "item_ids").groupBy("key").agg(F.collect_set(F.struct("at", "width")).alias("runs"), F.array_distinct(F.flatten(F.collect_set("item_ids"))).alias("item_ids"))
-    places = F.flatten(F.transform("runs", lambda r: F.sequence(r["at"], r["at"] + r["width"] - 1)))
-    return found.select("key", F.array_sort(F.array_distinct(places)).alias("hit"), F.array_sort("item_ids").alias("item_ids"))
+    scan = docs.select("doc_id", text_key(F.col("text")).alias("key"), words(F.col("text")).alias("w"))
+    of = lambda k: F.transform(_starts(F.size("w"), k), lambda i: F.struct(F.lit(k).alias("width"), i.alias("at"), _anchor(F.col("w"), i, k).alias("hash")))
+    count = F.array(F.struct(F.lit(0).alias("width"), (F.size("w") + 1).alias("at"), F.lit(0).cast("long").alias("hash")))
+    together = counted and small
+    probes = scan.select("doc_id", "key", F.explode(F.concat(*([count] if together or not widths else []), *[of(k) for k in widths])).alias("p"))
+    probes = probes.select("doc_id", "key", "p.width", "p.at", "p.hash")
+    known = grams.select("width", "hash").distinct()
+    if together:  # the added rows meet an entry of their own, so an inner join leaves nothing but them and candidates
+        known = known.union(docs.sparkSession.range(1).select(F.lit(0), F.lit(0).cast("long")))
+    found = probes.join(F.broadcast(known) if small else known, ["width", "hash"]).select("doc_id", "key", "width", "at", "hash")
+    if counted and not together:
+        found = found.unionByName(scan.select("doc_id", "key", F.lit(0).alias("width"), (F.size("w") + 1).alias("at"), F.lit(0).cast("long").alias("hash")))
+    return found
+
+
+def _verified(docs: DataFrame, grams: DataFrame, probed: DataFrame) -> DataFrame:
+    """(key, hit, item_ids) for each distinct text with a verified hit: hit is the sorted array of word places (from 1).
+
+    Only texts with a candidate are read again; their windows are compared word by word. Equal texts are one row,
+    and a text's places are bounded by its words.
+    """
+    places = probed.where("width > 0").groupBy("key").agg(F.collect_set(F.struct("at", "width", "hash")).alias("places"))
+    places = materialize(places, "candidates")
+    n = places.agg(F.sum(F.size("places"))).first()[0] or 0
+    texts = docs.select(text_key(F.col("text")).alias("key"), "text").join(F.broadcast(places) if n <= BROADCAST_WINDOWS else places, "key")
+    own = texts.select("key", "places", words(F.col("text")).alias("w"))
+    each = own.select("key", F.explode(F.transform("places", lambda p: F.struct(p["at"].alias("at"), p["width"].alias("width"), p["hash"].alias("hash"), F.slice("w", p["at"], p["width"]).alias("gram")))).alias("p")).select("key", "p.*")
+    runs = each.join(grams, ["width", "hash", "gram"]).groupBy("key").agg(F.collect_set(F.struct("at", "width")).alias("runs"), F.array_distinct(F.flatten(F.collect_set("item_ids"))).alias("item_ids"))
+    hit = F.flatten(F.transform("runs", lambda r: F.sequence(r["at"], r["at"] + r["width"] - 1)))
+    return runs.select("key", F.array_sort(F.array_distinct(hit)).alias("hit"), F.array_sort("item_ids").alias("item_ids"))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -77,9 +103,10 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
 
     Null and empty texts have no words and no hits. Repeated rows each get a row; extra columns are ignored.
     """
-    found = materialize(hits(docs, benchmark, window).select("key", F.size("hit").cast("long").alias("n_hit"), "item_ids"), "hits")
-    counted = docs.select("doc_id", text_key(F.col("text")).alias("key"), F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(CASED_WORD)).cast("long").alias("n_words"))
-    joined = counted.join(found, "key", "left")
+    grams = materialize(benchmark_windows(benchmark, window), "windows")
+    found = materialize(_probed(docs, grams, counted=True), "probed")
+    hits = materialize(_verified(docs, grams, found).select("key", F.size("hit").cast("long").alias("n_hit"), "item_ids"), "hits")
+    joined = found.where("width = 0").select("doc_id", "key", (F.col("at") - 1).cast("long").alias("n_words")).join(hits, "key", "left")
     return joined.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
 
 
@@ -89,7 +116,9 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     spans=False drops each document that holds a window. spans=True keeps every document and removes the hit words
     with what follows them up to the next word. Rows are otherwise unchanged, null texts included.
     """
-    found = materialize(hits(docs, benchmark, window), "hits")
+    grams = materialize(benchmark_windows(benchmark, window), "windows")
+    texts = docs.select(F.lit(None).cast("long").alias("doc_id"), "text")
+    found = materialize(_verified(texts, grams, materialize(_probed(texts, grams, counted=False), "probed")), "hits")
     keyed = docs.withColumn("_key", text_key(F.col("text")))
     if not spans:
         return keyed.join(found.select(F.col("key").alias("_key")), "_key", "left_anti").select(*docs.columns)
