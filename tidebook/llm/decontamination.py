@@ -119,15 +119,16 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     grams = materialize(benchmark_windows(benchmark, window), "windows")
     texts = docs.select(F.lit(None).cast("long").alias("doc_id"), "text")
     found = materialize(_verified(texts, grams, materialize(_probed(texts, grams, counted=False), "probed")), "hits")
-    keyed = docs.withColumn("_key", text_key(F.col("text")))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), text_key(F.col("text")).alias("key"))
     if not spans:
-        return keyed.join(found.select(F.col("key").alias("_key")), "_key", "left_anti").select(*docs.columns)
-    joined = keyed.join(found.select(F.col("key").alias("_key"), F.col("hit").alias("_hit")), "_key", "left")
-    own, gaps = F.regexp_extract_all("text", F.lit(CASED_WORD), F.lit(0)), F.split("text", CASED_WORD, -1)
-    hit = F.map_from_arrays("_hit", F.transform("_hit", lambda _: F.lit(True)))
-    left = F.transform(own, lambda w, i: F.when(F.coalesce(F.try_element_at(hit, i + 1), F.lit(False)), F.lit("")).otherwise(F.concat(w, F.get(gaps, i + 1))))
-    cut = F.concat(F.get(gaps, F.lit(0)), F.array_join(left, ""))
-    return joined.withColumn("text", F.when(F.col("_hit").isNull(), F.col("text")).otherwise(cut)).select(*docs.columns)
+        return rows.join(found.select("key"), "key", "left_anti").select("row.*")
+    joined, text = rows.join(found.select("key", "hit"), "key", "left"), F.col("row.text")
+    own, gaps = F.regexp_extract_all(text, F.lit(CASED_WORD), F.lit(0)), F.split(text, CASED_WORD, -1)
+    hit = F.map_from_arrays("hit", F.transform("hit", lambda _: F.lit(True)))
+    each = F.zip_with(own, F.slice(gaps, F.lit(2), F.size(own)), lambda w, gap: F.concat(w, gap))
+    left = F.transform(each, lambda w, i: F.when(F.coalesce(F.try_element_at(hit, i + 1), F.lit(False)), F.lit("")).otherwise(w))
+    cut = F.when(F.col("hit").isNull(), text).otherwise(F.concat(F.get(gaps, F.lit(0)), F.array_join(left, "")))
+    return joined.select(*[cut.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -187,32 +187,42 @@ def attempts(known: DataFrame, key: str = KEY) -> DataFrame:
     raise RuntimeError("surrogates keep clashing: there are more entities of a kind than its format can tell apart")
 
 
-def replaced(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """docs with all personal data replaced in text, and the columns n_entities and kinds (sorted, one for each entity).
-
-    Null texts stay null, empty ones empty. Equal entities get equal surrogates in every row, different ones different
-    surrogates. Repeated rows each get a row; columns beside text are left alone.
-    """
+def _rewritten(docs: DataFrame, key: str) -> DataFrame:
+    """(row, found, text): each row of docs, its entities, and its text with surrogates."""
     known = materialize(entities(docs), "entities")
     retried = attempts(known, key)
-    text = F.col("text").cast("string")
-    keyed = docs.withColumn("_key", text_key(F.col("text")))
+    own = F.col("text").cast("string")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), own.alias("text"), text_key(own).alias("key"))
     if retried.isEmpty():
-        rows = keyed.withColumn("_tries", F.lit(None).cast("map<string,int>"))
+        rows = rows.withColumn("tries", F.lit(None).cast("map<string,int>"))
     else:
-        holders = docs.where(text.rlike(GATE)).select(text_key(F.col("text")).alias("_key"), F.explode(found_in(text)).alias("e")).select("_key", "e.kind", "e.norm", "e.gender").distinct()
-        tries = holders.join(retried, ["kind", "norm", "gender"]).groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "gender", "norm"), "attempt"))).alias("_tries"))
-        rows = keyed.join(materialize(tries, "tries"), "_key", "left")
-    attempt = lambda e: F.coalesce(F.try_element_at(F.col("_tries"), F.concat_ws("|", e["kind"], e["gender"], e["norm"])), F.lit(0))
-    new = F.transform("_found", lambda e: written(e["entity"], e["kind"], surrogate(e["kind"], e["norm"], e["gender"], attempt(e), key)))
-    gaps = F.split(text, ANY, -1)
-    rebuilt = F.concat(F.get(gaps, F.lit(0)), F.array_join(F.zip_with(new, F.slice(gaps, F.lit(2), F.size(gaps)), lambda s, gap: F.concat(s, gap)), ""))
+        holders = rows.where(F.col("text").rlike(GATE)).select("key", F.explode(found_in(F.col("text"))).alias("e")).select("key", "e.kind", "e.norm", "e.gender").distinct()
+        tries = holders.join(retried, ["kind", "norm", "gender"]).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "gender", "norm"), "attempt"))).alias("tries"))
+        rows = rows.join(materialize(tries, "tries"), "key", "left")
     none = F.array().cast("array<struct<entity:string,kind:string,norm:string,gender:string>>")
-    rows = rows.withColumn("_found", F.when(text.rlike(GATE), found_in(text)).otherwise(none))
-    own = [F.when(F.size("_found") > 0, rebuilt).otherwise(text).alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return rows.select(*own, F.size("_found").cast("long").alias("n_entities"), F.array_sort(F.transform("_found", lambda e: e["kind"])).alias("kinds"))
+    rows = rows.select("row", "text", "tries", F.when(F.col("text").rlike(GATE), found_in(F.col("text"))).otherwise(none).alias("found"))
+    attempt = lambda e: F.coalesce(F.try_element_at(F.col("tries"), F.concat_ws("|", e["kind"], e["gender"], e["norm"])), F.lit(0))
+    new = F.transform("found", lambda e: written(e["entity"], e["kind"], surrogate(e["kind"], e["norm"], e["gender"], attempt(e), key)))
+    gaps = F.split("text", ANY, -1)
+    rebuilt = F.concat(F.get(gaps, F.lit(0)), F.array_join(F.zip_with(new, F.slice(gaps, F.lit(2), F.size(gaps)), lambda s, gap: F.concat(s, gap)), ""))
+    return rows.select("row", "found", F.when(F.size("found") > 0, rebuilt).otherwise(F.col("text")).alias("text"))
+
+
+def replaced(docs: DataFrame, key: str = KEY) -> DataFrame:
+    """docs with all personal data replaced in text; all columns, whatever their names, as before.
+
+    Null texts stay null, empty ones empty. Equal entities get equal surrogates in every row, different ones different
+    surrogates. Repeated rows each get a row; columns beside text are left alone.
+    """
+    return _rewritten(docs, key).select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
+
+
+def report(docs: DataFrame, key: str = KEY) -> DataFrame:
+    """(doc_id, text, n_entities, kinds): the new text, and the kinds of its entities, sorted, one for each."""
+    found = _rewritten(docs.select("doc_id", "text"), key)
+    return found.select("row.doc_id", "text", F.size("found").cast("long").alias("n_entities"), F.array_sort(F.transform("found", lambda e: e["kind"])).alias("kinds"))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = replaced(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = report(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "text", "n_entities", F.array_join("kinds", ",").alias("kinds"))

@@ -153,30 +153,35 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED) -> M
     return fitted(np.stack(known["numbers"]), [np.asarray(b, np.int64) for b in known["buckets"]], y)
 
 
-def scored(docs: DataFrame, machine: Machine) -> DataFrame:
-    """All columns of docs and `quality_score`, the probability that the label is 1.
-
-    Null texts score as empty ones. Repeated rows each get a row. A column quality_score of docs is replaced.
-    """
-    rows = docs.drop("quality_score")
-    shared = docs.sparkSession.sparkContext.broadcast(machine)  # about a megabyte, whatever the corpus
-    names = rows.columns
-    at = names.index("text")
+def _with_score(rows: DataFrame, machine: Machine) -> DataFrame:
+    """rows (row, text) as (row, score)."""
+    shared = rows.sparkSession.sparkContext.broadcast(machine)  # about a megabyte, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([m.score(t or "") for t in b.column(at).cast(pa.string()).to_pylist()], pa.float64())], [*names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m.score(t or "") for t in b.column(1).to_pylist()], pa.float64())], ["row", "score"])
+
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("quality_score", T.DoubleType())]))
+
+def scored(docs: DataFrame, machine: Machine) -> DataFrame:
+    """(doc_id, score) for each of docs: the probability that the quality label is 1.
+
+    Null texts score as empty ones. Rows with a null doc_id are scored too; repeated rows each get a row; extra
+    columns are ignored.
+    """
+    found = _with_score(docs.select(F.struct("doc_id").alias("row"), F.col("text").cast("string").alias("text")), machine)
+    return found.select("row.doc_id", "score")
 
 
 def good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without those that score under the threshold; columns as before."""
-    return scored(docs, learn(docs, labels)).where(F.col("quality_score") >= threshold).select(*docs.columns)
+    """docs without those that score under the threshold; all columns, whatever their names, as before."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
+    return _with_score(rows, learn(docs, labels)).where(F.col("score") >= threshold).select("row.*")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    found = scored(docs.select("doc_id", "text"), learn(docs, read_table(spark, sf_dir, "labels")))
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= THRESHOLD).cast("int").alias("predicted"))
+    found = scored(docs, learn(docs, read_table(spark, sf_dir, "labels")))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -16,6 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidebook.llm.common import materialize, read_table, salted_left_join
 from tidebook.llm.components import connected_components
@@ -203,6 +204,16 @@ def fingerprint_links(distinct: DataFrame, hot_bucket: int = HOT_BUCKET) -> Data
     return dealt.mapInArrow(_link_batches, "src long, dst long")
 
 
+def _components(rows: DataFrame) -> DataFrame:
+    """(fp, root, component_id) of the fingerprints in rows (doc_id, fp) that more than one row reaches."""
+    seen = rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    roots = connected_components(fingerprint_links(seen.select("fp")))
+    of = seen.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"), F.col("root").isNotNull().alias("linked"))
+    shared = of.where("linked or n > 1")
+    names = shared.groupBy("root").agg(F.min("first").alias("component_id"))
+    return salted_left_join(shared.select("fp", "root"), names, "root", F.col("fp")).select("fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs; component_id is the smallest doc_id reachable.
 
@@ -211,25 +222,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Repeated rows each get a row. Extra columns are ignored. An empty table gives an empty result.
     """
     rows = materialize(fingerprints(docs), "fp")
-    seen = rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    roots = connected_components(fingerprint_links(seen.select("fp")))
-    of = seen.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"), F.col("root").isNotNull().alias("linked"))
-    shared = of.where("linked or n > 1")
-    names = shared.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = salted_left_join(shared.select("fp", "root"), names, "root", F.col("fp")).select("fp", "component_id")
+    named = _components(rows).select("fp", "component_id")
     return salted_left_join(rows, named, "fp", F.col("doc_id")).select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without near-duplicates: the row with the smallest doc_id of each component stays, once.
+    """docs without near-duplicates: of each component the row with the smallest doc_id stays, once.
 
-    Rows whose doc_id is null cannot be named and go. Columns and texts are left as they are.
+    Of a component whose rows have no id, one stays. Rows of one doc_id with different texts are different rows.
+    All columns, whatever their names, and texts are left as they are.
     """
-    found = materialize(near_duplicates(docs), "near")
-    kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
-    repeated = not kept.where("_rows > 1").isEmpty()
-    stays = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
-    return stays.dropDuplicates(["doc_id"]) if repeated else stays
+    rows = materialize(fingerprints(docs), "fp")
+    shared = materialize(_components(rows), "components")
+    odd = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("doc_id is null or n > 1")
+    if odd.isEmpty():  # ids name rows, so texts need not be hashed again
+        gone = rows.join(shared, "fp").where("doc_id <> component_id").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    carried = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
+    fp = lambda batches: (pa.RecordBatch.from_arrays([b.column(0), pa.array([_signed(fingerprint(t.as_py())) for t in b.column(1)], pa.int64())], ["row", "fp"]) for b in batches)
+    all_rows = carried.mapInArrow(fp, T.StructType([carried.schema["row"], T.StructField("fp", T.LongType())])).join(shared, "fp", "left")
+    group, name, own = F.coalesce("root", "fp"), F.coalesce("component_id", "row.doc_id"), F.col("row.doc_id")
+    first = all_rows.where(own.eqNullSafe(name)).select(group.alias("group"), "row").groupBy("group").agg(F.min_by("row", F.coalesce("row.text", F.lit(""))).alias("row"))
+    return first.select("row.*")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,6 +30,9 @@ LEAST_TEXTS, LEAST_ODDS = 4, 1.6
 BEGINNINGS = range(4, 11)
 THRESHOLD = 0.7
 
+#: Numbers that features() gives of a text.
+N_FEATURES = 6
+
 #: Seed words with the weight they have before any label is seen.
 SEED_WEIGHT = 6.0
 SEEDS = """idiot idiots moron morons stupid scum trash pathetic worthless disgusting loser losers clown clowns imbecile
@@ -199,7 +202,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED) -> L
         weights |= {r["entry"]: float(r["odds"]) for r in best}
     lexicon = Lexicon(weights)
     rows = _with_features(sample.where(half == 1), lexicon, ["label"]).collect()  # at most max_rows short lists
-    x, y = np.array([r["x"] for r in rows]).reshape(len(rows), -1), np.array([r["label"] for r in rows], float)
+    x, y = np.array([r["x"] for r in rows]).reshape(len(rows), N_FEATURES), np.array([r["label"] for r in rows], float)
     lexicon.coefficients = _fit_logistic(x, y) if 0 < y.sum() < len(y) else UNFITTED
     return lexicon
 
@@ -216,7 +219,7 @@ def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
         for b in batches:
-            x = np.array([features(t or "", automaton) for t in b.column(1).to_pylist()]).reshape(b.num_rows, -1)
+            x = np.array([features(t or "", automaton) for t in b.column(1).to_pylist()]).reshape(b.num_rows, N_FEATURES)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score(x, lexicon.coefficients) if b.num_rows else [], pa.float64())], ["doc_id", "score"])
 
     return rows.mapInArrow(run, f"doc_id {types['doc_id']}, score double")
