@@ -87,14 +87,14 @@ def load(spark: SparkSession, path: str, version: int | None = None) -> DataFram
 def rebalanced(slots: DataFrame, totals: DataFrame, shards: int) -> DataFrame:
     """The next version of a map for the byte counts in totals and a number of shards that may have grown.
 
-    Every shard over the mean gives up its smallest slots until it is at most one slot over; those are dealt, the
-    largest first, to the shards with the least. All other slots stay where they are.
+    Every shard over the mean gives up its smallest slots until it is not over any more; those are dealt, the largest
+    first, to the shards with the least. All other slots, and empty ones, stay where they are.
     """
     now = slots.select("version", "virtual_slot", "shard").join(F.broadcast(totals), "virtual_slot", "left")
     now = now.select("version", "virtual_slot", "shard", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("bytes", "rows")])
     inside = W.partitionBy("shard").orderBy(F.desc("bytes"), "virtual_slot")
     mean = F.sum("bytes").over(W.partitionBy()) / F.lit(shards)
-    marked = now.withColumn("stays", F.sum("bytes").over(inside.rowsBetween(W.unboundedPreceding, 0)) <= mean)
+    marked = now.withColumn("stays", (F.sum("bytes").over(inside.rowsBetween(W.unboundedPreceding, 0)) <= mean) | (F.col("bytes") == 0))
     marked = materialize(marked, "slots")
     kept = marked.where("stays")
     loads = kept.groupBy("shard").agg(F.sum("bytes").alias("load"))
