@@ -1,0 +1,68 @@
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidebook.functions import scalars as S
+from tidebook.functions.rng import Rng, text_hash
+from tidebook.operators import analytics as A
+from tidebook.operators import simulate as sim
+
+
+def test_generator_repeats_and_forks():
+    a, b = Rng(42), Rng(42)
+    assert [a.word() for _ in range(50)] == [b.word() for _ in range(50)] and len({a.word() for _ in range(500)}) > 495
+    assert Rng("x").word() == Rng(text_hash("x")).word() != Rng("y").word()
+    assert all(0 <= a.uniform() < 1 and 3 <= a.below(3, 7) < 7 for _ in range(200))
+    assert a.fork("p").word() != a.fork("q").word()
+    assert text_hash("") == 2166136261 and text_hash("a") == 0xE40C292C and text_hash("foobar") == 0xBF9CF968
+
+
+def test_scalars(spark):
+    row = spark.range(1).select(
+        S.half_up(F.lit(-2.5)).alias("a"), S.taker_fee(F.lit(100.0), F.lit(0.5), F.lit(0.07), F.lit(1.0)).alias("b"), S.taker_fee(F.lit(1.0), F.lit(0.001), F.lit(0.07), F.lit(1.0)).alias("c"),
+        S.taker_fee(F.lit(0.01), F.lit(0.001), F.lit(0.07), F.lit(1.0)).alias("d"), S.maker_rebate(F.lit(1.0), F.lit(0.0), F.lit(5.0), F.lit(0.2)).alias("e"), S.maker_rebate(F.lit(1.0), F.lit(1.0), F.lit(1.75), F.lit(0.2)).alias("f"),
+        S.same_price(F.lit(None).cast("double"), F.lit(None).cast("double")).alias("g"), S.same_price(F.lit(None).cast("double"), F.lit(1.0)).alias("h"), S.fnv1a(F.lit("foobar")).alias("i"), S.window_start(F.lit(1790284047938), 900_000).alias("j"),
+    ).first()
+    assert (row["a"], row["b"], row["c"], row["d"], row["e"], row["f"], row["g"], row["h"], row["i"], row["j"]) == (-2, 1.75, 0.00007, 0.0, 0.0, pytest.approx(0.35), True, False, 0xBF9CF968, 1790283600000)
+
+
+def test_quotes():
+    q = sim.Quoting()
+    assert sim.quotes(0.5, 0.0, 0.0, 10**6, q) == (0.49, 0.51)
+    assert sim.quotes(0.5, 0.0, 500.0, 10**6, q)[0] is None and sim.quotes(0.5, 0.0, -500.0, 10**6, q)[1] is None
+    assert sim.quotes(0.5, 0.0, 0.0, 59_999, q) == (None, None) and sim.quotes(0.005, 0.0, 0.0, 10**6, q)[0] is None
+
+
+def test_queue_latency_and_trades_through(spark):
+    steps = [
+        ("level", 0, "BUY", 0.49, 320.0), ("level", 0, "SELL", 0.52, 10.0), ("fair", 0, None, 0.5, 0.0),
+        ("trade", 1_000, "SELL", 0.49, 300.0), ("fair", 1_200, None, 0.45, 0.0), ("level", 1_240, "BUY", 0.49, 0.0), ("trade", 1_250, "SELL", 0.49, 180.0), ("trade", 9_000, "BUY", 0.60, 1.0),
+    ]
+    df = spark.createDataFrame([("m", i, ms, 10**6, w, s, p, z) for i, (w, ms, s, p, z) in enumerate(steps)], "market_id string, ord int, ms long, close_ms long, what string, side string, price double, size double")
+    got = {}
+    for r in sim.fills(df).collect():
+        got.setdefault(r["mode"], []).append(r)
+    # 320 rest ahead, 352 for the pessimist; the second print comes while the cancel is on its way
+    assert [(r["side"], r["size"], r["during_cancel"]) for r in got["base"]] == [("BUY", 50.0, True), ("SELL", 50.0, False)]
+    assert got["pessimistic"][0]["size"] == 50.0 and got["base"][1]["price"] == pytest.approx(0.46)
+    assert sim.fills(df.where("what <> 'fair'")).count() == 0  # no quotes, no fills
+
+
+def test_parts_add_up(spark):
+    df = spark.createDataFrame([("BUY", 0.4, 10.0, 0.5, 0.45, 1.0), ("SELL", 0.6, 5.0, 0.5, 0.55, 1.0)], "side string, price double, size double, fair double, later double, y double")
+    for r in sim.decomposed(df, "later", "y").collect():
+        assert abs(r["spread"] + r["adverse"] + r["inventory"] - r["total"]) < 1e-9 and r["spread"] > 0 > r["adverse"]
+
+
+def test_statistics(spark):
+    df = spark.createDataFrame([(float(x),) for x in (1, 2, -3, 4)], "pnl double")
+    r = sim.core_stats(df, "pnl").first()
+    assert (r["markets"], r["net"], r["hit_rate"], r["median"]) == (4, 4.0, 0.75, 1.5) and r["win_loss"] == pytest.approx((7 / 3) / 3)
+    stats = spark.createDataFrame([(2_000, 0.1, 3.0, 10.0, 100.0, 0.2, 0.2)], "markets long, low double, t double, drawdown double, bankroll double, brier double, brier_mid double")
+    assert all(r["holds"] for r in sim.go_no_go(stats).collect())
+    days = spark.createDataFrame([(i, float(i % 5)) for i in range(30)], "day long, pnl double")
+    a, b = (A.block_bootstrap(days, "day", "pnl", 500, 7).first() for _ in range(2))
+    assert a == b and a["low"] < a["median"] < a["high"] and a["above_zero"] == 1.0
+    cdf = spark.createDataFrame([(x,) for x in (-3.0, -1.0, 0.0, 0.5, 2.0)], "x double").select(A.normal_cdf(F.col("x")).alias("p")).collect()
+    assert [r["p"] for r in cdf] == pytest.approx([0.00134990, 0.15865525, 0.5, 0.69146246, 0.97724987], abs=1e-6)

@@ -1,0 +1,202 @@
+"""Quotes around a fair value and the fills they would have had, per market and fill mode.
+
+The fold walks one market's ordered events: book levels, trades, fair values. Orders become live after a latency behind
+what rests at their price, cancels take effect after a latency during which trades still fill, trades through a price
+fill in full. A market is one bounded group, as in the book fold; markets and modes spread over the cluster.
+"""
+
+from __future__ import annotations
+
+import math
+from dataclasses import asdict, dataclass
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+@dataclass(frozen=True)
+class Quoting:
+    half_spread: float = 0.01
+    vol_spread: float = 0.5
+    skew_per_share: float = 0.0001
+    max_inventory: float = 500
+    size: float = 50
+    requote: float = 0.003
+    pull_before_close_ms: int = 60_000
+    tick: float = 0.01
+
+
+@dataclass(frozen=True)
+class Mode:
+    """Latencies, what is added to the queue on arrival, and which share of cancels is ahead (None: in proportion)."""
+
+    ack_ms: int
+    cancel_ms: int
+    pad: float
+    ahead: float | None
+
+
+MODES = {"optimistic": Mode(50, 50, 0.0, None), "base": Mode(150, 150, 0.0, 0.5), "pessimistic": Mode(400, 400, 0.1, 0.0)}
+
+
+def quotes(fair: float, spread: float, inventory: float, left_ms: float, q: Quoting) -> tuple[float | None, float | None]:
+    """Bid and ask: apart by the half spread and the volatility's share, shifted against inventory, on the tick, inside (0, 1)."""
+    if left_ms < q.pull_before_close_ms:
+        return None, None
+    half, skew = q.half_spread + q.vol_spread * spread, q.skew_per_share * inventory
+    bid, ask = math.floor((fair - half - skew) / q.tick + 1e-9) * q.tick, math.ceil((fair + half - skew) / q.tick - 1e-9) * q.tick
+    bid = None if bid <= 0 or inventory >= q.max_inventory else round(bid, 6)
+    ask = None if ask >= 1 or inventory <= -q.max_inventory else round(ask, 6)
+    return bid, ask
+
+
+@dataclass
+class Order:
+    side: str
+    price: float
+    left: float
+    live_at: int
+    ahead: float = 0.0
+    live: bool = False
+    gone_at: int | None = None
+
+
+class Simulator:
+    """State of one market in one mode. Times in milliseconds, prices of UP."""
+
+    def __init__(self, mode: Mode, quoting: Quoting, close_ms: int):
+        self.mode, self.quoting, self.close = mode, quoting, close_ms
+        self.levels: dict[tuple[str, float], float] = {}
+        self.orders: list[Order] = []
+        self.inventory, self.last_fair, self.rejected, self.quoted = 0.0, None, 0, 0.0
+        self.fills: list[dict] = []
+
+    def _best(self, side: str) -> float | None:
+        own = [p for s, p in self.levels if s == side]
+        return (max(own) if side == "BUY" else min(own)) if own else None
+
+    def settle(self, now: int) -> None:
+        """Orders whose time has come go live or are refused; cancels take effect."""
+        for o in list(self.orders):
+            if o.gone_at is not None and o.gone_at <= now:
+                self.orders.remove(o)
+            elif not o.live and o.live_at <= now:
+                other = self._best("SELL" if o.side == "BUY" else "BUY")
+                if other is not None and (o.price >= other if o.side == "BUY" else o.price <= other):
+                    self.rejected += 1
+                    self.orders.remove(o)
+                else:
+                    o.live, o.ahead = True, self.levels.get((o.side, o.price), 0.0) * (1 + self.mode.pad)
+
+    def level(self, now: int, side: str, price: float, size: float) -> None:
+        """A level's new total. What left it without a trade was cancelled, a share of it ahead of us."""
+        self.settle(now)
+        price = round(price, 6)
+        before = self.levels.get((side, price), 0.0)
+        if size < before:
+            for o in self.orders:
+                if o.live and (o.side, o.price) == (side, price):
+                    share = min(1.0, o.ahead / before) if self.mode.ahead is None else self.mode.ahead
+                    o.ahead = max(0.0, o.ahead - share * (before - size))
+        if size <= 1e-9:
+            self.levels.pop((side, price), None)
+        else:
+            self.levels[side, price] = size
+
+    def trade(self, now: int, price: float, size: float, taker: str) -> None:
+        """A print hits the bids if the taker sold, the asks if they bought."""
+        self.settle(now)
+        side = "BUY" if taker == "SELL" else "SELL"
+        for o in list(self.orders):
+            if not o.live or o.side != side:
+                continue
+            through = price < o.price - 1e-9 if side == "BUY" else price > o.price + 1e-9
+            if through:
+                self._fill(o, o.left, now)
+            elif abs(price - o.price) <= 1e-9:
+                o.ahead -= size
+                if o.ahead < 0:
+                    self._fill(o, min(-o.ahead, o.left), now)
+                    o.ahead = 0.0
+
+    def _fill(self, o: Order, size: float, now: int) -> None:
+        o.left -= size
+        self.inventory += size if o.side == "BUY" else -size
+        self.fills.append({"ms": now, "side": o.side, "price": o.price, "size": size, "during_cancel": o.gone_at is not None, "fair": self.last_fair})
+        if o.left <= 1e-9:
+            self.orders.remove(o)
+
+    def fair(self, now: int, p: float, spread: float) -> None:
+        """A new fair value: orders that are off by more than the threshold are cancelled and placed anew."""
+        self.settle(now)
+        self.last_fair = p
+        for side, price in zip(("BUY", "SELL"), quotes(p, spread, self.inventory, self.close - now, self.quoting)):
+            own = [o for o in self.orders if o.side == side and o.gone_at is None]
+            if own and price is not None and abs(own[0].price - price) < self.quoting.requote:
+                continue
+            for o in own:
+                o.gone_at = now + self.mode.cancel_ms
+            if price is not None:
+                self.orders.append(Order(side, price, self.quoting.size, now + self.mode.ack_ms))
+                self.quoted += self.quoting.size
+
+
+FILL = "market_id string, mode string, ms long, side string, price double, size double, during_cancel boolean, fair double"
+
+
+def fills(steps: DataFrame, quoting: Quoting = Quoting(), modes: dict[str, Mode] = MODES) -> DataFrame:
+    """Fills per market and mode. steps: market_id, ord, ms, close_ms, what ('level', 'trade', 'fair'), side, price, size.
+
+    A fair value's price is the probability, its size the spread sigma * sqrt(tau).
+    """
+    config = {name: asdict(m) for name, m in modes.items()}
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        market, mode = key
+        sim = None
+        for r in pdf.sort_values("ord", kind="stable").itertuples(index=False):
+            sim = sim or Simulator(Mode(**config[mode]), quoting, int(r.close_ms))
+            if r.what == "level":
+                sim.level(r.ms, r.side, r.price, r.size)
+            elif r.what == "trade":
+                sim.trade(r.ms, r.price, r.size, r.side)
+            else:
+                sim.fair(r.ms, r.price, r.size)
+        rows = [{"market_id": market, "mode": mode, **f} for f in (sim.fills if sim else [])]
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in FILL.split(", ")])
+
+    each = steps.withColumn("mode", F.explode(F.array(*map(F.lit, modes))))
+    return each.groupBy("market_id", "mode").applyInPandas(run, FILL)
+
+
+def decomposed(found: DataFrame, later: str, outcome: str) -> DataFrame:
+    """found with the parts of each fill's result: spread + adverse + inventory = total, all times size.
+
+    later names the fair value some seconds after the fill, outcome the settlement (0 or 1).
+    """
+    d = F.when(F.col("side") == "BUY", 1.0).otherwise(-1.0) * F.col("size")
+    return found.select(
+        "*", (d * (F.col(outcome) - F.col("price"))).alias("total"), (d * (F.col("fair") - F.col("price"))).alias("spread"),
+        (d * (F.col(later) - F.col("fair"))).alias("adverse"), (d * (F.col(outcome) - F.col(later))).alias("inventory"),
+    )
+
+
+def core_stats(results: DataFrame, pnl: str) -> DataFrame:
+    """One row over markets (one result each): spread of results, hit rate, win to loss."""
+    p = F.percentile(pnl, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
+    s = results.agg(
+        F.count(F.lit(1)).alias("markets"), F.sum(pnl).alias("net"), F.avg(pnl).alias("mean"), F.stddev_samp(pnl).alias("sd"), F.skewness(pnl).alias("skew"), p.alias("p"),
+        F.avg((F.col(pnl) > 0).cast("double")).alias("hit_rate"), (F.avg(F.when(F.col(pnl) > 0, F.col(pnl))) / -F.avg(F.when(F.col(pnl) < 0, F.col(pnl)))).alias("win_loss"),
+    )
+    return s.select("markets", "net", "mean", "sd", "skew", *[F.get("p", F.lit(i)).alias(n) for i, n in enumerate(("p5", "median", "p95"))], "hit_rate", "win_loss")
+
+
+def go_no_go(stats: DataFrame, least_markets: int = 2_000, least_t: float = 2.5) -> DataFrame:
+    """(criterion, holds) of one row with markets, low (of the edge's interval), t, drawdown, bankroll, brier, brier_mid."""
+    rules = {
+        "sample": F.col("markets") >= least_markets, "edge": (F.col("low") > 0) & (F.col("t") >= least_t),
+        "drawdown": F.col("drawdown") < 0.2 * F.col("bankroll"), "calibration": F.col("brier") <= 1.01 * F.col("brier_mid"),
+    }
+    each = F.array(*[F.struct(F.lit(n).alias("criterion"), F.coalesce(c, F.lit(False)).alias("holds")) for n, c in rules.items()])
+    return stats.select(F.explode(each).alias("c")).select("c.*")
