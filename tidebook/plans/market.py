@@ -13,7 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidebook.functions import scalars as S
-from tidebook.operators import bands, book, gaps, keyed
+from tidebook.operators import bands, book, gaps, keyed, lifecycle
+from tidebook.sources import raw
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -418,3 +419,32 @@ def window_slug(spark, sf_dir):
 @query("SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, sha256(CAST(o_orderkey AS VARCHAR) || '|' || o_orderstatus || '|' || o_orderpriority) AS digest FROM orders")
 def event_digest(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.sha2(F.concat_ws("|", F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority").cast("binary"), 256).alias("digest"))
+
+
+# --- raw lines and lifecycle ----------------------------------------------------------------------------------
+
+
+@query(f"""SELECT event_type AS source_kind, count(*) AS events, CAST(sum(ms % 1000) AS BIGINT) AS ms, count(*) FILTER (value <= 0) AS bad FROM {_E} GROUP BY event_type""")
+def replay_events(spark, sf_dir):
+    """events as raw lines and back: encoded, parsed, validated; every line must come out as an event."""
+    e = stream(spark, sf_dir)
+    payload = F.struct(F.lit("chainlink").alias("source"), F.col("event_type").alias("symbol"), F.col("value").alias("price"))
+    line = F.struct(F.lit("res_price").alias("kind"), F.col("ms").cast("double").alias("exchangeTs"), (F.col("ms") * 1_000_000).cast("string").alias("recvTs"), payload.alias("payload"))
+    lines = e.select(F.to_date("ts").alias("date"), F.hour("ts").alias("hour"), F.col("event_id").cast("int").alias("line"), F.to_json(line).alias("value"))
+    parsed = raw.parsed(lines)
+    return parsed.groupBy(F.col("payload.symbol").alias("source_kind")).agg(F.count(F.lit(1)).alias("events"), F.sum((F.col("exchangeTs") % 1000).cast("long")).alias("ms"), F.count_if(~F.col("ok")).alias("bad"))
+
+
+@query(f"""
+WITH w AS (SELECT DISTINCT ms - ms % 3600000 AS window_start FROM {_E}), n AS (SELECT 1705500000000 AS now)
+SELECT window_start, CASE WHEN now < window_start - 120000 THEN 'future' WHEN now < window_start THEN 'registered' WHEN now < window_start + 3600000 THEN 'open' WHEN window_start // 3600000 % 2 = 0 THEN 'resolved'
+  WHEN now < window_start + 3630000 THEN 'closed' WHEN now < window_start + 7200000 THEN 'awaiting' ELSE 'given_up' END AS stage FROM w, n""")
+def market_stages(spark, sf_dir):
+    w = stream(spark, sf_dir).select(S.window_start(F.col("ms"), 3_600_000).alias("window_start")).distinct()
+    w = w.select("window_start", (F.col("window_start") + 3_600_000).alias("window_end"), (F.expr("window_start div 3600000 % 2") == 0).alias("resolved"))
+    return lifecycle.standing(w, 1_705_500_000_000).select("window_start", "stage")
+
+
+@query(f"SELECT user_id, s AS \"start\", ms AS \"end\", ms - s AS gap_ms FROM (SELECT user_id, ms, lag(ms) OVER (PARTITION BY user_id ORDER BY ms) AS s FROM {_E}) WHERE ms - s > 86400000")
+def feed_silences(spark, sf_dir):
+    return lifecycle.feed_gaps(stream(spark, sf_dir), ["user_id"], "ms", 86_400_000)
