@@ -40,7 +40,7 @@ class Tree:
     """Points in depth-first order; each level's nodes cover consecutive points [low, high) around one of them.
 
     The children of a node are nodes of the next level; levels where no node splits are left out. The last level
-    is the points themselves.
+    is the points themselves, and a node of one point is as good as that point at any level.
     """
 
     points: np.ndarray  # unit vectors, double
@@ -54,52 +54,49 @@ class Tree:
         return np.searchsorted(below, low), np.searchsorted(below, high)
 
 
-def _net(points: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-    """Centres no two of which are within the radius, and for each point the centre that covers it (greedy, in order)."""
+def _net(points: np.ndarray, radius: float) -> np.ndarray:
+    """For each point the centre that covers it; centres are no two within the radius, taken greedily in order."""
     n = len(points)
     single = points.astype(np.float32)
     owner = np.full(n, -1)
-    centres: list[int] = []
     left = np.arange(n)
-    least = 1 - radius * radius / 2  # cosine at the radius
+    least = np.float32(1 - radius * radius / 2)  # cosine at the radius
     while len(left):
         head = left[:256]
         near = single[head] @ single[left].T >= least
-        chosen = np.zeros(len(head), bool)
         for i in range(len(head)):
             if owner[head[i]] < 0:
-                chosen[i] = True
                 hit = left[near[i]]
-                hit = hit[owner[hit] < 0]
-                owner[hit] = head[i]
+                owner[hit[owner[hit] < 0]] = head[i]
                 owner[head[i]] = head[i]
-                centres.append(head[i])
         left = left[owner[left] < 0]
-    return np.array(centres, int), owner
+    return owner
 
 
 def build(points: np.ndarray) -> Tree:
     """A cover tree of unit vectors: nets of radius 1, 1/2, 1/4 ... chosen among the points, each inside the one above.
 
-    Nets are made from the finest up, of the centres of the finer one, so levels are nested and every point is within
-    twice a level's radius of its node's centre; the radius kept with a node is the largest distance that occurs.
+    A level's nodes are nets of the nodes above, whose centres come first, so levels are nested; the radius kept with
+    a node is the largest distance to its centre that occurs. Points that are alone cost nothing further down.
     """
     n = len(points)
-    owners, centres = [], np.arange(n)
-    radius = TOP_RADIUS / 2**LEVELS
-    while radius < TOP_RADIUS and len(centres) > 1:
-        own, owner = _net(points[centres], radius)
-        if len(own) < len(centres):
-            owners.append((centres, centres[owner]))
-            centres = centres[own]
-        radius *= 2
-    root = centres[0] if n else 0
-    chains = [np.arange(n)]  # the node of each point, from the finest level up
-    for below, above in owners:
-        to = np.empty(n, int)
-        to[below] = above
-        chains.append(to[chains[-1]])
-    chains.append(np.full(n, root))
+    chain = np.zeros(n, int)  # the centre of each point's node
+    chains = [chain]
+    radius = TOP_RADIUS / 2
+    for _ in range(LEVELS):
+        by_node = np.argsort(chain, kind="stable")
+        edges = np.flatnonzero(np.r_[True, np.diff(chain[by_node]) != 0, True]) if n else np.zeros(1, int)
+        finer = chain.copy()
+        for low, high in zip(edges[:-1], edges[1:]):
+            if high - low > 1:
+                own = by_node[low:high]
+                own = np.r_[chain[own[0]], own[own != chain[own[0]]]]
+                finer[own] = own[_net(points[own], radius)]
+        if (finer != chain).any():
+            chain = finer
+            chains.append(chain)
+        radius /= 2
+    chains = [np.arange(n), *reversed(chains)]
     order = np.lexsort(chains)  # the coarsest level counts most
     at = np.empty(n, int)
     at[order] = np.arange(n)
@@ -162,18 +159,18 @@ def traverse(left: Tree, right: Tree, weights: tuple[np.ndarray, np.ndarray], co
         radii = ar[a] + br[b]
         near = squared <= (radii + reach) ** 2 + SLACK
         a, b, squared, radii = a[near], b[near], squared[near], radii[near]
-        points = (la == last[0]) & (lb == last[1])
-        if points:
+        alone = (ahi[a] - alo[a] == 1) & (bhi[b] - blo[b] == 1)
+        if alone.any():  # two points: the cosine itself decides
+            i, j = alo[a[alone]], blo[b[alone]]
             if same:
-                keep = a < b
-                a, b = a[keep], b[keep]
-            x, y = left.points[a], right.points[b]
-            hit = np.einsum("ij,ij->i", x, y) >= cosine
-            a, b = a[hit], b[hit]
-            np.add.at(links.count, a, weights[1][b])
-            np.add.at(links.count, b + shift, weights[0][a])
-            links.join(a, b + shift)
-            return a[:0], b[:0]
+                keep = i < j
+                i, j = i[keep], j[keep]
+            hit = np.einsum("ij,ij->i", left.points[i], right.points[j]) >= cosine
+            i, j = i[hit], j[hit]
+            np.add.at(links.count, i, weights[1][j])
+            np.add.at(links.count, j + shift, weights[0][i])
+            links.join(i, j + shift)
+            a, b, squared, radii = a[~alone], b[~alone], squared[~alone], radii[~alone]
         whole = (np.sqrt(np.maximum(squared, 0)) + radii + SLACK**0.5 <= reach) & ~(same & (a == b) & (la == lb))
         for i, j in zip(a[whole], b[whole]):
             if same and la == lb and i > j:
@@ -200,13 +197,14 @@ def traverse(left: Tree, right: Tree, weights: tuple[np.ndarray, np.ndarray], co
             y = single[1][right.levels[nb][0][cols]]
             for k in range(0, len(rows), max(1, PAIRS_AT_ONCE // len(cols))):
                 part = rows[k : k + max(1, PAIRS_AT_ONCE // len(cols))]
-                squared = 2 - 2 * (single[0][left.levels[na][0][part]] @ y.T)
-                limit = (left.levels[na][3][part][:, None] + right.levels[nb][3][cols][None] + reach) ** 2 + SLACK
-                x, z = np.nonzero(squared <= limit)
-                if same and i == j and la == lb:
+                cos = single[0][left.levels[na][0][part]] @ y.T
+                bound = left.levels[na][3][part].astype(np.float32)[:, None] + (right.levels[nb][3][cols] + reach).astype(np.float32)
+                bound *= bound
+                x, z = np.nonzero(2 - 2 * cos <= bound + np.float32(SLACK))
+                if same and i == j:
                     up = part[x] <= cols[z]
                     x, z = x[up], z[up]
-                pa_, pb = settle(na, nb, part[x], cols[z], squared[x, z])
+                pa_, pb = settle(na, nb, part[x], cols[z], 2 - 2 * cos[x, z])
                 if len(pa_):
                     todo.append((na, nb, pa_, pb))
         narrow = np.flatnonzero(wide <= 4096)
@@ -242,9 +240,10 @@ def _products(a: np.ndarray, b: np.ndarray, af: np.ndarray, at: np.ndarray, bf:
 # --- distribution ---------------------------------------------------------------------------------------------
 
 
-def _unit(column: pa.Array) -> np.ndarray:
-    x = np.stack([np.asarray(v, np.float64) for v in column.to_pylist()]) if len(column) else np.empty((0, 0))
-    return x / np.linalg.norm(x, axis=1, keepdims=True) if len(x) else x
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Lists of one length, none of them null, as the rows of a matrix."""
+    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return whole.flatten().to_numpy(zero_copy_only=False).reshape(len(whole), -1)
 
 
 def _blocks_of(points: DataFrame, n: int, cosine: float):
@@ -257,7 +256,7 @@ def _blocks_of(points: DataFrame, n: int, cosine: float):
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            d = np.sqrt(np.maximum(0, 2 - 2 * (np.stack(b.column(1).to_pylist()) @ pivots.T))) if b.num_rows else np.empty((0, k))
+            d = np.sqrt(np.maximum(0, 2 - 2 * (_matrix(b.column(1)) @ pivots.T))) if b.num_rows else np.empty((0, k))
             cell = d.argmin(1) if b.num_rows else np.empty(0, int)
             yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(d[np.arange(len(d)), cell], pa.float64())], ["cell", "far"])
 
@@ -271,7 +270,7 @@ def _blocks_of(points: DataFrame, n: int, cosine: float):
         for b in batches:
             if not b.num_rows:
                 continue
-            vk, x = b.column(0).to_numpy(), np.stack(b.column(1).to_pylist())
+            vk, x = b.column(0).to_numpy(), _matrix(b.column(1))
             d = np.sqrt(np.maximum(0, 2 - 2 * (x @ pivots.T)))
             cell = d.argmin(1)
             own = first[cell] + (vk * 0x9E3779B1 >> 7) % parts[cell]
@@ -296,7 +295,7 @@ def _pair_links(cosine: float):
         same = low == high
         upper = table.column("upper").to_numpy()
         sides = [np.arange(len(upper))] if same else [np.flatnonzero(~upper), np.flatnonzero(upper)]
-        vk, weight, unit = table.column("vk").to_numpy(), table.column("weight").to_numpy(), np.stack(table.column("unit").to_pylist())
+        vk, weight, unit = table.column("vk").to_numpy(), table.column("weight").to_numpy(), _matrix(table.column("unit"))
         trees = [build(unit[s]) for s in sides]
         weights = [weight[s][t.order] for s, t in zip(sides, trees)]
         links = traverse(trees[0], trees[-1], (weights[0], weights[-1]), cosine, same)
