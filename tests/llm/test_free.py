@@ -58,12 +58,13 @@ def test_simhash_is_exact(spark, docs):
     assert [got[i]["component_id"] for i, _ in own] == want and len(set(want)) < len(own) - 5
 
 
+@pytest.mark.parametrize("radius", [2, 4])
 @pytest.mark.parametrize("hot", [simhash.HOT_BUCKET, 2])
-def test_no_link_is_lost_between_fingerprints(spark, hot):
+def test_no_link_is_lost_between_fingerprints(spark, hot, radius):
     rnd = random.Random(5)
     fps = {rnd.getrandbits(64) for _ in range(150)}
     for f in list(fps)[:100]:
-        for n in (1, 2, 3):
+        for n in (1, 2, 3, 4, 5):
             g = f
             for b in rnd.sample(range(64), n):
                 g ^= 1 << b
@@ -72,20 +73,20 @@ def test_no_link_is_lost_between_fingerprints(spark, hot):
     fps |= {base << 32 | rnd.getrandbits(12) for _ in range(300)}
     fps = sorted(fps)
     signed = spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long")
-    links = [(r["src"] & (2**64 - 1), r["dst"] & (2**64 - 1)) for r in simhash.fingerprint_links(signed, hot).collect()]
-    assert all((a ^ b).bit_count() <= 2 for a, b in links)
+    links = [(r["src"] & (2**64 - 1), r["dst"] & (2**64 - 1)) for r in simhash.fingerprint_links(signed, hot, radius).collect()]
+    assert all((a ^ b).bit_count() <= radius for a, b in links)
     at, root = {f: i for i, f in enumerate(fps)}, list(range(len(fps)))
     find = lambda x: x if root[x] == x else find(root[x])
     for a, b in links:
         root[find(at[a])] = find(at[b])
-    want = brute_components(list(range(len(fps))), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 2)
+    want = brute_components(list(range(len(fps))), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= radius)
     classes = lambda xs: sorted(sorted(i for i in range(len(xs)) if xs[i] == x) for x in set(xs))
     assert classes([find(i) for i in range(len(fps))]) == classes(want)
 
 
 def test_keep_one(spark, docs, odd, nothing):
     left = simhash.keep_one(docs)
-    want = {r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    want = {r["component_id"] for r in simhash.near_duplicates(docs, simhash.DROP_RADIUS).collect()}
     got = [r["doc_id"] for r in left.collect()]
     assert left.columns == docs.columns and sorted(got) == sorted(want)
     few = simhash.keep_one(odd)
