@@ -122,7 +122,7 @@ def union_by_name_tagged(spark, sf_dir):
     return o.unionByName(p, allowMissingColumns=True).unionByName(c, allowMissingColumns=True)
 
 
-@query("SELECT vec_id, CAST(i - 1 AS INTEGER) AS idx, CAST(embedding[i] AS DOUBLE) AS size FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) WHERE i <= 64")
+@query("SELECT vec_id, CAST(i - 1 AS INTEGER) AS idx, CAST(embedding[i] AS DOUBLE) AS size FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)")
 def explode_levels(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("idx", "size"))
     return e.select("vec_id", "idx", F.col("size").cast("double").alias("size"))
