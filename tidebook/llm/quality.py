@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -144,13 +145,15 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED) -> M
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array([x for x, _ in made], pa.list_(pa.float64())), pa.array([word_buckets(w) for _, w in made], pa.list_(pa.int64())), b.column(2)], ["label", "numbers", "buckets", "doc_id"])
 
     rows = materialize(sample.select("text", "label", F.col("doc_id").cast("long")).mapInArrow(run, "label int, numbers array<double>, buckets array<long>, doc_id long"), "features")
-    known = rows.orderBy("doc_id").limit(2 * max_rows).toPandas()  # the same order on every run
-    y = known["label"].to_numpy(float)
+    known = rows.orderBy("doc_id").limit(2 * max_rows).toArrow().combine_chunks()  # the same order on every run
+    y = known.column("label").to_numpy().astype(float)
     k = len(STATISTICS)
     if not len(y):
         size = BUCKETS + k + k * (BINS + 1)
         return Machine(0.0, np.zeros(size), np.zeros((size, RANK)), np.zeros(k), np.ones(k), np.zeros((k, BINS - 1)))
-    return fitted(np.stack(known["numbers"]), [np.asarray(b, np.int64) for b in known["buckets"]], y)
+    flat = lambda name: np.concatenate([c.flatten().to_numpy() for c in known.column(name).chunks])
+    lengths = np.concatenate([pc.list_value_length(c).to_numpy(zero_copy_only=False) for c in known.column("buckets").chunks])
+    return fitted(flat("numbers").reshape(len(y), k), np.split(flat("buckets"), np.cumsum(lengths)[:-1]), y)
 
 
 def _with_score(rows: DataFrame, machine: Machine) -> DataFrame:
