@@ -218,3 +218,19 @@ def test_queries_have_the_columns_of_their_contracts(spark):
     assert r["items_sha256"] == sha256(b"").hexdigest() == hashlib.sha256(b"").hexdigest() and r["contaminated"] is False
     got = sharding.op8_sharding(spark, sf)
     assert got.columns[:7] == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"] and {r["law"] for r in got.select("law").collect()} == {"bytes"}
+
+
+@pytest.mark.parametrize("name", ["op2_secrets", "op3_decontamination", "op7_warc"])
+def test_queries_agree_with_their_sql(spark, name):
+    import duckdb
+
+    from tidebook.llm import registry
+
+    sf, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "benchmark", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    df = registry.queries()[name](spark, sf)
+    found = con.execute(registry.oracle_sql()[name])
+    names = [d[0] for d in found.description]
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(map(str, ([r[c] for c in names] for r in df.collect()))) == sorted(map(str, map(list, found.fetchall())))

@@ -243,3 +243,13 @@ def archive(pages: DataFrame, least: int = LEAST_REVISIT) -> tuple[DataFrame, st
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records, _ = archive(read_table(spark, sf_dir, "pages"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM p)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
+  array_to_string(flatten([[substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((CAST('0x' || substr(d, 5 * i + 1, 5) AS INTEGER) >> s) & 31) + 1, 1) FOR s IN [15, 10, 5, 0]] FOR i IN range(8)]), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""
