@@ -13,8 +13,10 @@ import hashlib
 import heapq
 import json
 import os
+import re
 import uuid
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -28,15 +30,19 @@ from tidebook.llm.common import filesystem, read_table, scratch_path
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Words that the transducer holds at most, the most frequent first; all others are merged.
-LEXICON_WORDS = 131_072
+LEXICON_WORDS = 262_144
 #: Longer pieces are not worth a place in the transducer.
 LEXICON_BYTES = 48
 #: Pieces that a worker remembers between batches, and characters that it encodes at a time.
-REMEMBERED, CHARS_AT_ONCE = 200_000, 2 << 20
+REMEMBERED, CHARS_AT_ONCE = 250_000, 2 << 20
 #: The pre-tokenizer's pattern, fixed by the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+#: The same pattern on texts of ASCII alone, where the standard library's engine can do it.
+ASCII_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"""
+
+
 def _byte_letters() -> dict[str, int]:
     """The letter that stands for each byte in vocabulary files: itself where printable, else one from 256 on."""
     own = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
@@ -60,6 +66,7 @@ class Vocabulary:
         for token, i in self.special.items():
             self.bytes_of[i] = token.encode()
         self.byte_id = [ids[bytes([b])] for b in range(256)]
+        self.text_of = [str(i) for i in range(len(self.bytes_of))]
         #: (left id, right id) -> (rank, merged id)
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]):
@@ -113,18 +120,22 @@ class Vocabulary:
 # --- transducer -----------------------------------------------------------------------------------------------
 
 
-def minimal_automaton(words: list[bytes]) -> tuple[list[list[tuple[int, int]]], list[bool]]:
-    """Arcs and final marks of the minimal acyclic automaton of sorted distinct words; the root is the last state."""
-    arcs: list[list[tuple[int, int]]] = []
+def minimal_automaton(words: list[bytes]) -> tuple[list[tuple[int, ...]], list[bool]]:
+    """Arcs and final marks of the minimal acyclic automaton of sorted distinct words; the root is the last state.
+
+    An arc is one number, its target times 256 plus its byte.
+    """
+    arcs: list[tuple[int, ...]] = []
     final: list[bool] = []
-    known: dict[tuple, int] = {}
+    known: dict[tuple[int, ...], int] = {}
     path: list[list] = [[False, []]]  # of the current word: final mark, finished arcs
 
     def settle(state: list) -> int:
-        key = (state[0], tuple(state[1]))
+        out = tuple(state[1])
+        key = (-1, *out) if state[0] else out
         if (n := known.get(key)) is None:
             n = known[key] = len(arcs)
-            arcs.append(state[1])
+            arcs.append(out)
             final.append(state[0])
         return n
 
@@ -133,14 +144,14 @@ def minimal_automaton(words: list[bytes]) -> tuple[list[list[tuple[int, int]]],
         common = len(os.path.commonprefix([last, word]))
         while len(path) - 1 > common:
             state = path.pop()
-            path[-1][1].append((last[len(path) - 1], settle(state)))
+            path[-1][1].append(settle(state) * 256 + last[len(path) - 1])
         path.extend([False, []] for _ in word[common:])
         path[-1][0] = True
         last = word
     while len(path) > 1:
         state = path.pop()
-        path[-1][1].append((last[len(path) - 1], settle(state)))
-    arcs.append(path[0][1])
+        path[-1][1].append(settle(state) * 256 + last[len(path) - 1])
+    arcs.append(tuple(path[0][1]))
     final.append(path[0][0])
     return arcs, final
 
@@ -160,22 +171,23 @@ class Transducer:
         self.root = n_states - 1
 
     @staticmethod
-    def compiled(entries: dict[bytes, list[int]]) -> np.ndarray:
-        words = sorted(entries)
+    def compiled(words: list[bytes], ids_of: Callable[[bytes], list[int]]) -> np.ndarray:
+        """The arrays, in one, of a transducer of sorted distinct words; compact ones throughout, as this runs on the driver."""
         arcs, final = minimal_automaton(words)
-        below = [0] * len(arcs)  # words from a state on; targets come before their sources
-        key, target, skip = [], [], []
+        below = array("i", bytes(4 * len(arcs)))  # words from a state on; targets come before their sources
+        key, target, skip = array("i"), array("i"), array("i")
         for s, out in enumerate(arcs):
             n = int(final[s])
-            for label, t in out:
+            for t, label in (divmod(a, 256) for a in out):
                 key.append(s * 256 + label)
                 target.append(t)
                 skip.append(n)
                 n += below[t]
             below[s] = n
-        ids = [entries[w] for w in words]
-        first = np.cumsum([0, *map(len, ids)])
-        flat = [i for x in ids for i in x]
+        first, flat = array("i", [0]), array("i")
+        for w in words:
+            flat.extend(ids_of(w))
+            first.append(len(flat))
         head = [len(key), len(arcs), len(words), len(flat), 0, 0, 0, 0]
         return np.concatenate([np.asarray(x, np.int32) for x in (head, key, target, skip, final, first, flat)])
 
@@ -211,22 +223,28 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, transducer: Transducer):
         self.vocabulary, self.transducer = vocabulary, transducer
-        self.pieces_of = regex.compile(PATTERN).findall
+        self._any, self._ascii = regex.compile(PATTERN).findall, re.compile(ASCII_PATTERN, re.ASCII).findall
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
-        self.special_ids = {t: str(i) for t, i in vocabulary.special.items()}
-        self.known: dict[str, str] = dict(self.special_ids)
+        self._start()
+
+    def _start(self) -> None:
+        """Forget all pieces but the special tokens."""
+        special = self.vocabulary.special
+        self.ids_of = {t: str(i) for t, i in special.items()}
+        self.bytes_of = {t: self.vocabulary.bytes_of[i] for t, i in special.items()}
 
     def learn(self, pieces: set[str]) -> None:
-        """Remember the ids of pieces not met before: by the transducer, or merged."""
-        new = [p for p in pieces if p not in self.known]
+        """Remember the ids of pieces not met before, by the transducer or merged, and what those ids decode to."""
+        new = [p for p in pieces if p not in self.ids_of]
         raw = [p.encode("utf-8", "surrogatepass") for p in new]
-        t, merge, known = self.transducer, self.vocabulary.merge, self.known
+        t, merge, token, text = self.transducer, self.vocabulary.merge, self.vocabulary.bytes_of, self.vocabulary.text_of
         for piece, word, number in zip(new, raw, t.numbers(raw).tolist()):
-            known[piece] = ",".join(map(str, t.ids[t.first[number] : t.first[number + 1]].tolist() if number >= 0 else merge(word)))
+            ids = t.ids[t.first[number] : t.first[number + 1]].tolist() if number >= 0 else merge(word)
+            self.ids_of[piece] = ",".join([text[i] for i in ids])
+            self.bytes_of[piece] = b"".join([token[i] for i in ids])
 
-    def encode(self, texts: list[str]) -> list[str]:
-        """Ids of each text, in decimal, joined by commas."""
-        out: list[str] = []
+    def encode(self, texts: list[str]) -> Iterator[tuple[str, str]]:
+        """For each text its ids, in decimal and joined by commas, and the text that those ids decode to."""
         at = 0
         while at < len(texts):
             pieces, size = [], 0
@@ -234,12 +252,15 @@ class Encoder:
                 pieces.append(self._split(texts[at]))
                 size += len(texts[at])
                 at += 1
-            if len(self.known) > REMEMBERED:
-                self.known = dict(self.special_ids)
+            if len(self.ids_of) > REMEMBERED:
+                self._start()
             self.learn(set().union(*pieces))
-            get = self.known.__getitem__
-            out += [",".join(map(get, own)) for own in pieces]
-        return out
+            ids, back = self.ids_of.__getitem__, self.bytes_of.__getitem__
+            for own in pieces:
+                yield ",".join(map(ids, own)), b"".join(map(back, own)).decode("utf-8", "replace")
+
+    def pieces_of(self, text: str) -> list[str]:
+        return self._ascii(text) if text.isascii() else self._any(text)
 
     def _split(self, text: str) -> list[str]:
         """Pieces of a text; a special token's string is always a piece of its own."""
@@ -270,17 +291,17 @@ def frequent_pieces(docs: DataFrame, most: int = LEXICON_WORDS) -> list[str]:
     """The most frequent pieces over all documents that occur twice or more, at most `most` (a bounded list)."""
     pieces = docs.select(F.explode(F.regexp_extract_all(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(PATTERN), F.lit(0))).alias("piece"))
     counted = pieces.where(F.octet_length("piece") <= LEXICON_BYTES).groupBy("piece").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return [r[0] for r in counted.orderBy(F.desc("n"), "piece").limit(most).select("piece").collect()]
+    return counted.orderBy(F.desc("n"), "piece").limit(most).select("piece").toArrow().column(0).to_pylist()
 
 
 def lexicon_file(spark: SparkSession, docs: DataFrame, vocabulary: Vocabulary, most: int = LEXICON_WORDS) -> str:
     """Compile the lexicon and hand its file to all executors, later ones too; returns the file's name."""
-    entries = {w: vocabulary.merge(w) for w in (p.encode() for p in frequent_pieces(docs, most))}
+    words = sorted(p.encode() for p in frequent_pieces(docs, most))
     folder, name = scratch_path(spark, "lexicon"), f"lexicon-{uuid.uuid4().hex}.npy"
     fs, root = filesystem(folder)
     fs.create_dir(root, recursive=True)
     with fs.open_output_stream(f"{root}/{name}") as sink:
-        np.save(sink, Transducer.compiled(entries))
+        np.save(sink, Transducer.compiled(words, vocabulary.merge))
     spark.sparkContext.addFile(f"{folder}/{name}")
     return name
 
@@ -296,17 +317,13 @@ def encoded(docs: DataFrame, vocabulary: str | None = None, most: int = LEXICON_
     file = lexicon_file(docs.sparkSession, docs, _vocabulary(path), most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, numbers = _encoder(path, file), lambda s: np.fromstring(s, np.int32, sep=",") if s else np.empty(0, np.int32)
-        decode = encoder.vocabulary.decode
+        encoder, sha = _encoder(path, file), lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
         for b in batches:
-            ids = encoder.encode([t or "" for t in b.column(1).to_pylist()])
-            lists = map(numbers, ids)
             n, first, second = [], [], []
-            for text, own in zip(ids, lists):
-                n.append(len(own))
-                back = decode(own.tolist())
-                first.append(hashlib.sha256(text.encode()).hexdigest() if digests else own)
-                second.append(hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest() if digests else back)
+            for ids, back in encoder.encode([t or "" for t in b.column(1).to_pylist()]):
+                n.append(ids.count(",") + 1 if ids else 0)
+                first.append(sha(ids) if digests else np.fromstring(ids, np.int32, sep=",") if ids else [])
+                second.append(sha(back) if digests else back)
             kind = pa.string() if digests else pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(first, kind), pa.array(second, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
 
