@@ -129,6 +129,20 @@ def test_cover_trees_are_exact(spark, block, monkeypatch):
     assert covertree.op6_embedding_dedup(spark, "/root/testdata/sf0.001").columns == ["vec_id", "n_links", "component_id", "kept"]
 
 
+def test_pivots_of_one_direction_lose_no_links(spark, monkeypatch):
+    monkeypatch.setattr(covertree, "BLOCK", 40)  # about 30 pivots, most of them of the hot direction
+    rng = np.random.default_rng(4)
+    hot, others = rng.normal(size=16), rng.normal(size=(200, 16))
+    x = np.concatenate([hot * rng.uniform(0.1, 9, (1000, 1)), others])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in covertree.near_duplicates(df).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.95
+    for i in range(len(x)):
+        assert got[i]["n_links"] == near[i].sum() - 1, i
+    assert {got[i]["component_id"] for i in range(1000)} == {0}
+
+
 def test_nodes_cover_their_points():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(300, 5))

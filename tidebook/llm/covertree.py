@@ -28,6 +28,8 @@ MOST_PIVOTS = 1024
 TOP_RADIUS, LEVELS = 2.0, 7
 #: Slack of bounds in single precision, in squared distance.
 SLACK = 1e-4
+#: Slack of bounds in double precision, in squared distance; a distance near zero is off by the root of its noise.
+NOISE = 1e-6
 #: Node pairs that are opened at a time.
 PAIRS_AT_ONCE = 1 << 20
 
@@ -255,12 +257,16 @@ def _blocks_of(points: DataFrame, n: int, cosine: float):
     gap = np.sqrt(np.maximum(0, 2 - 2 * pivots @ pivots.T))
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The points of each cell in a batch and the farthest. Pivots that tie but for noise all reach the point: any may get it."""
         for b in batches:
-            d = np.sqrt(np.maximum(0, 2 - 2 * (_matrix(b.column(1)) @ pivots.T))) if b.num_rows else np.empty((0, k))
-            cell = d.argmin(1) if b.num_rows else np.empty(0, int)
-            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(d[np.arange(len(d)), cell], pa.float64())], ["cell", "far"])
+            if not b.num_rows:
+                continue
+            squared = np.maximum(0, 2 - 2 * (_matrix(b.column(1)) @ pivots.T))
+            tied = squared <= squared.min(1, keepdims=True) + NOISE
+            far = np.sqrt(np.where(tied, squared, -1.0).max(0), where=tied.any(0), out=np.full(k, -1.0))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(k), pa.int32()), pa.array(np.bincount(squared.argmin(1), minlength=k), pa.int64()), pa.array(far, pa.float64())], ["cell", "n", "far"])
 
-    sizes = {r["cell"]: (r["n"], r["far"]) for r in points.select("vk", "unit").mapInArrow(cells, "cell int, far double").groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()}
+    sizes = {r["cell"]: (r["n"], r["far"]) for r in points.select("vk", "unit").mapInArrow(cells, "cell int, n long, far double").groupBy("cell").agg(F.sum("n").alias("n"), F.max("far").alias("far")).collect()}
     radius = np.array([sizes.get(c, (0, -1.0))[1] for c in range(k)])
     parts = np.array([max(1, -(-sizes.get(c, (0, 0))[0] // BLOCK)) for c in range(k)])
     first = np.r_[0, np.cumsum(parts)]
@@ -275,9 +281,8 @@ def _blocks_of(points: DataFrame, n: int, cosine: float):
             cell = d.argmin(1)
             own = first[cell] + (vk * 0x9E3779B1 >> 7) % parts[cell]
             near = d[np.arange(len(d)), cell]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                beyond = (d**2 - near[:, None] ** 2) / (2 * gap[cell])  # distance to the bisector with each pivot
-            may = (radius >= 0) & (d <= radius + reach) & (np.nan_to_num(beyond, nan=0.0, posinf=np.inf) <= reach)
+            # within reach of the bisector with each pivot; not divided by the gap, which may be all noise
+            may = (radius >= 0) & (d <= radius + reach) & (d**2 - near[:, None] ** 2 <= 2 * gap[cell] * reach + NOISE)
             may[np.arange(len(d)), cell] = True
             at, to = np.nonzero(may)
             of = np.repeat(np.arange(len(at)), parts[to])
