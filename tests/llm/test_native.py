@@ -201,6 +201,23 @@ def test_surrogates_are_distinct_even_where_they_clash(spark):
     assert len(set(got)) == len(rows) and not set(got) & {t[3:-1] for _, t in rows}
 
 
+def test_surrogates_never_run_out(spark, monkeypatch):
+    # every address of a form, one without letters, and more surnames than four parts of a surname tell apart
+    monkeypatch.setattr(pii, "PARTS", {k: [v[0]] * 15 + [v[1]] for k, v in pii.PARTS.items()})  # 16 surnames
+    consonants = "bcdfghklmnprstvwz"
+    addresses = [f"{a}@{b}.de" for a in consonants for b in consonants] + ["_@-.de", "Q@X.de"]
+    names = [f"{a}{b}" for a in "ABCDEFGH" for b in ("eno", "ilo", "oru", "und", "elp")]
+    phones = ["+1 23 45 67"]
+    df = spark.createDataFrame([(0, " ; ".join(addresses)), (1, " ; ".join(f"Dr {n}" for n in names)), (2, " ; ".join(phones))], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.replaced(df).collect()}
+    made, surnames = got[0].split(" ; "), got[1].split(" ; ")
+    assert len(set(made)) == len(addresses) and not set(made) & set(addresses) and all(re.fullmatch(r"\w+@[\w-]+\.de", m) for m in made)
+    assert len(set(surnames)) == len(names) and not set(surnames) & {f"Dr {n}" for n in names} and all(re.fullmatch(r"Dr [A-Z][a-z]+", n) for n in surnames)
+    unit = spark.sql("select 'phone' kind, '1234567' norm, 'n' gender, a attempt from values 0, 1, 2, 3, 4 t(a)")
+    longer = [r[0] for r in unit.select(pii.written(F.lit("+1 23 45 67"), F.col("kind"), pii.surrogate(F.col("kind"), F.col("norm"), F.col("gender"), F.col("attempt")))).collect()]
+    assert [len(re.sub(r"\D", "", x)) for x in longer] == [7, 7, 8, 8, 9] and all(re.fullmatch(r"\+\d \d\d \d\d \d+", x) for x in longer)
+
+
 def test_surrogates_odd_rows(odd, nothing):
     got = pii.replaced(odd)
     assert got.columns == odd.columns and got.count() == 13 and pii.replaced(nothing).count() == 0

@@ -3,7 +3,9 @@
 A surrogate is a function of a secret key, the entity's kind and normal form, and an attempt number: digits stay
 digits, letters stay letters of their script and case, cards keep their check-sum remainder, names come from lists
 of the title's gender. All distinct entities of the corpus are checked once: where two share a surrogate, or a
-surrogate is itself an entity of the corpus, the later one tries again until no clash is left. Texts are rebuilt
+surrogate is itself an entity of the corpus, the later one tries again until no clash is left. Later attempts draw
+from wider spaces (longer names, addresses and phone numbers), so that a free one exists however many entities a form
+has; the nine digits of an SSN, the check-summed ones of a card and the octets of an IP address stay. Texts are rebuilt
 row by row; only texts with an entity that needed another attempt take part in a join. DataFrame functions only.
 """
 
@@ -20,6 +22,8 @@ from tidebook.llm.decontamination import text_key
 #: The key of surrogates; a run of one's own sets another.
 KEY = os.environ.get("TIDEBOOK_PII_KEY", "tidebook")
 MAX_ROUNDS = 60
+#: Attempts in one space; the next ones draw from a space that is a part, letter or digit longer.
+WIDEN = 2
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Titles of each gender; those of neither stand in the third list. Fixed words of four languages.
@@ -95,13 +99,23 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.split(F.reverse(digits), ""), start, add, lambda acc: F.pmod(acc["sum"], F.lit(10)))
 
 
-def _name(norm: Column, digest: Column, gender: Column) -> Column:
+def _wider(attempt: Column) -> Column:
+    """How many parts, letters or digits an attempt's surrogate has beyond its form."""
+    return F.floor(attempt / WIDEN).cast("int")
+
+
+def _more(n: Column, one) -> Column:
+    """n pieces in one string; one makes a piece from its number, counted from 10 as places of a digest."""
+    return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(1), n), lambda j: one(j + 9)), "")).otherwise("")
+
+
+def _name(norm: Column, digest: Column, gender: Column, attempt: Column) -> Column:
     """A name of the same script, gender and number of words."""
     out = None
     for script, probe in (("cyrillic", r"\p{IsCyrillic}"), ("greek", r"\p{IsGreek}"), ("latin", ".")):
         parts = F.array(*map(F.lit, PARTS[script]))
-        part = lambda i, parts=parts: F.get(parts, F.pmod(_byte(digest, F.lit(i)), F.lit(16)))
-        surname = F.concat(F.initcap(F.concat(part(1), part(2), part(3), part(4))), F.lit(_ENDS[script]))
+        part = lambda i, parts=parts: F.get(parts, F.pmod(_byte(digest, i), F.lit(16)))
+        surname = F.concat(F.initcap(F.concat(*[part(F.lit(i)) for i in range(1, 5)], _more(_wider(attempt), part))), F.lit(_ENDS[script]))
         of = lambda g, script=script: F.get(F.array(*map(F.lit, GIVEN[script][g])), F.pmod(_byte(digest, F.lit(0)), F.lit(16)))
         given = F.when((gender == "f") | ((gender == "n") & (F.pmod(_byte(digest, F.lit(9)), F.lit(2)) == 0)), of("f")).otherwise(of("m"))
         full = F.when(norm.contains(" "), F.concat_ws(" ", given, surname)).otherwise(surname)
@@ -115,25 +129,33 @@ def surrogate(kind: Column, norm: Column, gender: Column, attempt: Column, key:
     host = F.substring_index(norm, ".", -1)  # the last label of an address stays
     body = F.when(kind == "email", F.substring(norm, F.lit(1), F.length(norm) - F.length(host))).otherwise(norm)
     mapped = F.array_join(F.transform(F.split(body, ""), lambda c, i: _letter(c, _byte(digest, i))), "")
+    extra = _more(_wider(attempt), lambda i: F.get(F.split(F.lit("bcdfghklmnprstvw"), ""), F.pmod(_byte(digest, i), F.lit(16))))
+    at = F.instr(mapped, "@")
+    address = F.concat(F.substring(mapped, F.lit(1), at - 1), extra, F.substring(mapped, at, F.length(mapped)), host)
     digits = F.array_join(F.transform(F.split(norm, ""), lambda c, i: F.when(i == 0, F.when(c == "0", c).otherwise((F.pmod(_byte(digest, i), F.lit(9)) + 1).cast("string"))).otherwise(F.pmod(_byte(digest, i), F.lit(10)).cast("string"))), "")
     head = F.substring(digits, F.lit(1), F.length(digits) - 1)
     # the last digit counts once in the check sum, so any remainder can be met
     card = F.concat(head, F.pmod(_luhn(norm) - _luhn(F.concat(head, F.lit("0"))), F.lit(10)).cast("string"))
+    longer = F.concat(digits, _more(_wider(attempt), lambda i: F.pmod(_byte(digest, i), F.lit(10)).cast("string")))
     octet = lambda i: (F.pmod(_byte(digest, F.lit(i)), F.lit(254)) + 1).cast("string")
     return (
-        F.when(kind == "email", F.concat(mapped, host))
+        F.when(kind == "email", address)
         .when(kind == "ip", F.concat_ws(".", *[octet(i) for i in range(4)]))
         .when(kind == "card", card)
-        .when(kind == "name", _name(norm, digest, gender))
+        .when(kind == "name", _name(norm, digest, gender, attempt))
+        .when(kind == "phone", longer)
         .otherwise(digits)
     )
 
 
 def written(entity: Column, kind: Column, replacement: Column) -> Column:
-    """A surrogate in the entity's own format: punctuation and blanks of numbers, case of addresses."""
+    """A surrogate in the entity's own format: punctuation and blanks of numbers, case of addresses. What is longer stays."""
     chars = F.split(entity, "")
     number = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("[0-9]"), F.substring(replacement, F.length(F.regexp_replace(F.substring(entity, F.lit(1), i + 1), r"\D", "")), F.lit(1))).otherwise(c)), "")
-    address = F.array_join(F.transform(F.split(replacement, ""), lambda c, i: F.when(F.get(chars, i).rlike(r"\p{Lu}"), F.upper(c)).otherwise(c)), "")
+    number = F.concat(number, F.substring(replacement, F.length(F.regexp_replace(entity, r"\D", "")) + 1, F.length(replacement)))
+    at, more = F.instr(entity, "@") - 1, F.greatest(F.length(replacement) - F.length(entity), F.lit(0))
+    place = lambda i: F.when(i < at, i).when(i >= at + more, i - more)  # noqa: E731  where a character stands in the entity
+    address = F.array_join(F.transform(F.split(replacement, ""), lambda c, i: F.when(F.get(chars, place(i)).rlike(r"\p{Lu}"), F.upper(c)).otherwise(c)), "")
     shouted = F.when(F.upper(entity) == entity, F.upper(replacement)).otherwise(replacement)
     return F.when(kind.isin("phone", "card", "ssn"), number).when(kind == "email", address).when(kind == "name", shouted).otherwise(replacement)
 
@@ -184,7 +206,7 @@ def attempts(known: DataFrame, key: str = KEY) -> DataFrame:
             return now.where("attempt > 0")
         again = now.join(clashing.withColumn("again", F.lit(1)), ["kind", "norm", "gender"], "left")
         now = materialize(again.select("kind", "norm", "gender", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt")), "attempts")
-    raise RuntimeError("surrogates keep clashing: there are more entities of a kind than its format can tell apart")
+    raise RuntimeError("surrogates keep clashing: there are more entities of a kind than its fixed format can tell apart")
 
 
 def _rewritten(docs: DataFrame, key: str) -> DataFrame:
