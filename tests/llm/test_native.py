@@ -201,6 +201,16 @@ def test_surrogates_are_distinct_even_where_they_clash(spark):
     assert len(set(got)) == len(rows) and not set(got) & {t[3:-1] for _, t in rows}
 
 
+def test_a_person_stays_one_person(spark):
+    texts = ["Dr Meyer, Frau Meyer, Frau Anna Meyer, Dr Anna Meyer", "Herr Otto Meyer and Frau Weber", *[f"Frau {a}a Meyer" for a in ("Ir", "Ber", "Ev", "Lis", "Mon", "Sar", "Tin", "Ell", "Jan", "Lin", "Ev", "Nin", "Kir", "Vik", "Ut", "In", "Min", "Din", "Ren")]]
+    got = [r["text"] for r in pii.replaced(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    m = re.fullmatch(r"Dr (\w+), Frau (\w+), Frau ([\w-]+) (\w+), Dr ([\w-]+) (\w+)", got[0])
+    assert m and m[1] == m[2] == m[4] == m[6] != "Meyer" and m[3] == m[5] and m[3].split("-")[0] in pii.GIVEN["latin"]["f"]
+    n = re.fullmatch(r"Herr ([\w-]+) (\w+) and Frau (\w+)", got[1])
+    assert n and n[2] == m[1] != n[3] and n[1].split("-")[0] in pii.GIVEN["latin"]["m"] and n[1] != "Otto"
+    assert all(t.endswith(f" {m[1]}") for t in got[2:]) and len({*got[2:], f"Frau {m[3]} {m[1]}"}) == len({*texts[2:]}) + 1
+
+
 def test_surrogates_never_run_out(spark, monkeypatch):
     # every address of a form, one without letters, and more surnames than four parts of a surname tell apart
     monkeypatch.setattr(pii, "PARTS", {k: [v[0]] * 15 + [v[1]] for k, v in pii.PARTS.items()})  # 16 surnames

@@ -2,7 +2,8 @@
 
 A surrogate is a function of a secret key, the entity's kind and normal form, and an attempt number: digits stay
 digits, letters stay letters of their script and case, cards keep their check-sum remainder, names come from lists
-of the title's gender. All distinct entities of the corpus are checked once: where two share a surrogate, or a
+of the title's gender. A surname has one surrogate with any title and given name, and a full name one given name, so
+a person stays one person; a full name after a title of neither gender takes the gender it has elsewhere. All distinct entities of the corpus are checked once: where two share a surrogate, or a
 surrogate is itself an entity of the corpus, the later one tries again until no clash is left. Later attempts draw
 from wider spaces (longer names, addresses and phone numbers), so that a free one exists however many entities a form
 has; the nine digits of an SSN, the check-summed ones of a card and the octets of an IP address stay. Texts are rebuilt
@@ -109,23 +110,44 @@ def _more(n: Column, one) -> Column:
     return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(1), n), lambda j: one(j + 9)), "")).otherwise("")
 
 
-def _name(norm: Column, digest: Column, gender: Column, attempt: Column) -> Column:
-    """A name of the same script, gender and number of words."""
-    out = None
-    for script, probe in (("cyrillic", r"\p{IsCyrillic}"), ("greek", r"\p{IsGreek}"), ("latin", ".")):
-        parts = F.array(*map(F.lit, PARTS[script]))
-        part = lambda i, parts=parts: F.get(parts, F.pmod(_byte(digest, i), F.lit(16)))
-        surname = F.concat(F.initcap(F.concat(*[part(F.lit(i)) for i in range(1, 5)], _more(_wider(attempt), part))), F.lit(_ENDS[script]))
-        of = lambda g, script=script: F.get(F.array(*map(F.lit, GIVEN[script][g])), F.pmod(_byte(digest, F.lit(0)), F.lit(16)))
-        given = F.when((gender == "f") | ((gender == "n") & (F.pmod(_byte(digest, F.lit(9)), F.lit(2)) == 0)), of("f")).otherwise(of("m"))
-        full = F.when(norm.contains(" "), F.concat_ws(" ", given, surname)).otherwise(surname)
-        out = F.when(norm.rlike(probe), full) if out is None else out.when(norm.rlike(probe), full)
-    return out.otherwise(norm)
+def _by_script(norm: Column, one) -> Column:
+    """one(script) for the script of a name."""
+    return F.when(norm.rlike(r"\p{IsCyrillic}"), one("cyrillic")).when(norm.rlike(r"\p{IsGreek}"), one("greek")).otherwise(one("latin"))
+
+
+def _part(script: str, digest: Column, i: Column) -> Column:
+    return F.get(F.array(*map(F.lit, PARTS[script])), F.pmod(_byte(digest, i), F.lit(16)))
+
+
+def _surname(norm: Column, digest: Column, attempt: Column) -> Column:
+    """A surname of the same script."""
+    part = lambda script: lambda i: _part(script, digest, i)
+    return _by_script(norm, lambda s: F.concat(F.initcap(F.concat(*[part(s)(F.lit(i)) for i in range(1, 5)], _more(_wider(attempt), part(s)))), F.lit(_ENDS[s])))
+
+
+def _given(norm: Column, digest: Column, gender: Column, attempt: Column) -> Column:
+    """A given name of the same script and gender; later attempts hyphenate a part of growing length to it."""
+
+    def one(script: str) -> Column:
+        of = lambda g: F.get(F.array(*map(F.lit, GIVEN[script][g])), F.pmod(_byte(digest, F.lit(0)), F.lit(16)))
+        first = F.when((gender == "f") | ((gender == "n") & (F.pmod(_byte(digest, F.lit(9)), F.lit(2)) == 0)), of("f")).otherwise(of("m"))
+        return F.concat(first, F.when(_wider(attempt) > 0, F.concat(F.lit("-"), F.initcap(_more(_wider(attempt), lambda i: _part(script, digest, i))))).otherwise(""))
+
+    return _by_script(norm, one)
+
+
+def _split_name(norm: Column) -> tuple[Column, Column]:
+    """The given name, empty in a name of one word, and the surname."""
+    return F.when(norm.contains(" "), F.substring_index(norm, " ", 1)).otherwise(""), F.substring_index(norm, " ", -1)
 
 
 def surrogate(kind: Column, norm: Column, gender: Column, attempt: Column, key: str = KEY) -> Column:
-    """The surrogate of an entity's normal form, itself in normal form (names and addresses of machines as written)."""
-    digest = F.sha2(F.concat_ws("|", F.lit(key), kind, norm, attempt.cast("string")).cast("binary"), 256)
+    """The surrogate of an entity's normal form, itself in normal form (names and addresses of machines as written).
+
+    Names come in two kinds, surname (norm: the surname) and given (norm: the full name, of which only the given name counts).
+    """
+    word = F.when(kind == "given", _split_name(norm)[0]).otherwise(norm)
+    digest = F.sha2(F.concat_ws("|", F.lit(key), kind, word, attempt.cast("string")).cast("binary"), 256)
     host = F.substring_index(norm, ".", -1)  # the last label of an address stays
     body = F.when(kind == "email", F.substring(norm, F.lit(1), F.length(norm) - F.length(host))).otherwise(norm)
     mapped = F.array_join(F.transform(F.split(body, ""), lambda c, i: _letter(c, _byte(digest, i))), "")
@@ -142,7 +164,8 @@ def surrogate(kind: Column, norm: Column, gender: Column, attempt: Column, key:
         F.when(kind == "email", address)
         .when(kind == "ip", F.concat_ws(".", *[octet(i) for i in range(4)]))
         .when(kind == "card", card)
-        .when(kind == "name", _name(norm, digest, gender, attempt))
+        .when(kind == "surname", _surname(norm, digest, attempt))
+        .when(kind == "given", _given(word, digest, gender, attempt))
         .when(kind == "phone", longer)
         .otherwise(digits)
     )
@@ -181,29 +204,54 @@ def found_in(text: Column) -> Column:
     return F.transform(F.arrays_zip(whole.alias("entity"), F.slice(gaps, F.lit(1), F.size(whole)).alias("before")), one)
 
 
-def entities(docs: DataFrame) -> DataFrame:
-    """(kind, norm, gender): the distinct entities of all texts. Entities of a text are deduplicated before the shuffle."""
+def _held(docs: DataFrame) -> DataFrame:
+    """(key, kind, norm, gender): the distinct entities of each text. Those of a text are deduplicated before the shuffle."""
     text = F.col("text").cast("string")
-    each = docs.where(text.rlike(GATE)).select(F.explode(found_in(text)).alias("e"))
-    return each.select("e.kind", "e.norm", "e.gender").distinct()
+    each = docs.where(text.rlike(GATE)).select(text_key(text).alias("key"), F.explode(found_in(text)).alias("e"))
+    return each.select("key", "e.kind", "e.norm", "e.gender").distinct()
+
+
+def entities(docs: DataFrame) -> DataFrame:
+    """(kind, norm, gender): the distinct entities of all texts."""
+    return _held(docs).select("kind", "norm", "gender").distinct()
+
+
+def _units(found: DataFrame) -> DataFrame:
+    """Rows of entities (kind, norm, gender) with names taken apart: the surname, and the full name for the given name."""
+    unit = lambda kind, norm, gender: F.struct(kind.alias("kind"), norm.alias("norm"), gender.alias("gender"))
+    surname = unit(F.lit("surname"), _split_name(F.col("norm"))[1], F.lit("n"))
+    given = unit(F.lit("given"), F.col("norm"), F.col("gender"))
+    own = F.when(F.col("kind") != "name", F.array(unit(F.col("kind"), F.col("norm"), F.col("gender")))).when(F.col("norm").contains(" "), F.array(surname, given)).otherwise(F.array(surname))
+    rest = [c for c in found.columns if c not in ("kind", "norm", "gender")]
+    return found.select(*rest, F.explode(own).alias("u")).select(*rest, "u.*").distinct()
 
 
 def attempts(known: DataFrame, key: str = KEY) -> DataFrame:
-    """(kind, norm, gender, attempt) of the entities whose first surrogate clashes. All others have attempt 0.
+    """(kind, norm, gender, shown, attempt) of the units whose surrogate is not that of attempt 0 and their own gender.
 
-    After each round, an entity tries again if its surrogate is an entity of the corpus or also that of another one
-    that comes first. A round's table is written to the shared folder; rounds end as soon as nothing clashes.
+    After each round, a unit tries again if its surrogate is one of the corpus or also that of another one that comes
+    first; given names are compared within a surname, and only with their own. shown is the gender that a full name after
+    a title of neither gender has elsewhere (the first of two). A round's table is written to the shared folder;
+    rounds end as soon as nothing clashes.
     """
-    now = materialize(known.select("*", F.lit(0).alias("attempt")), "attempts")
+    units = materialize(_units(known), "units")
+    titled = units.where("kind = 'given' and gender <> 'n'").groupBy("kind", "norm").agg(F.min("gender").alias("titled"))
+    genders = units.join(titled, ["kind", "norm"], "left").select("kind", "norm", "gender", F.when(F.col("gender") == "n", F.coalesce("titled", "gender")).otherwise(F.col("gender")).alias("shown"))
+    genders = materialize(genders, "genders")
+    now = materialize(genders.select("kind", "norm", F.col("shown").alias("gender")).distinct().withColumn("attempt", F.lit(0)), "attempts")
+    given, surname = _split_name(F.col("norm"))
     for _ in range(MAX_ROUNDS):
-        named = now.withColumn("surrogate", surrogate(F.col("kind"), F.col("norm"), F.col("gender"), F.col("attempt"), key)).withColumn("reached", F.lower("surrogate"))
+        named = now.withColumn("surrogate", F.lower(surrogate(F.col("kind"), F.col("norm"), F.col("gender"), F.col("attempt"), key)))
+        named = named.withColumn("reached", F.when(F.col("kind") == "given", F.concat_ws(" ", "surrogate", surname)).otherwise(F.col("surrogate")))
         first = named.groupBy("kind", "reached").agg(F.min(F.struct("attempt", "norm", "gender")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
         shared = named.join(first, ["kind", "reached"]).where(F.struct("attempt", "norm", "gender") != F.col("first")).select("kind", "norm", "gender")
-        real = known.select("kind", F.col("norm").alias("reached")).distinct()
+        real = now.where("kind <> 'given'").select("kind", F.col("norm").alias("reached")).distinct()
         taken = named.join(real, ["kind", "reached"], "left_semi").select("kind", "norm", "gender")
-        clashing = materialize(shared.union(taken).distinct(), "clashing")
+        itself = named.where((F.col("kind") == "given") & (F.col("surrogate") == given)).select("kind", "norm", "gender")
+        clashing = materialize(shared.union(taken).union(itself).distinct(), "clashing")
         if clashing.isEmpty():
-            return now.where("attempt > 0")
+            done = genders.join(now.withColumnRenamed("gender", "shown"), ["kind", "norm", "shown"])
+            return done.where("attempt > 0 or shown <> gender").select("kind", "norm", "gender", "shown", "attempt")
         again = now.join(clashing.withColumn("again", F.lit(1)), ["kind", "norm", "gender"], "left")
         now = materialize(again.select("kind", "norm", "gender", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt")), "attempts")
     raise RuntimeError("surrogates keep clashing: there are more entities of a kind than its fixed format can tell apart")
@@ -211,20 +259,29 @@ def attempts(known: DataFrame, key: str = KEY) -> DataFrame:
 
 def _rewritten(docs: DataFrame, key: str) -> DataFrame:
     """(row, found, text): each row of docs, its entities, and its text with surrogates."""
-    known = materialize(entities(docs), "entities")
-    retried = attempts(known, key)
+    held = materialize(_held(docs), "entities")
+    retried = materialize(attempts(held.select("kind", "norm", "gender").distinct(), key), "retried")
     own = F.col("text").cast("string")
     rows = docs.select(F.struct(*docs.columns).alias("row"), own.alias("text"), text_key(own).alias("key"))
     if retried.isEmpty():
-        rows = rows.withColumn("tries", F.lit(None).cast("map<string,int>"))
+        rows = rows.withColumn("tries", F.lit(None).cast("map<string,struct<attempt:int,shown:string>>"))
     else:
-        holders = rows.where(F.col("text").rlike(GATE)).select("key", F.explode(found_in(F.col("text"))).alias("e")).select("key", "e.kind", "e.norm", "e.gender").distinct()
-        tries = holders.join(retried, ["kind", "norm", "gender"]).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "gender", "norm"), "attempt"))).alias("tries"))
+        tries = _units(held).join(retried, ["kind", "norm", "gender"]).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "gender", "norm"), F.struct("attempt", "shown")))).alias("tries"))
         rows = rows.join(materialize(tries, "tries"), "key", "left")
     none = F.array().cast("array<struct<entity:string,kind:string,norm:string,gender:string>>")
     rows = rows.select("row", "text", "tries", F.when(F.col("text").rlike(GATE), found_in(F.col("text"))).otherwise(none).alias("found"))
-    attempt = lambda e: F.coalesce(F.try_element_at(F.col("tries"), F.concat_ws("|", e["kind"], e["gender"], e["norm"])), F.lit(0))
-    new = F.transform("found", lambda e: written(e["entity"], e["kind"], surrogate(e["kind"], e["norm"], e["gender"], attempt(e), key)))
+
+    def of(kind: Column, norm: Column, gender: Column) -> Column:
+        one = F.try_element_at(F.col("tries"), F.concat_ws("|", kind, gender, norm))
+        return surrogate(kind, norm, F.coalesce(one["shown"], gender), F.coalesce(one["attempt"], F.lit(0)), key)
+
+    def whole(e: Column) -> Column:
+        surname = of(F.lit("surname"), _split_name(e["norm"])[1], F.lit("n"))
+        name = F.when(e["norm"].contains(" "), F.concat_ws(" ", of(F.lit("given"), e["norm"], e["gender"]), surname)).otherwise(surname)
+        return F.when(e["kind"] == "name", name).otherwise(of(e["kind"], e["norm"], e["gender"]))
+
+    made = F.transform("found", lambda e: F.struct(e["entity"].alias("entity"), e["kind"].alias("kind"), whole(e).alias("made")))
+    new = F.transform(made, lambda e: written(e["entity"], e["kind"], e["made"]))
     gaps = F.split("text", ANY, -1)
     rebuilt = F.concat(F.get(gaps, F.lit(0)), F.array_join(F.zip_with(new, F.slice(gaps, F.lit(2), F.size(gaps)), lambda s, gap: F.concat(s, gap)), ""))
     return rows.select("row", "found", F.when(F.size("found") > 0, rebuilt).otherwise(F.col("text")).alias("text"))
@@ -234,7 +291,7 @@ def replaced(docs: DataFrame, key: str = KEY) -> DataFrame:
     """docs with all personal data replaced in text; all columns, whatever their names, as before.
 
     Null texts stay null, empty ones empty. Equal entities get equal surrogates in every row, different ones different
-    surrogates. Repeated rows each get a row; columns beside text are left alone.
+    surrogates, and names that share a surname share its surrogate. Repeated rows each get a row; columns beside text are left alone.
     """
     return _rewritten(docs, key).select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
