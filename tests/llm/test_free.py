@@ -266,6 +266,14 @@ def test_quality_on_held_out_rows(spark, larger, odd, nothing):
     assert clash.columns == odd.columns and sorted(map(str, clash.collect())) == sorted(map(str, odd.collect()))
 
 
+def test_commonest_word_is_counted_over_the_whole_text():
+    at = quality.STATISTICS.index("commonest_word")
+    words = [f"w{i}" for i in range(800)]
+    for i in range(0, 800, 4):
+        words[i + 1] = "often"  # never at a multiple of 100
+    assert quality.statistics(" ".join(words))[0][at] == 200 / 800 and quality.statistics("")[0][at] == 0
+
+
 def test_machine_equals_the_sum_over_pairs():
     rng = np.random.default_rng(0)
     size = quality.BUCKETS + 400

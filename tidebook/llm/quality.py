@@ -8,6 +8,7 @@ text. The machine is fitted on a bounded sample of labelled rows; scoring is one
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -46,12 +47,11 @@ def statistics(text: str) -> tuple[list[float], set[str]]:
     raw = np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
     size = max(1, int(raw.sum()))
     words = text.lower().split()
-    distinct = set(words)
+    counts = Counter(words)
+    distinct = set(counts)
     lines = [x for x in text.split("\n") if x.strip()]
     n = max(1, len(words))
-    # how much the commonest of a spread of words repeats tells loops from prose at a fixed cost
-    probes = {words[(i * len(words)) // 8] for i in range(8)} if words else set()
-    most = max((words.count(w) for w in probes), default=0)
+    most = max(counts.values(), default=0)  # how much the commonest word repeats tells loops from prose
     share = lambda mask: float(raw[mask].sum()) / size
     return [
         np.log1p(raw.sum()), np.log1p(len(words)), np.log1p(len(lines)), size / n / 10, len(distinct) / n, len(set(lines)) / max(1, len(lines)),
