@@ -4,7 +4,7 @@
 2. near duplicates: of each SimHash group the document with the smallest doc_id stays.
 3. decontamination: documents that hold a benchmark window go.
 4. personal data: entities are replaced by surrogates in the texts.
-5. tokens: texts become token ids; what the ids decode to is checked against the text.
+5. tokens: texts become token ids; what the ids decode to is checked against the text, and exact says whether it is the text.
 """
 
 from __future__ import annotations
@@ -37,7 +37,9 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encoded(docs, digests=True).select("doc_id", "n_tokens", F.col("ids").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"))
+    """The ids of all texts, digests of ids and of what they decode to, and whether that is the text."""
+    found = bpe.encoded(docs, digests=True, checked=True)
+    return found.select("doc_id", "n_tokens", F.col("ids").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"), F.col("token_ids").alias("ids"), "exact")
 
 
 STAGES = [

@@ -219,6 +219,17 @@ def test_encoding_equals_the_library(spark, docs, odd, vocabulary):
     assert bpe.encoded(odd).count() == 13 and bpe.encoded(odd.limit(0)).count() == 0
 
 
+def test_the_pipeline_hands_back_checked_ids(spark, odd, monkeypatch):
+    import corpus_pipeline
+
+    library = Tokenizer.from_file(bpe.vocabulary_path())
+    rows = odd.select("doc_id", "text")
+    want = sorted(str(library.encode(r["text"] or "", add_special_tokens=False).ids) for r in rows.collect())
+    got = corpus_pipeline.tokens(spark, rows, "").collect()
+    assert sorted(str(r["ids"]) for r in got) == want and all(r["exact"] and r["n_tokens"] == len(r["ids"]) for r in got)
+    assert all(r["ids_sha256"] == hashlib.sha256(",".join(map(str, r["ids"])).encode()).hexdigest() for r in got)
+
+
 def test_transducer_is_minimal_and_exact(vocabulary):
     words = sorted({w.encode() for w in "the then there these thin thing things sing sings singing wing wings é été".split()})
     entries = {w: vocabulary.merge(w) for w in words}

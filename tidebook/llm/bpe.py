@@ -306,8 +306,9 @@ def lexicon_file(spark: SparkSession, docs: DataFrame, vocabulary: Vocabulary, m
     return name
 
 
-def encoded(docs: DataFrame, vocabulary: str | None = None, most: int = LEXICON_WORDS, digests: bool = False) -> DataFrame:
+def encoded(docs: DataFrame, vocabulary: str | None = None, most: int = LEXICON_WORDS, digests: bool = False, checked: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded) for each of docs; with digests, SHA-256 of ids and of the decoded text instead.
+    checked adds token_ids, the array itself, and exact: whether what the ids give back is the text (empty for a null one).
 
     ids is the array of token ids, decoded is what the ids give back. Null and empty texts have no ids. Strings of special
     tokens in a text become those tokens. Repeated rows each get a row; extra columns are ignored; texts of any
@@ -319,16 +320,21 @@ def encoded(docs: DataFrame, vocabulary: str | None = None, most: int = LEXICON_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, sha = _encoder(path, file), lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
         for b in batches:
-            n, first, second = [], [], []
-            for ids, back in encoder.encode([t or "" for t in b.column(1).to_pylist()]):
+            n, first, second, tokens, exact = [], [], [], [], []
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            for text, (ids, back) in zip(texts, encoder.encode(texts)):
                 n.append(ids.count(",") + 1 if ids else 0)
                 first.append(sha(ids) if digests else np.fromstring(ids, np.int32, sep=",") if ids else [])
                 second.append(sha(back) if digests else back)
+                if checked:
+                    tokens.append(np.fromstring(ids, np.int32, sep=",") if ids else [])
+                    exact.append(back == text)
             kind = pa.string() if digests else pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(first, kind), pa.array(second, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
+            more = [pa.array(tokens, pa.list_(pa.int32())), pa.array(exact, pa.bool_())] if checked else []
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(first, kind), pa.array(second, pa.string()), *more], ["doc_id", "n_tokens", "ids", "decoded", *(["token_ids", "exact"] if checked else [])])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, f"doc_id long, n_tokens long, ids {'string' if digests else 'array<int>'}, decoded string")
+    return rows.mapInArrow(run, f"doc_id long, n_tokens long, ids {'string' if digests else 'array<int>'}, decoded string{', token_ids array<int>, exact boolean' if checked else ''}")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
