@@ -26,7 +26,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import filesystem, read_table, scratch_path
+from tidebook.llm.common import bounded_batches, filesystem, read_table, scratch_path
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Words that the transducer holds at most, the most frequent first; all others are merged.
@@ -225,9 +225,9 @@ class Encoder:
         self.vocabulary, self.transducer = vocabulary, transducer
         self._any, self._ascii = regex.compile(PATTERN).findall, re.compile(ASCII_PATTERN, re.ASCII).findall
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
-        self._start()
+        self.forget()
 
-    def _start(self) -> None:
+    def forget(self) -> None:
         """Forget all pieces but the special tokens."""
         special = self.vocabulary.special
         self.ids_of = {t: str(i) for t, i in special.items()}
@@ -253,7 +253,7 @@ class Encoder:
                 size += len(texts[at])
                 at += 1
             if len(self.ids_of) > REMEMBERED:
-                self._start()
+                self.forget()
             self.learn(set().union(*pieces))
             ids, back = self.ids_of.__getitem__, self.bytes_of.__getitem__
             for own in pieces:
@@ -319,21 +319,24 @@ def encoded(docs: DataFrame, vocabulary: str | None = None, most: int = LEXICON_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, sha = _encoder(path, file), lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
-        for b in batches:
-            n, first, second, tokens, exact = [], [], [], [], []
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            for text, (ids, back) in zip(texts, encoder.encode(texts)):
-                n.append(ids.count(",") + 1 if ids else 0)
-                first.append(sha(ids) if digests else np.fromstring(ids, np.int32, sep=",") if ids else [])
-                second.append(sha(back) if digests else back)
-                if checked:
-                    tokens.append(np.fromstring(ids, np.int32, sep=",") if ids else [])
-                    exact.append(back == text)
-            kind = pa.string() if digests else pa.list_(pa.int32())
-            more = [pa.array(tokens, pa.list_(pa.int32())), pa.array(exact, pa.bool_())] if checked else []
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(first, kind), pa.array(second, pa.string()), *more], ["doc_id", "n_tokens", "ids", "decoded", *(["token_ids", "exact"] if checked else [])])
-
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+        try:
+            for b in batches:
+                n, first, second, tokens, exact = [], [], [], [], []
+                texts = [t or "" for t in b.column(1).to_pylist()]
+                for text, (ids, back) in zip(texts, encoder.encode(texts)):
+                    n.append(ids.count(",") + 1 if ids else 0)
+                    first.append(sha(ids) if digests else np.fromstring(ids, np.int32, sep=",") if ids else [])
+                    second.append(sha(back) if digests else back)
+                    if checked:
+                        tokens.append(np.fromstring(ids, np.int32, sep=",") if ids else [])
+                        exact.append(back == text)
+                kind = pa.string() if digests else pa.list_(pa.int32())
+                more = [pa.array(tokens, pa.list_(pa.int32())), pa.array(exact, pa.bool_())] if checked else []
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(first, kind), pa.array(second, pa.string()), *more], ["doc_id", "n_tokens", "ids", "decoded", *(["token_ids", "exact"] if checked else [])])
+        finally:
+            encoder.forget()  # the worker lives on and does other work
+
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(run, f"doc_id long, n_tokens long, ids {'string' if digests else 'array<int>'}, decoded string{', token_ids array<int>, exact boolean' if checked else ''}")
 
 

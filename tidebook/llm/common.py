@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A label may be learned only from rows whose crc32 remainder differs from this one.
 HELD_OUT_REMAINDER = 1
+#: What one Arrow batch of texts holds at most.
+BATCH_ROWS, BATCH_BYTES = 1024, "8m"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +47,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, after the session was told to hand Python at most BATCH_ROWS rows and BATCH_BYTES at a time.
+
+    Texts have any length, and both sides of the pipe hold a batch whole; a smaller setting of the session's own stays.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) != BATCH_BYTES:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the rows whose labels no model may see."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == HELD_OUT_REMAINDER
@@ -61,9 +76,10 @@ def salted_left_join(left: DataFrame, right: DataFrame, key: str, spread: Column
 
 
 def sampled_labels(docs: DataFrame, labels: DataFrame, target: str, max_rows: int) -> DataFrame:
-    """Labelled rows a model may learn from: not held out, label known, at most about `max_rows`.
+    """Labelled rows a model may learn from: not held out, label known, at most `max_rows`.
 
-    The sample is taken by a hash of doc_id, so it is the same on every run. Columns: doc_id, text, label.
+    The sample is the rows with the least hashes of doc_id, so it is the same on every run; a cut by the hash leaves
+    little more than max_rows rows to sort, however many labels there are. Columns: doc_id, text, label.
     Several rows of one doc_id in `labels` count once, and of one doc_id in `docs` the least text counts. The
     sampled labels are broadcast; max_rows bounds their size.
     """
@@ -74,8 +90,9 @@ def sampled_labels(docs: DataFrame, labels: DataFrame, target: str, max_rows: in
     )
     n = known.count()
     if n > max_rows:
-        share = int(1_000_000 * max_rows / n)
-        known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(target)), F.lit(1_000_000)) < share)
+        place = F.pmod(F.xxhash64("doc_id", F.lit(target)), F.lit(1_000_000))
+        share = 1_000_000 * (max_rows + 6 * max_rows**0.5) / n  # six deviations: enough rows in all but one of a billion samples
+        known = known.where(place <= share).orderBy(place, "doc_id").limit(max_rows)
     known = materialize(known, "labels")
     texts = docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return texts.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidebook.llm.common import held_out, materialize, read_table, sampled_labels
+from tidebook.llm.common import bounded_batches, held_out, materialize, read_table, sampled_labels
 
 #: Labelled rows that are learned from at most.
 MAX_LABELLED = 8_000
@@ -141,11 +141,11 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED) -> M
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [statistics(t or "") for t in b.column(0).to_pylist()]
+            made = [statistics(t.as_py() or "") for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array([x for x, _ in made], pa.list_(pa.float64())), pa.array([word_buckets(w) for _, w in made], pa.list_(pa.int64())), b.column(2)], ["label", "numbers", "buckets", "doc_id"])
 
-    rows = materialize(sample.select("text", "label", F.col("doc_id").cast("long")).mapInArrow(run, "label int, numbers array<double>, buckets array<long>, doc_id long"), "features")
-    known = rows.orderBy("doc_id").limit(2 * max_rows).toArrow().combine_chunks()  # the same order on every run
+    rows = materialize(bounded_batches(sample).select("text", "label", F.col("doc_id").cast("long")).mapInArrow(run, "label int, numbers array<double>, buckets array<long>, doc_id long"), "features")
+    known = rows.orderBy("doc_id").toArrow().combine_chunks()  # the same order on every run
     y = known.column("label").to_numpy().astype(float)
     k = len(STATISTICS)
     if not len(y):
@@ -156,32 +156,36 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED) -> M
     return fitted(flat("numbers").reshape(len(y), k), np.split(flat("buckets"), np.cumsum(lengths)[:-1]), y)
 
 
-def _with_score(rows: DataFrame, machine: Machine) -> DataFrame:
-    """rows (row, text) as (row, score)."""
+def scored(docs: DataFrame, machine: Machine) -> DataFrame:
+    """(doc_id, score) for each of docs: the probability that the quality label is 1.
+
+    Null texts score as empty ones. Rows with a null doc_id are scored too (held_out, a hash of the id, is null for
+    them); repeated rows each get a row; extra columns are ignored.
+    """
+    rows = bounded_batches(docs.select("doc_id", F.col("text").cast("string").alias("text")))
     shared = rows.sparkSession.sparkContext.broadcast(machine)  # about a megabyte, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m.score(t or "") for t in b.column(1).to_pylist()], pa.float64())], ["row", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m.score(t.as_py() or "") for t in b.column(1)], pa.float64())], ["doc_id", "score"])
 
-    return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], T.StructField("score", T.DoubleType())]))
 
 
-def scored(docs: DataFrame, machine: Machine) -> DataFrame:
-    """(doc_id, score) for each of docs: the probability that the quality label is 1.
+def good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """docs without those that score under the threshold; all columns, whatever their names, as before.
 
-    Null texts score as empty ones. Rows with a null doc_id are scored too; repeated rows each get a row; extra
-    columns are ignored.
+    A row goes through Python once, its text once in it, and only rows that stay come back.
     """
-    found = _with_score(docs.select(F.struct("doc_id").alias("row"), F.col("text").cast("string").alias("text")), machine)
-    return found.select("row.doc_id", "score")
+    shared, at = docs.sparkSession.sparkContext.broadcast(learn(docs, labels)), docs.columns.index("text")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for b in batches:
+            yield b.filter(pa.array([m.score(t.as_py() or "") >= threshold for t in b.column(at).cast(pa.string())], pa.bool_()))
 
-def good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without those that score under the threshold; all columns, whatever their names, as before."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
-    return _with_score(rows, learn(docs, labels)).where(F.col("score") >= threshold).select("row.*")
+    return bounded_batches(docs).mapInArrow(run, docs.schema)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

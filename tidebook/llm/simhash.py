@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidebook.llm.common import materialize, read_table, salted_left_join
+from tidebook.llm.common import bounded_batches, materialize, read_table, salted_left_join
 from tidebook.llm.components import connected_components
 
 #: Bits by which linked fingerprints may differ: in the query, and where near-duplicates are dropped. On texts with
@@ -70,7 +70,7 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint as a signed long. One row out for each row in; nulls and empty texts give 0."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprint_batches, "doc_id long, fp long")
+    return bounded_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprint_batches, "doc_id long, fp long")
 
 
 # --- comparison inside a bucket ------------------------------------------------------------------------------
@@ -269,8 +269,9 @@ def keep_one(docs: DataFrame, radius: int = DROP_RADIUS) -> DataFrame:
     if odd.isEmpty():  # ids name rows, so texts need not be hashed again
         gone = rows.join(shared, "fp").where("doc_id <> component_id").select("doc_id")
         return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    carried = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
-    fp = lambda batches: (pa.RecordBatch.from_arrays([b.column(0), pa.array([_signed(fingerprint(t.as_py())) for t in b.column(1)], pa.int64())], ["row", "fp"]) for b in batches)
+    carried, at = bounded_batches(docs).select(F.struct(*docs.columns).alias("row")), docs.columns.index("text")
+    texts = lambda b: b.column(0).field(at).cast(pa.string())  # noqa: E731  the text goes to Python once, in its row
+    fp = lambda batches: (pa.RecordBatch.from_arrays([b.column(0), pa.array([_signed(fingerprint(t.as_py())) for t in texts(b)], pa.int64())], ["row", "fp"]) for b in batches)
     all_rows = carried.mapInArrow(fp, T.StructType([carried.schema["row"], T.StructField("fp", T.LongType())])).join(shared, "fp", "left")
     group, name, own = F.coalesce("root", "fp"), F.coalesce("component_id", "row.doc_id"), F.col("row.doc_id")
     first = all_rows.where(own.eqNullSafe(name)).select(group.alias("group"), "row").groupBy("group").agg(F.min_by("row", F.coalesce("row.text", F.lit(""))).alias("row"))
