@@ -161,6 +161,7 @@ def test_secrets_odd_rows(odd, nothing):
 
 # --- surrogates -----------------------------------------------------------------------------------------------
 
+KEY = "of the tests"
 PII = [
     (1, "Mr. John Smith, +1 (504) 555-2652, John.Smith@mail4.example.com, 7.88.85.226, 4111 1111 1111 1111"),
     (2, "mail john.smith@mail4.example.com and 4111-1111-1111-1111; Frau Müller, Herr Müller, Dr Müller 078-05-1120"),
@@ -178,7 +179,7 @@ def luhn(digits):
 
 def test_surrogates_match_type_and_format(spark):
     df = spark.createDataFrame(PII, "doc_id long, text string")
-    got = {r["doc_id"]: r for r in pii.report(df).collect()}
+    got = {r["doc_id"]: r for r in pii.report(df, KEY).collect()}
     one, two = got[1]["text"], got[2]["text"]
     assert got[1]["kinds"] == ["card", "email", "ip", "name", "phone"] and got[2]["kinds"] == ["card", "email", "name", "name", "name", "ssn"]
     m = re.fullmatch(r"Mr\. ([A-Z]\w+) ([A-Z]\w+), \+\d \(\d{3}\) \d{3}-\d{4}, ([A-Z]\w+\.[A-Z]\w+@\w+\.\w+\.com), (\d+\.\d+\.\d+\.\d+), (\d{4} \d{4} \d{4} \d{4})", one)
@@ -196,14 +197,14 @@ def test_surrogates_are_distinct_even_where_they_clash(spark):
     rows = [(i, f"to {a}{b}@a.de!") for i, (a, b) in enumerate((a, b) for a in "aeiou" for b in "aeiou")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     known = pii.entities(df)
-    assert pii.attempts(known).count() > 0
-    got = [r["text"][3:-1] for r in pii.replaced(df).collect()]
+    assert pii.attempts(known, KEY).count() > 0
+    got = [r["text"][3:-1] for r in pii.replaced(df, KEY).collect()]
     assert len(set(got)) == len(rows) and not set(got) & {t[3:-1] for _, t in rows}
 
 
 def test_a_person_stays_one_person(spark):
     texts = ["Dr Meyer, Frau Meyer, Frau Anna Meyer, Dr Anna Meyer", "Herr Otto Meyer and Frau Weber", *[f"Frau {a}a Meyer" for a in ("Ir", "Ber", "Ev", "Lis", "Mon", "Sar", "Tin", "Ell", "Jan", "Lin", "Ev", "Nin", "Kir", "Vik", "Ut", "In", "Min", "Din", "Ren")]]
-    got = [r["text"] for r in pii.replaced(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    got = [r["text"] for r in pii.replaced(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), KEY).orderBy("doc_id").collect()]
     m = re.fullmatch(r"Dr (\w+), Frau (\w+), Frau ([\w-]+) (\w+), Dr ([\w-]+) (\w+)", got[0])
     assert m and m[1] == m[2] == m[4] == m[6] != "Meyer" and m[3] == m[5] and m[3].split("-")[0] in pii.GIVEN["latin"]["f"]
     n = re.fullmatch(r"Herr ([\w-]+) (\w+) and Frau (\w+)", got[1])
@@ -219,18 +220,18 @@ def test_surrogates_never_run_out(spark, monkeypatch):
     names = [f"{a}{b}" for a in "ABCDEFGH" for b in ("eno", "ilo", "oru", "und", "elp")]
     phones = ["+1 23 45 67"]
     df = spark.createDataFrame([(0, " ; ".join(addresses)), (1, " ; ".join(f"Dr {n}" for n in names)), (2, " ; ".join(phones))], "doc_id long, text string")
-    got = {r["doc_id"]: r["text"] for r in pii.replaced(df).collect()}
+    got = {r["doc_id"]: r["text"] for r in pii.replaced(df, KEY).collect()}
     made, surnames = got[0].split(" ; "), got[1].split(" ; ")
     assert len(set(made)) == len(addresses) and not set(made) & set(addresses) and all(re.fullmatch(r"\w+@[\w-]+\.de", m) for m in made)
     assert len(set(surnames)) == len(names) and not set(surnames) & {f"Dr {n}" for n in names} and all(re.fullmatch(r"Dr [A-Z][a-z]+", n) for n in surnames)
     unit = spark.sql("select 'phone' kind, '1234567' norm, 'n' gender, a attempt from values 0, 1, 2, 3, 4 t(a)")
-    longer = [r[0] for r in unit.select(pii.written(F.lit("+1 23 45 67"), F.col("kind"), pii.surrogate(F.col("kind"), F.col("norm"), F.col("gender"), F.col("attempt")))).collect()]
+    longer = [r[0] for r in unit.select(pii.written(F.lit("+1 23 45 67"), F.col("kind"), pii.surrogate(F.col("kind"), F.col("norm"), F.col("gender"), F.col("attempt"), KEY))).collect()]
     assert [len(re.sub(r"\D", "", x)) for x in longer] == [7, 7, 8, 8, 9] and all(re.fullmatch(r"\+\d \d\d \d\d \d+", x) for x in longer)
 
 
 def test_surrogates_odd_rows(odd, nothing):
-    got = pii.replaced(odd)
-    assert got.columns == odd.columns and got.count() == 13 and pii.replaced(nothing).count() == 0
+    got = pii.replaced(odd, KEY)
+    assert got.columns == odd.columns and got.count() == 13 and pii.replaced(nothing, KEY).count() == 0
     texts = {r["text"] for r in got.where("doc_id = 5").collect()}
     assert len(texts) == 2 and not any("mail.example" in t or "4026083977531332" in t for t in texts)
     keep = lambda df: sorted(map(str, df.where("doc_id is null or doc_id <> 5").collect()))

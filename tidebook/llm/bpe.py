@@ -26,7 +26,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import bounded_batches, filesystem, read_table, scratch_path
+from tidebook.llm.common import bounded_batches, filesystem, materialize, read_table, scratch_path
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Words that the transducer holds at most, the most frequent first; all others are merged.
@@ -288,10 +288,22 @@ def _encoder(path: str, file: str) -> Encoder:
 
 
 def frequent_pieces(docs: DataFrame, most: int = LEXICON_WORDS) -> list[str]:
-    """The most frequent pieces over all documents that occur twice or more, at most `most` (a bounded list)."""
+    """The most frequent pieces over all documents that occur twice or more, at most `most` (a bounded list).
+
+    How many pieces have each count (high counts in steps of about a hundredth) is a table of some thousand rows; it
+    tells from which count on the pieces fit, so nothing is sorted and no task sees more than its share.
+    """
     pieces = docs.select(F.explode(F.regexp_extract_all(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(PATTERN), F.lit(0))).alias("piece"))
     counted = pieces.where(F.octet_length("piece") <= LEXICON_BYTES).groupBy("piece").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return counted.orderBy(F.desc("n"), "piece").limit(most).select("piece").toArrow().column(0).to_pylist()
+    step = F.when(F.col("n") < 1024, F.col("n")).otherwise(F.floor(F.log2("n") * 64) + 384).cast("int")
+    counted = materialize(counted.select("piece", step.alias("step")), "pieces")
+    cut, taken = None, 0
+    for r in sorted(counted.groupBy("step").count().collect(), reverse=True):
+        taken += r["count"]
+        if taken > most:
+            break
+        cut = r["step"]
+    return [] if cut is None else counted.where(F.col("step") >= cut).select("piece").toArrow().column(0).to_pylist()
 
 
 def lexicon_file(spark: SparkSession, docs: DataFrame, vocabulary: Vocabulary, most: int = LEXICON_WORDS) -> str:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 HELD_OUT_REMAINDER = 1
 #: What one Arrow batch of texts holds at most.
 BATCH_ROWS, BATCH_BYTES = 1024, "8m"
+#: Narrow rows (some 100 bytes) that are broadcast at most; larger tables are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,14 +67,28 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == HELD_OUT_REMAINDER
 
 
-def salted_left_join(left: DataFrame, right: DataFrame, key: str, spread: Column, salts: int = 16) -> DataFrame:
+def salted_left_join(left: DataFrame, right: DataFrame, key: str, spread: Column, salts: int = 16, how: str = "left") -> DataFrame:
     """Left join on `key` where one key may hold a large share of `left` and each key has one row in `right`.
 
     Left rows of a key are dealt over `salts` buckets by `spread`; each right row is copied into every bucket.
     """
     dealt = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return dealt.join(copies, [key, "_salt"], "left").drop("_salt")
+    return dealt.join(copies, [key, "_salt"], how).drop("_salt")
+
+
+def looked_up(left: DataFrame, right: DataFrame, key: str, spread: Column, how: str = "left") -> DataFrame:
+    """The same join (left, left_anti, left_semi or inner): right, a stored table of narrow rows, is counted, broadcast
+    where it has at most BROADCAST_ROWS rows, and joined by a salted shuffle beyond that."""
+    if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), key, how)
+    return salted_left_join(left, right, key, spread, how=how)
+
+
+def running_sums(numbers: Column) -> Column:
+    """The prefix sums of an array of numbers, in n log n steps: each round adds what stands 1, 2, 4 ... places before."""
+    steps = F.when(F.size(numbers) > 1, F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.size(numbers))).cast("int") - 1), lambda k: F.pow(F.lit(2), k).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(steps, numbers, lambda sums, step: F.transform(sums, lambda x, i: F.when(i >= step, x + F.get(sums, i - step)).otherwise(x)))
 
 
 def sampled_labels(docs: DataFrame, labels: DataFrame, target: str, max_rows: int) -> DataFrame:

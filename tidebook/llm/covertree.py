@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import materialize, read_table
+from tidebook.llm.common import looked_up, materialize, read_table, salted_left_join
 from tidebook.llm.components import connected_components
 
 COSINE = 0.95
@@ -341,8 +341,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     counts = found.groupBy("vk").agg(F.sum("n").alias("n"))
     named = points.select("vk", "key", "first", "weight").join(counts, "vk", "left").join(roots.withColumnRenamed("node", "vk"), "vk", "left").withColumn("root", F.coalesce("root", "vk"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = materialize(named.where("weight > 1 or n > 0").join(least, "root").select("key", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id"), "named")
-    return narrow.join(of, "key", "left").select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    of = materialize(salted_left_join(named.where("weight > 1 or n > 0"), least, "root", F.col("vk")).select("key", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id"), "named")
+    return looked_up(narrow, of, "key", F.col("vec_id")).select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
 
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import materialize, read_table
+from tidebook.llm.common import looked_up, materialize, read_table, salted_left_join
 
 WINDOW = 10
 #: What stands between words once A-Z are lower-cased: ASCII without 0-9 and a-z.
@@ -90,8 +90,10 @@ def _verified(docs: DataFrame, grams: DataFrame, probed: DataFrame) -> DataFrame
     places = probed.where("width > 0").groupBy("key").agg(F.collect_set(F.struct("at", "width", "hash")).alias("places"))
     places = materialize(places, "candidates")
     n = places.agg(F.sum(F.size("places"))).first()[0] or 0
-    texts = docs.select(text_key(F.col("text")).alias("key"), "text").join(F.broadcast(places) if n <= BROADCAST_WINDOWS else places, "key")
-    own = texts.select("key", "places", words(F.col("text")).alias("w"))
+    texts = docs.select(text_key(F.col("text")).alias("key"), "text", *([F.col("doc_id")] if "doc_id" in docs.columns else []))
+    wanted = texts.join(F.broadcast(places.select("key")), "key", "left_semi") if n <= BROADCAST_WINDOWS else salted_left_join(texts, places.select("key"), "key", F.col("doc_id") if "doc_id" in docs.columns else F.lit(0), how="left_semi")
+    once = wanted.groupBy("key").agg(F.min("text").alias("text"))  # copies become one before they are shuffled
+    own = once.join(F.broadcast(places) if n <= BROADCAST_WINDOWS else places, "key").select("key", "places", words(F.col("text")).alias("w"))
     each = own.select("key", F.explode(F.transform("places", lambda p: F.struct(p["at"].alias("at"), p["width"].alias("width"), p["hash"].alias("hash"), F.slice("w", p["at"], p["width"]).alias("gram")))).alias("p")).select("key", "p.*")
     runs = each.join(grams, ["width", "hash", "gram"]).groupBy("key").agg(F.collect_set(F.struct("at", "width")).alias("runs"), F.array_distinct(F.flatten(F.collect_set("item_ids"))).alias("item_ids"))
     hit = F.flatten(F.transform("runs", lambda r: F.sequence(r["at"], r["at"] + r["width"] - 1)))
@@ -106,7 +108,8 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
     grams = materialize(benchmark_windows(benchmark, window), "windows")
     found = materialize(_probed(docs, grams, counted=True), "probed")
     hits = materialize(_verified(docs, grams, found).select("key", F.size("hit").cast("long").alias("n_hit"), "item_ids"), "hits")
-    joined = found.where("width = 0").select("doc_id", "key", (F.col("at") - 1).cast("long").alias("n_words")).join(hits, "key", "left")
+    joined = found.where("width = 0").select("doc_id", "key", (F.col("at") - 1).cast("long").alias("n_words"))
+    joined = looked_up(joined, hits, "key", F.col("doc_id"))
     return joined.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
 
 
@@ -117,16 +120,19 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     with what follows them up to the next word. Rows are otherwise unchanged, null texts included.
     """
     grams = materialize(benchmark_windows(benchmark, window), "windows")
-    texts = docs.select(F.lit(None).cast("long").alias("doc_id"), "text")
+    texts = docs.select(F.col("doc_id") if "doc_id" in docs.columns else F.lit(None).cast("long").alias("doc_id"), "text")
     found = materialize(_verified(texts, grams, materialize(_probed(texts, grams, counted=False), "probed")), "hits")
     rows = docs.select(F.struct(*docs.columns).alias("row"), text_key(F.col("text")).alias("key"))
+    beside = [F.col("row")[c] for c in docs.columns if c != "text"]
+    spread = F.xxhash64(*beside) if beside else F.lit(0)
     if not spans:
-        return rows.join(found.select("key"), "key", "left_anti").select("row.*")
-    joined, text = rows.join(found.select("key", "hit"), "key", "left"), F.col("row.text")
+        return looked_up(rows, found.select("key"), "key", spread, "left_anti").select("row.*")
+    joined, text = salted_left_join(rows, found.select("key", "hit"), "key", spread), F.col("row.text")
     own, gaps = F.regexp_extract_all(text, F.lit(CASED_WORD), F.lit(0)), F.split(text, CASED_WORD, -1)
-    hit = F.map_from_arrays("hit", F.transform("hit", lambda _: F.lit(True)))
+    # one flag for each word up to the last that is hit, from the places in their order
+    hit = F.flatten(F.transform("hit", lambda x, i: F.concat(F.array_repeat(F.lit(False), x - F.coalesce(F.get("hit", i - 1), F.lit(0)) - 1), F.array(F.lit(True)))))
     each = F.zip_with(own, F.slice(gaps, F.lit(2), F.size(own)), lambda w, gap: F.concat(w, gap))
-    left = F.transform(each, lambda w, i: F.when(F.coalesce(F.try_element_at(hit, i + 1), F.lit(False)), F.lit("")).otherwise(w))
+    left = F.zip_with(each, hit, lambda w, gone: F.when(F.coalesce(gone, F.lit(False)), F.lit("")).otherwise(w))
     cut = F.when(F.col("hit").isNull(), text).otherwise(F.concat(F.get(gaps, F.lit(0)), F.array_join(left, "")))
     return joined.select(*[cut.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 

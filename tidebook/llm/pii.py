@@ -1,13 +1,15 @@
 """Personal data replaced by surrogates: keyed, of the same type and format, distinct, and the same for the same entity.
 
 A surrogate is a function of a secret key, the entity's kind and normal form, and an attempt number: digits stay
-digits, letters stay letters of their script and case, cards keep their check-sum remainder, names come from lists
-of the title's gender. A surname has one surrogate with any title and given name, and a full name one given name, so
-a person stays one person; a full name after a title of neither gender takes the gender it has elsewhere. All distinct entities of the corpus are checked once: where two share a surrogate, or a
-surrogate is itself an entity of the corpus, the later one tries again until no clash is left. Later attempts draw
-from wider spaces (longer names, addresses and phone numbers), so that a free one exists however many entities a form
-has; the nine digits of an SSN, the check-summed ones of a card and the octets of an IP address stay. Texts are rebuilt
-row by row; only texts with an entity that needed another attempt take part in a join. DataFrame functions only.
+digits, letters stay letters of their script and case, cards keep their check-sum remainder and account numbers a right
+one, names come from lists of the title's gender. A surname has one surrogate with any title and given name, and a full
+name one given name, so a person stays one person; a full name after a title of neither gender takes the gender it has
+elsewhere. A name that a title made known in a text is replaced wherever else it stands there, alone or in full, in
+capitals too. All distinct entities of the corpus are checked once: where two share a surrogate, or a surrogate is
+itself an entity of the corpus, the later one tries again until no clash is left. Later attempts draw from wider spaces
+(longer names, addresses and phone numbers), so that a free one exists however many entities a form has; the nine digits
+of an SSN, the check-summed ones of a card or account and the octets of an IP address stay. Texts are rebuilt row by
+row; only texts with an entity that needed another attempt take part in a join. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -17,33 +19,55 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import materialize, read_table
+from tidebook.llm.common import materialize, read_table, salted_left_join
 from tidebook.llm.decontamination import text_key
 
-#: The key of surrogates; a run of one's own sets another.
-KEY = os.environ.get("TIDEBOOK_PII_KEY", "tidebook")
+#: Where a run's secret key is looked for: a session setting, then an environment variable.
+KEY_SETTING, KEY_VARIABLE = "spark.tidebook.pii.key", "TIDEBOOK_PII_KEY"
+#: The key of the registered queries where none is set. It is no secret: it only serves tables that hold invented people.
+QUERY_KEY = "tidebook"
+#: Rounds that settle clashes. Spaces widen with the attempts, so more are never needed; a guard against a defect.
 MAX_ROUNDS = 60
 #: Attempts in one space; the next ones draw from a space that is a part, letter or digit longer.
 WIDEN = 2
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-#: Titles of each gender; those of neither stand in the third list. Fixed words of four languages.
-TITLES = {"f": ["Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Señora", "Sra"], "m": ["Mr", "Herr", "M", "Monsieur", "Señor", "Sr"], "n": ["Dr", "Prof"]}
-_TITLE = "|".join(t for own in TITLES.values() for t in sorted(own, key=len, reverse=True))
-_NAME = r"[\p{Lu}][\p{Ll}\p{M}]+(?:[-'][\p{Lu}][\p{Ll}\p{M}]+)?"
+_HEX = r"[0-9A-Fa-f]{1,4}"
+#: Titles of each gender; those of neither stand in the third list. Fixed words of six languages.
+TITLES = {
+    "f": "Mrs Ms Miss Frau Mme Madame Mlle Mademoiselle Señora Sra Señorita Srta Госпожа госпожа Г-жа г-жа Κυρία κυρία Κα κα".split(),
+    "m": "Mr Herr Herrn M Monsieur Señor Sr Sir Господин господин Г-н г-н Κύριος κύριος Κος κος κ".split(),
+    "n": "Dr Prof Professor Doctor Доктор доктор Д-р д-р Профессор профессор Проф проф Δρ Καθ".split(),
+}
+_TITLE = "|".join(sorted((t for own in TITLES.values() for t in own), key=len, reverse=True))
+#: Titles in capitals, which stand before names in capitals only.
+SHOUTED = {"f": "MRS MISS FRAU MME SEÑORA SRA".split(), "m": "MR HERR SEÑOR SR".split(), "n": "DR PROF".split()}
+_SHOUTED = "|".join(sorted((t for own in SHOUTED.values() for t in own), key=len, reverse=True))
+#: Words between or before the parts of a name; they stay as they are.
+PARTICLES = "de da del della di do dos das du la le van von vom der den ter ten zu zur al el bin ibn af av".split()
+_WORD = r"(?:\p{Lu}['’])?\p{Lu}[\p{L}\p{M}]+(?:[-'’]\p{Lu}[\p{L}\p{M}]+){0,3}"
+_BETWEEN = rf"(?:\p{{Lu}}\.[ ]?){{0,3}}(?:(?:{'|'.join(PARTICLES)})[ ]){{0,3}}"
+_NAME = rf"{_BETWEEN}{_WORD}(?:[ ]{_BETWEEN}{_WORD})?"
+_CAPITALS = r"\p{Lu}[\p{Lu}\p{M}'’-]+"
+_LETTER = r"[\p{L}\p{M}\p{N}_]"
 #: Kinds in the order in which they are tried at one place of a text.
 KINDS = {
-    "email": r"[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){1,8}",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++){1,126}",
+    "ipv6": rf"(?<![\w:.])(?=[A-Fa-f:]*\d)(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}}|::(?:{_HEX}:){{0,6}}{_HEX}|(?:{_HEX}:){{1,7}}:)(?![\w:])",
     "ip": rf"(?<![\w.]){_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}(?!\.?\w)",
+    "iban": r"(?<!\w)[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?!\w)",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<!\w)\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])",
     "card": r"(?<![\w.-])\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7}(?![\w-])|(?<![\w.-])3[47]\d{2}[ -]?\d{6}[ -]?\d{5}(?![\w-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "name": rf"(?<=\b(?:{_TITLE})\.?[ ]){_NAME}(?: {_NAME})?",
+    "name": rf"(?<!{_LETTER})(?:(?:(?:{_TITLE})\.?[ ]){{1,3}}{_NAME}|(?:(?:{_SHOUTED})\.?[ ]){{1,2}}{_CAPITALS}(?:[ ]{_CAPITALS})?)",
 }
-#: One expression for all kinds. The card's inner group is the only one, so its number holds here too.
-ANY = "|".join(f"(?:{p})" for p in KINDS.values())
+#: One expression for all kinds, none of which begins inside a word. The card's inner group is the only one, so its
+#: number holds here too.
+ANY = "(?<![A-Za-z0-9])(?:" + "|".join(f"(?:{p})" for p in KINDS.values()) + ")"
 #: What every text with an entity holds: a cheap look before the expression above.
-GATE = rf"@|\d{{3}}|\d\.\d|\+\d|(?:{_TITLE})\.?[ ]\p{{Lu}}"
+GATE = rf"@|\d{{3}}|\d\.\d|\+\d|:[0-9A-Fa-f]{{0,4}}:|(?:{_TITLE}|{_SHOUTED})\.?[ ](?:\p{{Lu}}|(?:{'|'.join(PARTICLES)})[ ])"
+#: Stands on either side of an entity in a marked text.
+_MARK = "\u0001"
 #: Given names by gender and parts of surnames by script; a surname takes three parts.
 GIVEN = {
     "latin": {"f": "Ada Clara Dora Edith Flora Greta Hanna Irma Julia Karin Laura Marta Nora Olga Paula Rosa".split(), "m": "Albert Bruno Carl David Emil Felix Georg Hugo Ivan Jonas Kurt Leon Martin Noel Otto Peter".split()},
@@ -55,20 +79,43 @@ PARTS = {
     "cyrillic": "бар вен гор дал жук зан кол лем мор нел пол ран сел тор фед чер".split(),
     "greek": "βαρ γεν δορ ζαν θελ καν λεμ μορ νελ πολ ραν σελ τορ φιλ χαν ψαλ".split(),
 }
-_ENDS = {"latin": "", "cyrillic": "ов", "greek": "ος"}
+#: Ends of surnames, and those that a surname gets whose own end is a woman's.
+_ENDS = {"latin": ("", ""), "cyrillic": ("ов", "ова"), "greek": ("ος", "ου")}
+_WOMEN = "[ая]$|ου$"
+
+
+def query_key(spark: SparkSession) -> str:
+    """The key that is set, or that of the registered queries."""
+    return spark.conf.get(KEY_SETTING, None) or os.environ.get(KEY_VARIABLE) or QUERY_KEY
 
 
 def kind_of(entity: Column) -> Column:
     """The kind of a matched entity, told by its characters: all kinds but names hold digits or an at sign."""
     digits = F.regexp_replace(entity, r"\D", "")
-    out = F.when(entity.contains("@"), "email").when(F.length(digits) == 0, "name")
+    out = F.when(entity.contains("@"), "email").when(F.length(digits) == 0, "name").when(entity.contains(":"), "ipv6").when(entity.rlike(r"^[A-Z]"), "iban")
     out = out.when(entity.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"), "ip").when(entity.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
     return out.when(entity.rlike(r"^[+(]|^\d{3}[.-]\d{3}[.-]\d{4}$"), "phone").otherwise("card")
 
 
+def _title(entity: Column) -> Column:
+    """The titles before a name, with the blank after them; empty where it stands alone."""
+    return F.regexp_extract(entity, rf"^(?:(?:{_TITLE}|{_SHOUTED})\.?[ ])*", 0)
+
+
+def _name_parts(entity: Column) -> tuple[Column, Column, Column]:
+    """What stays before the given name, the given name (empty if there is none), and the last word of a name."""
+    title = _title(entity)
+    body = F.substring(entity, F.length(title) + 1, F.length(entity))
+    first, last = F.substring_index(body, " ", 1), F.substring_index(body, " ", -1)
+    given = body.contains(" ") & ~F.lower(first).isin(PARTICLES) & ~first.rlike(r"^\p{Lu}\.")
+    return title, F.when(given, first).otherwise(""), last
+
+
 def normal(entity: Column, kind: Column) -> Column:
-    """What makes two spellings one entity: digits alone of numbers, lower case of addresses and names."""
-    return F.when(kind.isin("phone", "card", "ssn"), F.regexp_replace(entity, r"\D", "")).otherwise(F.lower(entity))
+    """What makes two spellings one entity: digits alone of numbers, lower case of addresses; of names given and last one."""
+    _, given, last = _name_parts(entity)
+    name = F.lower(F.when(given == "", last).otherwise(F.concat_ws(" ", given, last)))
+    return F.when(kind.isin("phone", "card", "ssn"), F.regexp_replace(entity, r"\D", "")).when(kind == "name", name).when(kind == "iban", F.lower(F.replace(entity, F.lit(" "), F.lit("")))).otherwise(F.lower(entity))
 
 
 def _byte(digest: Column, i: Column) -> Column:
@@ -100,6 +147,15 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.split(F.reverse(digits), ""), start, add, lambda acc: F.pmod(acc["sum"], F.lit(10)))
 
 
+def _mod97(chars: Column) -> Column:
+    """The remainder by 97 of an account number, letters counting from 10."""
+
+    def add(acc: Column, c: Column) -> Column:
+        return F.when(c.rlike("[0-9]"), F.pmod(acc * 10 + c.cast("int"), F.lit(97))).otherwise(F.pmod(acc * 100 + F.ascii(c) - 87, F.lit(97)))
+
+    return F.aggregate(F.split(chars, ""), F.lit(0), lambda acc, c: add(acc, c).cast("int"))
+
+
 def _wider(attempt: Column) -> Column:
     """How many parts, letters or digits an attempt's surrogate has beyond its form."""
     return F.floor(attempt / WIDEN).cast("int")
@@ -122,7 +178,7 @@ def _part(script: str, digest: Column, i: Column) -> Column:
 def _surname(norm: Column, digest: Column, attempt: Column) -> Column:
     """A surname of the same script."""
     part = lambda script: lambda i: _part(script, digest, i)
-    return _by_script(norm, lambda s: F.concat(F.initcap(F.concat(*[part(s)(F.lit(i)) for i in range(1, 5)], _more(_wider(attempt), part(s)))), F.lit(_ENDS[s])))
+    return _by_script(norm, lambda s: F.concat(F.initcap(F.concat(*[part(s)(F.lit(i)) for i in range(1, 5)], _more(_wider(attempt), part(s)))), F.when(norm.rlike(_WOMEN), _ENDS[s][1]).otherwise(_ENDS[s][0])))
 
 
 def _given(norm: Column, digest: Column, gender: Column, attempt: Column) -> Column:
@@ -141,7 +197,7 @@ def _split_name(norm: Column) -> tuple[Column, Column]:
     return F.when(norm.contains(" "), F.substring_index(norm, " ", 1)).otherwise(""), F.substring_index(norm, " ", -1)
 
 
-def surrogate(kind: Column, norm: Column, gender: Column, attempt: Column, key: str = KEY) -> Column:
+def surrogate(kind: Column, norm: Column, gender: Column, attempt: Column, key: str) -> Column:
     """The surrogate of an entity's normal form, itself in normal form (names and addresses of machines as written).
 
     Names come in two kinds, surname (norm: the surname) and given (norm: the full name, of which only the given name counts).
@@ -159,10 +215,17 @@ def surrogate(kind: Column, norm: Column, gender: Column, attempt: Column, key:
     # the last digit counts once in the check sum, so any remainder can be met
     card = F.concat(head, F.pmod(_luhn(norm) - _luhn(F.concat(head, F.lit("0"))), F.lit(10)).cast("string"))
     longer = F.concat(digits, _more(_wider(attempt), lambda i: F.pmod(_byte(digest, i), F.lit(10)).cast("string")))
+    hexed = F.array_join(F.transform(F.split(norm, ""), lambda c, i: F.when(c == ":", c).otherwise(_one("0123456789abcdef", _byte(digest, i)))), "")
+    groups = F.concat(hexed, _more(_wider(attempt), lambda i: F.concat(F.lit(":"), F.substring(digest, F.pmod(i, F.lit(60)) + 1, F.lit(4)))))
+    inner = F.array_join(F.transform(F.split(F.substring(norm, F.lit(5), F.length(norm)), ""), lambda c, i: F.when(c.rlike("[0-9]"), F.pmod(_byte(digest, i), F.lit(10)).cast("string")).otherwise(_one("abcdefghijklmnopqrstuvwxyz", _byte(digest, i)))), "")
+    country = F.substring(norm, 1, 2)
+    account = F.concat(country, F.lpad((F.lit(98) - _mod97(F.concat(inner, country, F.lit("00")))).cast("string"), 2, "0"), inner)
     octet = lambda i: (F.pmod(_byte(digest, F.lit(i)), F.lit(254)) + 1).cast("string")
     return (
         F.when(kind == "email", address)
         .when(kind == "ip", F.concat_ws(".", *[octet(i) for i in range(4)]))
+        .when(kind == "ipv6", groups)
+        .when(kind == "iban", account)
         .when(kind == "card", card)
         .when(kind == "surname", _surname(norm, digest, attempt))
         .when(kind == "given", _given(word, digest, gender, attempt))
@@ -179,29 +242,62 @@ def written(entity: Column, kind: Column, replacement: Column) -> Column:
     at, more = F.instr(entity, "@") - 1, F.greatest(F.length(replacement) - F.length(entity), F.lit(0))
     place = lambda i: F.when(i < at, i).when(i >= at + more, i - more)  # noqa: E731  where a character stands in the entity
     address = F.array_join(F.transform(F.split(replacement, ""), lambda c, i: F.when(F.get(chars, place(i)).rlike(r"\p{Lu}"), F.upper(c)).otherwise(c)), "")
-    shouted = F.when(F.upper(entity) == entity, F.upper(replacement)).otherwise(replacement)
-    return F.when(kind.isin("phone", "card", "ssn"), number).when(kind == "email", address).when(kind == "name", shouted).otherwise(replacement)
+    spaced = F.array_join(F.transform(chars, lambda c, i: F.when(c == " ", c).otherwise(F.substring(F.upper(replacement), F.length(F.replace(F.substring(entity, F.lit(1), i + 1), F.lit(" "), F.lit(""))), F.lit(1)))), "")
+    loud = lambda own, new: F.when(F.upper(own) == own, F.upper(new)).otherwise(new)
+    title, given, last = _name_parts(entity)
+    inside = F.length(title) + F.length(given)  # particles and initials stand between this place and the last word
+    middle = F.substring(entity, inside + 1, F.length(entity) - inside - F.length(last))
+    name = F.concat(title, F.when(given == "", F.lit("")).otherwise(loud(given, F.substring_index(replacement, " ", 1))), middle, loud(last, F.substring_index(replacement, " ", -1)))
+    return F.when(kind.isin("phone", "card", "ssn"), number).when(kind == "email", address).when(kind == "name", name).when(kind == "iban", spaced).when(kind == "ipv6", loud(entity, replacement)).otherwise(replacement)
+
+
+def _marked(text: Column, pattern: Column) -> Column:
+    """A text in pieces: what stands before the first match, the match, what follows it, the next match ...
+
+    The expression runs once over the text, which gets marks around each match; texts that hold the mark themselves
+    are taken apart in two runs.
+    """
+    once = F.split(F.regexp_replace(text, pattern, F.lit(f"{_MARK}$0{_MARK}")), _MARK, -1)
+    matches, gaps = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
+    twice = F.flatten(F.transform(F.arrays_zip(gaps.alias("gap"), matches.alias("match")), lambda z: F.array(z["gap"], z["match"])))
+    return F.when(text.contains(_MARK), F.slice(twice, F.lit(1), F.size(gaps) + F.size(matches))).otherwise(once)
+
 
+def _gender(entity: Column) -> Column:
+    """The gender that the titles before a name tell."""
+    words = F.split(F.replace(_title(entity), F.lit("."), F.lit("")), " ")
+    has = lambda g: F.arrays_overlap(words, F.array(*map(F.lit, TITLES[g] + SHOUTED[g])))
+    return F.when(has("f"), "f").when(has("m"), "m").otherwise("n")
 
-def _matches(text: Column) -> tuple[Column, Column]:
-    return F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), F.split(text, ANY, -1)
 
+_FOUND = "array<struct<entity:string,kind:string,norm:string,gender:string>>"
 
-def _gender(before: Column) -> Column:
-    """The gender that the title before a name tells."""
-    title = F.regexp_extract(before, rf"({_TITLE})\.?[ ]$", 1)
-    return F.when(title.isin(TITLES["f"]), "f").when(title.isin(TITLES["m"]), "m").otherwise("n")
+
+def _told(entity: Column) -> Column:
+    kind = kind_of(entity)
+    return F.struct(entity.alias("entity"), kind.alias("kind"), normal(entity, kind).alias("norm"), F.when(kind == "name", _gender(entity)).otherwise("n").alias("gender"))
+
+
+def _odd(pieces: Column) -> Column:
+    return F.filter(pieces, lambda _, i: i % 2 == 1)
 
 
 def found_in(text: Column) -> Column:
-    """array of (entity, kind, norm, gender), in the order of the text. A name's gender is that of its title."""
-    whole, gaps = _matches(text)
+    """array of (entity, kind, norm, gender), in the order of the text, of what is found by its form or title."""
+    return F.transform(_odd(_marked(text, F.lit(ANY))), _told)
+
+
+def _again(found: Column) -> Column:
+    """The expression for a text with names: as before, or a name that a title made known, in full or its last word."""
 
-    def one(z: Column) -> Column:
-        entity, kind = z["entity"], kind_of(z["entity"])
-        return F.struct(entity.alias("entity"), kind.alias("kind"), normal(entity, kind).alias("norm"), F.when(kind == "name", _gender(z["before"])).otherwise("n").alias("gender"))
+    def forms(e: Column) -> Column:
+        title, _, last = _name_parts(e["entity"])
+        own = F.array(F.substring(e["entity"], F.length(title) + 1, F.length(e["entity"])), last)
+        return F.concat(own, F.transform(own, F.upper))
 
-    return F.transform(F.arrays_zip(whole.alias("entity"), F.slice(gaps, F.lit(1), F.size(whole)).alias("before")), one)
+    known = F.array_distinct(F.flatten(F.transform(F.filter(found, lambda e: e["kind"] == "name"), forms)))
+    longest = F.array_sort(known, lambda a, b: F.when(F.length(a) == F.length(b), F.when(a < b, -1).when(a > b, 1).otherwise(0)).otherwise(F.length(b) - F.length(a)))
+    return F.concat(F.lit(f"{ANY}|(?<!{_LETTER})(?:"), F.replace(F.array_join(longest, "|"), F.lit("."), F.lit(r"\.")), F.lit(f")(?!{_LETTER})"))
 
 
 def _held(docs: DataFrame) -> DataFrame:
@@ -226,7 +322,7 @@ def _units(found: DataFrame) -> DataFrame:
     return found.select(*rest, F.explode(own).alias("u")).select(*rest, "u.*").distinct()
 
 
-def attempts(known: DataFrame, key: str = KEY) -> DataFrame:
+def attempts(known: DataFrame, key: str) -> DataFrame:
     """(kind, norm, gender, shown, attempt) of the units whose surrogate is not that of attempt 0 and their own gender.
 
     After each round, a unit tries again if its surrogate is one of the corpus or also that of another one that comes
@@ -267,9 +363,21 @@ def _rewritten(docs: DataFrame, key: str) -> DataFrame:
         rows = rows.withColumn("tries", F.lit(None).cast("map<string,struct<attempt:int,shown:string>>"))
     else:
         tries = _units(held).join(retried, ["kind", "norm", "gender"]).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "gender", "norm"), F.struct("attempt", "shown")))).alias("tries"))
-        rows = rows.join(materialize(tries, "tries"), "key", "left")
-    none = F.array().cast("array<struct<entity:string,kind:string,norm:string,gender:string>>")
-    rows = rows.select("row", "text", "tries", F.when(F.col("text").rlike(GATE), found_in(F.col("text"))).otherwise(none).alias("found"))
+        beside = [F.col("row")[c] for c in docs.columns if c != "text"]  # copies of one text are told apart, and dealt, by these
+        rows = salted_left_join(rows, materialize(tries, "tries"), "key", F.xxhash64(*beside) if beside else F.lit(0))
+    none = F.array().cast("array<string>")
+    rows = rows.withColumn("pieces", F.when(F.col("text").rlike(GATE), _marked(F.col("text"), F.lit(ANY))).otherwise(none))
+    rows = rows.withColumn("first", F.transform(_odd(F.col("pieces")), _told))
+    named = F.exists("first", lambda e: e["kind"] == "name")
+    rows = rows.withColumn("pieces", F.when(named, _marked(F.col("text"), _again(F.col("first")))).otherwise(F.col("pieces")))
+
+    def gendered(e: Column) -> Column:
+        """A name without a title is that of the first title that it has in the text."""
+        same = F.filter("first", lambda f: (f["kind"] == "name") & (f["norm"] == e["norm"]))
+        gender = F.when((e["kind"] == "name") & (_title(e["entity"]) == ""), F.coalesce(F.get(same, F.lit(0))["gender"], e["gender"])).otherwise(e["gender"])
+        return F.struct(e["entity"].alias("entity"), e["kind"].alias("kind"), e["norm"].alias("norm"), gender.alias("gender"))
+
+    rows = rows.withColumn("found", F.when(named, F.transform(F.transform(_odd(F.col("pieces")), _told), gendered)).otherwise(F.col("first")))
 
     def of(kind: Column, norm: Column, gender: Column) -> Column:
         one = F.try_element_at(F.col("tries"), F.concat_ws("|", kind, gender, norm))
@@ -282,26 +390,28 @@ def _rewritten(docs: DataFrame, key: str) -> DataFrame:
 
     made = F.transform("found", lambda e: F.struct(e["entity"].alias("entity"), e["kind"].alias("kind"), whole(e).alias("made")))
     new = F.transform(made, lambda e: written(e["entity"], e["kind"], e["made"]))
-    gaps = F.split("text", ANY, -1)
+    gaps = F.filter("pieces", lambda _, i: i % 2 == 0)
     rebuilt = F.concat(F.get(gaps, F.lit(0)), F.array_join(F.zip_with(new, F.slice(gaps, F.lit(2), F.size(gaps)), lambda s, gap: F.concat(s, gap)), ""))
     return rows.select("row", "found", F.when(F.size("found") > 0, rebuilt).otherwise(F.col("text")).alias("text"))
 
 
-def replaced(docs: DataFrame, key: str = KEY) -> DataFrame:
+def replaced(docs: DataFrame, key: str) -> DataFrame:
     """docs with all personal data replaced in text; all columns, whatever their names, as before.
 
     Null texts stay null, empty ones empty. Equal entities get equal surrogates in every row, different ones different
-    surrogates, and names that share a surname share its surrogate. Repeated rows each get a row; columns beside text are left alone.
+    surrogates, and names that share a surname share its surrogate. A given name alone, and an address of the
+    net's sixth version in another spelling, are not told to be the same. Repeated rows each get a row; columns beside
+    text are left alone.
     """
     return _rewritten(docs, key).select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
-def report(docs: DataFrame, key: str = KEY) -> DataFrame:
+def report(docs: DataFrame, key: str) -> DataFrame:
     """(doc_id, text, n_entities, kinds): the new text, and the kinds of its entities, sorted, one for each."""
     found = _rewritten(docs.select("doc_id", "text"), key)
     return found.select("row.doc_id", "text", F.size("found").cast("long").alias("n_entities"), F.array_sort(F.transform("found", lambda e: e["kind"])).alias("kinds"))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = report(read_table(spark, sf_dir, "documents"))
+    found = report(read_table(spark, sf_dir, "documents"), query_key(spark))
     return found.select("doc_id", "text", "n_entities", F.array_join("kinds", ",").alias("kinds"))

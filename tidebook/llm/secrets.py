@@ -15,7 +15,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import materialize, read_table
+from tidebook.llm.common import looked_up, materialize, read_table, running_sums
 from tidebook.llm.decontamination import text_key
 
 
@@ -165,16 +165,14 @@ def spans(text: Column, rule: Rule, rank: int) -> Column:
     judged = F.regexp_extract_all(text, lit, F.lit(rule.group)) if rule.group else matches
     gaps = F.split(text, lit, -1)
 
-    def step(acc: Column, m: Column) -> Column:
-        start = acc["at"] + F.length(m["gap"])
-        end = start + F.length(m["whole"])
-        own = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end")))
-        kept = F.when(F.length(m["judged"]) >= rule.least, F.concat(acc["out"], own)).otherwise(acc["out"])
-        return F.struct(end.alias("at"), kept.alias("out"))
+    def one(m: Column) -> Column:
+        return F.struct((m["end"] - m["length"]).alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), m["end"].alias("end"), m["judged"].alias("judged"))
 
-    zipped = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(matches)).alias("gap"), matches.alias("whole"), judged.alias("judged"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
-    return F.when(F.size(matches) > 0, F.aggregate(zipped, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(_SPANS))
+    lengths = F.transform(matches, lambda m: F.length(m))
+    ends = running_sums(F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), lengths, lambda gap, n: F.length(gap) + n))
+    zipped = F.arrays_zip(ends.alias("end"), lengths.alias("length"), F.transform(judged, lambda j: F.length(j)).alias("judged"))
+    kept = F.filter(F.transform(zipped, one), lambda s: s["judged"] >= rule.least)
+    return F.when(F.size(matches) > 0, F.transform(kept, lambda s: F.struct(*[s[c].alias(c) for c in ("start", "rank", "kind", "end")]))).otherwise(F.array().cast(_SPANS))
 
 
 def secrets(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
@@ -186,7 +184,8 @@ def secrets(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     indexed = {k for k, *_ in clauses(rules)}
     index = materialize(postings(docs, sorted({t for _, _, t, _ in clauses(rules)})), "postings")
     found = materialize(candidates(index, rules), "candidates")
-    rows = docs.select("doc_id", text.alias("text")).withColumn("key", text_key(F.col("text"))).join(found, "key", "left")
+    rows = docs.select("doc_id", text.alias("text")).withColumn("key", text_key(F.col("text")))
+    rows = looked_up(rows, found, "key", F.col("doc_id"))
     none = F.array().cast(_SPANS)
     each = [spans(F.col("text"), r, i) if r.kind not in indexed else F.when(F.array_contains("kinds", r.kind), spans(F.col("text"), r, i)).otherwise(none) for i, r in enumerate(rules)]
     return rows.select("doc_id", F.array_sort(F.concat(*each)).alias("spans"))

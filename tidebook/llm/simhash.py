@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidebook.llm.common import bounded_batches, materialize, read_table, salted_left_join
+from tidebook.llm.common import bounded_batches, looked_up, materialize, read_table, salted_left_join
 from tidebook.llm.components import connected_components
 
 #: Bits by which linked fingerprints may differ: in the query, and where near-duplicates are dropped. On texts with
@@ -166,7 +166,7 @@ def _links_of(groups: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndar
 
 def _link_batches(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     """Rows (k, sub, fp) sorted by all three; the last group of a batch waits for the next batch."""
-    rest = np.empty((0, 3), np.int64)
+    waiting: list[np.ndarray] = []  # rows of one group
 
     def out(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not len(rows):
@@ -177,11 +177,18 @@ def _link_batches(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["src", "dst"])
 
     for b in batches:
-        rows = np.concatenate([rest, np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1)])
-        last = np.flatnonzero((rows[:, :2] == rows[-1, :2]).all(1))[0] if len(rows) else 0
-        yield from out(rows[:last])
-        rest = rows[last:]
-    yield from out(rest)
+        if not b.num_rows:
+            continue
+        rows = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1)
+        last = np.flatnonzero((rows[:, :2] == rows[-1, :2]).all(1))[0]
+        if waiting and (last or (rows[0, :2] != waiting[0][0, :2]).any()):  # the group that waits ends in this batch
+            yield from out(np.concatenate([*waiting, rows[:last]]))
+            waiting = []
+        elif last:
+            yield from out(rows[:last])
+        waiting.append(rows[last:])
+    if waiting:
+        yield from out(np.concatenate(waiting))
 
 
 def _bits(pieces: list[tuple[int, int]]) -> Column:
@@ -226,12 +233,11 @@ def _sub_keys(radius: int) -> Column:
 def fingerprint_links(distinct: DataFrame, hot_bucket: int = HOT_BUCKET, radius: int = RADIUS) -> DataFrame:
     """Distinct fp -> (src, dst) links within `radius` bits that join all components (not all pairs)."""
     keyed = distinct.select("fp", F.explode(_keys([[b] for b in bands(radius, 64)])).alias("k"))
-    sizes = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = keyed.join(sizes, "k")
-    cold = shared.where(F.col("n") <= hot_bucket).select("k", F.lit(-1).cast("long").alias("sub"), "fp")
-    hot = shared.where(F.col("n") > hot_bucket).select("k", F.explode(_sub_keys(radius)).alias("sub"), "fp")
+    sizes = materialize(keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_bucket), "hot")  # few: each has over hot_bucket fingerprints
+    marked = looked_up(keyed, sizes, "k", F.col("fp"))
+    sub = F.when(F.col("n").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(_sub_keys(radius))
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = cold.unionByName(hot).repartition(parts, "k", "sub").sortWithinPartitions("k", "sub", "fp")
+    dealt = marked.select("k", F.explode(sub).alias("sub"), "fp").repartition(parts, "k", "sub").sortWithinPartitions("k", "sub", "fp")
     return dealt.mapInArrow(lambda batches: _link_batches(batches, radius), "src long, dst long")
 
 

@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import held_out, materialize, read_table, sampled_labels
+from tidebook.llm.common import bounded_batches, held_out, materialize, read_table, sampled_labels
 
-#: Labelled rows that are learned from at most; entries that the lexicon takes at most.
-MAX_LABELLED, MAX_ENTRIES = 20_000, 4_096
+#: Labelled rows that are learned from at most.
+MAX_LABELLED = 20_000
 #: An entry needs so many toxic texts and such log odds.
 LEAST_TEXTS, LEAST_ODDS = 4, 1.6
 #: Word beginnings of these lengths may be entries.
@@ -55,16 +55,15 @@ _FAR = re.compile("[^\x00-\xac\xae-İĲ-ɏ]|\xad")
 #: Digits and signs that stand for letters.
 _STANDS = str.maketrans("03457@$", "oeastas")
 _SIGNED = re.compile(r"(?<![^\W\d_])[@$](?=[^\W_])|(?<=[^\W_])[@$!|](?=[^\W_])")
-_DIGITS = re.compile(r"\w*\d\w*")
+_DIGIT = re.compile(r"\d")
 _SPELLED = re.compile(r"(?<![^\W_])[^\W_](?:([ .*_-])[^\W_])(?:\1[^\W_]){2,}(?![^\W_])")
 _STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
 _WORDS = re.compile(r"[^\W_]+")
 
 
-def _undigit(m: re.Match) -> str:
+def _undigit(word: str) -> str:
     """A word with digits as letters; 1, ! and | may be i or l, so both readings follow each other."""
-    word = m.group()
-    if word.isdigit() or not any(c.isalpha() for c in word):
+    if word.isalpha() or word.isdigit() or not any(c.isalpha() for c in word):
         return word
     word = word.translate(_STANDS)
     return word if "1" not in word else word.replace("1", "i") + " " + word.replace("1", "l")
@@ -82,8 +81,10 @@ def fold(text: str) -> tuple[str, int]:
         text = _SPELLED.sub(lambda m: m.group().replace(m.group(1), ""), text)
     if _STRETCHED.search(text):
         text = _STRETCHED.sub(r"\1", text)
-    text = _DIGITS.sub(_undigit, text)
-    return " " + " ".join(_WORDS.findall(text)) + " ", max(1, n)
+    words = _WORDS.findall(text)
+    if _DIGIT.search(text):
+        words = map(_undigit, words)
+    return " " + " ".join(words) + " ", max(1, n)
 
 
 @dataclass
@@ -116,8 +117,15 @@ def features(text: str, automaton: ahocorasick.Automaton) -> list[float]:
             covered.append((start, end))
         elif weight > hits.get(start, 0.0):
             hits[start] = weight
-    for a, b in covered:
-        hits = {s: w for s, w in hits.items() if not a <= s < b}
+    if covered and hits:
+        covered.sort(reverse=True)
+        until, left = -1, {}
+        for s in sorted(hits):  # one sweep over places and phrases: until is the farthest end of those that begin before s
+            while covered and covered[-1][0] <= s:
+                until = max(until, covered.pop()[1])
+            if s >= until:
+                left[s] = hits[s]
+        hits = left
     total, strong = sum(hits.values()), [w for w in hits.values() if w >= 4]
     return [total / (n + 8), len(strong) / (n + 8), np.log1p(len(strong)), max(hits.values(), default=0.0), np.log1p(total), np.log1p(n)]
 
@@ -198,7 +206,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED) -> L
     if toxic and clean:
         odds = F.log((F.col("toxic") + 0.5) / (toxic + 1.0) / ((F.col("clean") + 0.5) / (clean + 1.0)))
         found = entry_counts(sample.where(half == 0)).where(F.col("toxic") >= LEAST_TEXTS).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
-        best = found.orderBy(F.desc(F.col("odds") * F.log1p("toxic")), "entry").limit(MAX_ENTRIES).collect()
+        best = found.select("entry", "odds").collect()  # what LEAST_TEXTS of at most max_rows texts share with such odds
         weights |= {r["entry"]: float(r["odds"]) for r in best}
     lexicon = Lexicon(weights)
     rows = _with_features(sample.where(half == 1), lexicon, ["label"]).collect()  # at most max_rows short lists
@@ -213,7 +221,7 @@ def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     Null and empty texts have no hits and the score of that. Rows with a null doc_id are scored too; repeated rows each
     get a row; extra columns are ignored.
     """
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    rows = bounded_batches(docs.select("doc_id", F.col("text").cast("string").alias("text")))
     types = dict(rows.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

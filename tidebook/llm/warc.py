@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import filesystem, materialize, read_table, scratch_path
+from tidebook.llm.common import filesystem, looked_up, materialize, read_table, scratch_path
 
 #: Magic number of the skippable frame that holds the dictionary, as the WARC-Zstandard specification fixes it.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -29,6 +29,8 @@ DICTIONARY_ROWS, DICTIONARY_BYTES, SAMPLE_BYTES = 256, 64 << 10, 16 << 10
 #: Records of payloads with fewer bytes are never revisits.
 LEAST_REVISIT = 0
 ARCHIVE_BYTES = 64 << 20
+#: What is read at a time; what follows a frame in it is copied once for each frame.
+READ_BYTES = 64 << 10
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -108,11 +110,11 @@ def read_archive(source) -> Iterator[dict]:
     if dictionary[:4] == struct.pack("<I", FRAME_MAGIC):
         dictionary = zstandard.ZstdDecompressor().decompress(dictionary, max_output_size=1 << 27)
     decoder = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
-    rest = source.read(1 << 20)
+    rest = source.read(READ_BYTES)
     while rest:
         frame, parts = decoder.decompressobj(), []
         while not frame.eof:
-            rest = rest or source.read(1 << 20)
+            rest = rest or source.read(READ_BYTES)
             if not rest:
                 raise ArchiveError("torn record")
             try:
@@ -121,7 +123,7 @@ def read_archive(source) -> Iterator[dict]:
                 raise ArchiveError(f"bad frame: {e}") from e
             rest = frame.unused_data if frame.eof else b""
         yield parse_record(b"".join(parts))
-        rest = rest or source.read(1 << 20)
+        rest = rest or source.read(READ_BYTES)
 
 
 def write_archives(pages: DataFrame, folder: str, dictionary: bytes) -> DataFrame:
@@ -232,7 +234,7 @@ def archive(pages: DataFrame, least: int = LEAST_REVISIT) -> tuple[DataFrame, st
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), _payload().alias("payload"), F.sha1(_payload()).alias("sha1"))
     firsts = rows.where(F.octet_length("payload") >= least).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha1", "first")
     firsts = materialize(firsts, "firsts")
-    repeats = rows.select("page_id", "sha1").join(firsts, "sha1").where("page_id <> first").select("page_id", "sha1", "first").distinct()
+    repeats = looked_up(rows.select("page_id", "sha1"), firsts, "sha1", F.col("page_id"), "inner").where("page_id <> first").select("page_id", "sha1", "first").distinct()
     known = materialize(repeats, "repeats")
     typed = rows.join(known, ["page_id", "sha1"], "left")
     typed = typed.select("page_id", "url", "payload", _base32(F.col("sha1")).alias("digest"), F.when(F.col("first").isNull(), "response").otherwise("revisit").alias("record_type"), F.col("first").alias("refers_to"))
