@@ -31,7 +31,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """n_chars follows the new text where the table has it."""
-    done = pii.replaced(docs)
+    done = pii.replaced(docs, pii.query_key(spark))
     own = [F.length("text").cast(done.schema["n_chars"].dataType).alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns]
     return done.select(*own)
 
