@@ -105,7 +105,7 @@ def surrogate(kind, norm, g, attempt, key):
     if kind == "ip":
         return ".".join(str(byte(i) % 254 + 1) for i in range(4))
     if kind == "ipv6":
-        return "".join(c if c == ":" else "0123456789abcdef"[byte(i) % 16] for i, c in enumerate(norm)) + more(lambda i: ":" + digest[i % 60 :][:4])
+        return "".join(c if c == ":" else "0123456789abcdef"[byte(i) % 16] for i, c in enumerate(norm)) + more(lambda i: f":{byte(i) * 256 + byte(i + 16):04x}")
     if kind == "iban":
         inner = "".join(str(byte(i) % 10) if c.isdigit() else chr(97 + byte(i) % 26) for i, c in enumerate(norm[4:]))
         check = 98 - int("".join(str(int(c, 36)) for c in inner + norm[:2] + "00")) % 97

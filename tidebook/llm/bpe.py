@@ -327,7 +327,7 @@ def encoded(docs: DataFrame, vocabulary: str | None = None, most: int = LEXICON_
     length are encoded whole.
     """
     path = vocabulary or vocabulary_path()
-    file = lexicon_file(docs.sparkSession, docs, _vocabulary(path), most)
+    file = lexicon_file(docs.sparkSession, docs, Vocabulary(path), most)  # not kept: the driver has no further use for it
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, sha = _encoder(path, file), lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()

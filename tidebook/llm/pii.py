@@ -118,10 +118,20 @@ def normal(entity: Column, kind: Column) -> Column:
     return F.when(kind.isin("phone", "card", "ssn"), F.regexp_replace(entity, r"\D", "")).when(kind == "name", name).when(kind == "iban", F.lower(F.replace(entity, F.lit(" "), F.lit("")))).otherwise(F.lower(entity))
 
 
+def _let(value: Column, then) -> Column:
+    """then(value), the value being worked out once, however often it is named."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _bytes(key: str, kind: Column, word: Column, attempt: Column) -> Column:
+    """The 32 bytes of the keyed digest of an entity and an attempt, as numbers."""
+    digest = F.sha2(F.concat_ws("|", F.lit(key), kind, word, attempt.cast("string")).cast("binary"), 256)
+    return _let(digest, lambda d: F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.conv(F.substring(d, 2 * i + 1, F.lit(2)), 16, 10).cast("int")))
+
+
 def _byte(digest: Column, i: Column) -> Column:
-    """The i-th byte of a hexadecimal digest, from 0; i wraps at its length and the round is added."""
-    at = F.pmod(i, F.lit(32)) * 2 + 1
-    return F.conv(F.substring(digest, at, F.lit(2)), 16, 10).cast("int") + F.floor(i / 32).cast("int")
+    """The i-th byte of a digest, from 0; i wraps at its length and the round is added."""
+    return F.get(digest, F.pmod(i, F.lit(32))) + F.floor(i / 32).cast("int")
 
 
 def _one(letters: str, n: Column) -> Column:
@@ -197,43 +207,58 @@ def _split_name(norm: Column) -> tuple[Column, Column]:
     return F.when(norm.contains(" "), F.substring_index(norm, " ", 1)).otherwise(""), F.substring_index(norm, " ", -1)
 
 
-def surrogate(kind: Column, norm: Column, gender: Column, attempt: Column, key: str) -> Column:
-    """The surrogate of an entity's normal form, itself in normal form (names and addresses of machines as written).
-
-    Names come in two kinds, surname (norm: the surname) and given (norm: the full name, of which only the given name counts).
-    """
-    word = F.when(kind == "given", _split_name(norm)[0]).otherwise(norm)
-    digest = F.sha2(F.concat_ws("|", F.lit(key), kind, word, attempt.cast("string")).cast("binary"), 256)
+def _by_form(kind: Column, norm: Column, digest: Column, attempt: Column) -> Column:
+    """The surrogate of an entity that is no name."""
     host = F.substring_index(norm, ".", -1)  # the last label of an address stays
-    body = F.when(kind == "email", F.substring(norm, F.lit(1), F.length(norm) - F.length(host))).otherwise(norm)
-    mapped = F.array_join(F.transform(F.split(body, ""), lambda c, i: _letter(c, _byte(digest, i))), "")
-    extra = _more(_wider(attempt), lambda i: F.get(F.split(F.lit("bcdfghklmnprstvw"), ""), F.pmod(_byte(digest, i), F.lit(16))))
-    at = F.instr(mapped, "@")
-    address = F.concat(F.substring(mapped, F.lit(1), at - 1), extra, F.substring(mapped, at, F.length(mapped)), host)
-    digits = F.array_join(F.transform(F.split(norm, ""), lambda c, i: F.when(i == 0, F.when(c == "0", c).otherwise((F.pmod(_byte(digest, i), F.lit(9)) + 1).cast("string"))).otherwise(F.pmod(_byte(digest, i), F.lit(10)).cast("string"))), "")
-    head = F.substring(digits, F.lit(1), F.length(digits) - 1)
+    body = F.substring(norm, F.lit(1), F.length(norm) - F.length(host))
+    each = lambda text, one: F.array_join(F.transform(F.split(text, ""), lambda c, i: _let(_byte(digest, i), lambda n: one(c, i, n))), "")
+    number = lambda n: F.pmod(n, F.lit(10)).cast("string")
+    extra = _more(_wider(attempt), lambda i: _one("bcdfghklmnprstvw", _byte(digest, i)))
+    address = _let(each(body, lambda c, i, n: _letter(c, n)), lambda m: F.concat(F.substring_index(m, "@", 1), extra, F.lit("@"), F.substring_index(m, "@", -1), host))
+    digits = each(norm, lambda c, i, n: F.when(i > 0, number(n)).when(c == "0", c).otherwise((F.pmod(n, F.lit(9)) + 1).cast("string")))
     # the last digit counts once in the check sum, so any remainder can be met
-    card = F.concat(head, F.pmod(_luhn(norm) - _luhn(F.concat(head, F.lit("0"))), F.lit(10)).cast("string"))
-    longer = F.concat(digits, _more(_wider(attempt), lambda i: F.pmod(_byte(digest, i), F.lit(10)).cast("string")))
-    hexed = F.array_join(F.transform(F.split(norm, ""), lambda c, i: F.when(c == ":", c).otherwise(_one("0123456789abcdef", _byte(digest, i)))), "")
-    groups = F.concat(hexed, _more(_wider(attempt), lambda i: F.concat(F.lit(":"), F.substring(digest, F.pmod(i, F.lit(60)) + 1, F.lit(4)))))
-    inner = F.array_join(F.transform(F.split(F.substring(norm, F.lit(5), F.length(norm)), ""), lambda c, i: F.when(c.rlike("[0-9]"), F.pmod(_byte(digest, i), F.lit(10)).cast("string")).otherwise(_one("abcdefghijklmnopqrstuvwxyz", _byte(digest, i)))), "")
-    country = F.substring(norm, 1, 2)
-    account = F.concat(country, F.lpad((F.lit(98) - _mod97(F.concat(inner, country, F.lit("00")))).cast("string"), 2, "0"), inner)
+    card = _let(F.substring(digits, F.lit(1), F.length(norm) - 1), lambda head: F.concat(head, F.pmod(_luhn(norm) - _luhn(F.concat(head, F.lit("0"))), F.lit(10)).cast("string")))
+    longer = F.concat(digits, _more(_wider(attempt), lambda i: number(_byte(digest, i))))
     octet = lambda i: (F.pmod(_byte(digest, F.lit(i)), F.lit(254)) + 1).cast("string")
+    hexed = each(norm, lambda c, i, n: F.when(c == ":", c).otherwise(_one("0123456789abcdef", n)))
+    groups = F.concat(hexed, _more(_wider(attempt), lambda i: F.concat(F.lit(":"), F.lpad(F.lower(F.hex(_byte(digest, i) * 256 + _byte(digest, i + 16))), 4, "0"))))
+    inner = each(F.substring(norm, F.lit(5), F.length(norm)), lambda c, i, n: F.when(c.rlike("[0-9]"), number(n)).otherwise(_one("abcdefghijklmnopqrstuvwxyz", n)))
+    country = F.substring(norm, 1, 2)
+    account = _let(inner, lambda x: F.concat(country, F.lpad((F.lit(98) - _mod97(F.concat(x, country, F.lit("00")))).cast("string"), 2, "0"), x))
     return (
         F.when(kind == "email", address)
         .when(kind == "ip", F.concat_ws(".", *[octet(i) for i in range(4)]))
         .when(kind == "ipv6", groups)
         .when(kind == "iban", account)
         .when(kind == "card", card)
-        .when(kind == "surname", _surname(norm, digest, attempt))
-        .when(kind == "given", _given(word, digest, gender, attempt))
         .when(kind == "phone", longer)
         .otherwise(digits)
     )
 
 
+def surname_for(norm: Column, attempt: Column, key: str) -> Column:
+    """The surrogate of a surname in lower case."""
+    return _let(_bytes(key, F.lit("surname"), norm, attempt), lambda digest: _surname(norm, digest, attempt))
+
+
+def given_for(norm: Column, gender: Column, attempt: Column, key: str) -> Column:
+    """The surrogate of the given name of a full name in lower case."""
+    return _let(_split_name(norm)[0], lambda word: _let(_bytes(key, F.lit("given"), word, attempt), lambda digest: _given(word, digest, gender, attempt)))
+
+
+def form_for(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
+    """The surrogate of what is no name."""
+    return _let(_bytes(key, kind, norm, attempt), lambda digest: _by_form(kind, norm, digest, attempt))
+
+
+def surrogate(kind: Column, norm: Column, gender: Column, attempt: Column, key: str) -> Column:
+    """The surrogate of an entity's normal form, itself in normal form (names and addresses of machines as written).
+
+    Names come in two kinds, surname (norm: the surname) and given (norm: the full name, of which only the given name counts).
+    """
+    return F.when(kind == "surname", surname_for(norm, attempt, key)).when(kind == "given", given_for(norm, gender, attempt, key)).otherwise(form_for(kind, norm, attempt, key))
+
+
 def written(entity: Column, kind: Column, replacement: Column) -> Column:
     """A surrogate in the entity's own format: punctuation and blanks of numbers, case of addresses. What is longer stays."""
     chars = F.split(entity, "")
@@ -338,7 +363,7 @@ def attempts(known: DataFrame, key: str) -> DataFrame:
     given, surname = _split_name(F.col("norm"))
     for _ in range(MAX_ROUNDS):
         named = now.withColumn("surrogate", F.lower(surrogate(F.col("kind"), F.col("norm"), F.col("gender"), F.col("attempt"), key)))
-        named = named.withColumn("reached", F.when(F.col("kind") == "given", F.concat_ws(" ", "surrogate", surname)).otherwise(F.col("surrogate")))
+        named = materialize(named.withColumn("reached", F.when(F.col("kind") == "given", F.concat_ws(" ", "surrogate", surname)).otherwise(F.col("surrogate"))), "named")
         first = named.groupBy("kind", "reached").agg(F.min(F.struct("attempt", "norm", "gender")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
         shared = named.join(first, ["kind", "reached"]).where(F.struct("attempt", "norm", "gender") != F.col("first")).select("kind", "norm", "gender")
         real = now.where("kind <> 'given'").select("kind", F.col("norm").alias("reached")).distinct()
@@ -379,14 +404,16 @@ def _rewritten(docs: DataFrame, key: str) -> DataFrame:
 
     rows = rows.withColumn("found", F.when(named, F.transform(F.transform(_odd(F.col("pieces")), _told), gendered)).otherwise(F.col("first")))
 
-    def of(kind: Column, norm: Column, gender: Column) -> Column:
+    def tried(kind: Column, norm: Column, gender: Column, then) -> Column:
+        """then(gender, attempt) as they are after clashes."""
         one = F.try_element_at(F.col("tries"), F.concat_ws("|", kind, gender, norm))
-        return surrogate(kind, norm, F.coalesce(one["shown"], gender), F.coalesce(one["attempt"], F.lit(0)), key)
+        return _let(one, lambda t: then(F.coalesce(t["shown"], gender), F.coalesce(t["attempt"], F.lit(0))))
 
     def whole(e: Column) -> Column:
-        surname = of(F.lit("surname"), _split_name(e["norm"])[1], F.lit("n"))
-        name = F.when(e["norm"].contains(" "), F.concat_ws(" ", of(F.lit("given"), e["norm"], e["gender"]), surname)).otherwise(surname)
-        return F.when(e["kind"] == "name", name).otherwise(of(e["kind"], e["norm"], e["gender"]))
+        norm = e["norm"]
+        surname = _let(_split_name(norm)[1], lambda last: tried(F.lit("surname"), last, F.lit("n"), lambda _, n: surname_for(last, n, key)))
+        given = F.when(norm.contains(" "), F.concat(tried(F.lit("given"), norm, e["gender"], lambda g, n: given_for(norm, g, n, key)), F.lit(" "))).otherwise("")
+        return F.when(e["kind"] == "name", F.concat(given, surname)).otherwise(tried(e["kind"], norm, e["gender"], lambda _, n: form_for(e["kind"], norm, n, key)))
 
     made = F.transform("found", lambda e: F.struct(e["entity"].alias("entity"), e["kind"].alias("kind"), whole(e).alias("made")))
     new = F.transform(made, lambda e: written(e["entity"], e["kind"], e["made"]))
