@@ -4,6 +4,7 @@ import gzip
 import json
 from collections import defaultdict
 from datetime import datetime, timezone
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,6 +102,40 @@ def test_tables_replay_what_was_recorded(spark, folder):
     assert text(lake.replay(spark, folder, start, end)) == text(lake.replay(spark, folder, start, end, parquet=True))
 
 
+def test_hours_are_pruned_before_they_are_read(spark, tmp_path):
+    path = write_raw(tmp_path, rich())
+    hours = raw.list_hours(spark, path)
+    lake.compact(spark, path, closed_before=hours[1][:2])
+    every = [r["line"] for r in raw.canonical(lake.replay(spark, path)).collect()]
+    mixed = lake.replay(spark, path, parquet=None)
+    assert [r["line"] for r in mixed.collect()] == every and raw.digest(mixed) == raw.digest(lake.replay(spark, path))
+    plain, filed = lake.planned_hours(spark, path)
+    assert filed == {hours[0][:2]} and [h[:2] for h in plain] == [h[:2] for h in hours[1:]]
+    read = {f.rsplit("raw/", 1)[1] for f in mixed.inputFiles() if "/raw/" in f}
+    assert read == {h[2].rsplit("raw/", 1)[1] for h in hours[1:]}
+    day = hours[0][0]
+    assert raw.digest(lake.day_events(spark, path, day, parquet=False)) == raw.digest(lake.day_events(spark, path, day))
+    assert lake.day_events(spark, path, "2001-01-01").count() == 0
+
+
+def test_compaction_reports_and_leaves_no_side_folders(spark, tmp_path):
+    path = write_raw(tmp_path, rich(), bad=True)
+    done = lake.compact(spark, path, force=True).collect()
+    assert all(r["first_bad"] == 4 for r in done if r["bad"]) and sum(r["bad"] for r in done) > 0
+    assert not [p.name for p in Path(path, "parquet").iterdir() if p.name.startswith("_new")]
+    rows = {(r["table_name"], str(r["date"]), r["hour"]): r["n"] for r in lake.rows_filed(spark, path).collect()}
+    assert sum(n for (t, *_), n in rows.items() if t == "market_opens") == lake.read_table(spark, path, "market_opens").count() > 0
+
+
+def test_replay_summary(spark, folder):
+    events = lake.replay(spark, folder)
+    one = book.replay_summary(events).first()
+    assert one["events"] == len(rich()) and one["digest"] == book.replay_summary(lake.replay(spark, folder, parquet=True)).first()["digest"]
+    stats = book.verified_books(events).collect()
+    assert one["markets"] == len(stats) and one["changes"] == sum(r["changes"] for r in stats)
+    assert book.replay_summary(events.where("kind <> 'book_snapshot'")).first()["digest"] != one["digest"]
+
+
 def test_encoding_round_trip(spark, folder):
     events = lake.replay(spark, folder)
     again = raw.events_of(raw.parsed(raw.encoded(events)))

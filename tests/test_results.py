@@ -4,18 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidebook.functions import scalars as S
-from tidebook.functions.rng import Rng, text_hash
 from tidebook.operators import analytics as A
-from tidebook.operators import simulate as sim
-
-
-def test_generator_repeats_and_forks():
-    a, b = Rng(42), Rng(42)
-    assert [a.word() for _ in range(50)] == [b.word() for _ in range(50)] and len({a.word() for _ in range(500)}) > 495
-    assert Rng("x").word() == Rng(text_hash("x")).word() != Rng("y").word()
-    assert all(0 <= a.uniform() < 1 and 3 <= a.below(3, 7) < 7 for _ in range(200))
-    assert a.fork("p").word() != a.fork("q").word()
-    assert text_hash("") == 2166136261 and text_hash("a") == 0xE40C292C and text_hash("foobar") == 0xBF9CF968
+from tidebook.operators import results as sim
 
 
 def test_scalars(spark):
@@ -27,28 +17,6 @@ def test_scalars(spark):
     assert (row["a"], row["b"], row["c"], row["d"], row["e"], row["f"], row["g"], row["h"], row["i"], row["j"]) == (-2, 1.75, 0.00007, 0.0, 0.0, pytest.approx(0.35), True, False, 0xBF9CF968, 1790283600000)
 
 
-def test_quotes():
-    q = sim.Quoting()
-    assert sim.quotes(0.5, 0.0, 0.0, 10**6, q) == (0.49, 0.51)
-    assert sim.quotes(0.5, 0.0, 500.0, 10**6, q)[0] is None and sim.quotes(0.5, 0.0, -500.0, 10**6, q)[1] is None
-    assert sim.quotes(0.5, 0.0, 0.0, 59_999, q) == (None, None) and sim.quotes(0.005, 0.0, 0.0, 10**6, q)[0] is None
-
-
-def test_queue_latency_and_trades_through(spark):
-    steps = [
-        ("level", 0, "BUY", 0.49, 320.0), ("level", 0, "SELL", 0.52, 10.0), ("fair", 0, None, 0.5, 0.0),
-        ("trade", 1_000, "SELL", 0.49, 300.0), ("fair", 1_200, None, 0.45, 0.0), ("level", 1_240, "BUY", 0.49, 0.0), ("trade", 1_250, "SELL", 0.49, 180.0), ("trade", 9_000, "BUY", 0.60, 1.0),
-    ]
-    df = spark.createDataFrame([("m", i, ms, 10**6, w, s, p, z) for i, (w, ms, s, p, z) in enumerate(steps)], "market_id string, ord int, ms long, close_ms long, what string, side string, price double, size double")
-    got = {}
-    for r in sim.fills(df).collect():
-        got.setdefault(r["mode"], []).append(r)
-    # 320 rest ahead, 352 for the pessimist; the second print comes while the cancel is on its way
-    assert [(r["side"], r["size"], r["during_cancel"]) for r in got["base"]] == [("BUY", 50.0, True), ("SELL", 50.0, False)]
-    assert got["pessimistic"][0]["size"] == 50.0 and got["base"][1]["price"] == pytest.approx(0.46)
-    assert sim.fills(df.where("what <> 'fair'")).count() == 0  # no quotes, no fills
-
-
 def test_parts_add_up(spark):
     df = spark.createDataFrame([("BUY", 0.4, 10.0, 0.5, 0.45, 1.0), ("SELL", 0.6, 5.0, 0.5, 0.55, 1.0)], "side string, price double, size double, fair double, later double, y double")
     for r in sim.decomposed(df, "later", "y").collect():
@@ -66,3 +34,15 @@ def test_statistics(spark):
     assert a == b and a["low"] < a["median"] < a["high"] and a["above_zero"] == 1.0
     cdf = spark.createDataFrame([(x,) for x in (-3.0, -1.0, 0.0, 0.5, 2.0)], "x double").select(A.normal_cdf(F.col("x")).alias("p")).collect()
     assert [r["p"] for r in cdf] == pytest.approx([0.00134990, 0.15865525, 0.5, 0.69146246, 0.97724987], abs=1e-6)
+
+
+def test_volatility_of_odd_prices_and_long_series(spark):
+    """A price that is zero, negative or null gives no return; weights stay finite over thousands of half-lives."""
+    prices = [1.0, 2.0, 0.0, 4.0, 8.0, None, -1.0, 3.0, 6.0] + [6.0 * 2 ** (i % 2) for i in range(3_000)]
+    df = spark.createDataFrame([(1, i, p) for i, p in enumerate(prices)], "k int, t int, p double")
+    got = {r["t"]: r["vol"] for r in A.ewma_volatility(df, ["k"], "t", "p", 1.0).collect()}
+    squares = [None] + [__import__("math").log(b / a) ** 2 if a and b and a > 0 and b > 0 else None for a, b in zip(prices, prices[1:])]
+    for t in (0, 1, 2, 4, 6, 8, 399, 400, 401, 900, 3_008):
+        own = [(x, 0.5 ** (t - i)) for i, x in enumerate(squares[: t + 1]) if x is not None and t - i < 1_000]
+        want = (sum(x * w for x, w in own) / sum(w for _, w in own)) ** 0.5 if own else None
+        assert got[t] == (None if want is None else pytest.approx(want, rel=1e-9)), t

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from tidebook.operators.keyed import asof
 
 
+#: Half-lives in one block of the exponentially weighted mean.
+BLOCK = 400
+
+
 def normal_cdf(x: Column) -> Column:
     """Standard normal distribution function. Spark SQL has no erf: a rational approximation with |error| < 7.5e-8.
 
@@ -31,17 +35,23 @@ def fair_value(spot: Column, start: Column, sigma: Column, seconds_left: Column)
 def ewma_volatility(prices: DataFrame, keys: list[str], time: str, price: str, half_life: float) -> DataFrame:
     """prices with vol: root of the exponentially weighted mean of squared log returns up to each row.
 
-    The weights are powers of one number, so running sums of values over it give the mean without a fold; they are
-    taken within blocks of rows around the current one's scale, which keeps the powers finite for series up to
-    some thousand half-lives per key.
+    A return needs a positive price on both sides; other rows have none and take part in no mean. A null price or a
+    row before the first return gives null. Weights are powers of one number, so running sums of values over it give the
+    mean without a fold. They are taken in blocks of BLOCK half-lives, and a row sees its own block and the one before;
+    older returns weigh less than 2^-BLOCK. A key's rows are one sorted group: a key is one market's window, or one
+    series of days.
     """
     w = W.partitionBy(*keys).orderBy(time)
-    r = F.log(F.col(price) / F.lag(price).over(w))
+    last = F.lag(price).over(w)
+    r = F.when((F.col(price) > 0) & (last > 0), F.log(F.col(price) / last))
     n = prices.withColumn("_r", r).withColumn("_n", F.row_number().over(w))
-    upto = w.rowsBetween(W.unboundedPreceding, W.currentRow)
-    weight = F.pow(F.lit(2.0), F.col("_n") / F.lit(half_life))
-    top = F.sum(F.when(F.col("_r").isNotNull(), F.col("_r") * F.col("_r") * weight)).over(upto)
-    return n.withColumn("vol", F.sqrt(top / F.sum(F.when(F.col("_r").isNotNull(), weight)).over(upto))).drop("_r", "_n")
+    n = n.withColumn("_block", F.floor(F.col("_n") / F.lit(BLOCK * half_life)).cast("long"))
+    weight = F.when(F.col("_r").isNotNull(), F.pow(F.lit(2.0), F.col("_n") / F.lit(half_life) - F.col("_block") * BLOCK))
+    upto = W.partitionBy(*keys, "_block").orderBy(time).rowsBetween(W.unboundedPreceding, W.currentRow)
+    before = W.partitionBy(*keys).orderBy("_block").rangeBetween(-1, -1)
+    total = lambda c: F.coalesce(F.sum(c).over(upto), F.lit(0.0)) + F.coalesce(F.sum(c).over(before), F.lit(0.0)) * 2.0**-BLOCK
+    n = n.withColumn("_top", total(F.col("_r") * F.col("_r") * weight)).withColumn("_all", total(weight))
+    return n.withColumn("vol", F.when(F.col("_all") > 0, F.sqrt(F.col("_top") / F.col("_all")))).drop("_r", "_n", "_block", "_top", "_all")
 
 
 def markouts(fills: DataFrame, mids: DataFrame, keys: list[str], time: str, horizons: list[int]) -> DataFrame:
@@ -81,7 +91,7 @@ def block_bootstrap(days: DataFrame, day: str, pnl: str, draws: int, seed: int)
     n = days.count()
     numbered = days.select((F.row_number().over(W.orderBy(day)) - 1).cast("long").alias("_i"), F.col(pnl).alias("_pnl"))
     picks = days.sparkSession.range(draws).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(1), F.lit(max(n, 1)))).alias("slot"))
-    picks = picks.withColumn("_i", F.pmod(F.xxhash64("draw", "slot", F.lit(seed)), F.lit(max(n, 1)).cast("long")))
+    picks = picks.withColumn("_i", F.pmod(F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(seed).cast("string"), F.col("draw").cast("string"), F.col("slot").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(max(n, 1)).cast("long")))
     means = picks.join(numbered, "_i").groupBy("draw").agg(F.avg("_pnl").alias("mean"))
     q = F.percentile("mean", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
     out = means.agg(F.count(F.lit(1)).alias("draws"), q.alias("q"), F.avg((F.col("mean") > 0).cast("double")).alias("above_zero"))

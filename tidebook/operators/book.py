@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidebook.functions.scalars import NO_SIZE, PRICE_SCALE, mirror_key
+from tidebook.sources.raw import digest as raw_digest
 
 
 def mirrored(levels: DataFrame) -> DataFrame:
@@ -230,3 +231,17 @@ def verified_books(events: DataFrame) -> DataFrame:
 
     wanted = events.where("market_id is not null").select("market_id", "token", "kind", "date", "hour", "line", "payload")
     return wanted.groupBy("market_id").applyInPandas(run, f"market_id string, {STATS}, book string, synced boolean, closed boolean, outcome string")
+
+
+def replay_summary(events: DataFrame) -> DataFrame:
+    """One row on a verified replay: events, markets, the counters of all books summed, and a digest of events and books.
+
+    The digest covers the ordered events and every market's final book, so two replays that agree on it agree on both.
+    """
+    books = verified_books(events)
+    line = F.concat_ws("|", "market_id", "book", F.col("closed").cast("string"), F.coalesce("outcome", F.lit("")))
+    sums = [F.sum(c.split()[0]).alias(c.split()[0]) for c in STATS.split(", ")]
+    folded = books.groupBy(F.substring(F.sha2("market_id", 256), 1, 3).alias("part")).agg(*sums, F.count(F.lit(1)).alias("markets"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.sha2(line, 256))), ""), 256).alias("h"))
+    whole = folded.agg(*[F.sum(c).alias(c) for c in ("markets", *(c.split()[0] for c in STATS.split(", ")))], F.array_join(F.array_sort(F.collect_list("h")), "").alias("h"))  # at most 4,096 parts
+    n, stream = events.agg(F.count(F.lit(1))).first()[0], raw_digest(events)
+    return whole.select(F.lit(n).alias("events"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in whole.columns if c != "h"], F.sha2(F.concat(F.lit(stream or ""), F.coalesce("h", F.lit(""))), 256).alias("digest"))

@@ -7,10 +7,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Parts in one run of the silences' middle level.
+PARTS = 4096
+
+
 def largest_gap(events: DataFrame, key: str, t: str, order: list[str], windows: DataFrame, start: str, end: str) -> DataFrame:
     """For each window (one per key): the longest time without an event, in stream order, its tail included.
 
-    A gap is min(t, end) - max(previous t or start, start). Keys without events have the whole window.
+    A gap is min(t, end) - max(previous t or start, start). Keys without events have the whole window. A key's rows are
+    one sorted group, as long as one market's window.
     """
     w = W.partitionBy(key).orderBy(*order)
     seen = events.join(windows.select(key, start, end), key)
@@ -24,20 +29,25 @@ def largest_gap(events: DataFrame, key: str, t: str, order: list[str], windows:
 def silences(events: DataFrame, t: str, order: list[str], part: Column, longest: int) -> DataFrame:
     """(start, end, gap): pauses of the whole stream longer than `longest`, against the running maximum of t.
 
-    In two levels, so that no task sees the stream: inside each part (a coarse, ordered slice of it) a window finds
-    the maximum before a row; the parts' own maxima, a small table, are then carried over their borders.
+    In three levels, so that no task sees the stream: inside each part (a whole number, an ordered slice of it) a window
+    finds the maximum before a row; the parts' own maxima are carried over their borders inside runs of PARTS parts, and
+    those of the runs, a table of PARTS times fewer rows, over the borders of these.
     """
     inside = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     rows = events.select(t, *[c for c in order if c != t], part.alias("_part")).withColumn("_before", F.max(t).over(inside))
     tops = rows.groupBy("_part").agg(F.max(t).alias("_top"))
-    carried = tops.withColumn("_carry", F.max("_top").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))).select("_part", "_carry")
+    tops = tops.withColumn("_run", F.floor(F.col("_part") / PARTS))
+    runs = tops.groupBy("_run").agg(F.max("_top").alias("_top"))
+    runs = runs.select("_run", F.max("_top").over(W.orderBy("_run").rowsBetween(W.unboundedPreceding, -1)).alias("_early"))
+    near = F.max("_top").over(W.partitionBy("_run").orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    carried = tops.withColumn("_near", near).join(runs, "_run").select("_part", F.greatest("_near", "_early").alias("_carry"))
     before = F.greatest("_before", "_carry")
     found = rows.join(carried, "_part").withColumn("_start", before)
     return found.where(F.col(t) - F.col("_start") > longest).select(F.col("_start").alias("start"), F.col(t).alias("end"), (F.col(t) - F.col("_start")).alias("gap"))
 
 
 def out_of_order(events: DataFrame, t: str, order: list[str], keys: list[str]) -> DataFrame:
-    """Per key: events, how many are older than one before them, first and last time."""
+    """Per key, whose rows are one sorted group: events, how many are older than one before them, first and last time."""
     w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     late = (F.col(t) < F.max(t).over(w)).cast("int")
     return events.withColumn("_late", F.coalesce(late, F.lit(0))).groupBy(*keys).agg(F.count(F.lit(1)).alias("events"), F.sum("_late").alias("late"), F.min(t).alias("first_t"), F.max(t).alias("last_t"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidebook.functions import scalars as S
 from tidebook.operators import bands, book, gaps, keyed, lifecycle
-from tidebook.sources import raw
+from tidebook.sources import lake, raw
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -424,6 +424,46 @@ def event_digest(spark, sf_dir):
 # --- raw lines and lifecycle ----------------------------------------------------------------------------------
 
 
+def recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as the stream's own kind of event: a market's book changes by two levels, recorded, parsed and validated."""
+    e = stream(spark, sf_dir).where("k is not null")
+    change = lambda side, price, size: F.struct(F.lit("UP").alias("token"), F.lit(side).alias("side"), price.alias("price"), size.alias("size"))
+    changes = F.array(change("BUY", F.col("k") / 200, (F.col("event_id") % 7).cast("double")), change("SELL", 1 - F.col("k") / 200, (F.col("event_id") % 5).cast("double")))
+    line = F.struct(F.lit("book_delta").alias("kind"), F.col("user_id").cast("string").alias("marketId"), F.col("ms").cast("double").alias("exchangeTs"), (F.col("ms") * 1_000_000).cast("string").alias("recvTs"), F.struct(changes.alias("changes")).alias("payload"))
+    lines = e.select(F.to_date("ts").alias("date"), F.hour("ts").alias("hour"), F.col("event_id").cast("int").alias("line"), F.to_json(line).alias("value"))
+    return raw.events_of(raw.parsed(lines))
+
+
+_CHANGES = f"(SELECT event_id, user_id, ms, 0 AS idx, 'BUY' AS side, k / 200.0 AS price, event_id % 7 AS size FROM {_E} WHERE k IS NOT NULL UNION ALL SELECT event_id, user_id, ms, 1, 'SELL', 1 - k / 200.0, event_id % 5 FROM {_E} WHERE k IS NOT NULL)"
+
+
+@query(f"SELECT CAST(event_id AS INTEGER) AS line, ms * 1000000 AS recv_ts, ms AS exchange_ts, CAST(user_id AS VARCHAR) AS market_id, CAST(idx AS SMALLINT) AS idx, side, CAST(price AS DOUBLE) AS price, CAST(size AS DOUBLE) AS size FROM {_CHANGES}")
+def lake_rows(spark, sf_dir):
+    return lake.rows_for(recorded(spark, sf_dir), "book_deltas").select("line", "recv_ts", "exchange_ts", "market_id", "idx", "side", "price", "size")
+
+
+@query(f"SELECT CAST(event_id AS INTEGER) AS line, CAST(user_id AS VARCHAR) AS market_id, 2 AS changes, CAST(k / 200.0 AS DOUBLE) AS bid, CAST(1 - k / 200.0 AS DOUBLE) AS ask, CAST(event_id % 5 AS DOUBLE) AS ask_size FROM {_E} WHERE k IS NOT NULL")
+def lake_round_trip(spark, sf_dir):
+    e = lake.events_for(lake.rows_for(recorded(spark, sf_dir), "book_deltas"), "book_deltas")
+    c = lambda i: F.col("payload.changes")[i]
+    return e.select("line", "market_id", F.size("payload.changes").alias("changes"), c(0)["price"].alias("bid"), c(1)["price"].alias("ask"), c(1)["size"].alias("ask_size"))
+
+
+@query(f"""
+WITH l AS (SELECT user_id, side, CAST(round(price * 1000000) AS BIGINT) AS key, arg_max(size, event_id * 2 + idx) AS size FROM {_CHANGES} GROUP BY ALL),
+t AS (SELECT user_id, coalesce(string_agg(key || ':' || size, ',' ORDER BY key) FILTER (side = 'BUY' AND size > 0), '') AS b, coalesce(string_agg(key || ':' || size, ',' ORDER BY key) FILTER (side = 'SELL' AND size > 0), '') AS a FROM l GROUP BY user_id),
+n AS (SELECT user_id, count(*) AS changes FROM {_CHANGES} GROUP BY user_id)
+SELECT CAST(user_id AS VARCHAR) AS market_id, changes, changes AS unsynced_changes, 'b[' || b || ']a[' || a || ']' AS book, false AS closed FROM t JOIN n USING (user_id)""")
+def books_verified(spark, sf_dir):
+    return book.verified_books(recorded(spark, sf_dir)).select("market_id", "changes", "unsynced_changes", "book", "closed")
+
+
+@query(f"""
+SELECT CAST(event_id AS INTEGER) AS line, sha256('{{"exchange_ts":' || ms || ',"kind":"book_delta","market_id":"' || user_id || '","payload":{{"changes":[{{"token":"UP","side":"BUY","price":' || CAST(CAST(k / 200.0 AS DOUBLE) AS VARCHAR) || ',"size":' || CAST(CAST(event_id % 7 AS DOUBLE) AS VARCHAR) || '}},{{"token":"UP","side":"SELL","price":' || CAST(CAST(1 - k / 200.0 AS DOUBLE) AS VARCHAR) || ',"size":' || CAST(CAST(event_id % 5 AS DOUBLE) AS VARCHAR) || '}}]}},"recv_ts":' || ms * 1000000 || '}}') AS sha256 FROM {_E} WHERE k IS NOT NULL""")
+def canonical_lines(spark, sf_dir):
+    return raw.canonical(recorded(spark, sf_dir)).select("line", "sha256")
+
+
 @query(f"""SELECT event_type AS source_kind, count(*) AS events, CAST(sum(ms % 1000) AS BIGINT) AS ms, count(*) FILTER (value <= 0) AS bad FROM {_E} GROUP BY event_type""")
 def replay_events(spark, sf_dir):
     """events as raw lines and back: encoded, parsed, validated; every line must come out as an event."""

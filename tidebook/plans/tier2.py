@@ -30,7 +30,7 @@ def query(sql: str | None):
 
 @query(f"""
 WITH s AS (SELECT user_id, ms // 86400000 AS day, arg_max(value, event_id) AS price FROM {_E} GROUP BY ALL),
-l AS (SELECT user_id, day, ln(price / lag(price) OVER (PARTITION BY user_id ORDER BY day)) AS r, row_number() OVER (PARTITION BY user_id ORDER BY day) AS n FROM s)
+l AS (SELECT user_id, day, CASE WHEN price > 0 AND lag(price) OVER w > 0 THEN ln(price / CASE WHEN lag(price) OVER w > 0 THEN lag(price) OVER w END) END AS r, row_number() OVER w AS n FROM s WINDOW w AS (PARTITION BY user_id ORDER BY day))
 SELECT a.user_id, a.day, round(sqrt(sum(b.r * b.r * pow(0.5, (a.n - b.n) / 5.0)) / sum(pow(0.5, (a.n - b.n) / 5.0))), 6) AS vol
 FROM l a JOIN l b ON a.user_id = b.user_id AND b.n <= a.n AND b.r IS NOT NULL GROUP BY a.user_id, a.day""")
 def ewma_vol(spark, sf_dir):
@@ -38,12 +38,21 @@ def ewma_vol(spark, sf_dir):
     return A.ewma_volatility(s, ["user_id"], "day", "price", 5.0).where("vol is not null").select("user_id", "day", F.round("vol", 6).alias("vol"))
 
 
-@query(None)
+_CDF = """CASE WHEN x >= 0 THEN 1 - upper ELSE upper END"""
+
+
+@query(f"""
+WITH c AS (SELECT event_id, value, first_value(value) OVER (PARTITION BY user_id ORDER BY event_id) AS start, 0.05 * sqrt(greatest(900.0 - (ms / 1000.0 % 900), 1e-9)) AS spread FROM {_E} WHERE event_type = 'click'),
+z AS (SELECT event_id, CASE WHEN value > 0 AND start > 0 THEN ln(CASE WHEN value > 0 AND start > 0 THEN value / start END) / spread END AS x FROM c),
+t AS (SELECT event_id, x, 1 / (1 + 0.2316419 * abs(x)) AS t FROM z),
+u AS (SELECT event_id, x, exp(-x * x / 2) / sqrt(2 * pi()) * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429)))) AS upper FROM t)
+SELECT event_id, round({_CDF}, 9) AS fair FROM u""")
 def fair_value(spark, sf_dir):
     e = stream(spark, sf_dir).where("event_type = 'click'")
     first = F.first("value").over(W.partitionBy("user_id").orderBy("event_id"))
     left = F.lit(900.0) - (F.col("ms") / 1000 % 900)
-    return e.select("event_id", F.round(A.fair_value(F.col("value"), first, F.lit(0.05), left), 9).alias("fair"))
+    e = e.withColumn("start", first)  # no fair value without positive prices
+    return e.select("event_id", F.round(A.fair_value(F.when((F.col("value") > 0) & (F.col("start") > 0), F.col("value")), F.col("start"), F.lit(0.05), left), 9).alias("fair"))
 
 
 _MARK = "(SELECT user_id, ms, max(k) AS mid FROM e WHERE event_type = 'click' GROUP BY ALL)"
@@ -95,10 +104,14 @@ def breakdown_grouping_sets(spark, sf_dir):
     return e.groupingSets([[F.col("kind")], [F.col("hour")], [F.col("kind"), F.col("hour")]], "kind", "hour").agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("cents"))
 
 
-@query(None)
+@query(f"""
+WITH d AS (SELECT row_number() OVER (ORDER BY day) - 1 AS i, pnl FROM (SELECT ms // 86400000 AS day, CAST(sum(CAST(round((value - 35) * 100) AS BIGINT)) AS DOUBLE) AS pnl FROM {_E} GROUP BY 1)),
+p AS (SELECT draw, CAST('0x' || substr(md5('7-' || draw || '-' || slot), 1, 8) AS BIGINT) % (SELECT count(*) FROM d) AS i FROM (SELECT unnest(range(10000)) AS draw), (SELECT unnest(range(1, (SELECT count(*) FROM d) + 1)) AS slot)),
+m AS (SELECT draw, avg(pnl) AS mean FROM p JOIN d USING (i) GROUP BY draw)
+SELECT count(*) AS draws, round(quantile_cont(mean, 0.025), 4) AS low, round(quantile_cont(mean, 0.5), 4) AS median, round(quantile_cont(mean, 0.975), 4) AS high, avg(CASE WHEN mean > 0 THEN 1.0 ELSE 0.0 END) AS above_zero FROM m""")
 def block_bootstrap(spark, sf_dir):
     days = stream(spark, sf_dir).groupBy(F.expr("ms div 86400000").alias("day")).agg(F.sum(F.round((F.col("value") - 35) * 100).cast("long")).cast("double").alias("pnl"))
-    return A.block_bootstrap(days, "day", "pnl", draws=2_000, seed=7)
+    return A.block_bootstrap(days, "day", "pnl", draws=10_000, seed=7)
 
 
 @query(f"""

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import calendar
+import uuid
 from datetime import date as Date
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,35 +103,61 @@ def compacted(spark: SparkSession, data_dir: str) -> set[tuple[str, int]]:
     fs, p = _fs(spark, f"{data_dir}/parquet/_done")
     if not fs.exists(p):
         return set()
-    rows = spark.read.schema("date date, hour int, lines long, events long, bad long").parquet(f"{data_dir}/parquet/_done").select("date", "hour").distinct().collect()
+    rows = spark.read.schema("lines long, events long, bad long, first_bad int, date date, hour int").parquet(f"{data_dir}/parquet/_done").select("date", "hour").distinct().collect()  # one row an hour
     return {(str(r["date"]), r["hour"]) for r in rows}
 
 
+def _put(spark: SparkSession, new: str, place: str) -> None:
+    """Put a folder in a place; what was there goes, also where the new folder is missing, as it has no rows."""
+    fs, there = _fs(spark, place)
+    source, away = _fs(spark, new)[1], _fs(spark, f"{new}.old")[1]
+    if fs.exists(there):
+        fs.mkdirs(away.getParent())
+        fs.rename(there, away)
+    if fs.exists(source):
+        fs.mkdirs(there.getParent())
+        fs.rename(source, there)
+
+
+def rows_filed(spark: SparkSession, data_dir: str) -> DataFrame:
+    """(table_name, date, hour, n): the rows of each table by hour."""
+    out = None
+    for table in S.TABLES:
+        part = read_table(spark, data_dir, table).groupBy("date", "hour").agg(F.count(F.lit(1)).alias("n")).select(F.lit(table).alias("table_name"), "date", "hour", "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def compact(spark: SparkSession, data_dir: str, dates: list[str] | None = None, force: bool = False, closed_before: tuple[str, int] | None = None) -> DataFrame:
-    """Files all closed raw hours that are not done yet; returns (date, hour, lines, events, bad) of those.
+    """Files all closed raw hours that are not done yet; returns (date, hour, lines, events, bad, first_bad) of those.
 
-    Hours before closed_before are closed (all, if None). The markers come last, so an hour that was interrupted is
-    done again; partitions are replaced, never added to, and those that a redone hour leaves empty are removed.
+    Hours before closed_before are closed (all, if None). All tables are written beside the lake first and then put in
+    place folder by folder, so readers miss an hour for no longer than a rename takes; markers come last, so an hour
+    that was interrupted is done again. Partitions are replaced, never added to, and those that a redone hour leaves
+    empty are removed. first_bad is the first line of an hour that is neither blank nor an event.
     """
     done = set() if force else compacted(spark, data_dir)
     hours = [h for h in raw.list_hours(spark, data_dir, dates) if h[:2] not in done and (closed_before is None or h[:2] < closed_before)]
-    kind = "date date, hour int, lines long, events long, bad long"
+    kind = "date date, hour int, lines long, events long, bad long, first_bad int"
     if not hours:
         return spark.createDataFrame([], kind)
     lines = raw.parsed(raw.numbered_lines(spark, [p for *_, p in hours])).persist()
     try:
         events = raw.events_of(lines)
+        side = f"{data_dir}/parquet/_new-{uuid.uuid4().hex}"
         for table in S.TABLES:
-            for d, h, _ in hours:  # a few folders an hour; a dynamic overwrite would leave a partition that got empty
-                fs, p = _fs(spark, f"{_path(data_dir, table)}/date={d}/hour={h}")
-                fs.delete(p, True)
-            rows_for(events, table).repartition("date", "hour").sortWithinPartitions("line", *(["idx"] if "idx" in S.struct(S.TABLES[table]).names else [])).write.mode("append").partitionBy("date", "hour").parquet(_path(data_dir, table), compression="zstd")
-        report = lines.groupBy("date", "hour").agg(F.count(F.lit(1)).alias("lines"), F.count_if("ok").alias("events"), F.count_if(~F.col("ok") & (F.trim("value") != "")).alias("bad"))
+            rows_for(events, table).repartition("date", "hour").sortWithinPartitions("line", *(["idx"] if "idx" in S.struct(S.TABLES[table]).names else [])).write.partitionBy("date", "hour").parquet(f"{side}/{table}", compression="zstd")
+        bad = ~F.col("ok") & (F.trim("value") != "")
+        report = lines.groupBy("date", "hour").agg(F.count(F.lit(1)).alias("lines"), F.count_if("ok").alias("events"), F.count_if(bad).alias("bad"), F.min(F.when(bad, F.col("line"))).alias("first_bad"))
         listed = spark.createDataFrame([(Date.fromisoformat(d), h) for d, h, _ in hours], "date date, hour int")
-        report = listed.join(report, ["date", "hour"], "left").na.fill(0)
+        report = listed.join(report, ["date", "hour"], "left").na.fill(0, ["lines", "events", "bad"])
         for d, h, _ in hours:
             fs, p = _fs(spark, f"{data_dir}/parquet/_done/date={d}/hour={h}")
             fs.delete(p, True)
+            for table in S.TABLES:
+                _put(spark, f"{side}/{table}/date={d}/hour={h}", f"{_path(data_dir, table)}/date={d}/hour={h}")
+        fs, p = _fs(spark, side)
+        fs.delete(p, True)
         report.write.mode("append").partitionBy("date", "hour").parquet(f"{data_dir}/parquet/_done")
         rows = report.collect()  # one row an hour
     finally:
@@ -172,21 +201,60 @@ def stored_events(spark: SparkSession, data_dir: str) -> DataFrame:
     return out
 
 
-def replay(spark: SparkSession, data_dir: str, start_ns: int | None = None, end_ns: int | None = None, markets: list[str] | None = None, parquet: bool = False) -> DataFrame:
-    """Events in recorded order, from the tables (parquet) or the raw hours; both give the same rows.
+def planned_hours(spark: SparkSession, data_dir: str, start_ns: int | None = None, end_ns: int | None = None, parquet: bool | None = None) -> tuple[list[tuple[str, int, str]], set[tuple[str, int]]]:
+    """Which hours a replay reads: raw ones (date, hour, path), and those it takes from the tables.
 
-    recv_ts lies in [start, end); events of other markets go, those of no market always stay. Hours are pruned with
-    an hour to spare on either side, as files are cut by another clock.
+    Hours are pruned before any is opened, with an hour to spare on either side, as files are cut by another clock.
+    parquet=None takes what is filed from the tables and the other hours raw.
     """
-    if parquet:
-        events = stored_events(spark, data_dir)
-    else:
-        events, _ = raw.read_raw(spark, data_dir)
-    at = F.unix_seconds(F.col("date").cast("timestamp")) + F.col("hour") * 3600
+    at = lambda d, h: calendar.timegm(Date.fromisoformat(d).timetuple()) + h * 3600
+    inside = lambda d, h: (start_ns is None or at(d, h) >= start_ns // 10**9 - 2 * 3600) and (end_ns is None or at(d, h) <= end_ns // 10**9 + 3600)
+    filed = set() if parquet is False else {h for h in compacted(spark, data_dir) if inside(*h)}
+    plain = [] if parquet else [h for h in raw.list_hours(spark, data_dir) if inside(*h[:2]) and h[:2] not in filed]
+    return plain, filed
+
+
+def replay(spark: SparkSession, data_dir: str, start_ns: int | None = None, end_ns: int | None = None, markets: list[str] | None = None, parquet: bool | None = False) -> DataFrame:
+    """Events in recorded order, from the raw hours, the tables (parquet), or both (None); all give the same rows.
+
+    recv_ts lies in [start, end); events of other markets go, those of no market always stay. Only planned_hours are
+    read.
+    """
+    plain, filed = planned_hours(spark, data_dir, start_ns, end_ns, parquet)
+    events = _of_hours(spark, data_dir, plain, filed)
     if start_ns is not None:
-        events = events.where((at >= start_ns // 10**9 - 2 * 3600) & (F.col("recv_ts") >= start_ns))
+        events = events.where(F.col("recv_ts") >= start_ns)
     if end_ns is not None:
-        events = events.where((at <= end_ns // 10**9 + 3600) & (F.col("recv_ts") < end_ns))
+        events = events.where(F.col("recv_ts") < end_ns)
     if markets is not None:
         events = events.where(F.col("market_id").isNull() | F.col("market_id").isin(markets))
     return events.orderBy(*S.ORDER)
+
+
+def _of_hours(spark: SparkSession, data_dir: str, plain: list[tuple[str, int, str]], filed: set[tuple[str, int]]) -> DataFrame:
+    """The events of raw hours and of hours in the tables, whose partitions alone are read."""
+    events, _ = raw.read_raw(spark, data_dir, hours=plain)
+    if not filed:
+        return events
+    by_day: dict[str, list[int]] = {}
+    for d, h in filed:
+        by_day.setdefault(d, []).append(h)
+    wanted = F.lit(False)
+    for hours in {tuple(sorted(hs)) for hs in by_day.values()}:  # days with the same hours, most of them whole ones, share a term
+        days = sorted(d for d, hs in by_day.items() if tuple(sorted(hs)) == hours)
+        wanted = wanted | (F.col("date").isin([Date.fromisoformat(d) for d in days]) & F.col("hour").isin(list(hours)))
+    stored = None
+    for table in S.TABLES:
+        part = events_for(read_table(spark, data_dir, table).where(wanted), table)
+        stored = part if stored is None else stored.unionByName(part)
+    return stored if not plain else stored.unionByName(events)
+
+
+def day_events(spark: SparkSession, data_dir: str, day: str, parquet: bool | None = None) -> DataFrame:
+    """The events of a day and of the hours around it that its markets reach into: the last before, three after."""
+    first = Date.fromisoformat(day)
+    near = {str(first - timedelta(days=1)): {23}, day: set(range(24)), str(first + timedelta(days=1)): {0, 1, 2}}
+    inside = lambda h: h[1] in near.get(h[0], ())
+    filed = set() if parquet is False else {h for h in compacted(spark, data_dir) if inside(h)}
+    plain = [] if parquet else [h for h in raw.list_hours(spark, data_dir, list(near)) if inside(h) and h[:2] not in filed]
+    return _of_hours(spark, data_dir, plain, filed).orderBy(*S.ORDER)

@@ -57,9 +57,9 @@ def bad_lines(lines: DataFrame) -> DataFrame:
     return lines.where(~F.col("ok") & (F.trim("value") != "")).select("date", "hour", "line", "value")
 
 
-def read_raw(spark: SparkSession, data_dir: str, dates: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Events and bad lines of all raw hours."""
-    paths = [p for *_, p in list_hours(spark, data_dir, dates)]
+def read_raw(spark: SparkSession, data_dir: str, dates: list[str] | None = None, hours: list[tuple[str, int, str]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Events and bad lines of all raw hours, or of those given (date, hour, path)."""
+    paths = [p for *_, p in (list_hours(spark, data_dir, dates) if hours is None else hours)]
     lines = parsed(numbered_lines(spark, paths)) if paths else parsed(spark.createDataFrame([], "date date, hour int, line int, value string"))
     return events_of(lines), bad_lines(lines)
 
