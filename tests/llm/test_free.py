@@ -157,6 +157,43 @@ def test_nodes_cover_their_points():
     assert (tree.points == x[tree.order]).all()
 
 
+def test_centres_lie_apart_over_a_whole_level():
+    rng = np.random.default_rng(3)
+    tight = rng.normal(size=(8, 6))
+    x = np.concatenate([tight[rng.integers(0, 8, 400)] + rng.normal(size=(400, 6)) * 0.1, rng.normal(size=(200, 6))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    found, radius = covertree.covers(x), covertree.TOP_RADIUS
+    assert len(found) > 3
+    for cover in found:
+        centres = np.unique(cover)
+        assert (cover[centres] == centres).all() and (np.linalg.norm(x - x[cover], axis=1) <= radius + 1e-3).all()
+        apart = np.linalg.norm(x[centres][:, None] - x[centres], axis=2) + 9 * np.eye(len(centres))
+        assert apart.min() > radius - 1e-3
+        radius /= 2
+
+
+@pytest.mark.parametrize("block", [covertree.BLOCK, 60])
+def test_links_beside_the_threshold(spark, block, monkeypatch):
+    """Pairs planted with cosines from 0.949 to 0.951: those of 0.95 or more are linked, no other; clashing columns do not matter."""
+    monkeypatch.setattr(covertree, "BLOCK", block)
+    rng = np.random.default_rng(6)
+    rows, want = [], {}
+    for i, cosine in enumerate(np.linspace(0.949, 0.951, 101)):
+        u, v = np.linalg.qr(rng.normal(size=(64, 2)))[0].T
+        other = cosine * u + np.sqrt(1 - cosine**2) * v
+        rows += [(2 * i, (u * 3).tolist(), 1), (2 * i + 1, other.tolist(), 1)]
+        real = float(u @ other) / float(np.linalg.norm(u) * np.linalg.norm(other))
+        if abs(real - 0.95) > 1e-12:
+            want[2 * i] = want[2 * i + 1] = (int(real >= 0.95), 2 * i)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, key int")
+    for c in ("vk", "unit", "weight", "root", "n", "low", "first", "n_links", "component_id", "square"):
+        df = df.withColumn(c, df["key"])
+    got = {r["vec_id"]: r for r in covertree.near_duplicates(df).collect()}
+    assert len(got) == 202
+    for i, (n, root) in want.items():
+        assert (got[i]["n_links"], got[i]["component_id"]) == (n, root if n else i), i
+
+
 # --- WARC -----------------------------------------------------------------------------------------------------
 
 

@@ -248,14 +248,14 @@ def test_queries_have_the_columns_of_their_contracts(spark):
     assert got.columns[:7] == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"] and {r["law"] for r in got.select("law").collect()} == {"bytes"}
 
 
-@pytest.mark.parametrize("name", ["op2_secrets", "op3_decontamination", "op7_warc"])
+@pytest.mark.parametrize("name", ["op2_secrets", "op3_decontamination", "op6_embedding_dedup", "op7_warc"])
 def test_queries_agree_with_their_sql(spark, name):
     import duckdb
 
     from tidebook.llm import registry
 
     sf, con = "/root/testdata/sf0.001", duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "embeddings", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     df = registry.queries()[name](spark, sf)
     found = con.execute(registry.oracle_sql()[name])

@@ -23,9 +23,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a fresh local one only where that is unset."""
+    """The shared folder named by spark.checkpoint.dir; a fresh local one only where that is unset and Spark runs on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="tidebook-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

@@ -56,13 +56,22 @@ class Tree:
         return np.searchsorted(below, low), np.searchsorted(below, high)
 
 
-def _net(points: np.ndarray, radius: float) -> np.ndarray:
-    """For each point the centre that covers it; centres are no two within the radius, taken greedily in order."""
+def _net(points: np.ndarray, centres: np.ndarray, radius: float) -> np.ndarray:
+    """For each point the centre that covers it. The given centres stay, and points that none of them covers become
+    centres greedily in order, so that no two centres of the level are within the radius."""
     n = len(points)
     single = points.astype(np.float32)
     owner = np.full(n, -1)
-    left = np.arange(n)
+    owner[centres] = centres
+    left = np.flatnonzero(owner < 0)
     least = np.float32(1 - radius * radius / 2)  # cosine at the radius
+    for at in range(0, len(left), 1024):
+        part = left[at : at + 1024]
+        cos = single[part] @ single[centres].T
+        best = cos.argmax(1)
+        hit = cos[np.arange(len(part)), best] >= least
+        owner[part[hit]] = centres[best[hit]]
+    left = left[owner[left] < 0]
     while len(left):
         head = left[:256]
         near = single[head] @ single[left].T >= least
@@ -75,30 +84,38 @@ def _net(points: np.ndarray, radius: float) -> np.ndarray:
     return owner
 
 
+def covers(points: np.ndarray) -> list[np.ndarray]:
+    """For each level, from the coarsest, the centre that covers each point; every centre is one of all finer levels.
+
+    The centres of a level are more than its radius apart, over the whole level, and cover every point within it. A
+    centre's parent is the centre that covers it one level up. Ends where all points are centres or radii are least.
+    """
+    n = len(points)
+    cover, radius = np.zeros(n, int), TOP_RADIUS
+    found = [cover]
+    for _ in range(LEVELS):
+        radius /= 2
+        centres = np.flatnonzero(cover == np.arange(n))
+        if len(centres) == n:
+            break
+        cover = _net(points, centres, radius)
+        found.append(cover)
+    return found
+
+
 def build(points: np.ndarray) -> Tree:
-    """A cover tree of unit vectors: nets of radius 1, 1/2, 1/4 ... chosen among the points, each inside the one above.
+    """A cover tree of unit vectors: one net of radius 1, 1/2, 1/4 ... over all points for each level, each in the next.
 
-    A level's nodes are nets of the nodes above, whose centres come first, so levels are nested; the radius kept with
-    a node is the largest distance to its centre that occurs. Points that are alone cost nothing further down.
+    A node holds the points whose chain of covering centres passes through it; the radius kept with a node is the
+    largest distance to its centre that occurs. Levels that split no node are left out.
     """
     n = len(points)
-    chain = np.zeros(n, int)  # the centre of each point's node
+    chain = np.arange(n)
     chains = [chain]
-    radius = TOP_RADIUS / 2
-    for _ in range(LEVELS):
-        by_node = np.argsort(chain, kind="stable")
-        edges = np.flatnonzero(np.r_[True, np.diff(chain[by_node]) != 0, True]) if n else np.zeros(1, int)
-        finer = chain.copy()
-        for low, high in zip(edges[:-1], edges[1:]):
-            if high - low > 1:
-                own = by_node[low:high]
-                own = np.r_[chain[own[0]], own[own != chain[own[0]]]]
-                finer[own] = own[_net(points[own], radius)]
-        if (finer != chain).any():
-            chain = finer
+    for cover in reversed(covers(points)):
+        chain = cover[chain]
+        if (chain != chains[-1]).any():
             chains.append(chain)
-        radius /= 2
-    chains = [np.arange(n), *reversed(chains)]
     order = np.lexsort(chains)  # the coarsest level counts most
     at = np.empty(n, int)
     at[order] = np.arange(n)
@@ -345,6 +362,27 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     return looked_up(narrow, of, "key", F.col("vec_id")).select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
 
 
+#: Links by comparing all pairs, components by following links; for tables as small as those that correctness is checked on.
+ORACLE_SQL = f"""
+WITH RECURSIVE v AS (
+  SELECT CAST(vec_id AS BIGINT) AS vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), sound AS (
+  SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS norm FROM v
+  WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, x -> x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS src, b.vec_id AS dst FROM sound a JOIN sound b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_inner_product(a.e, b.e) / (a.norm * b.norm) >= {COSINE}
+), reach AS (
+  SELECT vec_id AS src, vec_id AS dst FROM v
+  UNION
+  SELECT r.src, l.dst FROM reach r JOIN links l ON r.dst = l.src
+), named AS (SELECT src, min(dst) AS component_id FROM reach GROUP BY src),
+counted AS (SELECT src, count(*) AS n FROM links GROUP BY src)
+SELECT v.vec_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_links, n.component_id, v.vec_id = n.component_id AS kept
+FROM v JOIN named n ON n.src = v.vec_id LEFT JOIN counted c ON c.src = v.vec_id
+"""
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read_table(spark, sf_dir, "embeddings"))
     return found.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))

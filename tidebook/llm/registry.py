@@ -25,4 +25,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secrets": secrets.ORACLE_SQL, "op3_decontamination": decontamination.ORACLE_SQL, "op7_warc": warc.ORACLE_SQL}
+    return {
+        "op2_secrets": secrets.ORACLE_SQL,
+        "op3_decontamination": decontamination.ORACLE_SQL,
+        "op6_embedding_dedup": covertree.ORACLE_SQL,
+        "op7_warc": warc.ORACLE_SQL,
+    }
