@@ -54,6 +54,42 @@ def ewma_volatility(prices: DataFrame, keys: list[str], time: str, price: str, h
     return n.withColumn("vol", F.when(F.col("_all") > 0, F.sqrt(F.col("_top") / F.col("_all")))).drop("_r", "_n", "_block", "_top", "_all")
 
 
+def blended_volatility(ticks: DataFrame, keys: list[str], ms: str, price: str, half_lives: tuple[float, ...]) -> DataFrame:
+    """(keys, second, price, vol): the last tick of each second and the plain mean of the volatilities of all half-lives.
+
+    Half-lives count seconds that have a tick; seconds without one are left out, as their return is not known.
+    """
+    tick = F.struct(F.col(ms).alias("at"), F.col(price).alias("price"))
+    out = ticks.groupBy(*keys, F.floor(F.col(ms) / 1000).alias("second")).agg(F.max(tick)["price"].alias("price"))
+    for i, half_life in enumerate(half_lives):
+        out = ewma_volatility(out, keys, "second", "price", half_life).withColumnRenamed("vol", f"_vol{i}")
+    names = [f"_vol{i}" for i in range(len(half_lives))]
+    return out.withColumn("vol", sum((F.col(n) for n in names[1:]), F.col(names[0])) / len(names)).drop(*names)
+
+
+def weighted_markouts(fills: DataFrame, mids: DataFrame, keys: list[str], time: str, horizons: list[int], settled: DataFrame) -> DataFrame:
+    """(horizon, fills, shares, markout) of fills (keys, time, direction, price, size): the sum of direction * (mid at
+    time plus horizon - price) * size over the sum of sizes. Horizon null is settlement: `mid` of settled (keys, mid).
+
+    A fill without a mid at a horizon stays out of it; where no size is left the markout is null.
+    """
+    own = fills.select(*keys, time, "direction", "price", "size")
+    each = own.withColumn("horizon", F.explode(F.array(*[F.lit(h).cast("long") for h in horizons]))).withColumn(time, F.col(time) + F.col("horizon"))
+    known = asof(each, mids, keys, time, "mid").drop(time)
+    known = known.unionByName(own.drop(time).withColumn("horizon", F.lit(None).cast("long")).join(settled.select(*keys, "mid"), keys)).where("mid is not null")
+    gain, size = F.sum(F.col("direction") * (F.col("mid") - F.col("price")) * F.col("size")), F.sum("size")
+    return known.groupBy("horizon").agg(F.count(F.lit(1)).alias("fills"), size.alias("shares"), F.when(size > 0, gain / size).alias("markout"))
+
+
+def breakdowns(results: DataFrame, slices: dict[str, Column], measures: list[Column]) -> DataFrame:
+    """(dimension, slice, measures) over each of several slicings, in one pass and one shuffle of partial sums.
+
+    A row counts once for each dimension; its slice is text, null where the row has none.
+    """
+    one = [F.struct(F.lit(d).alias("dimension"), c.cast("string").alias("slice")) for d, c in slices.items()]
+    return results.select("*", F.inline(F.array(*one))).groupBy("dimension", "slice").agg(*measures)
+
+
 def markouts(fills: DataFrame, mids: DataFrame, keys: list[str], time: str, horizons: list[int]) -> DataFrame:
     """(horizon, fills, markout): the sum of mid at fill time plus horizon minus the fill's price; fills without a mid stay out."""
     each = fills.withColumn("horizon", F.explode(F.array(*[F.lit(h).cast("long") for h in horizons]))).withColumn(time, F.col(time) + F.col("horizon"))
@@ -77,9 +113,10 @@ def brier(forecasts: DataFrame, by: list[str], p: str, hit: str) -> DataFrame:
     return forecasts.groupBy(*by).agg(F.round(F.avg(F.pow(F.col(p) - F.col(hit).cast("int"), 2)), 8).alias("brier"))
 
 
-def reliability(forecasts: DataFrame, p: str, hit: str, bins: int) -> DataFrame:
+def reliability(forecasts: DataFrame, p: str, hit: str, bins: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, bin, n, predicted, observed): forecasts by their probability, in one panel for each value of `by`."""
     b = F.least(F.floor(F.col(p) * bins), F.lit(bins - 1).cast("long"))
-    return forecasts.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(p), 8).alias("predicted"), F.round(F.avg(F.col(hit).cast("double")), 8).alias("observed"))
+    return forecasts.groupBy(*by, b.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(p), 8).alias("predicted"), F.round(F.avg(F.col(hit).cast("double")), 8).alias("observed"))
 
 
 def block_bootstrap(days: DataFrame, day: str, pnl: str, draws: int, seed: int) -> DataFrame:

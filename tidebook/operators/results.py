@@ -18,14 +18,19 @@ def decomposed(found: DataFrame, later: str, outcome: str) -> DataFrame:
     )
 
 
-def core_stats(results: DataFrame, pnl: str) -> DataFrame:
-    """One row over markets (one result each): spread of results, hit rate, win to loss."""
+def core_stats(results: DataFrame, pnl: str, shares: str | None = None) -> DataFrame:
+    """One row over markets (one result each): spread of results, hit rate, win to loss, with shares the edge of one.
+
+    What has no rows to stand on, as win to loss without a loss, is null.
+    """
+    edge = [] if shares is None else [F.try_divide(F.sum(pnl), F.sum(shares)).alias("edge")]
     p = F.percentile(pnl, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
     s = results.agg(
         F.count(F.lit(1)).alias("markets"), F.sum(pnl).alias("net"), F.avg(pnl).alias("mean"), F.stddev_samp(pnl).alias("sd"), F.skewness(pnl).alias("skew"), p.alias("p"),
-        F.avg((F.col(pnl) > 0).cast("double")).alias("hit_rate"), (F.avg(F.when(F.col(pnl) > 0, F.col(pnl))) / -F.avg(F.when(F.col(pnl) < 0, F.col(pnl)))).alias("win_loss"),
+        F.avg((F.col(pnl) > 0).cast("double")).alias("hit_rate"), F.try_divide(F.avg(F.when(F.col(pnl) > 0, F.col(pnl))), -F.avg(F.when(F.col(pnl) < 0, F.col(pnl)))).alias("win_loss"),
+        *edge,
     )
-    return s.select("markets", "net", "mean", "sd", "skew", *[F.get("p", F.lit(i)).alias(n) for i, n in enumerate(("p5", "median", "p95"))], "hit_rate", "win_loss")
+    return s.select("markets", "net", "mean", "sd", "skew", *[F.get("p", F.lit(i)).alias(n) for i, n in enumerate(("p5", "median", "p95"))], "hit_rate", "win_loss", *(["edge"] if edge else []))
 
 
 def go_no_go(stats: DataFrame, least_markets: int = 2_000, least_t: float = 2.5) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidebook.operators import analytics as A
+from tidebook.operators.results import core_stats
 from tidebook.plans.market import _E, stream, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +148,71 @@ SELECT user_id, config, coalesce(fit, 0) AS fit, coalesce(held, 0) AS held FROM
 def sweep_holdout(spark, sf_dir):
     e = stream(spark, sf_dir).select("user_id", (F.col("k") % 4).alias("config"), F.expr("ms div 86400000 % 10 < 7").alias("fitting"), F.round((F.col("value") - 35) * 100).cast("long").alias("pnl"))
     return A.best_on_fit(e, ["user_id"], "config", "fitting", "pnl")
+
+
+@query(f"""
+WITH s AS (SELECT user_id, ms // 1000 AS second, arg_max(value, ms) AS price FROM {_E} GROUP BY ALL),
+l AS (SELECT user_id, second, CASE WHEN price > 0 AND lag(price) OVER w > 0 THEN ln(price / CASE WHEN lag(price) OVER w > 0 THEN lag(price) OVER w END) END AS r, row_number() OVER w AS n FROM s WINDOW w AS (PARTITION BY user_id ORDER BY second)),
+v AS (SELECT a.user_id, a.second, sqrt(sum(b.r * b.r * pow(0.5, (a.n - b.n) / 60.0)) / sum(pow(0.5, (a.n - b.n) / 60.0))) AS fast, sqrt(sum(b.r * b.r * pow(0.5, (a.n - b.n) / 600.0)) / sum(pow(0.5, (a.n - b.n) / 600.0))) AS slow
+FROM l a JOIN l b ON a.user_id = b.user_id AND b.n <= a.n AND b.r IS NOT NULL GROUP BY a.user_id, a.second)
+SELECT user_id, second, round((fast + slow) / 2, 6) AS vol FROM v""")
+def blended_vol(spark, sf_dir):
+    v = A.blended_volatility(stream(spark, sf_dir), ["user_id"], "ms", "value", (60.0, 600.0))
+    return v.where("vol is not null").select("user_id", "second", F.round("vol", 6).alias("vol"))
+
+
+_HORIZONS = [500, 1_000, 2_000, 5_000, 10_000, 30_000, 60_000, 120_000]
+
+
+@query(f"""
+WITH e AS {_E}, q AS {_MARK}, f AS (SELECT user_id, ms, k, event_id % 5 + 1 AS size, CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END AS d FROM e WHERE event_type = 'purchase'),
+h AS (SELECT f.*, h, ms + h AS at FROM f, (SELECT unnest({_HORIZONS}) AS h)),
+m AS (SELECT h.h, h.d, h.k, h.size, q.mid FROM h ASOF JOIN q ON h.user_id = q.user_id AND h.at >= q.ms
+UNION ALL SELECT NULL, f.d, f.k, f.size, l.mid FROM f JOIN (SELECT user_id, arg_max(mid, ms) AS mid FROM q WHERE mid IS NOT NULL GROUP BY user_id) l USING (user_id))
+SELECT CAST(h AS BIGINT) AS horizon, count(*) AS fills, CAST(sum(size) AS BIGINT) AS shares, round(sum(d * (mid - k) * size) / sum(size), 6) AS markout FROM m WHERE mid IS NOT NULL GROUP BY h""")
+def markout_nine_horizons(spark, sf_dir):
+    e = stream(spark, sf_dir)
+    fills = e.where("event_type = 'purchase'").select("user_id", "ms", F.when(F.col("event_id") % 2 == 0, 1).otherwise(-1).alias("direction"), F.col("k").alias("price"), (F.col("event_id") % 5 + 1).alias("size"))
+    mids = e.where("event_type = 'click'").groupBy("user_id", "ms").agg(F.max("k").alias("mid"))
+    settled = mids.where("mid is not null").groupBy("user_id").agg(F.max_by("mid", "ms").alias("mid"))
+    return A.weighted_markouts(fills, mids, ["user_id"], "ms", _HORIZONS, settled).withColumn("markout", F.round("markout", 6))
+
+
+@query(f"""
+WITH e AS {_E}, r AS (SELECT user_id, max(c) - min(c) AS r FROM (SELECT user_id, CAST(round(value * 100) AS BIGINT) AS c FROM e) GROUP BY user_id),
+t AS (SELECT quantile_disc(r, 1 / 3) AS a, quantile_disc(r, 2 / 3) AS b FROM r),
+x AS (SELECT e.*, CAST(round(value * 100) AS BIGINT) AS c, CASE WHEN r.r <= t.a THEN 'low' WHEN r.r <= t.b THEN 'mid' ELSE 'high' END AS vol FROM e JOIN r USING (user_id), t),
+s AS (SELECT c, unnest([{{'d': 'minute', 's': CAST(ms // 60000 % 15 AS VARCHAR)}}, {{'d': 'forecast', 's': CAST(least(k // 8, 9) AS VARCHAR)}}, {{'d': 'volatility', 's': vol}}, {{'d': 'hour', 's': CAST(ms // 3600000 % 24 AS VARCHAR)}},
+{{'d': 'side', 's': CASE WHEN event_id % 2 = 0 THEN 'BUY' ELSE 'SELL' END}}, {{'d': 'mode', 's': event_type}}]) AS u FROM x)
+SELECT u.d AS dimension, u.s AS slice, count(*) AS n, CAST(sum(c) AS BIGINT) AS cents, round(avg(CASE WHEN c > 3500 THEN 1.0 ELSE 0.0 END), 8) AS hit_rate FROM s GROUP BY ALL""")
+def breakdown_six(spark, sf_dir):
+    e = stream(spark, sf_dir).withColumn("c", F.round(F.col("value") * 100).cast("long"))
+    ranges = e.groupBy("user_id").agg((F.max("c") - F.min("c")).alias("r"))  # a row for each market
+    cuts = ranges.agg(F.expr("percentile_disc(1.0D / 3) WITHIN GROUP (ORDER BY r)").alias("a"), F.expr("percentile_disc(2.0D / 3) WITHIN GROUP (ORDER BY r)").alias("b"))
+    of = ranges.join(F.broadcast(cuts), F.lit(True)).select("user_id", F.when(F.col("r") <= F.col("a"), "low").when(F.col("r") <= F.col("b"), "mid").otherwise("high").alias("vol"))  # cuts is one row
+    slices = {
+        "minute": F.expr("ms div 60000 % 15"), "forecast": F.least(F.expr("k div 8"), F.lit(9)), "volatility": F.col("vol"), "hour": F.expr("ms div 3600000 % 24"),
+        "side": F.when(F.col("event_id") % 2 == 0, "BUY").otherwise("SELL"), "mode": F.col("event_type"),
+    }
+    return A.breakdowns(e.join(of, "user_id"), slices, [F.count(F.lit(1)).alias("n"), F.sum("c").alias("cents"), F.round(F.avg((F.col("c") > 3500).cast("double")), 8).alias("hit_rate")])
+
+
+@query(f"""
+WITH m AS (SELECT user_id, sum(CAST(round((value - 35) * 100) AS BIGINT)) AS pnl, sum(k) AS shares FROM {_E} GROUP BY user_id)
+SELECT count(pnl) AS markets, CAST(sum(pnl) AS BIGINT) AS net, round(avg(pnl), 4) AS mean, round(quantile_cont(pnl, 0.5), 4) AS median, round(stddev_samp(pnl), 4) AS sd, round(quantile_cont(pnl, 0.05), 4) AS p5, round(quantile_cont(pnl, 0.95), 4) AS p95,
+round(sum(pnl) / sum(shares), 6) AS edge, round(avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, round(avg(pnl) FILTER (pnl > 0) / -avg(pnl) FILTER (pnl < 0), 6) AS win_loss FROM m""")
+def market_result_stats(spark, sf_dir):
+    m = stream(spark, sf_dir).groupBy("user_id").agg(F.sum(F.round((F.col("value") - 35) * 100).cast("long")).alias("pnl"), F.sum("k").alias("shares"))
+    digits = {"mean": 4, "median": 4, "sd": 4, "p5": 4, "p95": 4, "edge": 6, "hit_rate": 6, "win_loss": 6}
+    found = core_stats(m, "pnl", "shares").drop("skew")  # engines define skewness in different ways
+    return found.select(*[F.round(c, digits[c]).alias(c) if c in digits else c for c in found.columns])
+
+
+@query(f"""
+WITH f AS (SELECT k / 80.0 AS p, CASE WHEN value > 35 THEN 1.0 ELSE 0.0 END AS hit, CASE WHEN ms % 900000 < 300000 THEN 'over 10 min' WHEN ms % 900000 <= 600000 THEN '5 to 10 min' ELSE 'under 5 min' END AS panel FROM {_E} WHERE k IS NOT NULL)
+SELECT panel, least(CAST(floor(p * 10) AS BIGINT), 9) AS bin, count(*) AS n, round(avg(p), 8) AS predicted, round(avg(hit), 8) AS observed FROM f GROUP BY ALL""")
+def reliability_panels(spark, sf_dir):
+    into = F.col("ms") % 900_000
+    panel = F.when(into < 300_000, "over 10 min").when(into <= 600_000, "5 to 10 min").otherwise("under 5 min")
+    e = stream(spark, sf_dir).where("k is not null").select((F.col("k") / 80).alias("p"), (F.col("value") > 35).alias("hit"), panel.alias("panel"))
+    return A.reliability(e, "p", "hit", 10, ("panel",))
