@@ -235,6 +235,15 @@ def test_fold_in_batches_and_streams_agrees(spark, folder, tmp_path):
     assert spark.read.parquet(str(tmp_path / "stream/trades")).count() == lake.read_table(spark, folder, "trades").count()
 
 
+def test_recorded_hours_of_a_stream_hold_its_events(spark, folder, tmp_path):
+    q = market_stream.record_hours(market_stream.event_stream(spark, folder, files_per_batch=1), str(tmp_path), str(tmp_path / "c"))
+    assert q.awaitTermination(120)
+    texts = lambda events: sorted(r["text"] for r in raw.canonical(events).select("text").collect())
+    got = market_stream.recorded_events(spark, str(tmp_path))
+    assert texts(got) == texts(lake.replay(spark, folder))
+    assert got.where("hour <> hour(timestamp_seconds(recv_ts div 1000000000))").isEmpty()
+
+
 def messages(spark, texts, market="0xabc"):
     return spark.createDataFrame([(i, market, t, 5 * 10**15) for i, t in enumerate(texts)], "msg long, market_id string, value string, recv_ts long")
 

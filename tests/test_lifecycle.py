@@ -45,3 +45,12 @@ def test_as_of_and_first_rows(spark):
     assert got == {("a", 5): 50, ("a", 1): None, ("b", 5): None}
     assert {(r["k"], r["t"]): r["v"] for r in keyed.asof(left, right, ["k"], "t", "v", tie=1).collect()}[("a", 5)] == 30
     assert keyed.first_per_key(right, ["k"], ["t"]).first()["v"] == 30 and keyed.last_per_key(right, ["k"], ["t"]).first()["v"] == 50
+
+
+def test_report_lines(spark):
+    kind = "window_start long, deltas long, trades long, snapshots long, late_sec double, clob_hole_ms long, rec_hole_ms long, feed_gap_ms double, cl_ticks long, our_outcome string, s0_diff double, s1_diff double, flags string, excluded boolean"
+    rows = [(1_790_284_500_000, 1_987, 3, 2, 0.04, 500, 250, 0.0, 900, "UP", 0.0, None, "", False), (1_790_285_400_000, 123_456_789, None, None, None, None, None, None, 0, None, None, None, "GAP,NORES", True)]
+    lines = [r["line"] for r in lifecycle.report_lines(spark.createDataFrame(rows, kind), 900).orderBy("window_start").collect()]
+    assert lines[0].split() == ["21:15", "1987", "3", "2", "0.0", "500", "250", "0", "900/900", "UP", "0.000000000", "-"]
+    assert lines[1].split() == ["21:30", "123456789", *["-"] * 6, "0/900", "-", "-", "-", "yes", "GAP,NORES"]
+    assert lifecycle.report_lines(spark.createDataFrame([], kind), 900).count() == 0

@@ -34,6 +34,18 @@ def day_report(health: DataFrame, now_ms: int) -> DataFrame:
     return counts.unionByName(flags)
 
 
+def report_lines(health: DataFrame, window_sec: int) -> DataFrame:
+    """(window_start, line): each market of a day's health as a line of text, columns padded to one width; null is "-"."""
+    text = lambda c, digits=None: F.when(c.isNull(), "-").otherwise(c.cast("string") if digits is None else F.format_string(f"%.{digits}f", c))
+    start = F.date_format(F.timestamp_millis("window_start"), "HH:mm")
+    cells = [
+        (start, 6), (text(F.col("deltas")), 8), (text(F.col("trades")), 8), (text(F.col("snapshots")), 7), (text(F.col("late_sec"), 1), 9), (text(F.col("clob_hole_ms")), 10), (text(F.col("rec_hole_ms")), 9),
+        (text(F.col("feed_gap_ms"), 0), 9), (F.concat(text(F.col("cl_ticks")), F.lit(f"/{window_sec}")), 9), (text(F.col("our_outcome")), 6), (text(F.col("s0_diff"), 9), 13), (text(F.col("s1_diff"), 9), 15), (F.when(F.col("excluded"), "yes").otherwise(""), 5),
+    ]
+    padded = [F.when(F.length(c) < n, F.lpad(c, n, " ")).otherwise(c) for c, n in cells]
+    return health.select("window_start", F.rtrim(F.concat_ws(" ", *padded, F.coalesce("flags", F.lit("")))).alias("line"))
+
+
 def feed_gaps(arrivals: DataFrame, keys: list[str], ms: str, silence_ms: int) -> DataFrame:
     """(keys, start, end, gap_ms): silences of a feed, each reported once, when data resumes."""
     before = F.lag(ms).over(W.partitionBy(*keys).orderBy(ms))

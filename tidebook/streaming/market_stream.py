@@ -83,3 +83,24 @@ def file_tables(events: DataFrame, data_dir: str, checkpoint: str):
             filed.unpersist()
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def record_hours(events: DataFrame, data_dir: str, checkpoint: str):
+    """A running query that appends each batch's events as gzipped lines under stream_raw/batch=N/date=/hour=, by arrival.
+
+    Lines of an hour are sorted by arrival within a file. A batch that runs twice replaces what it wrote before.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        at = F.timestamp_seconds(F.expr("recv_ts div 1000000000"))
+        lines = raw.encoded(batch.withColumn("date", F.to_date(at)).withColumn("hour", F.hour(at)).withColumn("line", F.col("recv_ts")))
+        sorted_lines = lines.repartition("date", "hour").sortWithinPartitions("date", "hour", "line").drop("line")
+        sorted_lines.write.mode("overwrite").partitionBy("date", "hour").option("compression", "gzip").text(f"{data_dir}/stream_raw/batch={number}")
+
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def recorded_events(spark: SparkSession, data_dir: str) -> DataFrame:
+    """The events that record_hours wrote, with date and hour; line is null, as their order is that of recv_ts."""
+    lines = spark.read.schema("value string, batch long, date date, hour int").text(f"{data_dir}/stream_raw").select("date", "hour", F.lit(None).cast("int").alias("line"), "value")
+    return raw.events_of(raw.parsed(lines))
