@@ -366,9 +366,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
 ORACLE_SQL = f"""
 WITH RECURSIVE v AS (
   SELECT CAST(vec_id AS BIGINT) AS vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), checked AS (
+  SELECT vec_id, CASE WHEN len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0 THEN list_transform(e, lambda x: coalesce(x, 0.0)) END AS e FROM v
 ), sound AS (
-  SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS norm FROM v
-  WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+  SELECT vec_id, e, CASE WHEN e IS NOT NULL THEN sqrt(list_inner_product(e, e)) END AS norm FROM checked WHERE e IS NOT NULL
 ), links AS (
   SELECT a.vec_id AS src, b.vec_id AS dst FROM sound a JOIN sound b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
   WHERE list_inner_product(a.e, b.e) / (a.norm * b.norm) >= {COSINE}
