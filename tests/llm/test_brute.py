@@ -9,11 +9,11 @@ import time
 import brute_pii
 import pytest
 from pyspark.sql import functions as F
-from test_free import brute_components, brute_fingerprint
+from test_free import brute_components, brute_linked, brute_long
 from test_native import words as brute_words
 
 import corpus_pipeline
-from tidebook.llm import bpe, common, decontamination, pii, quality, secrets, sharding, simhash, toxicity
+from tidebook.llm import bpe, common, decontamination, pii, quality, secrets, sharding, toxicity
 
 SF = "/root/testdata/sf0.001"
 KEY = "of the tests"
@@ -170,8 +170,8 @@ def brute_pipeline(spark, docs, labels, items):
 
     machine = quality.learn(docs, labels)
     rows = [r for r in docs.collect() if machine.score(r["text"] or "") >= quality.THRESHOLD]
-    marks = [brute_fingerprint(r["text"]) for r in rows]
-    root = brute_components(range(len(rows)), lambda a, b: (marks[a] ^ marks[b]).bit_count() <= simhash.DROP_RADIUS)
+    marks = [brute_long(r["text"]) for r in rows]
+    root = brute_components(range(len(rows)), lambda a, b: brute_linked(marks[a], marks[b]))
     groups = {}
     for i, r in enumerate(rows):
         groups.setdefault(root[i], []).append(r)

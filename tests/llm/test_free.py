@@ -45,6 +45,34 @@ def brute_components(ids, linked):
     return [least[find(i)] for i in range(len(ids))]
 
 
+def brute_long(text):
+    """Three words of bits over the distinct five-word shingles; later words from mixed hashes."""
+    low = (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    w = re.findall(r"[^\x20\x09-\x0D]+", low)
+    if not w:
+        return [0, 0, 0]
+    h = {xxhash.xxh64_intdigest(" ".join(w[i : i + 5]).encode(), 42) for i in range(max(1, len(w) - 4))}
+    out, full = [], 2**64 - 1
+    for word in range(3):
+        own = []
+        for x in h:
+            if word:
+                x = x + word * 0x9E3779B97F4A7C15 & full
+                x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & full
+                x = (x ^ x >> 27) * 0x94D049BB133111EB & full
+                x ^= x >> 31
+            own.append(x)
+        out.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in own) > len(own)))
+    return out
+
+
+def brute_linked(a, b):
+    """At most 33 of 192 bits differ, and some word agrees in two of seven bands."""
+    xor, edges = [x ^ y for x, y in zip(a, b)], [64 * i // 7 for i in range(8)]
+    agreed = lambda x: sum(not x >> s & (1 << e - s) - 1 for s, e in zip(edges, edges[1:]))
+    return sum(x.bit_count() for x in xor) <= 33 and any(agreed(x) >= 2 for x in xor)
+
+
 def test_simhash_is_exact(spark, docs):
     rnd = random.Random(3)
     own = [(r["doc_id"], r["text"]) for r in docs.collect()]
@@ -85,10 +113,16 @@ def test_no_link_is_lost_between_fingerprints(spark, hot, radius):
 
 
 def test_keep_one(spark, docs, odd, nothing):
-    left = simhash.keep_one(docs)
-    want = {r["component_id"] for r in simhash.near_duplicates(docs, simhash.DROP_RADIUS).collect()}
+    rnd = random.Random(9)
+    own = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    for rate in (0.01, 0.03, 0.05, 0.2):
+        own += [(10_000 + len(own) + i, re.sub(r"\w+", lambda m: m[0] if rnd.random() > rate / 5 else "edited", t)) for i, t in own[:40]]
+    left = simhash.keep_one(spark.createDataFrame(own, "doc_id long, text string"))
+    marks = [brute_long(t) for _, t in own]
+    assert marks == [simhash.long_fingerprint(t) for _, t in own]
+    want = set(brute_components([i for i, _ in own], lambda a, b: brute_linked(marks[a], marks[b])))
     got = [r["doc_id"] for r in left.collect()]
-    assert left.columns == docs.columns and sorted(got) == sorted(want)
+    assert left.columns == ["doc_id", "text"] and sorted(got) == sorted(want) and len(got) < len(own) - 60
     few = simhash.keep_one(odd)
     assert few.columns == odd.columns and simhash.keep_one(nothing).count() == 0
     ids = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in few.collect())
@@ -97,6 +131,28 @@ def test_keep_one(spark, docs, odd, nothing):
     assert simhash.near_duplicates(odd).count() == 13
 
 
+@pytest.mark.parametrize("hot", [simhash.HOT_BUCKET, 40])
+def test_no_link_is_lost_between_long_fingerprints(spark, hot):
+    """Families of every size around few centres, so that buckets are single, small, large and dealt in parts."""
+    rnd, fps = random.Random(6), set()
+    for size in (1, 2, 3, 5, 9, 20, 70, 150):
+        centre = [rnd.getrandbits(64) for _ in range(3)]
+        for _ in range(size):
+            own = list(centre)
+            for b in rnd.sample(range(192), rnd.choice([4, 12, 20, 30])):
+                own[b // 64] ^= 1 << b % 64
+            fps.add(tuple(own))
+    fps = sorted(fps)
+    rows = [(i, tuple(map(simhash._signed, f))) for i, f in enumerate(fps)]
+    links = [(r["src"], r["dst"]) for r in simhash.long_links(spark.createDataFrame(rows, "node long, fp struct<w0:long,w1:long,w2:long>"), hot).collect()]
+    assert all(brute_linked(fps[a], fps[b]) or sum((x ^ y).bit_count() for x, y in zip(fps[a], fps[b])) <= 33 for a, b in links)
+    root = list(range(len(fps)))
+    find = lambda x: x if root[x] == x else find(root[x])
+    for a, b in links:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    assert [find(i) for i in range(len(fps))] == brute_components(list(range(len(fps))), lambda a, b: brute_linked(fps[a], fps[b]))
+
+
 def test_components_of_a_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(200, 400)] + [(5, 5), (3, 2), (2, 3)]
     df = spark.createDataFrame(edges + [(None, 4)], "src long, dst long")

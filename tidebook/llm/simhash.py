@@ -4,6 +4,9 @@ A fingerprint bit is 1 where over half the XXH64 hashes of a text's 3-word shing
 fingerprints meet in buckets that fix two of radius + 2 bands (any two fingerprints within the radius agree on at
 least two bands, so no link is lost); inside a bucket, fingerprints lie as vertical bit planes and distances of many
 lanes at a time rise in carry-save counters, a block being left once every lane is over the radius.
+
+Where near-duplicates are dropped, fingerprints are longer (several words of 64 bits, each from other hashes of the
+distinct 5-word shingles), so their distance tells the shared share of shingles; they meet wherever a word agrees in two bands.
 """
 
 from __future__ import annotations
@@ -21,12 +24,16 @@ from pyspark.sql import types as T
 from tidebook.llm.common import bounded_batches, looked_up, materialize, read_table, salted_left_join
 from tidebook.llm.components import connected_components
 
-#: Bits by which linked fingerprints may differ: in the query, and where near-duplicates are dropped. On texts with
-#: small edits the wider radius finds several times as many pairs of 0.8 or more shared five-word shingles.
-RADIUS, DROP_RADIUS = 2, 4
+#: Bits by which linked fingerprints of one word may differ.
+RADIUS = 2
+#: Where near-duplicates are dropped: words in a shingle, 64-bit words in a fingerprint, bands that each is cut into, and
+#: bits by which linked ones may differ. A similarity of 0.8 has 29 of 192 bits differ on average, with a deviation of 5.
+DROP_SHINGLE, DROP_WORDS, DROP_BANDS, DROP_RADIUS = 5, 3, 7, 33
 #: Buckets with more distinct fingerprints are dealt again by two of radius + 2 bands of their open bits. What then
 #: meets shares about 32 bits (radius 2) or 34 bits (radius 4).
 HOT_BUCKET = 4096
+#: Rows that a task gathers before it compares them.
+GATHER = 1 << 16
 
 
 def bands(radius: int, bits: int, start: int = 0) -> list[tuple[int, int]]:
@@ -58,6 +65,33 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 
 
+def _mixed(h: np.ndarray, word: int) -> np.ndarray:
+    """The hashes that fill a later word of a fingerprint: h, moved and mixed (constants of the SplitMix64 generator)."""
+    h = h + np.uint64(word * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def long_fingerprint(text: str | None) -> list[int]:
+    """DROP_WORDS words of SimHash over the distinct 5-word shingles of a text, words as in fingerprint().
+
+    Fewer than five words: the whole sequence is the one shingle. No word (or null): all zero.
+    """
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return [0] * DROP_WORDS
+    shingles = map(b" ".join, zip(*[words[i:] for i in range(DROP_SHINGLE)])) if len(words) >= DROP_SHINGLE else iter((b" ".join(words),))
+    hashes = np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64))
+    counts = np.zeros((DROP_WORDS, 64), np.int64)
+    for at in range(0, len(hashes), 65536):
+        part = hashes[at : at + 65536]
+        for w in range(DROP_WORDS):
+            h = _mixed(part, w) if w else part
+            counts[w] += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return [int.from_bytes(row.tobytes(), "big") for row in np.packbits(counts * 2 > len(hashes), axis=1)]
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
@@ -73,13 +107,46 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return bounded_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprint_batches, "doc_id long, fp long")
 
 
+def _long_column(texts: pa.Array) -> pa.Array:
+    found = np.array([long_fingerprint(t.as_py()) for t in texts], np.uint64).reshape(-1, DROP_WORDS).view(np.int64)
+    return pa.StructArray.from_arrays([pa.array(c) for c in np.ascontiguousarray(found.T)], LONG_FP.names)
+
+
+def _long_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), _long_column(b.column(1))], ["doc_id", "fp"])
+
+
+LONG_FP = T.StructType([T.StructField(f"w{i}", T.LongType()) for i in range(DROP_WORDS)])
+
+
+def long_fingerprints(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp): fp is a struct of DROP_WORDS signed longs. One row out for each row in."""
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return rows.mapInArrow(_long_batches, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", LONG_FP)]))
+
+
 # --- comparison inside a bucket ------------------------------------------------------------------------------
 
 
+def _bit_rows(fps: np.ndarray) -> np.ndarray:
+    """The bits of each fingerprint; one of several words is a row of fps."""
+    return np.unpackbits(np.ascontiguousarray(fps.reshape(len(fps), -1)).astype(">u8").view(np.uint8), axis=1)
+
+
 def planes(fps: np.ndarray) -> np.ndarray:
     """Vertical store: row b holds bit b of every fingerprint, packed eight lanes to a byte."""
-    bits = np.unpackbits(fps.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    return np.packbits(bits, axis=0).T.copy()
+    return np.packbits(_bit_rows(fps), axis=0).T.copy()
+
+
+def _against(store: np.ndarray, lag: int, lanes: int) -> Iterator[np.ndarray]:
+    """For each plane, where lane i differs from lane i + lag: the plane moved by lag bits, over itself."""
+    size, (byte, bit) = (lanes + 7) // 8, divmod(lag, 8)
+    for p in store:
+        q = p[byte : byte + size + 1]
+        if bit:
+            q = (q << bit) | (np.append(q[1:], np.uint8(0)) >> (8 - bit))
+        yield p[:size] ^ q[:size]
 
 
 def lanes_within(diff: Iterator[np.ndarray], width: int, done: np.ndarray | None = None, radius: int = RADIUS) -> np.ndarray:
@@ -108,20 +175,11 @@ def lanes_within(diff: Iterator[np.ndarray], width: int, done: np.ndarray | None
     return np.unpackbits(~over)[:width].astype(bool)
 
 
-def linked_pairs(left: np.ndarray, right: np.ndarray, radius: int = RADIUS, block: int = 1 << 15) -> np.ndarray:
-    """Whether left[i] and right[i] differ in at most `radius` bits, for many pairs at once, block by block."""
-    out = np.zeros(len(left), bool)
-    for at in range(0, len(left), block):
-        a, b = planes(left[at : at + block]), planes(right[at : at + block])
-        out[at : at + block] = lanes_within((x ^ y for x, y in zip(a, b)), len(left[at : at + block]), radius=radius)
-    return out
-
-
 def spanning_links(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
     """Links that join each component of one bucket: breadth-first, each fingerprint is the query once."""
     n = len(fps)
     store, full = planes(fps), np.array([0, 0xFF], np.uint8)
-    bits = np.unpackbits(fps.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    bits = _bit_rows(fps)
     seen, links = np.zeros(n, bool), []
     for start in range(n):
         if seen[start]:
@@ -137,72 +195,82 @@ def spanning_links(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int
     return links
 
 
-#: Groups of up to this many fingerprints are compared all at once over the groups of a batch.
-SMALL = 8
+#: Groups of up to this many fingerprints are compared all at once over what a task has gathered.
+SMALL = 32
+
 
+def _links_of(groups: np.ndarray, names: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links as names. groups: a number per row, ascending. fps (a row for each name) are distinct within a group.
 
-def _links_of(groups: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """groups: a number per row, ascending; fps sorted within a group and distinct."""
+    Small groups of like size lie in one vertical store, which is compared with itself at every lag.
+    """
     edge = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1], True])
     sizes = np.diff(edge)
-    src, dst = [], []
+    src, dst = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     size_of = np.repeat(sizes, sizes)
-    small = size_of <= SMALL
-    for lag in range(1, SMALL):
-        at = np.flatnonzero((groups[lag:] == groups[:-lag]) & small[lag:]) if len(groups) > lag else np.empty(0, int)
-        if len(at):
-            hit = at[linked_pairs(fps[at], fps[at + lag], radius)]
-            src.append(fps[hit])
-            dst.append(fps[hit + lag])
+    top = 2
+    while top <= SMALL:
+        at = np.flatnonzero((size_of > top // 2) & (size_of <= top))
+        own, store = groups[at], planes(fps[at]) if len(at) else None
+        for lag in range(1, min(top, len(at))):
+            same = own[lag:] == own[:-lag]
+            hit = np.flatnonzero(lanes_within(_against(store, lag, len(same)), len(same), np.packbits(~same), radius))
+            src.append(names[at[hit]])
+            dst.append(names[at[hit + lag]])
+        top *= 2
     for g in np.flatnonzero(sizes > SMALL):
-        part = fps[edge[g] : edge[g + 1]]
-        if links := spanning_links(part, radius):
+        own = slice(edge[g], edge[g + 1])
+        if links := spanning_links(fps[own], radius):
             pairs = np.array(links)
-            src.append(part[pairs[:, 0]])
-            dst.append(part[pairs[:, 1]])
-    none = np.empty(0, np.uint64)
-    return np.concatenate([none, *src]), np.concatenate([none, *dst])
+            src.append(names[own][pairs[:, 0]])
+            dst.append(names[own][pairs[:, 1]])
+    return np.concatenate(src), np.concatenate(dst)
 
 
-def _link_batches(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows (k, sub, fp) sorted by all three; the last group of a batch waits for the next batch."""
-    waiting: list[np.ndarray] = []  # rows of one group
+def _link_batches(batches: Iterator[pa.RecordBatch], radius: int, words: int = 1) -> Iterator[pa.RecordBatch]:
+    """Rows (k, sub, name, words of the fingerprint; one word may be the name itself) sorted by k and sub.
+
+    Rows are gathered over batches; the last group waits for the rest of it, and the longer it is the longer.
+    """
+    waiting: list[np.ndarray] = []
+    held, enough = 0, GATHER
 
     def out(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not len(rows):
             return
         new = np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(1)]
-        a, b = _links_of(np.cumsum(new), rows[:, 2].copy().view(np.uint64), radius)
+        a, b = _links_of(np.cumsum(new), rows[:, 2], rows[:, -words:].copy().view(np.uint64), radius)
         if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["src", "dst"])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["src", "dst"])
 
     for b in batches:
         if not b.num_rows:
             continue
-        rows = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1)
+        waiting.append(np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1))
+        held += b.num_rows
+        if held < enough:
+            continue
+        rows = np.concatenate(waiting)
         last = np.flatnonzero((rows[:, :2] == rows[-1, :2]).all(1))[0]
-        if waiting and (last or (rows[0, :2] != waiting[0][0, :2]).any()):  # the group that waits ends in this batch
-            yield from out(np.concatenate([*waiting, rows[:last]]))
-            waiting = []
-        elif last:
-            yield from out(rows[:last])
-        waiting.append(rows[last:])
+        yield from out(rows[:last])
+        waiting, held = [rows[last:]], len(rows) - last
+        enough = max(GATHER, 2 * held)
     if waiting:
         yield from out(np.concatenate(waiting))
 
 
-def _bits(pieces: list[tuple[int, int]]) -> Column:
+def _bits(pieces: list[tuple[int, int]], fp: str = "fp") -> Column:
     """The given (first bit, width) pieces of fp, side by side."""
     out, shift = F.lit(0).cast("long"), 0
     for first, width in pieces:
-        out = out + F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << width) - 1).cast("long")) * F.lit(1 << shift).cast("long")
+        out = out + F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << width) - 1).cast("long")) * F.lit(1 << shift).cast("long")
         shift += width
     return out
 
 
-def _keys(cut: list[list[tuple[int, int]]]) -> Column:
-    """A key for each two of the bands; a band is a list of pieces, and the pair's number is the top byte."""
-    return F.array(*[F.lit(c << 48).cast("long") + _bits([*cut[i], *cut[j]]) for c, (i, j) in enumerate(combinations(range(len(cut)), 2))])
+def _keys(cut: list[list[tuple[int, int]]], fp: str = "fp", first: int = 0) -> Column:
+    """A key for each two of the bands; a band is a list of pieces, and the pair's number, counted from first, is on top."""
+    return F.array(*[F.lit(c << 48).cast("long") + _bits([*cut[i], *cut[j]], fp) for c, (i, j) in enumerate(combinations(range(len(cut)), 2), first)])
 
 
 def _cut_open(open_bits: list[tuple[int, int]], n: int) -> list[list[tuple[int, int]]]:
@@ -263,25 +331,58 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return salted_left_join(rows, named, "fp", F.col("doc_id")).select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, radius: int = DROP_RADIUS) -> DataFrame:
-    """docs without near-duplicates: of each component the row with the smallest doc_id stays, once.
+def long_links(classes: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
+    """Distinct (node, fp) -> (src, dst) nodes: links that join all components of the long fingerprints.
 
-    Of a component whose rows have no id, one stays. Rows of one doc_id with different texts are different rows.
-    All columns, whatever their names, and texts are left as they are.
+    Two are linked where some word agrees in two of its DROP_BANDS bands and at most DROP_RADIUS bits differ in all. The
+    rows of a bucket with over hot_bucket fingerprints are dealt into parts, and any two parts meet in a group of their
+    own, so every pair of a bucket is compared at any size.
     """
-    rows = materialize(fingerprints(docs), "fp")
-    shared = materialize(_components(rows, radius), "components")
+    cut = [[b] for b in bands(DROP_BANDS - 2, 64)]
+    pairs = len(cut) * (len(cut) - 1) // 2
+    keys = F.flatten(F.array(*[_keys(cut, f"fp.{name}", i * pairs) for i, name in enumerate(LONG_FP.names)]))
+    keyed = classes.select("node", "fp", F.explode(keys).alias("k"))
+    sizes = materialize(keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_bucket), "hot")
+    marked = looked_up(keyed, sizes, "k", F.col("node"))
+    n_parts = F.ceil(F.col("n") / hot_bucket)
+    part = F.pmod(F.xxhash64("node"), n_parts)
+    met = F.transform(F.sequence(F.lit(0).cast("long"), n_parts - 1), lambda q: F.shiftleft(F.least(part, q), 32) + F.greatest(part, q))
+    sub = F.when(F.col("n").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(met)
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = marked.select("k", F.explode(sub).alias("sub"), "node", "fp.*").repartition(parts, "k", "sub").sortWithinPartitions("k", "sub")
+    return dealt.mapInArrow(lambda batches: _link_batches(batches, DROP_RADIUS, DROP_WORDS), "src long, dst long")
+
+
+def _long_components(rows: DataFrame) -> DataFrame:
+    """(fp, root, component_id) of the long fingerprints in rows (doc_id, fp) that more than one row reaches."""
+    seen = rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    seen = materialize(seen.withColumn("node", F.monotonically_increasing_id()), "classes")
+    roots = connected_components(long_links(seen.select("node", "fp")))
+    of = seen.join(roots, "node", "left").select("fp", "first", "n", "node", F.coalesce("root", "node").alias("root"), F.col("root").isNotNull().alias("linked"))
+    shared = of.where("linked or n > 1")
+    names = shared.groupBy("root").agg(F.min("first").alias("component_id"))
+    return salted_left_join(shared.select("fp", "node", "root"), names, "root", F.col("node")).select("fp", "root", "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs without near-duplicates: of each component of long_links the row with the smallest doc_id stays, once.
+
+    Texts that are null or hold no word are one component. Of a component whose rows have no id, one stays. Rows of one
+    doc_id with different texts are different rows. All columns, whatever their names, and texts are left as they are.
+    """
+    rows = materialize(long_fingerprints(docs), "fp")
+    shared = materialize(_long_components(rows), "components")
     odd = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("doc_id is null or n > 1")
     if odd.isEmpty():  # ids name rows, so texts need not be hashed again
-        gone = rows.join(shared, "fp").where("doc_id <> component_id").select("doc_id")
+        gone = looked_up(rows, shared, "fp", F.col("doc_id"), how="inner").where("doc_id <> component_id").select("doc_id")
         return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     carried, at = bounded_batches(docs).select(F.struct(*docs.columns).alias("row")), docs.columns.index("text")
-    texts = lambda b: b.column(0).field(at).cast(pa.string())  # noqa: E731  the text goes to Python once, in its row
-    fp = lambda batches: (pa.RecordBatch.from_arrays([b.column(0), pa.array([_signed(fingerprint(t.as_py())) for t in texts(b)], pa.int64())], ["row", "fp"]) for b in batches)
-    all_rows = carried.mapInArrow(fp, T.StructType([carried.schema["row"], T.StructField("fp", T.LongType())])).join(shared, "fp", "left")
-    group, name, own = F.coalesce("root", "fp"), F.coalesce("component_id", "row.doc_id"), F.col("row.doc_id")
-    first = all_rows.where(own.eqNullSafe(name)).select(group.alias("group"), "row").groupBy("group").agg(F.min_by("row", F.coalesce("row.text", F.lit(""))).alias("row"))
-    return first.select("row.*")
+    hashed = lambda batches: (pa.RecordBatch.from_arrays([b.column(0), _long_column(b.column(0).field(at).cast(pa.string()))], ["row", "fp"]) for b in batches)  # noqa: E731  the text goes to Python once, in its row
+    with_fp = carried.mapInArrow(hashed, T.StructType([carried.schema["row"], T.StructField("fp", LONG_FP)]))
+    all_rows = looked_up(with_fp, shared, "fp", F.col("row.doc_id"))
+    name, own = F.coalesce("component_id", "row.doc_id"), F.col("row.doc_id")
+    first = all_rows.where(own.eqNullSafe(name)).select("root", F.when(F.col("root").isNull(), F.col("fp")).alias("single"), "row")
+    return first.groupBy("root", "single").agg(F.min_by("row", F.coalesce("row.text", F.lit(""))).alias("row")).select("row.*")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
