@@ -341,14 +341,14 @@ def long_links(classes: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     cut = [[b] for b in bands(DROP_BANDS - 2, 64)]
     pairs = len(cut) * (len(cut) - 1) // 2
     keys = F.flatten(F.array(*[_keys(cut, f"fp.{name}", i * pairs) for i, name in enumerate(LONG_FP.names)]))
-    keyed = classes.select("node", "fp", F.explode(keys).alias("k"))
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = classes.repartition(parts, "node").select("node", "fp", F.explode(keys).alias("k"))  # narrow rows become many, so they are spread first
     sizes = materialize(keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_bucket), "hot")
     marked = looked_up(keyed, sizes, "k", F.col("node"))
     n_parts = F.ceil(F.col("n") / hot_bucket)
     part = F.pmod(F.xxhash64("node"), n_parts)
     met = F.transform(F.sequence(F.lit(0).cast("long"), n_parts - 1), lambda q: F.shiftleft(F.least(part, q), 32) + F.greatest(part, q))
     sub = F.when(F.col("n").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(met)
-    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = marked.select("k", F.explode(sub).alias("sub"), "node", "fp.*").repartition(parts, "k", "sub").sortWithinPartitions("k", "sub")
     return dealt.mapInArrow(lambda batches: _link_batches(batches, DROP_RADIUS, DROP_WORDS), "src long, dst long")
 
