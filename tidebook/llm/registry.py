@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidebook.llm import bpe, covertree, decontamination, fim, pii, quality, secrets, sharding, simhash, toxicity, warc
+from tidebook.llm import bpe, covertree, decontamination, fim, phrases, pii, quality, secrets, sharding, simhash, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_bpe": bpe.op9_bpe,
         "op10_simhash": simhash.op10_simhash,
         "op12_fim": fim.op12_fim,
+        "op13_phrases": phrases.op13_phrases,
     }
 
 
@@ -32,4 +33,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_embedding_dedup": covertree.ORACLE_SQL,
         "op7_warc": warc.ORACLE_SQL,
         "op12_fim": fim.ORACLE_SQL,
+        "op13_phrases": phrases.ORACLE_SQL,
     }
