@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidebook.llm import bpe, covertree, decontamination, fim, phrases, pii, quality, secrets, sharding, simhash, toxicity, warc
+from tidebook.llm import ann, bpe, covertree, decontamination, fim, phrases, pii, quality, secrets, sharding, simhash, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": sharding.op8_sharding,
         "op9_bpe": bpe.op9_bpe,
         "op10_simhash": simhash.op10_simhash,
+        "op11_ann": ann.op11_ann,
         "op12_fim": fim.op12_fim,
         "op13_phrases": phrases.op13_phrases,
     }
