@@ -33,7 +33,7 @@ HELD_WORDS = 400_000
 #: Words that a task counts, fragments that it sums and rows that it mines at a time.
 WORDS_AT_ONCE, FRAGMENTS_AT_ONCE, ROWS_AT_ONCE = 200_000, 1 << 20, 1 << 17
 #: A pivot with more occurrences than this is mined in several parts, whose counts are added.
-HOT_PIVOT = 1 << 16
+HOT_PIVOT = 1 << 20
 #: Bytes that end a piece become a full stop between blanks, and tabs a blank.
 _BREAKS = bytes.maketrans(b",;:!?\n\x0b\x0c\r\t", b"......... ")
 
