@@ -145,7 +145,8 @@ class Book:
         return total, close
 
     def text(self) -> str:
-        part = lambda s: ",".join(f"{x}:{self.sides[s][x]:g}" for x in sorted(self.sides[s]))
+        size = lambda x: f"{x:.6f}".rstrip("0").rstrip(".")
+        part = lambda s: ",".join(f"{x}:{size(self.sides[s][x])}" for x in sorted(self.sides[s]))
         return f"b[{part('BUY')}]a[{part('SELL')}]"
 
 
@@ -156,7 +157,7 @@ class MarketFold:
     """State of one market over its ordered events: book, whether it is in step with the venue, and counters."""
 
     def __init__(self):
-        self.book, self.synced, self.closed, self.outcome, self.tick = Book(), False, False, None, {}
+        self.book, self.opened, self.synced, self.closed, self.outcome, self.tick = Book(), False, False, False, None, {}
         self.last_trade: float | None = None
         self.stats = {c.split()[0]: 0 for c in STATS.split(", ")}
 
@@ -187,10 +188,12 @@ class MarketFold:
                 s["best_mismatches"] += list(have) != want
         elif kind == "trade":
             self.last_trade = p["price"]
-        elif kind in ("feed_gap", "market_open"):
+        elif kind == "feed_gap":
             self.synced = False
-            if kind == "market_open":
-                self.tick = {"UP": p.get("tick_size"), "DOWN": p.get("tick_size")}
+        elif kind == "market_open":
+            self.synced = self.synced and not self.opened  # a second open means a new subscription
+            self.opened = True
+            self.tick = {"UP": p.get("tick_size"), "DOWN": p.get("tick_size")}
         elif kind == "tick_size_change":
             self.tick[p["token"]] = p["new_tick_size"]
         elif kind == "market_close":
@@ -204,11 +207,12 @@ def _payload(row) -> dict:
     p = row.payload
     levels = lambda xs: [(x["price"], x["size"]) for x in (xs if xs is not None else [])]
     none = lambda x: None if x is None or x != x else x
+    token = row.token if isinstance(row.token, str) else "UP"
     if row.kind == "book_snapshot":
-        return {"token": row.token, "bids": levels(p["bids"]), "asks": levels(p["asks"])}
+        return {"token": token, "bids": levels(p["bids"]), "asks": levels(p["asks"])}
     if row.kind == "book_delta":
         return {"changes": [{"token": c["token"], "side": c["side"], "price": c["price"], "size": c["size"], "best_bid": none(c["bestBid"]), "best_ask": none(c["bestAsk"])} for c in p["changes"]]}
-    return {"token": row.token, "price": p["price"], "outcome": p["outcome"], "tick_size": p["tickSize"], "new_tick_size": p["newTickSize"]}
+    return {"token": token, "price": p["price"], "outcome": p["outcome"], "tick_size": p["tickSize"], "new_tick_size": p["newTickSize"]}
 
 
 def fold_events(rows: Iterator) -> MarketFold:
