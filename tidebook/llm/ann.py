@@ -31,7 +31,9 @@ FIT_ROWS, FIT_QUERIES = 4096, 256
 #: Share of the sampled queries' true neighbours that the radius takes in.
 TARGET = 0.98
 #: Points of a block on average, queries that meet a block in one task at most, and first bits of a substring that deal at most.
-BLOCK, QUERIES_AT_ONCE, MOST_SLICE_BITS = 8192, 8192, 12
+BLOCK, QUERIES_AT_ONCE, MOST_SLICE_BITS = 16_384, 16_384, 12
+#: A query's blocks are merged in so many parts first.
+MERGES = 64
 #: Query and point pairs that a task looks at at a time.
 PAIRS_AT_ONCE = 1 << 20
 ROUNDS = 30
@@ -225,8 +227,16 @@ def probed(points: pa.Table, queries: pa.Table, j: int, radius: int, most: int)
     return tuple(np.concatenate(c) if c else np.empty(0, np.int64) for c in out)
 
 
+ENTRIES = "array<struct<less: double, vec_id: bigint>>"
+
+
+def _merged(rows: DataFrame, by: list[str], most: int) -> DataFrame:
+    """rows (by, found) with one list for each key: the first `most` entries of its lists."""
+    return rows.groupBy(*by).agg(F.slice(F.sort_array(F.flatten(F.collect_list("found"))), 1, most).alias("found"))
+
+
 def _round(points: DataFrame, queries: DataFrame, n: int, radius: int, most: int) -> DataFrame:
-    """(vk, vec_id, score): the best `most` entries of each query among points whose codes lie within the radius."""
+    """(vk, found): the best `most` entries (less: minus the score) of each query among points whose codes lie within the radius."""
     bits = min(MOST_SLICE_BITS, max(0, int(np.ceil(np.log2(max(1, n) / BLOCK)))))
     near = radii(radius)
     held, asked = _slices(points, bits), _slices(queries, bits)
@@ -242,13 +252,18 @@ def _round(points: DataFrame, queries: DataFrame, n: int, radius: int, most: int
 
     def meet(own: pa.Table, ask: pa.Table) -> pa.Table:
         if not own.num_rows or not ask.num_rows:
-            return pa.table({"vk": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        q, vec_id, score = probed(own, ask, own.column("j")[0].as_py(), radius, most)
-        return pa.table({"vk": ask.column("vk").to_numpy()[q], "vec_id": vec_id, "score": score})
+            q, vec_id, score = (np.empty(0, t) for t in (np.int64, np.int64, np.float64))
+        else:
+            q, vec_id, score = probed(own, ask, own.column("j")[0].as_py(), radius, most)
+        first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.empty(0, np.int64)
+        entries = pa.StructArray.from_arrays([pa.array(-score), pa.array(vec_id)], ["less", "vec_id"])
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(q)].astype(np.int32)), entries)
+        vk = ask.column("vk").to_numpy()[q[first]] if len(q) else np.empty(0, np.int64)
+        part = (own if own.num_rows else ask).select(["slice", "part"]).slice(0, 1).to_pylist()
+        return pa.table({"vk": pa.array(vk), "merge": pa.array(np.full(len(vk), (part[0]["slice"] + part[0]["part"]) % MERGES if part else 0), pa.int32()), "found": lists})
 
-    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(meet, "vk long, vec_id long, score double")
-    best = Window.partitionBy("vk").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= most).drop("n")
+    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(meet, f"vk long, merge int, found {ENTRIES}")
+    return _merged(_merged(found, ["vk", "merge"], most), ["vk"], most)
 
 
 def _nearest_of_length(points: DataFrame, norm: float, n: int, entries: int, k: int) -> DataFrame | None:
@@ -270,8 +285,7 @@ def _nearest_of_length(points: DataFrame, norm: float, n: int, entries: int, k:
     radius, most, out = _learned_radius(made, queries, codes, k), min(k + 1, entries), None
     for _ in range(ROUNDS):
         radius = min(radius, BITS)
-        rows = _round(made, queries, n, radius, most)
-        found = materialize(rows.groupBy("vk").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("less"), "vec_id"))).alias("found")), "nearest")
+        found = materialize(_round(made, queries, n, radius, most), "nearest")
         full = found.where(F.size("found") >= most)
         out = full if out is None else out.unionByName(full)
         queries = queries.join(full.select("vk"), "vk", "left_anti")
