@@ -31,7 +31,7 @@ SCALE, TOP = 2_000_000, 2000
 #: Frequent words that each worker holds in memory; with more of them, words meet their places in a salted join.
 HELD_WORDS = 400_000
 #: Words that a task counts, fragments that it sums and rows that it mines at a time.
-WORDS_AT_ONCE, FRAGMENTS_AT_ONCE, ROWS_AT_ONCE = 200_000, 1 << 20, 1 << 17
+WORDS_AT_ONCE, FRAGMENTS_AT_ONCE, ROWS_AT_ONCE = 200_000, 1 << 19, 1 << 16
 #: A pivot with more occurrences than this is mined in several parts, whose counts are added.
 HOT_PIVOT = 1 << 20
 #: Bytes that end a piece become a full stop between blanks, and tabs a blank.
