@@ -39,7 +39,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events with ms (arrival in milliseconds) and k (level)."""
-    e = table(spark, sf_dir, "events")
+    return as_stream(table(spark, sf_dir, "events"))
+
+
+def as_stream(e: DataFrame) -> DataFrame:
     k = F.from_json("props", "k long")["k"]
     return e.select("event_id", "user_id", "event_type", "value", "ts", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), k.alias("k"))
 

@@ -11,8 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidebook.operators import verify
-from tidebook.plans.market import _E, Query, stream
+from tidebook.operators.book import STATS
+from tidebook.plans.market import _E, Query, as_stream, stream
+from tidebook.session import scratch
 from tidebook.sources import raw
+from tidebook.streaming import market_state
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -128,3 +131,46 @@ def books_as_intervals(spark, sf_dir):
 def recorded_kinds(spark, sf_dir):
     """All lines of the stream are valid events: none is lost on the way through text."""
     return recorded(spark, sf_dir).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- the same stream as a stream ------------------------------------------------------------------------------
+
+
+def _streamed(spark, sf_dir) -> DataFrame:
+    """The recorded stream, read as files of the events table appear."""
+    path = f"{sf_dir}/events.parquet"
+    # as a pattern the path may be a file or a folder
+    source = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 64).parquet(f"{path[:-1]}[t]")
+    return raw.events_of(raw.parsed(lines(as_stream(source))))
+
+
+@query(BOOKS)
+def stream_market_state(spark, sf_dir):
+    """Markets in typed state; each market's last row of the stream is its batch result. Nothing is given up meanwhile."""
+    processor = market_state.MarketProcessor(give_up_ms=10**12, linger_ms=10**12, grace_ms=10**12, books=True)
+    rows = market_state.run_all(market_state.markets(_streamed(spark, sf_dir), processor, "3650 days"), scratch(spark, "stream-markets"), scratch(spark, "checkpoint"))
+    last = rows.where("event = 'update'").groupBy("market_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "market_id"]), "events").alias("r")).select("market_id", "r.*")
+    columns = ["market_id", *(c.split()[0] for c in STATS.split(", ")), "book", "synced", "closed", "outcome"]
+    return last.where("events > 0").select(*columns)
+
+
+_FEED = "CASE WHEN kind = 'spot' THEN CASE WHEN event_id % 2 = 0 THEN 'spot:binance' ELSE 'spot:coinbase' END WHEN kind = 'res_price' THEN 'oracle' ELSE 'clob' END"
+
+
+@query(f"""
+WITH {RECORDED}, f AS (SELECT {_FEED} AS feed, event_id, ms, kind FROM e),
+g AS (SELECT feed, ms, max(ms) OVER (PARTITION BY feed ORDER BY ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS start_ms FROM f WHERE kind <> 'feed_gap')
+SELECT feed, start_ms, ms AS at_ms, ms - start_ms AS gap_ms FROM g WHERE ms - start_ms > 1800000""")
+def stream_feed_gaps(spark, sf_dir):
+    """Silences of each feed as its stream goes by, each reported once, when data resumes."""
+    processor = market_state.FeedProcessor(silence_ms=1_800_000, down_ms=10**12, forget_ms=10**12)
+    rows = market_state.run_all(market_state.feeds(_streamed(spark, sf_dir), processor, "3650 days"), scratch(spark, "stream-feeds"), scratch(spark, "checkpoint"))
+    return rows.where("event = 'gap'").select("feed", "start_ms", "at_ms", "gap_ms")
+
+
+@query(f"""
+WITH {RECORDED}
+SELECT {_FEED} AS feed, count(*) FILTER (kind <> 'feed_gap') AS events, count(*) FILTER (kind = 'feed_gap' AND event_id % 2 = 0) AS gaps, count(*) FILTER (kind = 'feed_gap' AND event_id % 2 = 1) AS sequence_breaks,
+  CAST(0 AS BIGINT) AS reconnects, coalesce(max(k * 10.0) FILTER (kind = 'feed_gap'), 0.0) AS max_gap_ms FROM e GROUP BY 1""")
+def feed_counters(spark, sf_dir):
+    return market_state.feed_counters(recorded(spark, sf_dir))
