@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from tidebook.operators import verify
 from tidebook.operators.book import STATS
-from tidebook.plans.market import _E, Query, as_stream, stream
-from tidebook.session import scratch
+from tidebook.plans.market import _E, Query, stream
+from tidebook.session import scratch, stored
 from tidebook.sources import raw
 from tidebook.streaming import market_state
 
@@ -43,7 +43,7 @@ def _twentieth(n: Column) -> Column:
 
 
 def lines(events: DataFrame) -> DataFrame:
-    """(date, hour, line, value): events (event_id, user_id, event_type, ms, k) as lines of raw hours. Works on streams too."""
+    """(date, hour, line, value): events (event_id, user_id, event_type, ms, k) as lines of raw hours."""
     e = events.where("k is not null").withColumn("kind", F.expr(_KIND))
     n, k = F.col("event_id"), F.col("k")
     best = lambda own, empty: F.when(n % 5 == 0, F.lit(None)).when(n % 5 == 1, F.lit(empty)).when(n % 5 == 2, own).otherwise(_twentieth((k * 7 + n) % 19 + 1)).cast("double")
@@ -76,8 +76,8 @@ def lines(events: DataFrame) -> DataFrame:
 
 
 def recorded(spark, sf_dir) -> DataFrame:
-    """The stream of tidebook.schema that the lines hold."""
-    return raw.events_of(raw.parsed(lines(stream(spark, sf_dir))))
+    """The stream of tidebook.schema that the lines hold. They are stored first: a plan that writes and parses them at once takes the optimizer long."""
+    return raw.events_of(raw.parsed(stored(lines(stream(spark, sf_dir)), "lines")))
 
 
 #: The stream in SQL: events with their kind; changes and snapshot levels as UP sees them, asks with negative keys.
@@ -137,11 +137,11 @@ def recorded_kinds(spark, sf_dir):
 
 
 def _streamed(spark, sf_dir) -> DataFrame:
-    """The recorded stream, read as files of the events table appear."""
-    path = f"{sf_dir}/events.parquet"
-    # as a pattern the path may be a file or a folder
-    source = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 64).parquet(f"{path[:-1]}[t]")
-    return raw.events_of(raw.parsed(lines(as_stream(source))))
+    """The recorded stream, read as files of lines appear."""
+    path = scratch(spark, "lines")
+    made = lines(stream(spark, sf_dir))
+    made.write.parquet(path)
+    return raw.events_of(raw.parsed(spark.readStream.schema(made.schema).option("maxFilesPerTrigger", 64).parquet(path)))
 
 
 @query(BOOKS)
