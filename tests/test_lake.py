@@ -236,7 +236,7 @@ def test_fold_in_batches_and_streams_agrees(spark, folder, tmp_path):
 
 
 def test_recorded_hours_of_a_stream_hold_its_events(spark, folder, tmp_path):
-    q = market_stream.record_hours(market_stream.event_stream(spark, folder, files_per_batch=1), str(tmp_path), str(tmp_path / "c"))
+    q = market_stream.record_hours(market_stream.event_stream(spark, folder, files_per_batch=1), str(tmp_path), str(tmp_path / "c"), late_ms=None)
     assert q.awaitTermination(120)
     texts = lambda events: sorted(r["text"] for r in raw.canonical(events).select("text").collect())
     got = market_stream.recorded_events(spark, str(tmp_path))

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidebook.functions import scalars as S
-from tidebook.operators import bands, book, gaps, keyed, lifecycle
+from tidebook.operators import bands, book, digest, gaps, keyed, lifecycle
 from tidebook.sources import lake, raw
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -464,6 +464,44 @@ def canonical_lines(spark, sf_dir):
     return raw.canonical(recorded(spark, sf_dir)).select("line", "sha256")
 
 
+_LINES = f"""SELECT event_id, ms, sha256('{{"exchange_ts":' || ms || ',"kind":"book_delta","market_id":"' || user_id || '","payload":{{"changes":[{{"token":"UP","side":"BUY","price":' || CAST(CAST(k / 200.0 AS DOUBLE) AS VARCHAR) || ',"size":' || CAST(CAST(event_id % 7 AS DOUBLE) AS VARCHAR) || '}},{{"token":"UP","side":"SELL","price":' || CAST(CAST(1 - k / 200.0 AS DOUBLE) AS VARCHAR) || ',"size":' || CAST(CAST(event_id % 5 AS DOUBLE) AS VARCHAR) || '}}]}},"recv_ts":' || ms * 1000000 || '}}') AS h FROM {_E} WHERE k IS NOT NULL"""
+
+
+@query(f"""
+WITH l AS ({_LINES}), d AS (SELECT CAST(make_timestamp(ms * 1000) AS DATE) AS date, CAST(hour(make_timestamp(ms * 1000)) AS INTEGER) AS hour, event_id, h FROM l),
+n AS (SELECT date, hour, event_id // 4096 AS leaf, count(*) AS lines, sha256(string_agg(h, '' ORDER BY event_id)) AS h FROM d GROUP BY ALL)
+SELECT date, hour, leaf, lines, h AS sha256 FROM n""")
+def replay_leaves(spark, sf_dir):
+    """Leaves of the hash tree over a replay."""
+    return digest.leaves(raw.canonical(recorded(spark, sf_dir)))
+
+
+@query(f"""
+WITH l AS ({_LINES}), d AS (SELECT epoch_us(make_timestamp(ms * 1000)) // 86400000000 AS day, hour(make_timestamp(ms * 1000)) AS hour, event_id, h FROM l),
+n AS (SELECT day, hour, event_id // 4096 AS node, sha256(string_agg(h, '' ORDER BY event_id)) AS h FROM d GROUP BY ALL),
+a AS (SELECT day, hour, node // 256 AS node, sha256(string_agg(h, '' ORDER BY node)) AS h FROM n GROUP BY ALL),
+b AS (SELECT day, hour, node // 256 AS node, sha256(string_agg(h, '' ORDER BY node)) AS h FROM a GROUP BY ALL),
+c AS (SELECT day, hour, sha256(string_agg(h, '' ORDER BY node)) AS h FROM b GROUP BY ALL),
+t0 AS (SELECT day AS node, sha256(string_agg(h, '' ORDER BY hour)) AS h FROM c GROUP BY ALL),
+t1 AS (SELECT node // 256 AS node, sha256(string_agg(h, '' ORDER BY node)) AS h FROM t0 GROUP BY 1),
+t2 AS (SELECT node // 256 AS node, sha256(string_agg(h, '' ORDER BY node)) AS h FROM t1 GROUP BY 1),
+t3 AS (SELECT node // 256 AS node, sha256(string_agg(h, '' ORDER BY node)) AS h FROM t2 GROUP BY 1)
+SELECT sha256(string_agg(h, '' ORDER BY node)) AS sha256 FROM t3""")
+def replay_root(spark, sf_dir):
+    """One hash of a whole replay in its order."""
+    return digest.root(raw.canonical(recorded(spark, sf_dir)))
+
+
+@query(f"""SELECT CAST(make_timestamp(ms * 1000) AS DATE) AS date, CAST(hour(make_timestamp(ms * 1000)) AS INTEGER) AS hour, CAST(event_id AS INTEGER) AS line, event_id % 2 = 0 AS on_the_right
+FROM {_E} WHERE k IS NOT NULL AND event_id % 1009 = 700 ORDER BY ms, event_id LIMIT 1""")
+def replay_first_difference(spark, sf_dir):
+    """Where a replay first departs from one in which some lines were lost and others changed; found by the trees' descent."""
+    whole = raw.canonical(recorded(spark, sf_dir))
+    odd = F.col("line") % 1009 == 700
+    other = raw.canonical(recorded(spark, sf_dir).where(~odd | (F.col("line") % 2 == 0)).withColumn("exchange_ts", F.when(odd, F.col("exchange_ts") + 1).otherwise(F.col("exchange_ts"))))
+    return digest.first_difference(whole, other).select("date", "hour", "line", F.col("right").isNotNull().alias("on_the_right"))
+
+
 @query(f"""SELECT event_type AS source_kind, count(*) AS events, CAST(sum(ms % 1000) AS BIGINT) AS ms, count(*) FILTER (value <= 0) AS bad FROM {_E} GROUP BY event_type""")
 def replay_events(spark, sf_dir):
     """events as raw lines and back: encoded, parsed, validated; every line must come out as an event."""

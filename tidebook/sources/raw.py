@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidebook import schema as S
+from tidebook.operators import digest as tree
 
 _HOUR = re.compile(r"/(\d{4}-\d{2}-\d{2})/(\d{2})\.ndjson(\.gz)?$")
 
@@ -78,11 +79,5 @@ def canonical(events: DataFrame) -> DataFrame:
 
 
 def digest(events: DataFrame) -> str:
-    """A SHA-256 of the stream in its order: of each hour's ordered line digests, then of the hours'.
-
-    An hour is one group of 64-character digests; only one digest per hour reaches the driver.
-    """
-    lines = canonical(events).groupBy("date", "hour").agg(F.array_sort(F.collect_list(F.struct("line", "sha256"))).alias("l"))
-    hours = lines.select("date", "hour", F.sha2(F.array_join(F.transform("l", lambda x: x["sha256"]), "").cast("binary"), 256).alias("h"))
-    root = hours.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("date", "hour", "h"))), lambda x: x["h"]), "").cast("binary"), 256))
-    return root.first()[0]
+    """A SHA-256 of the stream in its order: the root of the hash tree over its lines."""
+    return tree.root(canonical(events)).first()[0]

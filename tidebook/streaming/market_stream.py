@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Iterator
+from datetime import datetime, timezone
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidebook import schema as S
 from tidebook.operators import book
-from tidebook.sources import raw
+from tidebook.sources import hours, raw
 
 
 def raw_stream(spark: SparkSession, folder: str, files_per_batch: int = 64) -> DataFrame:
@@ -85,22 +86,30 @@ def file_tables(events: DataFrame, data_dir: str, checkpoint: str):
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def record_hours(events: DataFrame, data_dir: str, checkpoint: str):
-    """A running query that appends each batch's events as gzipped lines under stream_raw/batch=N/date=/hour=, by arrival.
+def record_hours(events: DataFrame, data_dir: str, checkpoint: str, late_ms: int | None = 600_000):
+    """A running query that stages each batch's events as gzipped lines, by arrival, and closes the hours that are over.
 
-    Lines of an hour are sorted by arrival within a file. A batch that runs twice replaces what it wrote before.
+    Lines lie under stream_raw/batch=N/date=/hour= until sources.hours.close_hours makes an hour's file of them, which
+    happens once events have arrived late_ms beyond the hour (never, if None). A batch that runs twice replaces what it
+    wrote before.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         at = F.timestamp_seconds(F.expr("recv_ts div 1000000000"))
-        lines = raw.encoded(batch.withColumn("date", F.to_date(at)).withColumn("hour", F.hour(at)).withColumn("line", F.col("recv_ts")))
-        sorted_lines = lines.repartition("date", "hour").sortWithinPartitions("date", "hour", "line").drop("line")
-        sorted_lines.write.mode("overwrite").partitionBy("date", "hour").option("compression", "gzip").text(f"{data_dir}/stream_raw/batch={number}")
+        filed = batch.withColumn("date", F.to_date(at)).withColumn("hour", F.hour(at)).withColumn("line", F.col("recv_ts")).persist()
+        try:
+            hours.stage(raw.encoded(filed), data_dir, number)
+            newest = filed.agg(F.max("recv_ts")).first()[0]
+        finally:
+            filed.unpersist()
+        if late_ms is not None and newest is not None:
+            over = datetime.fromtimestamp((newest // 1_000_000 - late_ms) / 1000, timezone.utc)
+            hours.close_hours(batch.sparkSession, data_dir, (over.date().isoformat(), over.hour))
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def recorded_events(spark: SparkSession, data_dir: str) -> DataFrame:
-    """The events that record_hours wrote, with date and hour; line is null, as their order is that of recv_ts."""
+    """The events that record_hours staged and has not closed, with date and hour; line is null, as their order is that of recv_ts."""
     lines = spark.read.schema("value string, batch long, date date, hour int").text(f"{data_dir}/stream_raw").select("date", "hour", F.lit(None).cast("int").alias("line"), "value")
     return raw.events_of(raw.parsed(lines))
