@@ -127,11 +127,26 @@ def test_compaction_reports_and_leaves_no_side_folders(spark, tmp_path):
     assert sum(n for (t, *_), n in rows.items() if t == "market_opens") == lake.read_table(spark, path, "market_opens").count() > 0
 
 
+def test_a_busy_hour_is_filed_in_parts_and_days_one_by_one(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lake, "FILE_LINES", 1000)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so little would be put together again
+    day = 86_400_000
+    path = write_raw(tmp_path, sorted(rich() + [(ns + day * 10**6, line) for ns, line in market_lines()], key=lambda x: x[0]))
+    marked, calls = [], lake._compact_day
+    monkeypatch.setattr(lake, "_compact_day", lambda *a: (marked.append(len(lake.compacted(spark, path))), calls(*a))[1])
+    lake.compact(spark, path)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(marked) == 2 and marked[0] == 0 < marked[1]
+    files = [len(list(p.glob("*.parquet"))) for p in Path(path, "parquet", "spot").glob("date=*/hour=*")]
+    assert max(files) > 2 and raw.digest(lake.replay(spark, path)) == raw.digest(lake.replay(spark, path, parquet=True))
+
+
 def test_replay_summary(spark, folder):
     events = lake.replay(spark, folder)
     one = book.replay_summary(events).first()
     assert one["events"] == len(rich()) and one["digest"] == book.replay_summary(lake.replay(spark, folder, parquet=True)).first()["digest"]
     stats = book.verified_books(events).collect()
+    assert sum(one["kinds"].values()) == one["events"] and one["first_ts"] == min(x[0] for x in rich()) and one["late"] == 0
     assert one["markets"] == len(stats) and one["changes"] == sum(r["changes"] for r in stats)
     assert book.replay_summary(events.where("kind <> 'book_snapshot'")).first()["digest"] != one["digest"]
 

@@ -14,6 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidebook.functions.scalars import NO_SIZE, PRICE_SCALE, mirror_key
+from tidebook.operators import digest as tree
+from tidebook.session import stored
 from tidebook.sources.raw import digest as raw_digest
 
 
@@ -238,14 +240,24 @@ def verified_books(events: DataFrame) -> DataFrame:
 
 
 def replay_summary(events: DataFrame) -> DataFrame:
-    """One row on a verified replay: events, markets, the counters of all books summed, and a digest of events and books.
+    """One row on a verified replay: events, their kinds, first and last arrival, how many came late (arrived before one that
+    stands before them), markets, the counters of all books summed, where the first check failed, and a digest.
 
     The digest covers the ordered events and every market's final book, so two replays that agree on it agree on both.
+    Books are checked as intervals, so no market's events need to fit a task.
     """
-    books = verified_books(events)
+    from tidebook.operators import gaps, verify
+
+    books = stored(verify.verified_books(events), "books")
     line = F.concat_ws("|", "market_id", "book", F.col("closed").cast("string"), F.coalesce("outcome", F.lit("")))
-    sums = [F.sum(c.split()[0]).alias(c.split()[0]) for c in STATS.split(", ")]
-    folded = books.groupBy(F.substring(F.sha2("market_id", 256), 1, 3).alias("part")).agg(*sums, F.count(F.lit(1)).alias("markets"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.sha2(line, 256))), ""), 256).alias("h"))
-    whole = folded.agg(*[F.sum(c).alias(c) for c in ("markets", *(c.split()[0] for c in STATS.split(", ")))], F.array_join(F.array_sort(F.collect_list("h")), "").alias("h"))  # at most 4,096 parts
-    n, stream = events.agg(F.count(F.lit(1))).first()[0], raw_digest(events)
-    return whole.select(F.lit(n).alias("events"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in whole.columns if c != "h"], F.sha2(F.concat(F.lit(stream or ""), F.coalesce("h", F.lit(""))), 256).alias("digest"))
+    names = [c.split()[0] for c in STATS.split(", ")]
+    marks = books.select(F.lit("1970-01-01").cast("date").alias("date"), F.lit(0).alias("hour"), F.pmod(F.xxhash64("market_id"), F.lit(1 << 30)).cast("int").alias("line"), F.sha2(line, 256).alias("sha256"))
+    final = tree.root(marks.groupBy("date", "hour", "line").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("sha256")), ""), 256).alias("sha256")))
+    whole = books.agg(F.count(F.lit(1)).alias("markets"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names], F.min("first_wrong").alias("first_wrong"))
+    kinds = events.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("recv_ts").alias("first_ts"), F.max("recv_ts").alias("last_ts"))
+    kinds = kinds.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("events"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "n")))).alias("kinds"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))
+    part = F.unix_date("date").cast("long") * (24 << 18) + F.col("hour") * (1 << 18) + F.expr("line div 8192")
+    late = gaps.late_rows(events.select("recv_ts", "date", "hour", "line"), "recv_ts", ["date", "hour", "line"], part).agg(F.count(F.lit(1)).alias("late"))
+    one = kinds.crossJoin(late).crossJoin(whole).crossJoin(final)  # one row each
+    digest = F.sha2(F.concat(F.lit(raw_digest(events) or ""), F.coalesce("sha256", F.lit(""))), 256)
+    return one.select("events", "kinds", "first_ts", "last_ts", "late", "markets", *[F.col(c).cast("long").alias(c) for c in names], "first_wrong", digest.alias("digest"))

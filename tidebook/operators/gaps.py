@@ -26,8 +26,8 @@ def largest_gap(events: DataFrame, key: str, t: str, order: list[str], windows:
     return windows.join(most, key, "left").select(*windows.columns, F.greatest(F.coalesce("_gap", F.lit(0).cast("long")), tail).alias("max_gap"))
 
 
-def silences(events: DataFrame, t: str, order: list[str], part: Column, longest: int) -> DataFrame:
-    """(start, end, gap): pauses of the whole stream longer than `longest`, against the running maximum of t.
+def _against_latest(events: DataFrame, t: str, order: list[str], part: Column) -> DataFrame:
+    """events (t and order) with `_start`, the latest t of all rows before them.
 
     In three levels, so that no task sees the stream: inside each part (a whole number, an ordered slice of it) a window
     finds the maximum before a row; the parts' own maxima are carried over their borders inside runs of PARTS parts, and
@@ -41,11 +41,23 @@ def silences(events: DataFrame, t: str, order: list[str], part: Column, longest:
     runs = runs.select("_run", F.max("_top").over(W.orderBy("_run").rowsBetween(W.unboundedPreceding, -1)).alias("_early"))
     near = F.max("_top").over(W.partitionBy("_run").orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
     carried = tops.withColumn("_near", near).join(runs, "_run").select("_part", F.greatest("_near", "_early").alias("_carry"))
-    before = F.greatest("_before", "_carry")
-    found = rows.join(carried, "_part").withColumn("_start", before)
+    return rows.join(carried, "_part").withColumn("_start", F.greatest("_before", "_carry"))
+
+
+def silences(events: DataFrame, t: str, order: list[str], part: Column, longest: int) -> DataFrame:
+    """(start, end, gap): pauses of the whole stream longer than `longest`, against the running maximum of t.
+
+    part is a whole number that cuts the ordered stream into slices, each of which one task can sort.
+    """
+    found = _against_latest(events, t, order, part)
     return found.where(F.col(t) - F.col("_start") > longest).select(F.col("_start").alias("start"), F.col(t).alias("end"), (F.col(t) - F.col("_start")).alias("gap"))
 
 
+def late_rows(events: DataFrame, t: str, order: list[str], part: Column) -> DataFrame:
+    """(t, order): rows of the whole stream that are older than one before them; part as in silences."""
+    return _against_latest(events, t, order, part).where(F.col(t) < F.col("_start")).select(*dict.fromkeys([t, *order]))
+
+
 def out_of_order(events: DataFrame, t: str, order: list[str], keys: list[str]) -> DataFrame:
     """Per key, whose rows are one sorted group: events, how many are older than one before them, first and last time."""
     w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)

@@ -9,7 +9,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidebook.functions import scalars as S
-from tidebook.operators import bands
+from tidebook.operators import bands, gaps
+
+
+#: Lines of an hour that one task looks through for silences.
+SLICE = 8192
 
 
 @dataclass(frozen=True)
@@ -33,7 +37,7 @@ def market_health(events: DataFrame, from_ms: int, to_ms: int, now_ms: int, rule
     """One row per market whose window starts in [from_ms, to_ms), as judged at now_ms.
 
     Only events after a market's first open count for it. Silences are found against the running maximum of arrival
-    times, hour by hour and then over the hours' borders. Book events are windowed per market; all else is aggregates.
+    times, in slices of SLICE lines and over their borders. Book events are windowed per market; all else is aggregates.
     """
     e = events.withColumn("t", F.expr("recv_ts div 1000000")).withColumn("ord", _ord())
     opens = e.where("kind = 'market_open'").groupBy("market_id").agg(F.min_by(F.struct("payload.slug", "payload.windowStart", "payload.windowEnd"), "ord").alias("m"), F.min("ord").alias("opened"))
@@ -53,18 +57,15 @@ def market_health(events: DataFrame, from_ms: int, to_ms: int, now_ms: int, rule
         F.max_by(F.struct("payload.outcome", "payload.priceToBeat", "payload.finalPrice"), F.when(F.col("kind") == "resolution", F.col("ord"))).alias("r"),
     )
 
-    # silences of the whole recording, in two levels
-    inside = W.partitionBy("date", "hour").orderBy("line").rowsBetween(W.unboundedPreceding, -1)
-    tops = e.groupBy("date", "hour").agg(F.max("t").alias("top"))
-    carried = tops.select("date", "hour", F.max("top").over(W.orderBy("date", "hour").rowsBetween(W.unboundedPreceding, -1)).alias("carry"))
-    silent = e.select("date", "hour", "t", F.max("t").over(inside).alias("before")).join(carried, ["date", "hour"]).withColumn("hs", F.greatest("before", "carry"))
-    silent = silent.where(F.col("t") - F.col("hs") > rules.max_gap_ms).select("hs", F.col("t").alias("he"))
+    # silences of the whole recording; an hour is cut into slices of lines, so a busy one is many tasks' work
+    part = F.unix_date("date").cast("long") * (24 << 18) + F.col("hour") * (1 << 18) + F.expr(f"line div {SLICE}")
+    silent = gaps.silences(e.select("t", "date", "hour", "line"), "t", ["date", "hour", "line"], part, rules.max_gap_ms).select(F.col("start").alias("hs"), F.col("end").alias("he"))
     holes = bands.longest_overlap(silent, ("hs", "he"), windows, ("window_start", "window_end"), rules.length_ms, ["market_id"], "rec_hole_ms").select("market_id", "rec_hole_ms")
 
-    gaps = e.where("kind = 'feed_gap'").join(opens.select("market_id", "opened"), "market_id", "left")
-    gaps = gaps.where(F.col("payload.feed").startswith("spot:") & (F.col("opened").isNull() | (F.col("ord") < F.col("opened"))))
-    gaps = gaps.select((F.col("t") - F.col("payload.gapMs").cast("long")).alias("gs"), F.col("t").alias("ge"), F.col("payload.gapMs").alias("gap"))
-    spot = bands.overlaps(gaps, ("gs", "ge"), windows, ("window_start", "window_end"), rules.length_ms).groupBy("market_id").agg(F.max("gap").alias("spot_gap"))
+    missed = e.where("kind = 'feed_gap'").join(opens.select("market_id", "opened"), "market_id", "left")
+    missed = missed.where(F.col("payload.feed").startswith("spot:") & (F.col("opened").isNull() | (F.col("ord") < F.col("opened"))))
+    missed = missed.select((F.col("t") - F.col("payload.gapMs").cast("long")).alias("gs"), F.col("t").alias("ge"), F.col("payload.gapMs").alias("gap"))
+    spot = bands.overlaps(missed, ("gs", "ge"), windows, ("window_start", "window_end"), rules.length_ms).groupBy("market_id").agg(F.max("gap").alias("spot_gap"))
 
     ticks = bands.one_tick_per_time(e.where((F.col("kind") == "res_price") & (F.col("payload.symbol") == rules.symbol)).select(F.col("exchange_ts").alias("ts"), "ord", F.coalesce("payload.scaled", F.lit("")).alias("scaled"), F.col("payload.price").alias("price")))
     counted = bands.points_in_ranges(ticks.select("ts"), "ts", windows.select("market_id", "window_start", (F.col("window_end") - 1).alias("last")), "window_start", "last", rules.length_ms).groupBy("market_id").agg(F.count(F.lit(1)).alias("cl_ticks"))

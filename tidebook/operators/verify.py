@@ -61,7 +61,7 @@ def steps(events: DataFrame) -> DataFrame:
     rows = rows.withColumn("synced", F.coalesce(F.last("turn", ignorenulls=True).over(before), F.lit(False))).withColumn("epoch", F.sum(snap.cast("long")).over(upto))
     rows = rows.withColumn("report", change & F.col("synced")).withColumn("r0", F.coalesce(F.sum(F.col("report").cast("long")).over(before), F.lit(0)))
     return rows.select(
-        "market_id", "kind", "token", "pos", "turn", "synced", "epoch", "report", "r0", F.when(change, side).alias("side"), F.when(change, key).alias("key"), F.when(change, F.col("c.size")).alias("size"),
+        "market_id", "kind", "token", "pos", F.struct("date", "hour", "line").alias("ord"), "turn", "synced", "epoch", "report", "r0", F.when(change, side).alias("side"), F.when(change, key).alias("key"), F.when(change, F.col("c.size")).alias("size"),
         F.when(F.col("report"), F.coalesce(up_bid, F.lit(EMPTY))).alias("bid"), F.when(F.col("report"), F.coalesce(-up_ask, F.lit(EMPTY))).alias("ask"), F.when(snap, F.col("bids")).alias("bids"), F.when(snap, F.col("asks")).alias("asks"), "outcome",
     )
 
@@ -120,7 +120,8 @@ def _fallen(ranges: DataFrame, blocks: DataFrame, tiers: int) -> DataFrame:
 
 
 def verified_books(events: DataFrame) -> DataFrame:
-    """Per market, the counters of tidebook.operators.book.verified_books and the final book, synced, closed and outcome.
+    """Per market, the counters of tidebook.operators.book.verified_books, the final book, synced, closed, outcome and first_wrong,
+    the place (date, hour, line) of the first event at which a best price or a level near a snapshot's top was wrong.
 
     events is the event stream of tidebook.schema. The rows are those of the fold, found by windows and equal joins.
     """
@@ -178,11 +179,16 @@ def verified_books(events: DataFrame) -> DataFrame:
         at, changes=F.count_if(kind("book_delta")), unsynced_changes=F.count_if(kind("book_delta") & ~F.col("report")), bests_checked=F.count_if("report"), snapshots=F.count_if(kind("book_snapshot")),
         synced=F.coalesce(F.max_by("turn", F.when(F.col("turn").isNotNull(), F.col("pos"))), F.lit(False)), closed=F.max(kind("market_close")), outcome=F.max_by("outcome", F.when(kind("resolution"), F.col("pos"))),
     )
+    # the first check that failed: a best price that is no level's, or a snapshot that differs near the top
+    failed = wrong.join(at.where("report").select("market_id", F.col("r0").alias("r"), "ord"), ["market_id", "r"]).select("market_id", "ord")
+    failed = failed.unionByName(differ.where(near).join(at.where("kind = 'book_snapshot'").select("market_id", "epoch", "ord"), ["market_id", "epoch"]).select("market_id", "ord"))
     parts = [
-        per(found.where("fallen and last in ('reset', 'write', 'end')"), levels_pruned=F.count(one)), per(wrong, best_mismatches=F.count(one)),
+        per(failed, first_wrong=F.min("ord")), per(found.where("fallen and last in ('reset', 'write', 'end')"), levels_pruned=F.count(one)), per(wrong, best_mismatches=F.count(one)),
         per(differ, snapshots_differing=F.count_distinct("epoch"), levels_differing=F.count(one), near_top_differing=F.count_if(near)), texts,
     ]
     for part in parts:
         out = out.join(part, "market_id", "left")
+    out = events.where("market_id is not null").select("market_id").distinct().join(out, "market_id", "left")  # markets without a book are checked too
+    out = out.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("synced", "closed")})
     counters = [c.split()[0] for c in STATS.split(", ")]
-    return out.select("market_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counters], F.coalesce("book", F.lit("b[]a[]")).alias("book"), "synced", "closed", "outcome")
+    return out.select("market_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counters], F.coalesce("book", F.lit("b[]a[]")).alias("book"), "synced", "closed", "outcome", "first_wrong")

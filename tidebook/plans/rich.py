@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.operators import verify
+from tidebook.operators import book, verify
 from tidebook.operators.book import STATS
 from tidebook.plans.market import _E, Query, stream
 from tidebook.session import scratch, stored
-from tidebook.sources import raw
+from tidebook.sources import datasource, hours, lake, raw
 from tidebook.streaming import market_state
 
 QUERIES: dict[str, Query] = {}
@@ -114,7 +114,7 @@ tops AS (SELECT m, event_id, buy, max(key) AS top FROM theirs GROUP BY ALL),
 differ AS (SELECT m, event_id, top IS NULL OR abs(key - top) <= 50000 AS near FROM (SELECT m, event_id, buy, key, coalesce(o.size, 0) AS a, coalesce(t.size, 0) AS b FROM ours o FULL JOIN theirs t USING (m, event_id, buy, key)) LEFT JOIN tops USING (m, event_id, buy) WHERE a <> b),
 last AS (SELECT m, string_agg(key || ':' || size, ',' ORDER BY key) FILTER (buy) AS b, string_agg(-key || ':' || size, ',' ORDER BY -key) FILTER (NOT buy) AS a FROM stabbed WHERE NOT pruned AND fin = 1e15 GROUP BY m),
 n AS (SELECT m, count(*) FILTER (kind = 'book_delta') * 2 AS changes, count(*) FILTER (kind = 'book_snapshot') AS snapshots, bool_or(kind = 'market_close') AS closed,
-  arg_max(CASE WHEN event_id % 2 = 0 THEN 'UP' ELSE 'DOWN' END, event_id) FILTER (kind = 'resolution') AS outcome FROM e WHERE kind IN ('market_open', 'book_snapshot', 'book_delta', 'feed_gap', 'market_close', 'resolution') GROUP BY m)
+  arg_max(CASE WHEN event_id % 2 = 0 THEN 'UP' ELSE 'DOWN' END, event_id) FILTER (kind = 'resolution') AS outcome FROM e WHERE kind NOT IN ('spot', 'res_price') GROUP BY m)
 SELECT n.m AS market_id, CAST(changes AS BIGINT) AS changes, CAST(changes - coalesce(r.n, 0) AS BIGINT) AS unsynced_changes, coalesce(p.n, 0) AS levels_pruned, coalesce(r.n, 0) AS bests_checked, coalesce(x.n, 0) AS best_mismatches, snapshots,
   coalesce(d.s, 0) AS snapshots_differing, coalesce(d.n, 0) AS levels_differing, coalesce(d.near, 0) AS near_top_differing, 'b[' || coalesce(l.b, '') || ']a[' || coalesce(l.a, '') || ']' AS book, coalesce(t.up, false) AS synced, closed, outcome
 FROM n LEFT JOIN (SELECT m, count(*) AS n FROM reports GROUP BY m) r USING (m) LEFT JOIN (SELECT m, count(*) AS n FROM stabbed WHERE pruned GROUP BY m) p USING (m) LEFT JOIN (SELECT m, count(*) AS n FROM misses GROUP BY m) x USING (m)
@@ -124,7 +124,7 @@ LEFT JOIN (SELECT m, count(DISTINCT event_id) AS s, count(*) AS n, count(*) FILT
 
 @query(BOOKS)
 def books_as_intervals(spark, sf_dir):
-    return verify.verified_books(recorded(spark, sf_dir))
+    return verify.verified_books(recorded(spark, sf_dir)).drop("first_wrong")
 
 
 @query(f"WITH {RECORDED} SELECT kind, count(*) AS n FROM e GROUP BY kind")
@@ -174,3 +174,68 @@ SELECT {_FEED} AS feed, count(*) FILTER (kind <> 'feed_gap') AS events, count(*)
   CAST(0 AS BIGINT) AS reconnects, coalesce(max(k * 10.0) FILTER (kind = 'feed_gap'), 0.0) AS max_gap_ms FROM e GROUP BY 1""")
 def feed_counters(spark, sf_dir):
     return market_state.feed_counters(recorded(spark, sf_dir))
+
+
+# --- through the lake -----------------------------------------------------------------------------------------
+
+#: Arrival by event in SQL and in Spark: the month of events in some hours, so that a lake has few of them.
+_FAST = "1704067200000 + (ms - 1704067200000) // 120"
+
+
+def _raw_hours(spark, sf_dir) -> str:
+    """A folder with the recorded stream as raw hours, staged in two batches and closed."""
+    e = stream(spark, sf_dir).withColumn("ms", F.expr(_FAST.replace("//", "div")))
+    made, folder = stored(lines(e), "lines"), scratch(spark, "lake")
+    for batch in range(2):
+        hours.stage(made.where(F.col("line") % 2 == batch), folder, batch)
+    hours.close_hours(spark, folder)
+    return folder
+
+
+_HOURS = f"""
+WITH {RECORDED}, f AS (SELECT *, {_FAST} AS am FROM e), h AS (SELECT *, CAST(make_timestamp(am * 1000) AS DATE) AS date, CAST(hour(make_timestamp(am * 1000)) AS INTEGER) AS hour FROM f)
+"""
+
+
+@query(_HOURS + "SELECT date, hour, count(*) AS lines, CAST(sum(am) AS BIGINT) AS at_sum FROM h GROUP BY ALL")
+def raw_hours_scan(spark, sf_dir):
+    """Raw hours that a stream's batches were closed into, read by the data source; each hour's lines are numbered without a gap."""
+    datasource.register(spark)
+    scan = spark.read.format("raw_hours").load(_raw_hours(spark, sf_dir))
+    n = scan.groupBy("date", "hour").agg(F.count(F.lit(1)).alias("n"), F.max("line").alias("last"), F.sum(F.get_json_object("value", "$.exchangeTs").cast("double")).cast("long").alias("at_sum"))
+    return n.select("date", "hour", F.when(F.col("n") == F.col("last"), F.col("n")).alias("lines"), "at_sum")
+
+
+_ROWS = """CASE kind WHEN 'book_delta' THEN 'book_deltas' WHEN 'book_snapshot' THEN 'book_levels' WHEN 'trade' THEN 'trades' WHEN 'res_price' THEN 'res_prices' WHEN 'market_open' THEN 'market_opens' WHEN 'market_close' THEN 'market_closes'
+  WHEN 'resolution' THEN 'resolutions' WHEN 'feed_gap' THEN 'feed_gaps' WHEN 'tick_size_change' THEN 'tick_size_changes' ELSE kind END"""
+
+
+@query(_HOURS + f"SELECT {_ROWS} AS table_name, date, hour, CAST(sum(CASE kind WHEN 'book_delta' THEN 2 WHEN 'book_snapshot' THEN 6 ELSE 1 END) AS BIGINT) AS n FROM h GROUP BY ALL")
+def lake_rows_filed(spark, sf_dir):
+    """Raw hours compacted into the eleven tables: rows of each table and hour."""
+    folder = _raw_hours(spark, sf_dir)
+    lake.compact(spark, folder)
+    return lake.rows_filed(spark, folder)
+
+
+@query(_HOURS + """SELECT kind, count(*) AS n, CAST(sum(am) AS BIGINT) AS at_sum, count(DISTINCT m) FILTER (kind NOT IN ('spot', 'res_price')) AS markets FROM h
+WHERE am >= 1704070800000 AND am < 1704081600000 GROUP BY kind""")
+def lake_replay_range(spark, sf_dir):
+    """A range of time replayed from the tables for the hours that are filed and raw for the rest."""
+    folder = _raw_hours(spark, sf_dir)
+    every = raw.list_hours(spark, folder)
+    lake.compact(spark, folder, closed_before=every[len(every) // 2][:2])
+    e = lake.replay(spark, folder, 1_704_070_800_000 * 10**6, 1_704_081_600_000 * 10**6, parquet=None)
+    return e.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("exchange_ts").alias("at_sum"), F.count_distinct("market_id").alias("markets"))
+
+
+@query(_HOURS + """SELECT 'events' AS item, count(*) AS n FROM h UNION ALL SELECT 'markets', count(DISTINCT m) FROM h WHERE kind NOT IN ('spot', 'res_price')
+UNION ALL SELECT 'first_ms', min(am) FROM h UNION ALL SELECT 'last_ms', max(am) FROM h UNION ALL SELECT 'late', 0 UNION ALL SELECT 'kind ' || kind, count(*) FROM h GROUP BY kind""")
+def lake_replay_summary(spark, sf_dir):
+    """What a verified replay of the whole lake reports, as items."""
+    folder = _raw_hours(spark, sf_dir)
+    lake.compact(spark, folder)
+    s = book.replay_summary(lake.replay(spark, folder, parquet=True))
+    items = F.array(*[F.struct(F.lit(name).alias("item"), c.cast("long").alias("n")) for name, c in (("events", F.col("events")), ("markets", F.col("markets")), ("first_ms", F.expr("first_ts div 1000000")), ("last_ms", F.expr("last_ts div 1000000")), ("late", F.col("late")))])
+    kinds = F.transform(F.map_entries("kinds"), lambda x: F.struct(F.concat(F.lit("kind "), x["key"]).alias("item"), x["value"].alias("n")))
+    return s.select(F.inline(F.concat(items, kinds)))

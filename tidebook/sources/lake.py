@@ -128,25 +128,36 @@ def rows_filed(spark: SparkSession, data_dir: str) -> DataFrame:
     return out
 
 
+#: Lines of an hour that one task files at most: a busy hour has several files in each table.
+FILE_LINES = 1 << 18
+
+
 def compact(spark: SparkSession, data_dir: str, dates: list[str] | None = None, force: bool = False, closed_before: tuple[str, int] | None = None) -> DataFrame:
     """Files all closed raw hours that are not done yet; returns (date, hour, lines, events, bad, first_bad) of those.
 
-    Hours before closed_before are closed (all, if None). All tables are written beside the lake first and then put in
-    place folder by folder, so readers miss an hour for no longer than a rename takes; markers come last, so an hour
-    that was interrupted is done again. Partitions are replaced, never added to, and those that a redone hour leaves
-    empty are removed. first_bad is the first line of an hour that is neither blank nor an event.
+    Hours before closed_before are closed (all, if None). A backlog is filed day by day. All tables of a day are written
+    beside the lake first and then put in place folder by folder, so readers miss an hour for no longer than a rename
+    takes; its markers come last, so a day that was interrupted is done again, and those before it are not. Partitions
+    are replaced, never added to, and those that a redone hour leaves empty are removed. first_bad is the first line
+    of an hour that is neither blank nor an event.
     """
     done = set() if force else compacted(spark, data_dir)
     hours = [h for h in raw.list_hours(spark, data_dir, dates) if h[:2] not in done and (closed_before is None or h[:2] < closed_before)]
-    kind = "date date, hour int, lines long, events long, bad long, first_bad int"
-    if not hours:
-        return spark.createDataFrame([], kind)
+    days: dict[str, list[tuple[str, int, str]]] = {}
+    for h in hours:
+        days.setdefault(h[0], []).append(h)
+    rows = [r for own in days.values() for r in _compact_day(spark, data_dir, own)]  # one row an hour
+    return spark.createDataFrame(rows, "date date, hour int, lines long, events long, bad long, first_bad int")
+
+
+def _compact_day(spark: SparkSession, data_dir: str, hours: list[tuple[str, int, str]]) -> list:
     lines = raw.parsed(raw.numbered_lines(spark, [p for *_, p in hours])).persist()
     try:
         events = raw.events_of(lines)
         side = f"{data_dir}/parquet/_new-{uuid.uuid4().hex}"
         for table in S.TABLES:
-            rows_for(events, table).repartition("date", "hour").sortWithinPartitions("line", *(["idx"] if "idx" in S.struct(S.TABLES[table]).names else [])).write.partitionBy("date", "hour").parquet(f"{side}/{table}", compression="zstd")
+            spread = rows_for(events, table).repartition("date", "hour", F.expr(f"line div {FILE_LINES}"))
+            spread.sortWithinPartitions("date", "hour", "line", *(["idx"] if "idx" in S.struct(S.TABLES[table]).names else [])).write.partitionBy("date", "hour").parquet(f"{side}/{table}", compression="zstd")
         bad = ~F.col("ok") & (F.trim("value") != "")
         report = lines.groupBy("date", "hour").agg(F.count(F.lit(1)).alias("lines"), F.count_if("ok").alias("events"), F.count_if(bad).alias("bad"), F.min(F.when(bad, F.col("line"))).alias("first_bad"))
         listed = spark.createDataFrame([(Date.fromisoformat(d), h) for d, h, _ in hours], "date date, hour int")
@@ -159,10 +170,9 @@ def compact(spark: SparkSession, data_dir: str, dates: list[str] | None = None,
         fs, p = _fs(spark, side)
         fs.delete(p, True)
         report.write.mode("append").partitionBy("date", "hour").parquet(f"{data_dir}/parquet/_done")
-        rows = report.collect()  # one row an hour
+        return report.collect()  # one row an hour
     finally:
         lines.unpersist()
-    return spark.createDataFrame(rows, kind)
 
 
 # --- views and replay -----------------------------------------------------------------------------------------
