@@ -417,3 +417,22 @@ def test_folding():
 
 def test_parquet_of_the_driver_is_as_described():
     assert pq.read_schema("/root/testdata/sf0.001/documents.parquet").names[:2] == ["doc_id", "text"]
+
+
+def test_every_code_point_is_split_as_the_library_does():
+    """Characters that the two Unicode tables class differently, next to letters, digits, marks and blanks."""
+    import sys
+
+    from tokenizers import Tokenizer
+
+    path = bpe.vocabulary_path()
+    library = Tokenizer.from_file(path)
+    own = bpe.Encoder(bpe.Vocabulary(path), bpe.Transducer(bpe.Transducer.compiled([], lambda _: [])), bpe.newer_characters())
+    chars = [chr(i) for i in range(sys.maxunicode + 1) if not 0xD800 <= i <= 0xDFFF]
+    pre = library.pre_tokenizer
+    spell = {b: c for c, b in bpe._byte_letters().items()}
+    for at in range(0, len(chars), 4096):
+        text = "".join(f"a{c}1{c}{c}b " for c in chars[at : at + 4096])
+        want = [p for p, _ in pre.pre_tokenize_str(text)]
+        got = ["".join(spell[b] for b in p.encode()) for p in own.pieces_of(text)]
+        assert got == want, hex(at)

@@ -14,6 +14,7 @@ import heapq
 import json
 import os
 import re
+import sys
 import uuid
 from array import array
 from collections.abc import Callable, Iterator
@@ -43,6 +44,38 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 ASCII_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"""
 
 
+def _ranges(chars: set[str]) -> str:
+    """The given characters as the inside of a regular expression's class."""
+    points, out = sorted(map(ord, chars)), []
+    for p in points:
+        if out and out[-1][1] == p - 1:
+            out[-1][1] = p
+        else:
+            out.append([p, p])
+    return "".join(f"\\U{a:08X}" if a == b else f"\\U{a:08X}-\\U{b:08X}" for a, b in out)
+
+
+@lru_cache(maxsize=1)
+def newer_characters() -> dict[str, str]:
+    """For each class of PATTERN, the characters that the `regex` module counts in and the tokenizers library does not.
+
+    Both have Unicode tables of their own, of different versions. All code points are put through the library's own
+    splitter once; its tables may be older, not newer. Without the library nothing is known to differ.
+    """
+    try:
+        from tokenizers import Regex, pre_tokenizers
+    except ModuleNotFoundError:
+        return {}
+    every = "".join(chr(i) for i in range(sys.maxunicode + 1) if not 0xD800 <= i <= 0xDFFF)
+    parts, out = [every[i : i + 65_536] for i in range(0, len(every), 65_536)], {}
+    for name in ("L", "N"):
+        split = pre_tokenizers.Split(Regex(rf"[^\p{{{name}}}]+"), "removed")
+        known = {c for part in parts for piece, _ in split.pre_tokenize_str(part) for c in piece}
+        if newer := _ranges(set("".join(regex.findall(rf"\p{{{name}}}+", every))) - known):
+            out[name] = newer
+    return out
+
+
 def _byte_letters() -> dict[str, int]:
     """The letter that stands for each byte in vocabulary files: itself where printable, else one from 256 on."""
     own = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
@@ -221,9 +254,15 @@ class Transducer:
 class Encoder:
     """Encodes batches of texts; one for each worker, over a mapped transducer."""
 
-    def __init__(self, vocabulary: Vocabulary, transducer: Transducer):
+    def __init__(self, vocabulary: Vocabulary, transducer: Transducer, newer: dict[str, str] | None = None):
+        """newer: what newer_characters() found; texts that hold such characters are split by a pattern without them."""
         self.vocabulary, self.transducer = vocabulary, transducer
         self._any, self._ascii = regex.compile(PATTERN).findall, re.compile(ASCII_PATTERN, re.ASCII).findall
+        self._newer = self._exact = None
+        if newer:
+            letters, numbers = (f"[\\p{{{c}}}--[{newer[c]}]]" if c in newer else f"\\p{{{c}}}" for c in "LN")
+            self._newer = regex.compile(f"[{''.join(newer.values())}]").search
+            self._exact = regex.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?{letters}+| ?{numbers}+| ?[^\\s{letters}{numbers}]+|\\s+(?!\\S)|\\s+", regex.V1).findall
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
         self.forget()
 
@@ -260,7 +299,9 @@ class Encoder:
                 yield ",".join(map(ids, own)), b"".join(map(back, own)).decode("utf-8", "replace")
 
     def pieces_of(self, text: str) -> list[str]:
-        return self._ascii(text) if text.isascii() else self._any(text)
+        if text.isascii():
+            return self._ascii(text)
+        return self._exact(text) if self._newer and self._newer(text) else self._any(text)
 
     def _split(self, text: str) -> list[str]:
         """Pieces of a text; a special token's string is always a piece of its own."""
@@ -283,8 +324,8 @@ def _vocabulary(path: str) -> Vocabulary:
 
 
 @lru_cache(maxsize=1)
-def _encoder(path: str, file: str) -> Encoder:
-    return Encoder(_vocabulary(path), Transducer(np.load(SparkFiles.get(file), mmap_mode="r")))
+def _encoder(path: str, file: str, newer: tuple[tuple[str, str], ...]) -> Encoder:
+    return Encoder(_vocabulary(path), Transducer(np.load(SparkFiles.get(file), mmap_mode="r")), dict(newer))
 
 
 def frequent_pieces(docs: DataFrame, most: int = LEXICON_WORDS) -> list[str]:
@@ -327,10 +368,11 @@ def encoded(docs: DataFrame, vocabulary: str | None = None, most: int = LEXICON_
     length are encoded whole.
     """
     path = vocabulary or vocabulary_path()
+    newer = tuple(newer_characters().items())
     file = lexicon_file(docs.sparkSession, docs, Vocabulary(path), most)  # not kept: the driver has no further use for it
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, sha = _encoder(path, file), lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
+        encoder, sha = _encoder(path, file, newer), lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
         try:
             for b in batches:
                 n, first, second, tokens, exact = [], [], [], [], []
