@@ -176,7 +176,10 @@ def lanes_within(diff: Iterator[np.ndarray], width: int, done: np.ndarray | None
 
 
 def spanning_links(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Links that join each component of one bucket: breadth-first, each fingerprint is the query once."""
+    """Links that join each component of one bucket, all to its first fingerprint: breadth-first, each fingerprint is the query once.
+
+    A component that meets in many buckets gets the same links from most of them, so few are left once equal ones go.
+    """
     n = len(fps)
     store, full = planes(fps), np.array([0, 0xFF], np.uint8)
     bits = _bit_rows(fps)
@@ -189,7 +192,7 @@ def spanning_links(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int
             q = todo.pop()
             near = lanes_within((p ^ full[b] for p, b in zip(store, bits[q])), n, np.packbits(seen), radius) & ~seen
             for j in np.nonzero(near)[0]:
-                links.append((q, int(j)))
+                links.append((start, int(j)))
                 todo.append(int(j))
             seen |= near
     return links
@@ -219,7 +222,7 @@ def _links_of(groups: np.ndarray, names: np.ndarray, fps: np.ndarray, radius: in
             dst.append(names[at[hit + lag]])
         top *= 2
     for g in np.flatnonzero(sizes > SMALL):
-        own = slice(edge[g], edge[g + 1])
+        own = edge[g] + np.argsort(names[edge[g] : edge[g + 1]], kind="stable")  # the first of a component is the same in all buckets
         if links := spanning_links(fps[own], radius):
             pairs = np.array(links)
             src.append(names[own][pairs[:, 0]])
