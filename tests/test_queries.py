@@ -6,10 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tidebook.plans import adhoc, market, rich, tier2
+from tidebook.plans import accounts, adhoc, market, rich, tier2
 
 SF = "/root/testdata/sf0.001"
-NAMES = sorted(market.QUERIES | rich.QUERIES | adhoc.QUERIES | tier2.QUERIES)
+NAMES = sorted(market.QUERIES | rich.QUERIES | adhoc.QUERIES | tier2.QUERIES | accounts.QUERIES)
 
 
 @pytest.fixture(scope="module")
