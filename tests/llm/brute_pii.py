@@ -29,12 +29,22 @@ def name_of(entity):
     return words[0] if has else "", words[-1]
 
 
+def groups_of(address):
+    """(groups before the gap, groups after it)."""
+    left, gap, right = address.partition("::")
+    return [g for g in left.split(":") if g], [g for g in right.split(":") if g]
+
+
 def normal(kind, entity):
+    if kind == "ipv6":
+        left, right = groups_of(entity.lower())
+        gap = ["0"] * max(0, 8 - len(left) - len(right)) if "::" in entity else []
+        return ":".join(g.lstrip("0") or "0" for g in left + gap + right)
     if kind in ("phone", "card", "ssn"):
         return regex.sub(r"[^0-9]", "", entity)
     if kind == "name":
         given, last = name_of(entity)
-        return f"{given} {last}".strip().lower()
+        return f"{given} {last}".strip().lower().replace("’", "'")
     return entity.replace(" ", "").lower() if kind == "iban" else entity.lower()
 
 
@@ -65,7 +75,8 @@ def found(text):
     for *_, kind, e in first:
         if kind == "name":
             body = parts_of(e)[1]
-            forms |= {body, body.split(" ")[-1], body.upper(), body.split(" ")[-1].upper()}
+            own = {x.replace(a, b) for x in (body, body.split(" ")[-1]) for a, b in ("’'", "'’")}
+            forms |= own | {x.upper() for x in own}
     genders = {}
     for *_, kind, e in first:
         if kind == "name":
@@ -105,7 +116,8 @@ def surrogate(kind, norm, g, attempt, key):
     if kind == "ip":
         return ".".join(str(byte(i) % 254 + 1) for i in range(4))
     if kind == "ipv6":
-        return "".join(c if c == ":" else "0123456789abcdef"[byte(i) % 16] for i, c in enumerate(norm)) + more(lambda i: f":{byte(i) * 256 + byte(i + 16):04x}")
+        group = lambda g, j: "123456789abcdef"[byte(4 * j) % 15] + "".join("0123456789abcdef"[byte(4 * j + k) % 16] for k in (1, 2, 3))[: 3 if wide else len(g) - 1]
+        return ":".join(g if g == "0" and not wide else group(g, j) for j, g in enumerate(norm.split(":")))
     if kind == "iban":
         inner = "".join(str(byte(i) % 10) if c.isdigit() else chr(97 + byte(i) % 26) for i, c in enumerate(norm[4:]))
         check = 98 - int("".join(str(int(c, 36)) for c in inner + norm[:2] + "00")) % 97
@@ -168,7 +180,14 @@ def written(kind, entity, new):
         given, last = name_of(entity)
         middle = body[len(given) : len(body) - len(last)]
         return title + (loud(given, new.split(" ")[0]) if given else "") + middle + loud(last, new.split(" ")[-1])
-    return loud(entity, new) if kind == "ipv6" else new
+    if kind == "ipv6":
+        (left, right), own = groups_of(entity), new.split(":")
+        if "::" not in entity:
+            new = ":".join(g.rjust(len(o), "0") for g, o in zip(own, left))
+        elif all(g == "0" for g in own[len(left) : len(own) - len(right)]):
+            new = ":".join(own[: len(left)]) + "::" + ":".join(own[len(own) - len(right) :])
+        return loud(entity, new)
+    return new
 
 
 def replaced(texts, key):

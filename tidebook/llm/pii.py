@@ -56,7 +56,7 @@ KINDS = {
     "ipv6": rf"(?<![\w:.])(?=[A-Fa-f:]*\d)(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}}|::(?:{_HEX}:){{0,6}}{_HEX}|(?:{_HEX}:){{1,7}}:)(?![\w:])",
     "ip": rf"(?<![\w.]){_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}(?!\.?\w)",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?!\w)",
-    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<!\w)\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])",
+    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<!\w)\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])|(?<![\w.-])[2-9]\d{9}(?![\w-])",
     "card": r"(?<![\w.-])\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7}(?![\w-])|(?<![\w.-])3[47]\d{2}[ -]?\d{6}[ -]?\d{5}(?![\w-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "name": rf"(?<!{_LETTER})(?:(?:(?:{_TITLE})\.?[ ]){{1,3}}{_NAME}|(?:(?:{_SHOUTED})\.?[ ]){{1,2}}{_CAPITALS}(?:[ ]{_CAPITALS})?)",
@@ -94,7 +94,7 @@ def kind_of(entity: Column) -> Column:
     digits = F.regexp_replace(entity, r"\D", "")
     out = F.when(entity.contains("@"), "email").when(F.length(digits) == 0, "name").when(entity.contains(":"), "ipv6").when(entity.rlike(r"^[A-Z]"), "iban")
     out = out.when(entity.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"), "ip").when(entity.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
-    return out.when(entity.rlike(r"^[+(]|^\d{3}[.-]\d{3}[.-]\d{4}$"), "phone").otherwise("card")
+    return out.when(entity.rlike(r"^[+(]|^\d{3}[.-]\d{3}[.-]\d{4}$|^\d{10}$"), "phone").otherwise("card")
 
 
 def _title(entity: Column) -> Column:
@@ -111,16 +111,35 @@ def _name_parts(entity: Column) -> tuple[Column, Column, Column]:
     return title, F.when(given, first).otherwise(""), last
 
 
+def _let(value: Column, then) -> Column:
+    """then(value), the value being worked out once, however often it is named."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _sides(address: Column) -> tuple[Column, Column]:
+    """The groups of an IPv6 address before and after its gap; without a gap all are before it."""
+    groups = lambda c: F.filter(F.split(c, ":"), lambda g: g != "")
+    gap = address.contains("::")
+    return groups(F.substring_index(address, "::", 1)), F.when(gap, groups(F.substring_index(address, "::", -1))).otherwise(F.array().cast("array<string>"))
+
+
+def _whole_address(entity: Column) -> Column:
+    """An IPv6 address in its one long spelling: eight groups in lower case without leading zeros."""
+    left, right = _sides(F.lower(entity))
+    zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(8) - F.size(left) - F.size(right), F.lit(0)))
+    return F.array_join(F.transform(F.concat(left, F.when(entity.contains("::"), zeros).otherwise(F.array().cast("array<string>")), right), lambda g: F.regexp_replace(g, "^0+(?=.)", "")), ":")
+
+
 def normal(entity: Column, kind: Column) -> Column:
-    """What makes two spellings one entity: digits alone of numbers, lower case of addresses; of names given and last one."""
+    """What makes two spellings one entity: digits alone of numbers, lower case of addresses, all groups of IPv6 ones; of
+    names given and last one, with one kind of apostrophe."""
     _, given, last = _name_parts(entity)
-    name = F.lower(F.when(given == "", last).otherwise(F.concat_ws(" ", given, last)))
-    return F.when(kind.isin("phone", "card", "ssn"), F.regexp_replace(entity, r"\D", "")).when(kind == "name", name).when(kind == "iban", F.lower(F.replace(entity, F.lit(" "), F.lit("")))).otherwise(F.lower(entity))
+    name = F.replace(F.lower(F.when(given == "", last).otherwise(F.concat_ws(" ", given, last))), F.lit("’"), F.lit("'"))
+    return F.when(kind == "ipv6", _whole_address(entity)).otherwise(_normal_text(entity, kind, name))
 
 
-def _let(value: Column, then) -> Column:
-    """then(value), the value being worked out once, however often it is named."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
+def _normal_text(entity: Column, kind: Column, name: Column) -> Column:
+    return F.when(kind.isin("phone", "card", "ssn"), F.regexp_replace(entity, r"\D", "")).when(kind == "name", name).when(kind == "iban", F.lower(F.replace(entity, F.lit(" "), F.lit("")))).otherwise(F.lower(entity))
 
 
 def _bytes(key: str, kind: Column, word: Column, attempt: Column) -> Column:
@@ -220,8 +239,10 @@ def _by_form(kind: Column, norm: Column, digest: Column, attempt: Column) -> Col
     card = _let(F.substring(digits, F.lit(1), F.length(norm) - 1), lambda head: F.concat(head, F.pmod(_luhn(norm) - _luhn(F.concat(head, F.lit("0"))), F.lit(10)).cast("string")))
     longer = F.concat(digits, _more(_wider(attempt), lambda i: number(_byte(digest, i))))
     octet = lambda i: (F.pmod(_byte(digest, F.lit(i)), F.lit(254)) + 1).cast("string")
-    hexed = each(norm, lambda c, i, n: F.when(c == ":", c).otherwise(_one("0123456789abcdef", n)))
-    groups = F.concat(hexed, _more(_wider(attempt), lambda i: F.concat(F.lit(":"), F.lpad(F.lower(F.hex(_byte(digest, i) * 256 + _byte(digest, i + 16))), 4, "0"))))
+    wide = _wider(attempt) > 0  # later attempts fill every group
+    rest = lambda j: F.concat(*[_one("0123456789abcdef", _byte(digest, j * 4 + k)) for k in (1, 2, 3)])
+    group = lambda g, j: F.concat(_one("123456789abcdef", _byte(digest, j * 4)), F.substring(rest(j), F.lit(1), F.when(wide, F.lit(3)).otherwise(F.length(g) - 1)))
+    groups = F.array_join(F.transform(F.split(norm, ":"), lambda g, j: F.when((g == "0") & ~wide, g).otherwise(group(g, j))), ":")
     inner = each(F.substring(norm, F.lit(5), F.length(norm)), lambda c, i, n: F.when(c.rlike("[0-9]"), number(n)).otherwise(_one("abcdefghijklmnopqrstuvwxyz", n)))
     country = F.substring(norm, 1, 2)
     account = _let(inner, lambda x: F.concat(country, F.lpad((F.lit(98) - _mod97(F.concat(x, country, F.lit("00")))).cast("string"), 2, "0"), x))
@@ -259,6 +280,16 @@ def surrogate(kind: Column, norm: Column, gender: Column, attempt: Column, key:
     return F.when(kind == "surname", surname_for(norm, attempt, key)).when(kind == "given", given_for(norm, gender, attempt, key)).otherwise(form_for(kind, norm, attempt, key))
 
 
+def _spelled(entity: Column, replacement: Column) -> Column:
+    """An address of eight groups with the gap that the entity has, where it falls on zeros, or with its groups' widths."""
+    left, right = _sides(entity)
+    groups, n, m = F.split(replacement, ":"), F.size(left), F.size(right)
+    gap = F.slice(groups, n + 1, F.greatest(F.size(groups) - n - m, F.lit(0)))
+    short = F.concat(F.array_join(F.slice(groups, F.lit(1), n), ":"), F.lit("::"), F.array_join(F.slice(groups, F.size(groups) - m + 1, m), ":"))
+    wide = F.array_join(F.zip_with(groups, left, lambda g, own: F.lpad(g, F.greatest(F.length(g), F.length(own)), F.lit("0"))), ":")
+    return F.when(~entity.contains("::"), wide).when(F.forall(gap, lambda g: g == "0"), short).otherwise(replacement)
+
+
 def written(entity: Column, kind: Column, replacement: Column) -> Column:
     """A surrogate in the entity's own format: punctuation and blanks of numbers, case of addresses. What is longer stays."""
     chars = F.split(entity, "")
@@ -273,7 +304,7 @@ def written(entity: Column, kind: Column, replacement: Column) -> Column:
     inside = F.length(title) + F.length(given)  # particles and initials stand between this place and the last word
     middle = F.substring(entity, inside + 1, F.length(entity) - inside - F.length(last))
     name = F.concat(title, F.when(given == "", F.lit("")).otherwise(loud(given, F.substring_index(replacement, " ", 1))), middle, loud(last, F.substring_index(replacement, " ", -1)))
-    return F.when(kind.isin("phone", "card", "ssn"), number).when(kind == "email", address).when(kind == "name", name).when(kind == "iban", spaced).when(kind == "ipv6", loud(entity, replacement)).otherwise(replacement)
+    return F.when(kind.isin("phone", "card", "ssn"), number).when(kind == "email", address).when(kind == "name", name).when(kind == "iban", spaced).when(kind == "ipv6", loud(entity, _spelled(entity, replacement))).otherwise(replacement)
 
 
 def _marked(text: Column, pattern: Column) -> Column:
@@ -318,6 +349,7 @@ def _again(found: Column) -> Column:
     def forms(e: Column) -> Column:
         title, _, last = _name_parts(e["entity"])
         own = F.array(F.substring(e["entity"], F.length(title) + 1, F.length(e["entity"])), last)
+        own = F.concat(F.transform(own, lambda x: F.replace(x, F.lit("’"), F.lit("'"))), F.transform(own, lambda x: F.replace(x, F.lit("'"), F.lit("’"))))
         return F.concat(own, F.transform(own, F.upper))
 
     known = F.array_distinct(F.flatten(F.transform(F.filter(found, lambda e: e["kind"] == "name"), forms)))
@@ -426,8 +458,8 @@ def replaced(docs: DataFrame, key: str) -> DataFrame:
     """docs with all personal data replaced in text; all columns, whatever their names, as before.
 
     Null texts stay null, empty ones empty. Equal entities get equal surrogates in every row, different ones different
-    surrogates, and names that share a surname share its surrogate. A given name alone, and an address of the
-    net's sixth version in another spelling, are not told to be the same. Repeated rows each get a row; columns beside
+    surrogates, names that share a surname share its surrogate, and spellings of an address of the net's sixth version are
+    one entity. A given name alone is not told to be the same. Repeated rows each get a row; columns beside
     text are left alone.
     """
     return _rewritten(docs, key).select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
