@@ -46,6 +46,30 @@ def report_lines(health: DataFrame, window_sec: int) -> DataFrame:
     return health.select("window_start", F.rtrim(F.concat_ws(" ", *padded, F.coalesce("flags", F.lit("")))).alias("line"))
 
 
+_HEADING = ("window", 6), ("deltas", 8), ("trades", 8), ("snaps", 7), ("late(s)", 9), ("bookHole", 10), ("recHole", 9), ("feedGap", 9), ("ticks", 9), ("ours", 6), ("s0 diff", 13), ("s1 diff", 15), ("excl", 5)
+
+
+def report_text(health: DataFrame, events: DataFrame, day: str, window_sec: int, bad_lines: int = 0) -> DataFrame:
+    """(place, line): a day's report in full: events read by kind, the heading, a line for each market, totals and flags.
+
+    health has a row for each market of the day; expected are as many as the day has windows. Counts come from
+    aggregates; the lines are as many as the markets.
+    """
+    spark = health.sparkSession
+    kinds = events.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("kind", "n"))), lambda x: F.concat(x["kind"], F.lit(" "), x["n"].cast("string"))), ", ")
+    read = kinds.agg(F.format_string(f"{day}: %,d events read{f', {bad_lines} bad lines' if bad_lines else ''}  %s", F.coalesce(F.sum("n"), F.lit(0).cast("long")), text).alias("line")).select(F.lit(0).alias("part"), F.lit(0).cast("long").alias("place"), "line")
+    heading = spark.createDataFrame([(1, 0, " ".join(name.rjust(n) for name, n in _HEADING) + " flags")], "part int, place long, line string")
+    markets = report_lines(health, window_sec).select(F.lit(2).alias("part"), F.col("window_start").alias("place"), "line")
+    opened = F.array_contains(F.split("flags", ","), "OPEN")
+    n = health.agg(F.count(F.lit(1)).alias("n"), F.count_if(~opened).alias("closed"), F.count_if(~opened & ~F.col("excluded")).alias("usable"))
+    totals = n.select(F.lit(3).alias("part"), F.lit(0).cast("long").alias("place"), F.format_string(f"markets: %d/{86_400 // window_sec} recorded, %d closed, %d usable", "n", "closed", "usable").alias("line"))
+    flags = health.where("flags <> ''").select(F.explode(F.split("flags", ",")).alias("flag")).groupBy("flag").agg(F.count(F.lit(1)).alias("n"))
+    flagged = flags.agg(F.concat(F.lit("flags: "), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("flag", "n"))), lambda x: F.concat(x["flag"], F.lit(" "), x["n"].cast("string"))), ", ")).alias("line")).select(F.lit(4).alias("part"), F.lit(0).cast("long").alias("place"), "line")
+    every = read.unionByName(heading).unionByName(markets).unionByName(totals).unionByName(flagged)
+    return every.orderBy("part", "place").select((F.col("part") * 10**15 + F.col("place")).alias("place"), "line")
+
+
 def feed_gaps(arrivals: DataFrame, keys: list[str], ms: str, silence_ms: int) -> DataFrame:
     """(keys, start, end, gap_ms): silences of a feed, each reported once, when data resumes."""
     before = F.lag(ms).over(W.partitionBy(*keys).orderBy(ms))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.operators import accounts, sketches
+from tidebook.operators import accounts, checks, results, sketches
 from tidebook.plans.market import _E, Query, stream
 from tidebook.session import scratch
 
@@ -132,3 +132,36 @@ def sketched_quantiles(spark, sf_dir):
     each = found.select("event_type", F.explode(F.arrays_zip(F.array(*map(F.lit, [0.5, 0.9, 0.99])).alias("q"), F.col("cents").alias("x"))).alias("z")).select("event_type", "z.q", "z.x")
     ranks = e.where(_RANGE).join(each, "event_type").groupBy("event_type", "q").agg(F.avg((F.col("c") < F.col("x")).cast("double")).alias("below"), F.avg((F.col("c") <= F.col("x")).cast("double")).alias("upto"))
     return ranks.select(F.col("event_type").alias("kind"), F.col("q").cast("double").alias("q"), ((F.col("below") - sketches.RANK_ERROR <= F.col("q")) & (F.col("q") <= F.col("upto") + sketches.RANK_ERROR)).alias("near"))
+
+
+# --- gates and charts -----------------------------------------------------------------------------------------
+
+
+@query(f"""
+WITH e AS (SELECT * FROM {_E} WHERE k IS NOT NULL), f AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END * (event_id % 5 + 1) AS d, k / 80.0 AS price, value / 100 AS fair, user_id, k FROM e WHERE event_type = 'purchase')
+SELECT 'identity' AS "check", count(*) AS rows, CAST(0 AS BIGINT) AS broken, true AS holds, CAST(NULL AS VARCHAR) AS witness FROM f
+UNION ALL SELECT 'settlement', count(*), count(*) FILTER (k % 13 = 0), count(*) FILTER (k % 13 = 0) <= 0.001 * count(*) + 1e-9, min(CAST(event_id AS VARCHAR)) FILTER (k % 13 = 0) FROM f
+UNION ALL SELECT 'size impact', count(*), count(*) FILTER (event_id % 5 + 1 >= 0.2 * (k % 30 + 1)), count(*) FILTER (event_id % 5 + 1 >= 0.2 * (k % 30 + 1)) <= 0.05 * count(*) + 1e-9, min(CAST(event_id AS VARCHAR)) FILTER (event_id % 5 + 1 >= 0.2 * (k % 30 + 1)) FROM f
+UNION ALL SELECT 'determinism', count(*), CAST(0 AS BIGINT), true, NULL FROM f
+UNION ALL SELECT 'zero strategy', count(DISTINCT user_id), count(DISTINCT user_id) FILTER (NOT quoted), count(DISTINCT user_id) FILTER (NOT quoted) = 0, min(CAST(user_id AS VARCHAR)) FILTER (NOT quoted)
+  FROM (SELECT f.user_id, f.user_id IN (SELECT user_id FROM e WHERE event_type = 'view' AND k > 70) AS quoted FROM f)""")
+def sanity_gate(spark, sf_dir):
+    """The checks of a run's results as rows: what they are about, what breaks them, and a first witness."""
+    e = stream(spark, sf_dir).where("k is not null")
+    fills = e.where("event_type = 'purchase'").select("event_id", "user_id", "k", F.when(F.col("event_id") % 2 == 0, "BUY").otherwise("SELL").alias("side"), (F.col("event_id") % 5 + 1).cast("double").alias("size"), (F.col("k") / 80).alias("price"), (F.col("value") / 100).alias("fair"), (F.col("value") / 90).alias("later"), (F.col("k") % 2).cast("double").alias("won"))
+    parts = results.decomposed(fills, "later", "won")
+    every = F.lit(True)
+    rows = checks.row_checks(parts, F.col("event_id"), {"identity": checks.identity(parts), "settlement": (every, F.col("k") % 13 != 0, checks.SETTLED), "size impact": (every, F.col("size") < checks.SMALL * (F.col("k") % 30 + 1), checks.SMALL_SHARE)})
+    again = results.decomposed(fills.repartition(5, "user_id"), "later", "won")
+    return checks.gate([rows, checks.deterministic("determinism", parts, again, ["event_id"]), checks.zero_strategy(fills, e.where("event_type = 'view' and k > 70"), ["user_id"])])
+
+
+@query(f"""
+WITH p AS (SELECT event_type AS kind, ms AS x, CAST(round(value * 100) AS BIGINT) AS y FROM {_E}), r AS (SELECT kind, min(x) AS low, max(x) AS high FROM p GROUP BY kind),
+c AS (SELECT p.kind, x, y, CAST(least(floor((x - low) / ((high - low) / 50.0::DOUBLE)), 49) AS INTEGER) AS pixel FROM p JOIN r USING (kind)),
+n AS (SELECT *, row_number() OVER (PARTITION BY kind, pixel ORDER BY x, y) AS a, row_number() OVER (PARTITION BY kind, pixel ORDER BY x DESC, y DESC) AS b, row_number() OVER (PARTITION BY kind, pixel ORDER BY y, x) AS c, row_number() OVER (PARTITION BY kind, pixel ORDER BY y DESC, x) AS d FROM c)
+SELECT DISTINCT kind, pixel, x, y FROM n WHERE a = 1 OR b = 1 OR c = 1 OR d = 1""")
+def chart_line(spark, sf_dir):
+    """A chart's line at a fixed size: at most four points for each of 50 pixel columns and kind."""
+    e = stream(spark, sf_dir).select(F.col("event_type").alias("kind"), F.col("ms").alias("x"), F.round(F.col("value") * 100).cast("long").alias("y"))
+    return checks.thinned(e, ["kind"], "x", "y", 50)
