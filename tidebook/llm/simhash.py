@@ -32,6 +32,8 @@ DROP_SHINGLE, DROP_WORDS, DROP_BANDS, DROP_RADIUS = 5, 3, 7, 33
 #: Buckets with more distinct fingerprints are dealt again by two of radius + 2 bands of their open bits. What then
 #: meets shares about 32 bits (radius 2) or 34 bits (radius 4).
 HOT_BUCKET = 4096
+#: The same where near-duplicates are dropped and a bucket's parts meet in pairs: fewer parts find fewer links twice.
+DROP_HOT_BUCKET = 8192
 #: Rows that a task gathers before it compares them.
 GATHER = 1 << 16
 
@@ -334,7 +336,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return salted_left_join(rows, named, "fp", F.col("doc_id")).select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def long_links(classes: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
+def long_links(classes: DataFrame, hot_bucket: int = DROP_HOT_BUCKET) -> DataFrame:
     """Distinct (node, fp) -> (src, dst) nodes: links that join all components of the long fingerprints.
 
     Two are linked where some word agrees in two of its DROP_BANDS bands and at most DROP_RADIUS bits differ in all. The
