@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidebook.operators import analytics as A
+from tidebook.operators.accounts import running
 from tidebook.operators.results import core_stats
 from tidebook.plans.market import _E, stream, table
 
@@ -188,7 +189,9 @@ SELECT u.d AS dimension, u.s AS slice, count(*) AS n, CAST(sum(c) AS BIGINT) AS
 def breakdown_six(spark, sf_dir):
     e = stream(spark, sf_dir).withColumn("c", F.round(F.col("value") * 100).cast("long"))
     ranges = e.groupBy("user_id").agg((F.max("c") - F.min("c")).alias("r"))  # a row for each market
-    cuts = ranges.agg(F.expr("percentile_disc(1.0D / 3) WITHIN GROUP (ORDER BY r)").alias("a"), F.expr("percentile_disc(2.0D / 3) WITHIN GROUP (ORDER BY r)").alias("b"))
+    # how many markets have each range, summed up in slices of ranges: no task holds all markets
+    counts = running(ranges.groupBy("r").agg(F.count(F.lit(1)).alias("n")), [], ["r"], F.expr("r div 1024"), "sum", {"upto": F.col("n")})
+    cuts = counts.crossJoin(ranges.agg(F.count(F.lit(1)).alias("all"))).agg(*[F.min(F.when(F.col("upto") * 3 >= F.col("all") * third, F.col("r"))).alias(name) for third, name in ((1, "a"), (2, "b"))])  # the count is one row
     of = ranges.join(F.broadcast(cuts), F.lit(True)).select("user_id", F.when(F.col("r") <= F.col("a"), "low").when(F.col("r") <= F.col("b"), "mid").otherwise("high").alias("vol"))  # cuts is one row
     slices = {
         "minute": F.expr("ms div 60000 % 15"), "forecast": F.least(F.expr("k div 8"), F.lit(9)), "volatility": F.col("vol"), "hour": F.expr("ms div 3600000 % 24"),
