@@ -262,3 +262,13 @@ def test_queries_agree_with_their_sql(spark, name):
     names = [d[0] for d in found.description]
     assert sorted(names) == sorted(df.columns)
     assert sorted(map(str, ([r[c] for c in names] for r in df.collect()))) == sorted(map(str, map(list, found.fetchall())))
+
+
+def test_a_window_that_most_texts_share_is_found_beyond_the_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", 1)
+    passage = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(i, f"{passage} and {i} more words") for i in range(300)] + [(1000, "nothing of it one two three")]
+    items = [(1, passage), (2, "quite another text of ten words or more for windows")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r["doc_id"], r["n_words"], r["n_hit"], list(r["item_ids"])) for r in decontamination.report(docs, bench).collect())
+    assert got == sorted(brute_hits(rows, items)) and sum(n == 12 for *_, n, _ in got) == 300
