@@ -436,3 +436,17 @@ def test_every_code_point_is_split_as_the_library_does():
         want = [p for p, _ in pre.pre_tokenize_str(text)]
         got = ["".join(spell[b] for b in p.encode()) for p in own.pieces_of(text)]
         assert got == want, hex(at)
+
+
+def test_texts_with_newer_characters_are_encoded_as_the_library_does():
+    from tokenizers import Tokenizer
+
+    path, rng = bpe.vocabulary_path(), random.Random(5)
+    library = Tokenizer.from_file(path)
+    own = bpe.Encoder(bpe.Vocabulary(path), bpe.Transducer(bpe.Transducer.compiled([], lambda _: [])), bpe.newer_characters())
+    odd = ["\U00016EA0", "\u0558", "a", " ", "!", "1", "é", "日", "'s", "\n", "<|endoftext|>", " the"]
+    texts = ["".join(rng.choices(odd, k=rng.randrange(1, 9))) for _ in range(3000)]
+    for _ in range(2):  # what is remembered from the first time does not change the second
+        for chunk in (texts[i : i + 7] for i in range(0, len(texts), 7)):
+            for t, (ids, _) in zip(chunk, own.encode(chunk)):
+                assert ids == ",".join(map(str, library.encode(t, add_special_tokens=False).ids)), ascii(t)

@@ -286,29 +286,46 @@ class Encoder:
         """For each text its ids, in decimal and joined by commas, and the text that those ids decode to."""
         at = 0
         while at < len(texts):
-            pieces, size = [], 0
+            first, pieces, size = at, [], 0
             while at < len(texts) and size < CHARS_AT_ONCE:
-                pieces.append(self._split(texts[at]))
+                pieces.append(self._split(texts[at], self._fast))
                 size += len(texts[at])
                 at += 1
             if len(self.ids_of) > REMEMBERED:
                 self.forget()
+            # pieces that hold newer characters are never remembered, so they are always among the new ones
+            odd = self._odd(set().union(*pieces))
+            if odd:
+                pieces = [self._split(t, self.pieces_of) for t in texts[first:at]]
+                odd = self._odd(set().union(*pieces))
             self.learn(set().union(*pieces))
             ids, back = self.ids_of.__getitem__, self.bytes_of.__getitem__
+            if odd:  # worked out before they are forgotten, as who asks may not come back after the last text
+                made = [(",".join(map(ids, own)), b"".join(map(back, own)).decode("utf-8", "replace")) for own in pieces]
+                for p in odd:
+                    del self.ids_of[p], self.bytes_of[p]
+                yield from made
+                continue
             for own in pieces:
                 yield ",".join(map(ids, own)), b"".join(map(back, own)).decode("utf-8", "replace")
 
+    def _odd(self, pieces: set[str]) -> list[str]:
+        """Pieces not met before that hold a character which the two Unicode tables class differently."""
+        return [p for p in pieces - self.ids_of.keys() if not p.isascii() and self._newer(p)] if self._newer else []
+
+    def _fast(self, text: str) -> list[str]:
+        return self._ascii(text) if text.isascii() else self._any(text)
+
     def pieces_of(self, text: str) -> list[str]:
-        if text.isascii():
-            return self._ascii(text)
-        return self._exact(text) if self._newer and self._newer(text) else self._any(text)
+        """Pieces of a text without special tokens, whatever characters it holds."""
+        return self._exact(text) if self._newer and self._newer(text) else self._fast(text)
 
-    def _split(self, text: str) -> list[str]:
+    def _split(self, text: str, pieces_of: Callable[[str], list[str]]) -> list[str]:
         """Pieces of a text; a special token's string is always a piece of its own."""
         if self.special is None or not self.special.search(text):
-            return self.pieces_of(text)
+            return pieces_of(text)
         parts = enumerate(self.special.split(text))
-        return [p for i, part in parts for p in ([part] if i % 2 else self.pieces_of(part))]
+        return [p for i, part in parts for p in ([part] if i % 2 else pieces_of(part))]
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
