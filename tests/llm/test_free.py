@@ -450,3 +450,22 @@ def test_texts_with_newer_characters_are_encoded_as_the_library_does():
         for chunk in (texts[i : i + 7] for i in range(0, len(texts), 7)):
             for t, (ids, _) in zip(chunk, own.encode(chunk)):
                 assert ids == ",".join(map(str, library.encode(t, add_special_tokens=False).ids)), ascii(t)
+
+
+def test_stars_join_what_links_join():
+    rng = random.Random(9)
+    for n in (0, 1, 30, 400):
+        pairs = [(rng.randrange(-500, 500), rng.randrange(-500, 500)) for _ in range(n)]
+        src, dst = (np.array([p[i] for p in pairs], np.int64) for i in (0, 1))
+        a, b = simhash._stars(src, dst)
+        root = {x: x for p in pairs for x in p}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for x, y in pairs:
+            low, high = sorted((find(x), find(y)))
+            root[high] = low
+        assert sorted(zip(a.tolist(), b.tolist())) == sorted((find(x), x) for x in root if find(x) != x)

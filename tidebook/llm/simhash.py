@@ -229,7 +229,22 @@ def _links_of(groups: np.ndarray, names: np.ndarray, fps: np.ndarray, radius: in
             pairs = np.array(links)
             src.append(names[own][pairs[:, 0]])
             dst.append(names[own][pairs[:, 1]])
-    return np.concatenate(src), np.concatenate(dst)
+    return _stars(np.concatenate(src), np.concatenate(dst))
+
+
+def _stars(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join the same components as the given ones: each node with the smallest of its component, once."""
+    nodes, at = np.unique(np.r_[src, dst], return_inverse=True)
+    a, b, label = at[: len(src)], at[len(src) :], np.arange(len(nodes))
+    while True:
+        low, before = np.minimum(label[a], label[b]), label.copy()
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        label = label[label]
+        if (label == before).all():
+            break
+    some = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[label[some]], nodes[some]
 
 
 def _link_batches(batches: Iterator[pa.RecordBatch], radius: int, words: int = 1) -> Iterator[pa.RecordBatch]:
