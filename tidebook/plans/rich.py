@@ -202,7 +202,7 @@ def raw_hours_scan(spark, sf_dir):
     """Raw hours that a stream's batches were closed into, read by the data source; each hour's lines are numbered without a gap."""
     datasource.register(spark)
     scan = spark.read.format("raw_hours").load(_raw_hours(spark, sf_dir))
-    n = scan.groupBy("date", "hour").agg(F.count(F.lit(1)).alias("n"), F.max("line").alias("last"), F.sum(F.get_json_object("value", "$.exchangeTs").cast("double")).cast("long").alias("at_sum"))
+    n = scan.groupBy("date", "hour").agg(F.count(F.lit(1)).alias("n"), F.max("line").alias("last"), F.sum(F.get_json_object("value", "$.exchangeTs").cast("double").cast("long")).alias("at_sum"))  # a sum of doubles is exact up to 2**53 only
     return n.select("date", "hour", F.when(F.col("n") == F.col("last"), F.col("n")).alias("lines"), "at_sum")
 
 
