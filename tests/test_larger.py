@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from test_queries import plain
 
 import __spark_entry__ as entry
+from tidebook.plans import market, rich
+from tidebook.session import stored
+from tidebook.sources import hours, lake, raw
 
 
 @pytest.fixture(scope="module")
@@ -36,3 +39,29 @@ def both(spark, folder, name):
 def test_times_of_an_hour_add_up_exactly(spark, folder):
     ours, theirs = both(spark, folder, "raw_hours_scan")
     assert ours == theirs
+
+
+def test_no_task_parses_a_whole_hour(spark, folder, tmp_path, monkeypatch):
+    """An hour is parsed and filed in parts, and what is parsed is not held as one block of a cache."""
+    made = stored(rich.lines(market.stream(spark, folder)), "lines")
+    hours.stage(made, str(tmp_path), 0)
+    hours.close_hours(spark, str(tmp_path))
+    most, parsed = [], raw.parsed
+
+    def seen(lines):
+        most.append(lines.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0])
+        return parsed(lines)
+
+    monkeypatch.setattr(raw, "parsed", seen)
+    monkeypatch.setattr(lake, "PARSED_LINES", 500, raising=False)
+    monkeypatch.setattr(lake, "FILE_LINES", 1000)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        report = lake.compact(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    per_hour = [r["lines"] for r in report]
+    assert sum(per_hour) == 12_001 and max(most) <= max(per_hour) / 2
+    assert sum(r["n"] for r in lake.rows_filed(spark, str(tmp_path)).collect() if r["table_name"] == "trades") == made.where("value like '%\"kind\":\"trade\"%'").count()

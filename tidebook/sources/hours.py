@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from datetime import date as Date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,7 +77,11 @@ def close_hours(spark: SparkSession, data_dir: str, before: tuple[str, int] | No
             lines = part if lines is None else lines.unionByName(part)
     side = f"{data_dir}/raw/_new-{uuid.uuid4().hex}"
     at = F.get_json_object("value", "$.recvTs").cast("long")
-    ordered = lines.withColumn("at", at).repartition(len(wanted), "date", "hour").sortWithinPartitions("date", "hour", "at", "batch", "value")
+    number = lambda d, h: Date.fromisoformat(d).toordinal() * 24 + h
+    first = number(*wanted[0])
+    tasks = min(number(*wanted[-1]) - first + 1, 4 * len(wanted))  # hours that follow each other have a task each
+    task = F.pmod((F.unix_date("date") + Date(1970, 1, 1).toordinal()) * 24 + F.col("hour") - first, F.lit(tasks))
+    ordered = lines.withColumn("at", at).repartitionById(tasks, task).sortWithinPartitions("date", "hour", "at", "batch", "value")
     ordered.select("value", "date", "hour").write.partitionBy("date", "hour").option("compression", "gzip").text(side)
     counts = {(str(r["date"]), r["hour"]): r["n"] for r in lines.groupBy("date", "hour").agg(F.count(F.lit(1)).alias("n")).collect()}
     for d, h in wanted:

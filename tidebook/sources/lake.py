@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidebook import schema as S
 from tidebook.operators import keyed
+from tidebook.session import scratch
 from tidebook.sources import raw
 
 
@@ -130,6 +131,8 @@ def rows_filed(spark: SparkSession, data_dir: str) -> DataFrame:
 
 #: Lines of an hour that one task files at most: a busy hour has several files in each table.
 FILE_LINES = 1 << 18
+#: Lines of an hour that are parsed together.
+PARSED_LINES = 1 << 14
 
 
 def compact(spark: SparkSession, data_dir: str, dates: list[str] | None = None, force: bool = False, closed_before: tuple[str, int] | None = None) -> DataFrame:
@@ -151,17 +154,22 @@ def compact(spark: SparkSession, data_dir: str, dates: list[str] | None = None,
 
 
 def _compact_day(spark: SparkSession, data_dir: str, hours: list[tuple[str, int, str]]) -> list:
-    lines = raw.parsed(raw.numbered_lines(spark, [p for *_, p in hours])).persist()
+    # parsed in parts of hours and stored: a task of what follows reads a split of the columns it needs, however long an hour is
+    numbered = raw.numbered_lines(spark, [p for *_, p in hours]).repartition("date", "hour", F.expr(f"line div {PARSED_LINES}"))
+    made, place = raw.parsed(numbered).withColumn("blank", F.trim("value") == "").drop("value", "_bad"), scratch(spark, "parsed")
     try:
+        made.write.parquet(place)
+        lines = spark.read.schema(made.schema).parquet(place)
         events = raw.events_of(lines)
         side = f"{data_dir}/parquet/_new-{uuid.uuid4().hex}"
         for table in S.TABLES:
             spread = rows_for(events, table).repartition("date", "hour", F.expr(f"line div {FILE_LINES}"))
             spread.sortWithinPartitions("date", "hour", "line", *(["idx"] if "idx" in S.struct(S.TABLES[table]).names else [])).write.partitionBy("date", "hour").parquet(f"{side}/{table}", compression="zstd")
-        bad = ~F.col("ok") & (F.trim("value") != "")
+        bad = ~F.col("ok") & ~F.col("blank")
         report = lines.groupBy("date", "hour").agg(F.count(F.lit(1)).alias("lines"), F.count_if("ok").alias("events"), F.count_if(bad).alias("bad"), F.min(F.when(bad, F.col("line"))).alias("first_bad"))
         listed = spark.createDataFrame([(Date.fromisoformat(d), h) for d, h, _ in hours], "date date, hour int")
         report = listed.join(report, ["date", "hour"], "left").na.fill(0, ["lines", "events", "bad"])
+        rows = report.collect()  # one row an hour
         for d, h, _ in hours:
             fs, p = _fs(spark, f"{data_dir}/parquet/_done/date={d}/hour={h}")
             fs.delete(p, True)
@@ -169,10 +177,11 @@ def _compact_day(spark: SparkSession, data_dir: str, hours: list[tuple[str, int,
                 _put(spark, f"{side}/{table}/date={d}/hour={h}", f"{_path(data_dir, table)}/date={d}/hour={h}")
         fs, p = _fs(spark, side)
         fs.delete(p, True)
-        report.write.mode("append").partitionBy("date", "hour").parquet(f"{data_dir}/parquet/_done")
-        return report.collect()  # one row an hour
+        spark.createDataFrame(rows, report.schema).write.mode("append").partitionBy("date", "hour").parquet(f"{data_dir}/parquet/_done")
+        return rows
     finally:
-        lines.unpersist()
+        fs, p = _fs(spark, place)
+        fs.delete(p, True)
 
 
 # --- views and replay -----------------------------------------------------------------------------------------
