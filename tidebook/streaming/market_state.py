@@ -120,6 +120,7 @@ class FeedProcessor(StatefulProcessor):
 
     Rows: 'gap' for a pause longer than silence_ms, with its start; 'silent' when down_ms of event time pass without an
     event, 'recovered' with the next one; 'counters' once a batch. A feed without events for forget_ms leaves the state.
+    Its rows are those of `_sliced`: a slice is no longer than silence_ms, so no pause that counts lies within one.
     """
 
     def __init__(self, silence_ms: int = 10_000, down_ms: int = 60_000, forget_ms: int = 86_400_000):
@@ -135,8 +136,11 @@ class FeedProcessor(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last, down, due, events, gaps, breaks, reconnects, most = self.seen.get() if self.seen.exists() else (None, False, None, 0, 0, 0, 0, 0.0)
         out = []
-        frame = pd.concat(list(rows)).sort_values("ms", kind="stable")
-        for ms, reason, reported in zip(frame["ms"].tolist(), frame["reason"].tolist(), frame["gap_ms"].tolist()):
+        frame = pd.concat(list(rows))
+        report = frame["reason"].notna()
+        data = frame[~report].groupby("slice", as_index=False).agg({"ms": "min", "last_ms": "max", "n": "sum"})
+        frame = pd.concat([data, frame[report]]).sort_values("ms", kind="stable")
+        for ms, until, n, reason, reported in zip(*(frame.reindex(columns=["ms", "last_ms", "n", "reason", "gap_ms"])[c].tolist() for c in ("ms", "last_ms", "n", "reason", "gap_ms"))):
             counters = lambda: (events, gaps, breaks, reconnects, most)
             if isinstance(reason, str):  # the recorder's own report of what it missed
                 gaps, breaks, reconnects = gaps + (reason != "sequence_break"), breaks + (reason == "sequence_break"), reconnects + (reason == "reconnect")
@@ -147,7 +151,7 @@ class FeedProcessor(StatefulProcessor):
                 out.append((key[0], "recovered", ms, last, ms - last, *counters()))
             if last is not None and ms - last > self.silence_ms:
                 out.append((key[0], "gap", ms, last, ms - last, *counters()))
-            last, events = ms if last is None else max(last, ms), events + 1
+            last, events = until if last is None else max(last, until), events + n
         if last is not None:
             if due is not None:
                 self.handle.deleteTimer(due)
@@ -180,7 +184,7 @@ def _timed(events: DataFrame, late: str) -> DataFrame:
 
 def markets(events: DataFrame, processor: MarketProcessor | None = None, late: str = "10 minutes") -> DataFrame:
     """Rows of MARKET as a stream of events (tidebook.schema) goes by. Events later than `late` behind the newest are dropped."""
-    own = _timed(events.where("market_id is not null").select("market_id", "token", "kind", "recv_ts", "line", "payload"), late)
+    own = _timed(events.where("market_id is not null").select("market_id", "token", "kind", "recv_ts", "line", book.folded_fields()), late)
     return own.groupBy("market_id").transformWithStateInPandas(processor or MarketProcessor(), MARKET, "append", "eventTime")
 
 
@@ -189,11 +193,25 @@ def feed_of() -> Column:
     return F.coalesce(F.when(F.col("kind") == "feed_gap", F.col("payload.feed")), F.when(F.col("kind") == "spot", F.concat(F.lit("spot:"), "payload.source")), F.when(F.col("kind") == "res_price", F.lit("oracle")), F.lit("clob"))
 
 
+_SLICED = "feed string, ms long, reason string, gap_ms double, slice long, last_ms long, n long"
+
+
+def _sliced(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Events of each feed in a slice of time as one row (first and last time, number) before they meet in their feed's one task; reports stay."""
+    for frame in frames:
+        report = frame["reason"].notna()
+        data = frame[~report].groupby(["feed", "slice"], as_index=False).agg(ms=("ms", "min"), last_ms=("ms", "max"), n=("ms", "size"))
+        reports = frame[report].assign(last_ms=frame["ms"], n=1)
+        yield pd.concat([data.assign(reason=None, gap_ms=None), reports])[[c.split()[0] for c in _SLICED.split(", ")]]
+
+
 def feeds(events: DataFrame, processor: FeedProcessor | None = None, late: str = "10 minutes") -> DataFrame:
     """Rows of FEED as a stream of events goes by."""
-    gap = F.col("kind") == "feed_gap"
-    own = _timed(events, late).select(feed_of().alias("feed"), "at", F.expr("recv_ts div 1000000").alias("ms"), F.when(gap, F.col("payload.reason")).alias("reason"), F.when(gap, F.col("payload.gapMs")).alias("gap_ms"))
-    return own.groupBy("feed").transformWithStateInPandas(processor or FeedProcessor(), FEED, "append", "eventTime")
+    processor = processor or FeedProcessor()
+    gap, ms = F.col("kind") == "feed_gap", F.expr("recv_ts div 1000000")
+    each = events.select(feed_of().alias("feed"), ms.alias("ms"), F.when(gap, F.col("payload.reason")).alias("reason"), F.when(gap, F.col("payload.gapMs")).alias("gap_ms"), F.floor(ms / max(processor.silence_ms, 1)).alias("slice"))
+    own = each.mapInPandas(_sliced, _SLICED).withColumn("at", F.timestamp_millis("last_ms")).withWatermark("at", late)
+    return own.groupBy("feed").transformWithStateInPandas(processor, FEED, "append", "eventTime")
 
 
 def feed_counters(events: DataFrame) -> DataFrame:
