@@ -77,7 +77,12 @@ def lines(events: DataFrame) -> DataFrame:
 
 def recorded(spark, sf_dir) -> DataFrame:
     """The stream of tidebook.schema that the lines hold. They are stored first: a plan that writes and parses them at once takes the optimizer long."""
-    return raw.events_of(raw.parsed(stored(lines(stream(spark, sf_dir)), "lines")))
+    return raw.events_of(raw.parsed(stored(lines(_spread(stream(spark, sf_dir))), "lines")))
+
+
+def _spread(events: DataFrame) -> DataFrame:
+    """Events over all tasks: those of one file would be made lines, and parsed, by one."""
+    return events.repartition("event_id")
 
 
 #: The stream in SQL: events with their kind; changes and snapshot levels as UP sees them, asks with negative keys.
@@ -136,10 +141,14 @@ def recorded_kinds(spark, sf_dir):
 # --- the same stream as a stream ------------------------------------------------------------------------------
 
 
+#: Files of the recorded stream; no more than one trigger takes, so that no event comes in a batch before an earlier one.
+_STREAM_FILES = 32
+
+
 def _streamed(spark, sf_dir) -> DataFrame:
     """The recorded stream, read as files of lines appear."""
     path = scratch(spark, "lines")
-    made = lines(stream(spark, sf_dir))
+    made = lines(stream(spark, sf_dir).repartitionByRange(_STREAM_FILES, "event_id"))  # a file has a stretch of the stream
     made.write.parquet(path)
     return raw.events_of(raw.parsed(spark.readStream.schema(made.schema).option("maxFilesPerTrigger", 64).parquet(path)))
 
@@ -185,7 +194,7 @@ _FAST = "1704067200000 + (ms - 1704067200000) // 120"
 def _raw_hours(spark, sf_dir) -> str:
     """A folder with the recorded stream as raw hours, staged in two batches and closed."""
     e = stream(spark, sf_dir).withColumn("ms", F.expr(_FAST.replace("//", "div")))
-    made, folder = stored(lines(e), "lines"), scratch(spark, "lake")
+    made, folder = stored(lines(_spread(e)), "lines"), scratch(spark, "lake")
     for batch in range(2):
         hours.stage(made.where(F.col("line") % 2 == batch), folder, batch)
     hours.close_hours(spark, folder)
