@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from test_queries import plain
 
 import __spark_entry__ as entry
+from tidebook.operators import book
 from tidebook.plans import market, rich
 from tidebook.session import stored
 from tidebook.sources import hours, lake, raw
+from tidebook.streaming import market_state
 
 
 @pytest.fixture(scope="module")
@@ -65,3 +68,31 @@ def test_no_task_parses_a_whole_hour(spark, folder, tmp_path, monkeypatch):
     per_hour = [r["lines"] for r in report]
     assert sum(per_hour) == 12_001 and max(most) <= max(per_hour) / 2
     assert sum(r["n"] for r in lake.rows_filed(spark, str(tmp_path)).collect() if r["table_name"] == "trades") == made.where("value like '%\"kind\":\"trade\"%'").count()
+
+
+def test_lines_of_one_file_are_parsed_by_many_tasks(spark, folder):
+    """books_verified and the replays: events that come in one file are spread before their lines are written and parsed."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert all(found(spark, folder).rdd.getNumPartitions() >= 4 for found in (market.recorded, rich.recorded))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_a_recorded_stream_has_files_of_its_stretches_for_one_trigger(spark, folder, tmp_path, monkeypatch):
+    monkeypatch.setattr(rich, "scratch", lambda spark, name: str(tmp_path / name))
+    rich._streamed(spark, folder)
+    spans = sorted((r["a"], r["b"]) for r in spark.read.parquet(str(tmp_path / "lines")).groupBy(F.input_file_name()).agg(F.min("line").alias("a"), F.max("line").alias("b")).collect())
+    assert 8 <= len(spans) <= 64 and all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_the_fold_gets_only_what_it_reads(spark, folder):
+    held = rich.recorded(spark, folder).select(book.folded_fields()).schema["payload"].dataType.names
+    assert len(held) == 8 and {"changes", "bids", "asks", "windowEnd"} < set(held)
+
+
+def test_a_feeds_one_task_gets_slices(spark):
+    frame = pd.DataFrame({"feed": "clob", "ms": range(1000), "reason": [None] * 999 + ["reconnect"], "gap_ms": [None] * 999 + [5.0], "slice": [i // 100 for i in range(1000)]})
+    (got,) = market_state._sliced(iter([frame]))
+    assert len(got) == 11 and got["n"].sum() == 1000
+    assert got[["ms", "last_ms", "n"]].values.tolist()[:2] == [[0, 99, 100], [100, 199, 100]] and got.iloc[-1]["reason"] == "reconnect"
