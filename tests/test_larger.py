@@ -96,3 +96,15 @@ def test_a_feeds_one_task_gets_slices(spark):
     (got,) = market_state._sliced(iter([frame]))
     assert len(got) == 11 and got["n"].sum() == 1000
     assert got[["ms", "last_ms", "n"]].values.tolist()[:2] == [[0, 99, 100], [100, 199, 100]] and got.iloc[-1]["reason"] == "reconnect"
+
+
+def test_a_line_is_parsed_once_whatever_filters_stand_on_it(spark, folder):
+    plan = raw.events_of(raw.parsed(stored(rich.lines(market.stream(spark, folder)), "lines"))).where("line > 3")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1
+
+
+def test_two_replays_are_compared_on_events_parsed_once(spark, folder, monkeypatch):
+    calls, parsed = [], raw.parsed
+    monkeypatch.setattr(raw, "parsed", lambda lines: (calls.append(1), parsed(lines))[1])
+    ours, theirs = both(spark, folder, "replay_first_difference")
+    assert ours == theirs and len(ours) == 1 and len(calls) == 1
