@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gzip
+
 import duckdb
 import pandas as pd
 import pytest
@@ -98,6 +100,77 @@ def test_a_feeds_one_task_gets_slices(spark):
     assert got[["ms", "last_ms", "n"]].values.tolist()[:2] == [[0, 99, 100], [100, 199, 100]] and got.iloc[-1]["reason"] == "reconnect"
 
 
+def test_a_replays_events_are_made_once_for_its_summary(spark, folder):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def seen(t):
+        made.add(1)
+        return t
+
+    events = rich.recorded(spark, folder).where("line < 500")
+    one = book.replay_summary(events.withColumn("recv_ts", seen("recv_ts"))).first()
+    assert one["events"] == made.value == 500
+    assert one["digest"] == book.replay_summary(events.repartition(3)).first()["digest"]
+
+
+def test_lines_of_one_file_are_numbered_by_many_tasks(spark, tmp_path):
+    day = tmp_path / "raw" / "2024-01-01"
+    day.mkdir(parents=True)
+    texts = {0: [f"line {i}" * (i % 5) for i in range(3000)], 1: ["", "a", "", "b"], 2: [f"{i}" for i in range(50)]}
+    for hour, lines in texts.items():
+        text = "".join(x + "\n" for x in lines).encode()
+        (day / (f"{hour:02}.ndjson" + ".gz" * (hour == 2))).write_bytes(gzip.compress(text) if hour == 2 else text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        numbered = raw.numbered_lines(spark, [p for *_, p in raw.list_hours(spark, str(tmp_path))])
+        parts = [[(r["hour"], r["line"], r["value"]) for r in part] for part in numbered.rdd.glom().collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(x for part in parts for x in part) == [(h, i, x) for h, lines in texts.items() for i, x in enumerate(lines, 1)]
+    assert max(map(len, parts)) < 1500
+
+
+def test_lines_of_one_hour_are_staged_by_many_tasks(spark, folder, tmp_path, monkeypatch):
+    monkeypatch.setattr(hours, "STAGED_LINES", 1000, raising=False)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        hours.stage(rich.lines(market.stream(spark, folder)), str(tmp_path), 0)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    busiest = max(len(list(p.glob("*.gz"))) for p in tmp_path.glob("stream_raw/batch=0/date=*/hour=*"))
+    assert busiest > 1
+    found = 0
+    for d, h in hours.close_hours(spark, str(tmp_path)):
+        at = [int(r[0]) for r in spark.read.text(f"{tmp_path}/raw/{d}/{h:02}.ndjson.gz").select(F.get_json_object("value", "$.recvTs")).collect()]
+        assert at == sorted(at)
+        found += len(at)
+    assert found == 12_001
+
+
+def test_a_table_is_filed_from_the_lines_of_its_kind(spark, folder, tmp_path, monkeypatch):
+    hours.stage(rich.lines(market.stream(spark, folder)), str(tmp_path), 0)
+    hours.close_hours(spark, str(tmp_path))
+    rows_for, read = lake.rows_for, {}
+
+    def seen(events, table):
+        out = rows_for(events, table)
+        read[table] = {r[0] for r in out.select(F.input_file_name()).distinct().collect()}
+        return out
+
+    monkeypatch.setattr(lake, "rows_for", seen)
+    lake.compact(spark, str(tmp_path))
+    assert read["trades"] and all(not (a & b) for x, a in read.items() for y, b in read.items() if x != y)
+
+
+def test_an_unordered_replay_has_no_sort(spark, folder, tmp_path):
+    hours.stage(rich.lines(market.stream(spark, folder)), str(tmp_path), 0)
+    hours.close_hours(spark, str(tmp_path))
+    lake.compact(spark, str(tmp_path))
+    plan = lambda **how: lake.replay(spark, str(tmp_path), parquet=True, **how)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort [" in plan() and "Sort [" not in plan(ordered=False)
+
+
 def test_a_line_is_parsed_once_whatever_filters_stand_on_it(spark, folder):
     plan = raw.events_of(raw.parsed(stored(rich.lines(market.stream(spark, folder)), "lines"))).where("line > 3")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json(") == 1

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidebook.operators import book, verify
 from tidebook.operators.book import STATS
 from tidebook.plans.market import _E, Query, stream
-from tidebook.session import scratch, stored
+from tidebook.session import heavy_tasks, scratch, stored
 from tidebook.sources import datasource, hours, lake, raw
 from tidebook.streaming import market_state
 
@@ -82,7 +82,7 @@ def recorded(spark, sf_dir) -> DataFrame:
 
 def _spread(events: DataFrame) -> DataFrame:
     """Events over all tasks: those of one file would be made lines, and parsed, by one."""
-    return events.repartition("event_id")
+    return events.repartition(heavy_tasks(events.sparkSession), "event_id")
 
 
 #: The stream in SQL: events with their kind; changes and snapshot levels as UP sees them, asks with negative keys.
@@ -244,7 +244,7 @@ def lake_replay_summary(spark, sf_dir):
     """What a verified replay of the whole lake reports, as items."""
     folder = _raw_hours(spark, sf_dir)
     lake.compact(spark, folder)
-    s = book.replay_summary(lake.replay(spark, folder, parquet=True))
+    s = book.replay_summary(lake.replay(spark, folder, parquet=True, ordered=False))
     items = F.array(*[F.struct(F.lit(name).alias("item"), c.cast("long").alias("n")) for name, c in (("events", F.col("events")), ("markets", F.col("markets")), ("first_ms", F.expr("first_ts div 1000000")), ("last_ms", F.expr("last_ts div 1000000")), ("late", F.col("late")))])
     kinds = F.transform(F.map_entries("kinds"), lambda x: F.struct(F.concat(F.lit("kind "), x["key"]).alias("item"), x["value"].alias("n")))
     return s.select(F.inline(F.concat(items, kinds)))

@@ -18,9 +18,13 @@ from pyspark.sql import functions as F
 _PART = re.compile(r"/batch=(\d+)/date=(\d{4}-\d{2}-\d{2})/hour=(\d+)$")
 
 
+#: Line numbers of an hour that one task stages at most.
+STAGED_LINES = 1 << 16
+
+
 def stage(lines: DataFrame, data_dir: str, batch: int) -> None:
-    """Write lines (date, hour, line, value) of a batch, ordered by line within an hour, in place of what it wrote before."""
-    ordered = lines.repartition("date", "hour").sortWithinPartitions("date", "hour", "line").drop("line")
+    """Write lines (date, hour, line, value) of a batch, each file of an hour ordered by line, in place of what it wrote before."""
+    ordered = lines.repartition("date", "hour", F.expr(f"line div {STAGED_LINES}")).sortWithinPartitions("date", "hour", "line").drop("line")
     ordered.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("date", "hour").option("compression", "gzip").text(f"{data_dir}/stream_raw/batch={batch}")
 
 

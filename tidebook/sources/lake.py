@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import calendar
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date as Date
 from datetime import timedelta
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidebook import schema as S
 from tidebook.operators import keyed
-from tidebook.session import scratch
+from tidebook.session import heavy_tasks, scratch
 from tidebook.sources import raw
 
 
@@ -155,16 +156,21 @@ def compact(spark: SparkSession, data_dir: str, dates: list[str] | None = None,
 
 def _compact_day(spark: SparkSession, data_dir: str, hours: list[tuple[str, int, str]]) -> list:
     # parsed in parts of hours and stored: a task of what follows reads a split of the columns it needs, however long an hour is
-    numbered = raw.numbered_lines(spark, [p for *_, p in hours]).repartition("date", "hour", F.expr(f"line div {PARSED_LINES}"))
-    made, place = raw.parsed(numbered).withColumn("blank", F.trim("value") == "").drop("value", "_bad"), scratch(spark, "parsed")
+    numbered = raw.numbered_lines(spark, [p for *_, p in hours]).repartition(heavy_tasks(spark), "date", "hour", F.expr(f"line div {PARSED_LINES}"))
+    made = raw.parsed(numbered).withColumn("blank", F.trim("value") == "").withColumn("filed", F.when(F.col("ok"), F.col("kind"))).drop("value", "_bad", "kind")
+    place = scratch(spark, "parsed")
     try:
-        made.write.parquet(place)
+        made.write.partitionBy("filed").parquet(place)  # by kind, so that each table's rows are read alone
         lines = spark.read.schema(made.schema).parquet(place)
-        events = raw.events_of(lines)
+        events = raw.events_of(lines.withColumnRenamed("filed", "kind"))
         side = f"{data_dir}/parquet/_new-{uuid.uuid4().hex}"
-        for table in S.TABLES:
+
+        def file(table: str) -> None:
             spread = rows_for(events, table).repartition("date", "hour", F.expr(f"line div {FILE_LINES}"))
             spread.sortWithinPartitions("date", "hour", "line", *(["idx"] if "idx" in S.struct(S.TABLES[table]).names else [])).write.partitionBy("date", "hour").parquet(f"{side}/{table}", compression="zstd")
+
+        with ThreadPoolExecutor(4) as pool:  # a small table alone would leave most cores idle
+            list(pool.map(file, S.TABLES))
         bad = ~F.col("ok") & ~F.col("blank")
         report = lines.groupBy("date", "hour").agg(F.count(F.lit(1)).alias("lines"), F.count_if("ok").alias("events"), F.count_if(bad).alias("bad"), F.min(F.when(bad, F.col("line"))).alias("first_bad"))
         listed = spark.createDataFrame([(Date.fromisoformat(d), h) for d, h, _ in hours], "date date, hour int")
@@ -233,11 +239,11 @@ def planned_hours(spark: SparkSession, data_dir: str, start_ns: int | None = Non
     return plain, filed
 
 
-def replay(spark: SparkSession, data_dir: str, start_ns: int | None = None, end_ns: int | None = None, markets: list[str] | None = None, parquet: bool | None = False) -> DataFrame:
+def replay(spark: SparkSession, data_dir: str, start_ns: int | None = None, end_ns: int | None = None, markets: list[str] | None = None, parquet: bool | None = False, ordered: bool = True) -> DataFrame:
     """Events in recorded order, from the raw hours, the tables (parquet), or both (None); all give the same rows.
 
     recv_ts lies in [start, end); events of other markets go, those of no market always stay. Only planned_hours are
-    read.
+    read. What needs no order takes ordered=False: a sort samples the events first, so they are made twice.
     """
     plain, filed = planned_hours(spark, data_dir, start_ns, end_ns, parquet)
     events = _of_hours(spark, data_dir, plain, filed)
@@ -247,7 +253,7 @@ def replay(spark: SparkSession, data_dir: str, start_ns: int | None = None, end_
         events = events.where(F.col("recv_ts") < end_ns)
     if markets is not None:
         events = events.where(F.col("market_id").isNull() | F.col("market_id").isin(markets))
-    return events.orderBy(*S.ORDER)
+    return events.orderBy(*S.ORDER) if ordered else events
 
 
 def _of_hours(spark: SparkSession, data_dir: str, plain: list[tuple[str, int, str]], filed: set[tuple[str, int]]) -> DataFrame:
