@@ -8,6 +8,7 @@ import io
 import random
 import re
 import struct
+import tracemalloc
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -250,6 +251,43 @@ def test_links_beside_the_threshold(spark, block, monkeypatch):
         assert (got[i]["n_links"], got[i]["component_id"]) == (n, root if n else i), i
 
 
+def shuffled_rows(spark) -> dict[int, int]:
+    """Rows that each stage so far wrote for a shuffle."""
+    sc, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+    sc.listenerBus().waitUntilEmpty(10_000)
+    stages = sc.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+    return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+
+def test_vectors_travel_once_whatever_the_number_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(covertree, "BLOCK", 10)  # some 60 blocks, and each point lies within reach of all of them
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 64))
+    x[200:300] = x[:100] + rng.normal(size=(100, 64)) * 0.2  # cosines beside 0.98
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    before = shuffled_rows(spark)
+    got = {r["vec_id"]: r for r in covertree.near_duplicates(df).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.95
+    want = brute_components(list(range(len(x))), lambda a, b: near[a, b])
+    assert near.sum() > 500 and all((got[i]["n_links"], got[i]["component_id"]) == (near[i].sum() - 1, want[i]) for i in range(len(x)))
+    assert sum(n for stage, n in shuffled_rows(spark).items() if stage not in before) < 30 * len(x)
+
+
+def test_node_pairs_are_opened_in_bounded_memory():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(40, 256)).repeat(40, 0) + rng.normal(size=(1600, 256)) * 0.25  # many nodes that are near each other
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tree = covertree.build(x)
+    weight = np.ones(len(x), np.int64)
+    tracemalloc.start()
+    links = covertree.traverse(tree, tree, (weight, weight), 0.5, False)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (links.count[: len(x)] == (tree.points @ tree.points.T >= 0.5).sum(1)).all()
+    assert most < 400 << 20
+
+
 # --- WARC -----------------------------------------------------------------------------------------------------
 
 

@@ -1,28 +1,34 @@
 """Exact embedding near-duplicates by dual traversal of cover trees.
 
 Equal vectors are one point with a multiplicity. Points are dealt to cells around pivots, cells to blocks of bounded
-size, and each pair of blocks that covering-radius and bisector bounds cannot rule out is one task. A task builds a
-cover tree of nested levels with halving radii on either side and walks both at once: a pair of nodes is dropped
-when their distance exceeds both radii and the threshold, taken whole when even the farthest points are linked, and
-opened otherwise. Pairs of points near the threshold are decided by the cosine in double precision.
+size. Each block becomes a cover tree of nested levels with halving radii, which is filed in the shared folder once.
+Pairs of blocks that covering-radius and bisector bounds cannot rule out are dealt over tasks as pairs of file names,
+so no vector travels more than once, and a task holds the trees of a few blocks. Two trees are walked at once: a pair
+of nodes is dropped when their distance exceeds both radii and the threshold, taken whole when even the farthest
+points are linked, and opened otherwise. Pairs of points near the threshold are decided by the cosine in double precision.
 """
 
 from __future__ import annotations
 
+import io
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import looked_up, materialize, read_table, salted_left_join
+from tidebook.llm.common import filesystem, looked_up, materialize, read_table, salted_left_join, scratch_path
 from tidebook.llm.components import connected_components
 
 COSINE = 0.95
-#: Points in a block at most on average; a task holds two blocks.
+#: Points in a block at most on average.
 BLOCK = 4096
+#: A task compares so many blocks with as many others at most, fewer where those of a side take more bytes.
+TILE, TILE_BYTES = 8, 32 << 20
 #: Pivots at most; beyond this many blocks a cell is split by hash, which is exact as well.
 MOST_PIVOTS = 1024
 TOP_RADIUS, LEVELS = 2.0, 7
@@ -30,8 +36,12 @@ TOP_RADIUS, LEVELS = 2.0, 7
 SLACK = 1e-4
 #: Slack of bounds in double precision, in squared distance; a distance near zero is off by the root of its noise.
 NOISE = 1e-6
-#: Node pairs that are opened at a time.
-PAIRS_AT_ONCE = 1 << 20
+#: Node pairs that are opened at a time, and components of vectors that are gathered for it at a time.
+PAIRS_AT_ONCE, NUMBERS_AT_ONCE = 1 << 20, 1 << 22
+#: Points that are compared with all pivots at a time.
+POINTS_AT_ONCE = 1024
+#: Tasks that pairs of blocks are dealt over at most.
+MOST_TASKS = 10_000
 
 
 # --- trees ----------------------------------------------------------------------------------------------------
@@ -184,7 +194,7 @@ def traverse(left: Tree, right: Tree, weights: tuple[np.ndarray, np.ndarray], co
             if same:
                 keep = i < j
                 i, j = i[keep], j[keep]
-            hit = np.einsum("ij,ij->i", left.points[i], right.points[j]) >= cosine
+            hit = _dots(left.points, i, right.points, j) >= cosine
             i, j = i[hit], j[hit]
             np.add.at(links.count, i, weights[1][j])
             np.add.at(links.count, j + shift, weights[0][i])
@@ -212,20 +222,25 @@ def traverse(left: Tree, right: Tree, weights: tuple[np.ndarray, np.ndarray], co
         bf, bt = right.children(lb) if nb > lb else (np.arange(len(right.levels[lb][0])), np.arange(len(right.levels[lb][0])) + 1)
         wide = (at[a] - af[a]) * (bt[b] - bf[b])
         for i, j in zip(a[wide > 4096], b[wide > 4096]):  # many children on both sides: one matrix product
-            rows, cols = np.arange(af[i], at[i]), np.arange(bf[j], bt[j])
-            y = single[1][right.levels[nb][0][cols]]
-            for k in range(0, len(rows), max(1, PAIRS_AT_ONCE // len(cols))):
-                part = rows[k : k + max(1, PAIRS_AT_ONCE // len(cols))]
-                cos = single[0][left.levels[na][0][part]] @ y.T
-                bound = left.levels[na][3][part].astype(np.float32)[:, None] + (right.levels[nb][3][cols] + reach).astype(np.float32)
-                bound *= bound
-                x, z = np.nonzero(2 - 2 * cos <= bound + np.float32(SLACK))
-                if same and i == j:
-                    up = part[x] <= cols[z]
-                    x, z = x[up], z[up]
-                pa_, pb = settle(na, nb, part[x], cols[z], 2 - 2 * cos[x, z])
-                if len(pa_):
-                    todo.append((na, nb, pa_, pb))
+            ra, rb = left.levels[na][3], right.levels[nb][3]
+            for rows, cols in product(_by_width(af[i], at[i], ra), _by_width(bf[j], bt[j], rb)):
+                y = single[1][right.levels[nb][0][cols]]
+                for k in range(0, len(rows), max(1, PAIRS_AT_ONCE // len(cols))):
+                    part = rows[k : k + max(1, PAIRS_AT_ONCE // len(cols))]
+                    cos = single[0][left.levels[na][0][part]] @ y.T
+                    if ra[part[0]] or rb[cols[0]]:
+                        bound = ra[part].astype(np.float32)[:, None] + (rb[cols] + reach).astype(np.float32)
+                        bound *= bound
+                        hit = 2 - 2 * cos <= bound + np.float32(SLACK)
+                    else:  # points on both sides have one bound
+                        hit = cos >= np.float32(1 - (reach * reach + SLACK) / 2)
+                    x, z = np.divmod(np.flatnonzero(hit), len(cols))
+                    if same and i == j:
+                        up = part[x] <= cols[z]
+                        x, z = x[up], z[up]
+                    pa_, pb = settle(na, nb, part[x], cols[z], 2 - 2 * cos[x, z])
+                    if len(pa_):
+                        todo.append((na, nb, pa_, pb))
         narrow = np.flatnonzero(wide <= 4096)
         ends = np.cumsum(wide[narrow])
         start = 0
@@ -243,8 +258,22 @@ def traverse(left: Tree, right: Tree, weights: tuple[np.ndarray, np.ndarray], co
     return links
 
 
+def _dots(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inner products of the rows i of x with the rows j of y, which are copied a few at a time."""
+    out, step = np.empty(len(i), x.dtype), max(1, NUMBERS_AT_ONCE // x.shape[1])
+    for at in range(0, len(i), step):
+        out[at : at + step] = np.einsum("ij,ij->i", x[i[at : at + step]], y[j[at : at + step]])
+    return out
+
+
 def _squared(single: tuple[np.ndarray, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return 2 - 2 * np.einsum("ij,ij->i", single[0][a], single[1][b])
+    return 2 - 2 * _dots(single[0], a, single[1], b)
+
+
+def _by_width(low: int, high: int, radius: np.ndarray) -> list[np.ndarray]:
+    """The nodes from low to high in two parts, as far as they have any: those of radius zero and the others."""
+    nodes = np.arange(low, high)
+    return [x for x in (nodes[radius[low:high] == 0], nodes[radius[low:high] > 0]) if len(x)]
 
 
 def _products(a: np.ndarray, b: np.ndarray, af: np.ndarray, at: np.ndarray, bf: np.ndarray, bt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -265,65 +294,102 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return whole.flatten().to_numpy(zero_copy_only=False).reshape(len(whole), -1)
 
 
-def _blocks_of(points: DataFrame, n: int, cosine: float):
-    """Pivots, the blocks of each cell, and a function that says which pairs of blocks a batch of points goes to."""
-    wanted = max(1, -(-n // BLOCK))
-    k = min(wanted, MOST_PIVOTS)
+def _packed(tree: Tree, vk: np.ndarray, weight: np.ndarray) -> bytes:
+    """A tree with the names and weights of its points, in its order, as a file's bytes."""
+    out = io.BytesIO()
+    np.savez(out, points=tree.points, vk=vk[tree.order], weight=weight[tree.order], **{f"level{i}_{j}": x for i, level in enumerate(tree.levels) for j, x in enumerate(level)})
+    return out.getvalue()
+
+
+def _unpacked(data: bytes) -> tuple[Tree, np.ndarray, np.ndarray]:
+    with np.load(io.BytesIO(data)) as found:
+        levels = [tuple(found[f"level{i}_{j}"] for j in range(4)) for i in range(sum(x.endswith("_0") for x in found.files))]
+        return Tree(found["points"], np.arange(len(found["vk"])), levels), found["vk"], found["weight"]
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, POINTS_AT_ONCE):
+            yield b.slice(at, POINTS_AT_ONCE)
+
+
+def _filed_blocks(points: DataFrame, n: int, cosine: float, folder: str) -> DataFrame:
+    """(block, file, others): the blocks of points, which are of one length, filed in folder as trees; others are the blocks
+    that some point of the block can have a link to, itself included."""
+    k = min(max(1, -(-n // BLOCK)), MOST_PIVOTS)
     pivots = np.stack([np.asarray(r[0], np.float64) for r in points.orderBy(F.xxhash64("vk"), "vk").limit(k).select("unit").collect()])
     reach = float(np.sqrt(2 - 2 * cosine)) + 1e-6
-    gap = np.sqrt(np.maximum(0, 2 - 2 * pivots @ pivots.T))
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The points of each cell in a batch and the farthest. Pivots that tie but for noise all reach the point: any may get it."""
-        for b in batches:
-            if not b.num_rows:
-                continue
-            squared = np.maximum(0, 2 - 2 * (_matrix(b.column(1)) @ pivots.T))
+        """The points of each cell in a task and the farthest. Pivots that tie but for noise all reach the point: any may get it."""
+        count, far = np.zeros(k, np.int64), np.full(k, -1.0)
+        for b in _slices(batches):
+            squared = np.maximum(0, 2 - 2 * (_matrix(b.column(0)) @ pivots.T))
             tied = squared <= squared.min(1, keepdims=True) + NOISE
-            far = np.sqrt(np.where(tied, squared, -1.0).max(0), where=tied.any(0), out=np.full(k, -1.0))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(k), pa.int32()), pa.array(np.bincount(squared.argmin(1), minlength=k), pa.int64()), pa.array(far, pa.float64())], ["cell", "n", "far"])
+            far = np.maximum(far, np.sqrt(np.where(tied, squared, -1.0).max(0), where=tied.any(0), out=np.full(k, -1.0)))
+            count += np.bincount(squared.argmin(1), minlength=k)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k), pa.int32()), pa.array(count, pa.int64()), pa.array(far, pa.float64())], ["cell", "n", "far"])
 
-    sizes = {r["cell"]: (r["n"], r["far"]) for r in points.select("vk", "unit").mapInArrow(cells, "cell int, n long, far double").groupBy("cell").agg(F.sum("n").alias("n"), F.max("far").alias("far")).collect()}
+    sizes = {r["cell"]: (r["n"], r["far"]) for r in points.select("unit").mapInArrow(cells, "cell int, n long, far double").groupBy("cell").agg(F.sum("n").alias("n"), F.max("far").alias("far")).collect()}
     radius = np.array([sizes.get(c, (0, -1.0))[1] for c in range(k)])
     parts = np.array([max(1, -(-sizes.get(c, (0, 0))[0] // BLOCK)) for c in range(k)])
     first = np.r_[0, np.cumsum(parts)]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each pair of blocks that a point takes part in: (low, high, side, vk, weight, unit)."""
-        for b in batches:
-            if not b.num_rows:
-                continue
-            vk, x = b.column(0).to_numpy(), _matrix(b.column(1))
-            d = np.sqrt(np.maximum(0, 2 - 2 * (x @ pivots.T)))
-            cell = d.argmin(1)
-            own = first[cell] + (vk * 0x9E3779B1 >> 7) % parts[cell]
-            near = d[np.arange(len(d)), cell]
+        for b in _slices(batches):
+            vk, cell = b.column(0).to_numpy(), (_matrix(b.column(2)) @ pivots.T).argmax(1)
+            yield pa.RecordBatch.from_arrays([pa.array(first[cell] + (vk * 0x9E3779B1 >> 7) % parts[cell], pa.int32()), *b.columns], ["block", "vk", "weight", "unit"])
+
+    def file(table: pa.Table) -> pa.Table:
+        block = table.column("block")[0].as_py()
+        cell = int(np.searchsorted(first, block, "right")) - 1
+        gap = np.sqrt(np.maximum(0, 2 - 2 * pivots @ pivots[cell]))
+        x, reached = _matrix(table.column("unit")), np.arange(k) == cell
+        for at in range(0, len(x), POINTS_AT_ONCE):
+            squared = np.maximum(0, 2 - 2 * (x[at : at + POINTS_AT_ONCE] @ pivots.T))
             # within reach of the bisector with each pivot; not divided by the gap, which may be all noise
-            may = (radius >= 0) & (d <= radius + reach) & (d**2 - near[:, None] ** 2 <= 2 * gap[cell] * reach + NOISE)
-            may[np.arange(len(d)), cell] = True
-            at, to = np.nonzero(may)
-            of = np.repeat(np.arange(len(at)), parts[to])
-            other = first[to][of] + np.arange(len(of)) - np.repeat(np.cumsum(parts[to]) - parts[to], parts[to])
-            at = at[of]
-            low, high = np.minimum(own[at], other), np.maximum(own[at], other)
-            yield pa.RecordBatch.from_arrays([pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(own[at] == high, pa.bool_()), b.column(0).take(pa.array(at)), b.column(2).take(pa.array(at)), b.column(1).take(pa.array(at))], ["low", "high", "upper", "vk", "weight", "unit"])
-
-    return deal
-
-
-def _pair_links(cosine: float):
-    def run(table: pa.Table) -> pa.Table:
-        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
-        same = low == high
-        upper = table.column("upper").to_numpy()
-        sides = [np.arange(len(upper))] if same else [np.flatnonzero(~upper), np.flatnonzero(upper)]
-        vk, weight, unit = table.column("vk").to_numpy(), table.column("weight").to_numpy(), _matrix(table.column("unit"))
-        trees = [build(unit[s]) for s in sides]
-        weights = [weight[s][t.order] for s, t in zip(sides, trees)]
-        links = traverse(trees[0], trees[-1], (weights[0], weights[-1]), cosine, same)
-        names = np.concatenate([vk[s][t.order] for s, t in zip(sides, trees)])
-        some = np.flatnonzero(links.count[: len(names)])
-        return pa.table({"vk": names[some], "root": names[links.find(some)] if len(some) else names[some], "n": links.count[some]})
+            may = (radius >= 0) & (np.sqrt(squared) <= radius + reach) & (squared - squared[:, [cell]] <= 2 * gap * reach + NOISE)
+            reached |= may.any(0)
+        fs, root = filesystem(folder)
+        fs.create_dir(root, recursive=True)
+        name = f"{block}-{uuid.uuid4().hex}.npz"  # a task that is done again files its own
+        with fs.open_output_stream(f"{root}/{name}") as sink:
+            sink.write(_packed(build(x), table.column("vk").to_numpy(), table.column("weight").to_numpy()))
+        others = np.concatenate([np.arange(first[c], first[c + 1]) for c in np.flatnonzero(reached)])
+        return pa.table({"block": pa.array([block], pa.int32()), "file": [name], "others": pa.array([others], pa.list_(pa.int32()))})
+
+    dealt = points.select("vk", "weight", "unit").mapInArrow(deal, "block int, vk long, weight long, unit array<double>")
+    return materialize(dealt.groupBy("block").applyInArrow(file, "block int, file string, others array<int>"), "blocks")
+
+
+def _tiles(blocks: DataFrame, side: int) -> DataFrame:
+    """(pairs), one array of file names (low, high) for each task: all pairs of blocks that can be linked from both sides."""
+    seen = blocks.select("block", F.explode("others").alias("other"))
+    both = seen.groupBy(F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).count().where("count = 2 or low = high")
+    files = [F.broadcast(blocks.select(F.col("block").alias(c), F.col("file").alias(f"{c}_file"))) for c in ("low", "high")]
+    named = both.join(files[0], "low").join(files[1], "high")
+    across, down = (F.floor(F.col(c) / side).alias(f"{c}_tile") for c in ("low", "high"))
+    tiles = materialize(named.groupBy(across, down).agg(F.collect_list(F.struct(F.col("low_file").alias("low"), F.col("high_file").alias("high"))).alias("pairs")), "tiles")
+    return tiles.repartitionByRange(max(1, min(tiles.count(), MOST_TASKS)), "low_tile", "high_tile").select("pairs")  # by number: rows are small, their work is not
+
+
+def _tile_links(folder: str, cosine: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = filesystem(folder)
+        for tile in (x for b in batches for x in b.column(0).to_pylist()):
+            held: dict[str, tuple[Tree, np.ndarray, np.ndarray]] = {}
+            for pair in tile:
+                for name in pair.values():
+                    if name not in held:
+                        with fs.open_input_stream(f"{root}/{name}") as source:
+                            held[name] = _unpacked(source.read())
+                same = pair["low"] == pair["high"]
+                (left, vk, weight), (right, more, other) = held[pair["low"]], held[pair["high"]]
+                links = traverse(left, right, (weight, other), cosine, same)
+                names = vk if same else np.concatenate([vk, more])
+                some = np.flatnonzero(links.count[: len(names)])
+                if len(some):
+                    yield pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(names[links.find(some)]), pa.array(links.count[some])], ["vk", "root", "n"])
 
     return run
 
@@ -346,9 +412,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     found = None
     for length, n in points.groupBy(F.size("unit")).count().collect():  # one round for each vector length
         own = points.where(F.size("unit") == length)
-        deal = _blocks_of(own, n, cosine)
-        dealt = own.select("vk", "unit", "weight").mapInArrow(deal, "low int, high int, upper boolean, vk long, weight long, unit array<double>")
-        part = dealt.groupBy("low", "high").applyInArrow(_pair_links(cosine), "vk long, root long, n long")
+        folder = scratch_path(vectors.sparkSession, "trees")
+        tiles = _tiles(_filed_blocks(own, n, cosine, folder), max(1, min(TILE, TILE_BYTES // (BLOCK * length * 8))))
+        part = tiles.mapInArrow(_tile_links(folder, cosine), "vk long, root long, n long")
         found = part if found is None else found.unionByName(part)
     narrow = rows.select("vec_id", "key")
     if found is None:
