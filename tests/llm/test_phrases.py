@@ -9,10 +9,12 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.llm import phrases
+from tidebook.llm import common, components, phrases
 
 SF = "/root/testdata/sf0.001"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -115,3 +117,48 @@ def test_odd_rows(odd, nothing):
     got = phrases.collocations(df).collect()
     assert {r["lang"] for r in got} == {"und"} and "word word word word" in {r["phrase"] for r in got}
     assert phrases.collocations(df.limit(0)).count() == 0
+
+
+def test_words_do_not_pass_the_driver(spark, monkeypatch):
+    df = spark.createDataFrame(corpus(), "lang string, text string")
+    words = phrases.ordered_words(phrases.word_counts(df), 6)
+    found = lambda made: {tuple(r[c] for c in phrases.FRAGMENT): r["n"] for r in made.groupBy(*phrases.FRAGMENT).agg(F.sum("n").alias("n")).collect()}
+    want = found(phrases._joined_fragments(df, words))
+    monkeypatch.setattr(phrases, "KNOWN_WORDS", 3)  # forgotten after each batch
+    monkeypatch.setattr(phrases, "FILE_WORDS", 4)
+    for way in ("toArrow", "collect", "toPandas"):
+        monkeypatch.setattr(type(df), way, lambda self: 1 / 0)
+    made = phrases._held_fragments(df, words)
+    monkeypatch.undo()
+    assert found(made) == want and len(want) > 50
+
+
+def test_ids_are_found_by_both_hashes(spark, tmp_path):
+    pairs = [("en", "the"), ("en", ""), ("und", "日本"), ("de", "naïve" * 20), ("", "x")]
+    rows = spark.createDataFrame(pairs, "lang string, word string").select(F.xxhash64("lang", "word").alias("a"), F.xxhash64("word", "lang").alias("b")).collect()
+    assert [tuple(r) for r in rows] == [(phrases._hash(x, y), phrases._hash(y, x)) for x, y in ((a.encode(), b.encode()) for a, b in pairs)]
+    a, b = (list(x) for x in zip(*rows))
+    pq.write_table(pa.table({"a": [*a, a[0], a[0]], "b": [*b, b[0] + 1, b[0] - 1], "id": range(7)}), tmp_path / "ids.parquet")  # one hash of three words
+    ids = phrases._Ids([str(tmp_path / "ids.parquet")])
+    assert [ids.find(x.encode(), y.encode()) for x, y in pairs] == [0, 1, 2, 3, 4] and ids.find(b"fr", b"the") == -1
+    assert phrases._Ids([]).find(b"en", b"the") == -1
+
+
+def joins(df: DataFrame) -> set[str]:
+    return set(re.findall(r"\w+Join\b", df._jdf.queryExecution().executedPlan().toString()))
+
+
+def test_tables_that_grow_are_not_broadcast(spark, monkeypatch):
+    """Spark takes copies of rows, and rows from files of numbers, for as small as the files."""
+    rows = common.materialize(spark.range(2000).select(F.col("id").alias("key"), F.lit("word").alias("word")), "many")
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 100)
+    assert joins(common.looked_up(rows.select("key"), rows, "key", F.col("key"))) == {"SortMergeJoin"}
+    edges = common.materialize(spark.range(2000).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v")), "edges")
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    assert joins(components._with_least(edges, least, large=True)) == {"SortMergeJoin"}
+    words = common.materialize(spark.range(9).select("id", F.lit(50).cast("long").alias("f")), "words")
+    found = common.materialize(spark.range(8).select(F.col("id").alias("w1"), (F.col("id") + 1).alias("w2"), F.lit(-1).cast("long").alias("w3"), F.lit(-1).cast("long").alias("w4"), F.lit(40).cast("long").alias("n")), "phrases")
+    kept = phrases.standing(phrases.scored(found, words))
+    assert joins(kept) == {"SortMergeJoin"} and kept.count() == 8
+    monkeypatch.setattr(components, "BROADCAST_ROWS", 1)
+    assert {r["root"] for r in components.connected_components(spark.range(40).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))).collect()} == {0}

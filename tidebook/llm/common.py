@@ -69,14 +69,15 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == HELD_OUT_REMAINDER
 
 
-def salted_left_join(left: DataFrame, right: DataFrame, key: str, spread: Column, salts: int = 16, how: str = "left") -> DataFrame:
+def salted_left_join(left: DataFrame, right: DataFrame, key: str, spread: Column, salts: int = 16, how: str = "left", large: bool = False) -> DataFrame:
     """Left join on `key` where one key may hold a large share of `left` and each key has one row in `right`.
 
-    Left rows of a key are dealt over `salts` buckets by `spread`; each right row is copied into every bucket.
+    Left rows of a key are dealt over `salts` buckets by `spread`; each right row is copied into every bucket. Spark judges
+    the copies by the file that they come from and may broadcast them; large says that right is known to be too large for it.
     """
     dealt = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return dealt.join(copies, [key, "_salt"], how).drop("_salt")
+    return dealt.join(copies.hint("merge") if large else copies, [key, "_salt"], how).drop("_salt")
 
 
 def looked_up(left: DataFrame, right: DataFrame, key: str, spread: Column, how: str = "left") -> DataFrame:
@@ -84,7 +85,7 @@ def looked_up(left: DataFrame, right: DataFrame, key: str, spread: Column, how:
     where it has at most BROADCAST_ROWS rows, and joined by a salted shuffle beyond that."""
     if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return left.join(F.broadcast(right), key, how)
-    return salted_left_join(left, right, key, spread, how=how)
+    return salted_left_join(left, right, key, spread, how=how, large=True)
 
 
 def running_sums(numbers: Column) -> Column:

@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import materialize
+from tidebook.llm.common import BROADCAST_ROWS, materialize
 
 SALTS = 8
 
 
-def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
-    """edges(u, v) with the least neighbour m of u. A hub's edges are dealt over salts, so no task gets them all."""
+def _with_least(edges: DataFrame, least: DataFrame, large: bool) -> DataFrame:
+    """edges(u, v) with the least neighbour m of u. A hub's edges are dealt over salts, so no task gets them all. Spark judges
+    the copies by the edges' files and may broadcast them; large forbids it."""
     dealt = edges.withColumn("_s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
     copies = least.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return dealt.join(copies, ["u", "_s"]).drop("_s")
+    return dealt.join(copies.hint("merge") if large else copies, ["u", "_s"]).drop("_s")
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -31,16 +32,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         .distinct(),
         "edges",
     )
-    before = None
+    before, large = None, now.count() > BROADCAST_ROWS
     for _ in range(max_rounds):
         # large star: larger neighbours of u move to the least neighbour of u (u itself included)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = _with_least(both, least).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u != v").distinct()
+        moved = _with_least(both, least, large).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        moved = moved.where("u != v").distinct()
         # small star: all smaller neighbours of u, and u, move to the least of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = _with_least(large, least).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = moved.groupBy("u").agg(F.min("v").alias("m"))
+        moved = _with_least(moved, least, large).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = materialize(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         state = now.agg(
             F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")

@@ -79,7 +79,7 @@ def _probed(docs: DataFrame, grams: DataFrame, counted: bool) -> DataFrame:
         found = probes.join(F.broadcast(known), ["width", "hash"])
     else:  # a window that millions of texts share is dealt over salts
         met = F.struct("width", "hash").alias("met")
-        found = salted_left_join(probes.select("*", met), known.select(met), "met", F.struct("key", "at"), how="inner")
+        found = salted_left_join(probes.select("*", met), known.select(met), "met", F.struct("key", "at"), how="inner", large=True)
     found = found.select("doc_id", "key", "width", "at", "hash")
     if counted and not together:
         found = found.unionByName(scan.select("doc_id", "key", F.lit(0).alias("width"), (F.size("w") + 1).alias("at"), F.lit(0).cast("long").alias("hash")))
@@ -96,7 +96,7 @@ def _verified(docs: DataFrame, grams: DataFrame, probed: DataFrame) -> DataFrame
     places = materialize(places, "candidates")
     n = places.agg(F.sum(F.size("places"))).first()[0] or 0
     texts = docs.select(text_key(F.col("text")).alias("key"), "text", *([F.col("doc_id")] if "doc_id" in docs.columns else []))
-    wanted = texts.join(F.broadcast(places.select("key")), "key", "left_semi") if n <= BROADCAST_WINDOWS else salted_left_join(texts, places.select("key"), "key", F.col("doc_id") if "doc_id" in docs.columns else F.lit(0), how="left_semi")
+    wanted = texts.join(F.broadcast(places.select("key")), "key", "left_semi") if n <= BROADCAST_WINDOWS else salted_left_join(texts, places.select("key"), "key", F.col("doc_id") if "doc_id" in docs.columns else F.lit(0), how="left_semi", large=True)
     once = wanted.groupBy("key").agg(F.min("text").alias("text"))  # copies become one before they are shuffled
     own = once.join(F.broadcast(places) if n <= BROADCAST_WINDOWS else places, "key").select("key", "places", words(F.col("text")).alias("w"))
     each = own.select("key", F.explode(F.transform("places", lambda p: F.struct(p["at"].alias("at"), p["width"].alias("width"), p["hash"].alias("hash"), F.slice("w", p["at"], p["width"]).alias("gram")))).alias("p")).select("key", "p.*")
@@ -104,7 +104,7 @@ def _verified(docs: DataFrame, grams: DataFrame, probed: DataFrame) -> DataFrame
         met = each.join(grams, ["width", "hash", "gram"])
     else:
         window = F.struct("width", "hash", "gram").alias("met")
-        met = salted_left_join(each.select("key", "at", "width", window), grams.select(window, "item_ids"), "met", F.struct("key", "at"), how="inner")
+        met = salted_left_join(each.select("key", "at", "width", window), grams.select(window, "item_ids"), "met", F.struct("key", "at"), how="inner", large=True)
     runs = met.groupBy("key").agg(F.collect_set(F.struct("at", "width")).alias("runs"), F.array_distinct(F.flatten(F.collect_set("item_ids"))).alias("item_ids"))
     hit = F.flatten(F.transform("runs", lambda r: F.sequence(r["at"], r["at"] + r["width"] - 1)))
     return runs.select("key", F.array_sort(F.array_distinct(hit)).alias("hit"), F.array_sort("item_ids").alias("item_ids"))

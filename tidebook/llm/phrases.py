@@ -9,18 +9,20 @@ those that the pivot owns come out. A phrase with its pivot twice belongs to the
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidebook.llm.common import bounded_batches, looked_up, materialize, read_table
+from tidebook.llm.common import bounded_batches, filesystem, looked_up, materialize, read_table
 
 #: Words of a phrase at most, and how often it occurs at least.
 LONGEST, LEAST = 4, 30
@@ -28,8 +30,10 @@ LONGEST, LEAST = 4, 30
 INSIDE_PERCENT = 80
 #: Scores are in this many parts of a mean of both sides; rows reported for each language.
 SCALE, TOP = 2_000_000, 2000
-#: Frequent words that each worker holds in memory; with more of them, words meet their places in a salted join.
-HELD_WORDS = 400_000
+#: Frequent words that each worker holds in memory, as 24 bytes each; with more of them, words meet their places in a salted join.
+HELD_WORDS = 2_500_000
+#: Words whose ids a task remembers at most, frequent or not, and words in a file of ids.
+KNOWN_WORDS, FILE_WORDS = 400_000, 250_000
 #: Words that a task counts, fragments that it sums and rows that it mines at a time.
 WORDS_AT_ONCE, FRAGMENTS_AT_ONCE, ROWS_AT_ONCE = 200_000, 1 << 19, 1 << 16
 #: A pivot with more occurrences than this is mined in several parts, whose counts are added.
@@ -136,24 +140,64 @@ class _Fragments:
 _SCHEMA = T.StructType([T.StructField(c, T.LongType()) for c in [*FRAGMENT, "n"]])
 
 
+class _Ids:
+    """Ids by two 64-bit hashes of language and word, from files (a, b, id)."""
+
+    def __init__(self, files: list[str]):
+        tables = []
+        for file in files:
+            fs, path = filesystem(file)
+            with fs.open_input_file(path) as source:
+                tables.append(pq.ParquetFile(source).read())
+        columns = [np.concatenate([t.column(c).to_numpy() for t in tables] or [np.empty(0, np.int64)]) for c in ("a", "b", "id")]
+        order = np.argsort(columns[0], kind="stable")
+        self.a, self.b, self.id = (memoryview(c[order]) for c in columns)
+
+    def find(self, lang: bytes, word: bytes) -> int:
+        a, b = _hash(lang, word), _hash(word, lang)
+        at = bisect_left(self.a, a)
+        while at < len(self.a) and self.a[at] == a:
+            if self.b[at] == b:
+                return self.id[at]
+            at += 1
+        return -1
+
+
+def _hash(first: bytes, second: bytes) -> int:
+    """Spark's xxhash64 of two strings."""
+    h = xxhash.xxh64_intdigest(second, xxhash.xxh64_intdigest(first, 42))
+    return h - (h >> 63 << 64)
+
+
+class _Known(dict):
+    """Ids of the words of a language that a task has met, -1 for those that are not frequent."""
+
+    def __init__(self, ids: _Ids, lang: str):
+        self.ids, self.lang = ids, lang.encode("utf-8", "surrogatepass")
+
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = self.ids.find(self.lang, word)
+        return found
+
+
 def _held_fragments(docs: DataFrame, words: DataFrame) -> DataFrame:
-    """Fragments where all frequent words fit a worker's memory. They come to the tasks as a broadcast of bounded size."""
-    table = words.select("id", "lang", "word").toArrow()
-    sent = docs.sparkSession.sparkContext.broadcast(table)
+    """Fragments where hashes of all frequent words fit a worker's memory. Tasks read them from the shared folder, so none
+    pass the driver."""
+    keys = words.select(F.xxhash64("lang", "word").alias("a"), F.xxhash64("word", "lang").alias("b"), "id")
+    files = materialize(keys.coalesce(-(-words.count() // FILE_WORDS) or 1), "word-ids").inputFiles()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[str, dict[bytes, int]] = {}
-        held = sent.value
-        for lang, word, i in zip(held.column("lang").to_pylist(), held.column("word").cast(pa.binary()).to_pylist(), held.column("id").to_pylist()):
-            own.setdefault(lang, {})[word] = i
-        found = _Fragments()
+        ids_of, own, found = _Ids(files), {}, _Fragments()
         for b in batches:
             ids = []
             for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
-                known, words = own.get(lang), words_of(text.as_py())
-                if known and words:
-                    ids.append(np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words)))
+                if lang not in own:
+                    own[lang] = _Known(ids_of, lang)
+                if words := words_of(text.as_py()):
+                    ids.append(np.fromiter(map(own[lang].__getitem__, words), np.int64, len(words)))
                     ids.append(np.full(1, -1, np.int64))
+            if len(own) + sum(map(len, own.values())) > KNOWN_WORDS:
+                own.clear()
             if ids:
                 yield from found.add(np.concatenate(ids))
         yield from found.out()
@@ -201,8 +245,7 @@ def _joined_fragments(docs: DataFrame, words: DataFrame, size: int = _STRETCH) -
 
 def fragments(docs: DataFrame, words: DataFrame, held_words: int = HELD_WORDS) -> DataFrame:
     """(l1 .. l3, p, r1 .. r3, n): the rewritten surroundings of pivots, equal ones of a task summed."""
-    few = words.limit(held_words + 1).count() <= held_words
-    return (_held_fragments if few else _joined_fragments)(docs, words)
+    return (_held_fragments if words.count() <= held_words else _joined_fragments)(docs, words)
 
 
 # --- local mining ---------------------------------------------------------------------------------------------
@@ -281,7 +324,8 @@ def scored(phrases: DataFrame, words: DataFrame) -> DataFrame:
     """(w1 .. w4, a, l, r, score) of phrases (w1 .. w4, n): the cut with the lowest score, the first of equals.
 
     Every part of a phrase is a word or a phrase of the table. The joins are plain ones: parts of very many phrases are
-    skewed keys, which adaptive execution splits.
+    skewed keys, which adaptive execution splits. None is a broadcast: files of numbers are far smaller than the rows in
+    memory that Spark takes them for.
     """
     single = words.select(_key(["id"]).alias("part"), F.col("f").alias("of"))
     known = single.unionByName(phrases.where("w4 < 0").select(_key(PHRASE[:3]).alias("part"), F.col("n").alias("of")))
@@ -291,7 +335,7 @@ def scored(phrases: DataFrame, words: DataFrame) -> DataFrame:
         ways = F.array(*[F.struct(F.lit(k).alias("cut"), _key(PHRASE[:k]).alias("first"), _key(PHRASE[k:size]).alias("rest")) for k in range(1, size)])
         cuts.append(F.when(own, ways))
     listed = phrases.select(*PHRASE, F.col("n").alias("a"), F.inline(F.coalesce(*cuts)))
-    listed = listed.join(known.select(F.col("part").alias("first"), F.col("of").alias("l")), "first").join(known.select(F.col("part").alias("rest"), F.col("of").alias("r")), "rest")
+    listed = listed.join(known.select(F.col("part").alias("first"), F.col("of").alias("l")).hint("merge"), "first").join(known.select(F.col("part").alias("rest"), F.col("of").alias("r")).hint("merge"), "rest")
     score = (F.lit(SCALE).cast("decimal(10,0)") * _whole(F.col("a"))).alias("x"), (_whole(F.col("l")) + _whole(F.col("r"))).alias("y")
     listed = listed.select(*PHRASE, "a", "cut", "l", "r", *score).withColumn("score", F.expr("x div y"))
     best = listed.groupBy(*PHRASE).agg(F.min(F.struct("score", "cut", "l", "r", "a")).alias("best"))
@@ -306,7 +350,7 @@ def standing(phrases: DataFrame, percent: int = INSIDE_PERCENT) -> DataFrame:
         inside.append(F.when(own, F.array(*[_key(PHRASE[i : i + n]) for n in range(2, size) for i in range(size - n + 1)])))
     longer = phrases.where("w3 >= 0").select(F.explode(F.coalesce(*inside)).alias("part"), "a").groupBy("part").agg(F.max("a").alias("longer"))
     own = F.when(F.col("w4") < 0, _key(PHRASE[:3]))
-    met = phrases.withColumn("part", own).join(longer, "part", "left")
+    met = phrases.withColumn("part", own).join(longer.hint("merge"), "part", "left")
     goes = _whole(F.col("longer")) * 100 >= _whole(F.col("a")) * percent
     return met.where(~F.coalesce(goes, F.lit(False))).drop("part", "longer")
 
@@ -334,7 +378,7 @@ def collocations(docs: DataFrame, least: int = LEAST, percent: int = INSIDE_PERC
     kept = standing(scored(phrases, words), percent)
     for i, c in enumerate(PHRASE):
         text = words.select(F.col("id").alias(c), F.col("word").alias(f"t{i}"), *([F.col("lang")] if not i else []))
-        kept = kept.join(text, c, "left" if i > 1 else "inner")
+        kept = kept.join(text.hint("merge"), c, "left" if i > 1 else "inner")
     kept = kept.select("lang", F.concat_ws(" ", *[f"t{i}" for i in range(LONGEST)]).alias("phrase"), "a", "l", "r", "score")
     totals = counts.groupBy("lang").agg(F.sum("f").alias("n"))
     return _first(kept, top).join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
